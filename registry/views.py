@@ -52,6 +52,45 @@ SELECT DISTINCT task_id, concat('task_', CAST(task_id AS STRING)) AS task_name,
   task_id % 4 AS queue_id, CASE WHEN task_id % 5 = 0 THEN NULL ELSE CAST(10 + task_id AS INT) END AS timeout_minutes,
   task_id % 8 <> 0 AS enabled FROM exec_history"""
 
+VIEWS["queue"] = """
+SELECT n_regionkey AS queue_id, CASE WHEN n_regionkey = 1 THEN NULL ELSE CAST(400 + n_regionkey * 60 AS INT) END AS capacity,
+  COUNT(*) AS size FROM nation GROUP BY n_regionkey"""
+
+VIEWS["run_node"] = """
+SELECT l_orderkey AS run_id, l_linenumber AS node_no,
+  CASE l_returnflag WHEN 'R' THEN 'FAILED' WHEN 'A' THEN 'SUCCESS' ELSE 'RUNNING' END AS node_status FROM lineitem"""
+
+VIEWS["node_run"] = """
+SELECT id, task_id AS node_id, status, start_time AS run_start, end_time FROM run_log"""
+
+VIEWS["node_binding"] = """
+SELECT DISTINCT o_custkey % 40 AS node_id, o_custkey % 120 AS job_id, o_custkey % 120 % 9 <> 0 AS enabled FROM orders"""
+
+VIEWS["auto_batch"] = """
+SELECT o_orderkey AS id, o_custkey % 120 AS job_id, o_orderdate + INTERVAL '12' HOUR AS created_at,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'AUTO_TRIGGER' ELSE 'MANUAL' END AS trigger_type FROM orders"""
+
+VIEWS["retry_history"] = """
+SELECT id, task_id AS job_id, status, CAST(id % 4 AS INT) AS retry_count,
+  CASE WHEN id % 6 = 0 THEN NULL ELSE start_time + INTERVAL '5' MINUTE END AS next_retry_at FROM run_log"""
+
+VIEWS["retry_job"] = """
+SELECT task_id AS job_id, enabled, CAST(1 + task_id % 3 AS INT) AS max_retries,
+  CASE WHEN task_id % 2 = 0 THEN NULL ELSE CAST(task_id AS INT) END AS retry_interval_minutes FROM task"""
+
+VIEWS["batch_detail"] = """
+SELECT event_id AS id, CAST(FLOOR(event_id / 3) AS BIGINT) AS batch_id, concat('rule ', CAST(user_id AS STRING)) AS rule_name,
+  CASE event_type WHEN 'error' THEN 'SEVERE' WHEN 'signup' THEN 'WARNING' ELSE 'PASS' END AS result_level,
+  CASE WHEN event_id % 2 = 0 THEN props ELSE NULL END AS detail FROM events"""
+
+VIEWS["alert_batch"] = """
+SELECT batch_id, batch_id % 25 AS job_id, CASE WHEN batch_id % 4 = 0 THEN 'PARTIAL_FAILED' ELSE 'SUCCESS' END AS batch_status,
+  batch_id % 10 = 0 AS alert_sent, COUNT(*) AS n FROM batch_detail GROUP BY batch_id"""
+
+VIEWS["alert_job"] = """
+SELECT n_nationkey AS job_id, CASE n_nationkey % 3 WHEN 0 THEN 'SEVERE_ONLY' WHEN 1 THEN 'SEVERE_WARNING' ELSE NULL END
+  AS alert_level FROM nation"""
+
 VIEWS["check_detail"] = """
 SELECT event_id AS id, CAST(FLOOR(event_id / 50) AS BIGINT) AS batch_id, user_id AS rule_id,
   user_id % 30 AS table_id, CAST(1 + user_id % 5 AS INT) AS weight, CAST(value AS DECIMAL(20,6)) AS result_value,
