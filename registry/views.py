@@ -156,6 +156,25 @@ SELECT datasource_id, database_name, schema_name, table_name,
 UNION ALL SELECT datasource_id, database_name, schema_name, concat(table_name, '_new'), table_comment
   FROM meta_table_old WHERE k % 23 = 0 AND datasource_id <> 7"""
 
+VIEWS["std_table"] = """
+SELECT DISTINCT p_brand AS table_name, 'dw' AS database_name, CASE WHEN p_brand < 'Brand#3' THEN 'public' END AS schema_name,
+  CAST(substr(p_brand, 7) AS BIGINT) AS table_id,
+  CASE WHEN p_brand = 'Brand#11' THEN 'OFFLINE' ELSE 'ONLINE' END AS source_status FROM part"""
+
+VIEWS["std_column"] = """
+SELECT c.k AS column_id, t.table_id, t.database_name, t.schema_name, c.table_name, c.column_name, c.data_type, c.source_status
+FROM meta_column_old c JOIN std_table t ON t.table_name = c.table_name"""
+
+VIEWS["collect_change"] = """
+SELECT event_id AS id, concat('db', CAST(user_id % 3 AS STRING)) AS database_name,
+  CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'public' END AS schema_name, concat('table_', CAST(user_id AS STRING)) AS table_name,
+  CASE event_type WHEN 'error' THEN 'DELETED_COLUMN' WHEN 'signup' THEN 'ADDED_COLUMN' WHEN 'purchase' THEN 'MODIFIED_TABLE'
+       ELSE 'MODIFIED_COLUMN_TYPE' END AS change_type, ts AS created_at FROM events"""
+
+VIEWS["compliance_result"] = """
+SELECT event_id AS id, user_id AS table_id, CASE event_type WHEN 'error' THEN 'TYPE' ELSE 'NAMING' END AS violation_type,
+  event_id % 4 = 0 AS ignored, ts AS checked_at FROM events WHERE event_type <> 'click'"""
+
 VIEWS["cdc_raw"] = """
 SELECT event_id AS seq, concat('cdc-events-', CAST(user_id % 10 AS STRING)) AS topic, ts AS kafka_ts,
   concat('{"op":"', CASE event_type WHEN 'signup' THEN 'c' WHEN 'error' THEN 'd' WHEN 'view' THEN 'r' ELSE 'u' END,
