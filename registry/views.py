@@ -218,6 +218,39 @@ SELECT DISTINCT d.doc_id AS table_id, d.n_chars % 60 + 1 AS tag_id FROM document
 VIEWS["asset_owner"] = """
 SELECT n_nationkey AS user_id, n_name AS user_name FROM nation"""
 
+VIEWS["asset_collection"] = """
+SELECT user_id AS table_id, MAX(ts) AS last_collect_time FROM events GROUP BY user_id"""
+
+VIEWS["asset_view_event"] = """
+SELECT user_id AS table_id, ts FROM events WHERE event_type = 'view'"""
+
+VIEWS["follow"] = """
+SELECT event_id % 40 AS user_id, user_id AS table_id, MIN(ts) AS followed_at FROM events WHERE event_type = 'signup' GROUP BY 1, 2"""
+
+VIEWS["followable"] = """
+SELECT user_id AS table_id, concat('db', CAST(user_id % 3 AS STRING)) AS database_name,
+  CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'public' END AS schema_name, concat('table_', CAST(user_id AS STRING)) AS table_name,
+  COUNT(*) AS n FROM events GROUP BY user_id"""
+
+VIEWS["collect_task"] = """
+SELECT c_custkey AS ref_id, c_name AS ref_name, c_nationkey AS datasource_id FROM customer"""
+
+VIEWS["source_rule"] = """
+SELECT p_partkey AS ref_id, p_name AS ref_name, p_size % 25 AS datasource_id FROM part"""
+
+VIEWS["source_sync"] = """
+SELECT s_suppkey AS ref_id, s_name AS ref_name, s_nationkey AS datasource_id FROM supplier"""
+
+VIEWS["access_grant"] = """
+SELECT DISTINCT doc_id % 5 AS datasource_id, CAST(NULL AS STRING) AS database_name, CAST(NULL AS STRING) AS table_name
+  FROM documents WHERE doc_id % 5 = 1
+UNION ALL SELECT DISTINCT doc_id % 5, source, CAST(NULL AS STRING) FROM documents WHERE doc_id % 5 = 2 AND source LIKE '%1'
+UNION ALL SELECT doc_id % 5, source, concat(source, '_', lang, '_', CAST(doc_id AS STRING)) FROM documents WHERE doc_id % 5 = 3 AND doc_id % 4 = 0"""
+
+VIEWS["endpoint"] = """
+SELECT o_orderkey AS api_id, o_custkey AS table_id, CASE o_orderstatus WHEN 'F' THEN 'PUBLISHED' WHEN 'O' THEN 'PUBLISHED' ELSE 'DRAFT' END
+  AS status, o_orderkey % 10 = 0 AS deleted FROM orders"""
+
 VIEWS["asset_view"] = """
 SELECT user_id AS table_id, CAST(ts AS DATE) AS view_date, COUNT(*) AS view_count FROM events
   WHERE event_type = 'view' GROUP BY user_id, CAST(ts AS DATE)"""
