@@ -247,12 +247,10 @@ def _(lake):
 WITH {NEWEST} SELECT COUNT(*) AS total_tables, COUNT(*) FILTER (WHERE health_level = 'EXCELLENT') AS excellent,
   COUNT(*) FILTER (WHERE health_level = 'GOOD') AS good, COUNT(*) FILTER (WHERE health_level = 'WARNING') AS warning,
   COUNT(*) FILTER (WHERE health_level = 'BAD') AS bad, COUNT(*) FILTER (WHERE health_level IS NULL) AS no_score
-FROM checked_table t LEFT JOIN (SELECT * FROM scores WHERE table_id % 4 <> 1) s ON s.table_id = t.table_id
+FROM checked_table t LEFT JOIN scores s ON s.table_id = t.table_id
 WHERE source_status = 'ONLINE'""")
 def _(lake):
-    # Tables of one remainder class stand for tables never scored.
-    return report.score_distribution(_scores(lake).filter("table_id % 4 <> 1"),
-                                     report.online_in(SCOPE, lake("checked_table")))
+    return report.score_distribution(_scores(lake), report.online_in(SCOPE, lake("checked_table")))
 
 
 @R.query("d18_score_by_datasource", f"""
@@ -309,6 +307,6 @@ def _(lake):
 
 @R.query("d22_jobs_by_rule", """
 SELECT r.rule_id, COALESCE(string_agg(DISTINCT job_name, ',' ORDER BY job_name), '') AS job_names FROM quality_rule r
-LEFT JOIN quality_job_rule l ON l.rule_id = r.rule_id AND job_id > 2 GROUP BY r.rule_id""")
+LEFT JOIN quality_job_rule l ON l.rule_id = r.rule_id GROUP BY r.rule_id""")
 def _(lake):
-    return shown(report.jobs_by_rule(lake("quality_rule"), lake("quality_job_rule").filter("job_id > 2")))
+    return shown(report.jobs_by_rule(lake("quality_rule"), lake("quality_job_rule")))

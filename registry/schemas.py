@@ -245,11 +245,9 @@ def _(lake):
 
 
 @R.query("e11_edge_set_diff", """
-WITH l AS (SELECT DISTINCT source_table, target_table FROM lineage_edge WHERE id % 5 <> 0),
-r AS (SELECT DISTINCT source_table, target_table FROM lineage_edge WHERE id % 7 <> 0)
+WITH l AS (SELECT DISTINCT source_table, target_table FROM edge_version_1),
+r AS (SELECT DISTINCT source_table, target_table FROM edge_version_2)
 SELECT *, 'ADDED' AS change FROM (SELECT * FROM r EXCEPT SELECT * FROM l) a
 UNION ALL SELECT *, 'REMOVED' FROM (SELECT * FROM l EXCEPT SELECT * FROM r) b""")
 def _(lake):
-    # Two versions of the whole edge table, each lacking other edges.
-    edges = lake("lineage_edge")
-    return ops.edge_set_diff(edges.filter("id % 5 <> 0"), edges.filter("id % 7 <> 0"), "source_table", "target_table")
+    return ops.edge_set_diff(lake("edge_version_1"), lake("edge_version_2"), "source_table", "target_table")

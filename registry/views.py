@@ -114,7 +114,7 @@ SELECT DISTINCT table_id, concat('table_', CAST(table_id AS STRING)) AS table_na
 
 VIEWS["score_history"] = """
 SELECT event_id AS id, user_id % 30 AS table_id, CAST(CAST(FLOOR(value * 20) AS INT) % 10001 * 0.01 AS DECIMAL(5,2)) AS score,
-  ts AS checked_at FROM events WHERE event_type <> 'click'"""
+  ts AS checked_at FROM events WHERE event_type <> 'click' AND user_id % 30 <> 5"""
 
 VIEWS["lineage_edge"] = """
 SELECT concat('t', CAST(CAST(FLOOR(p_partkey / 3) AS BIGINT) AS STRING)) AS source_table,
@@ -124,6 +124,12 @@ SELECT concat('t', CAST(CAST(FLOOR(p_partkey / 3) AS BIGINT) AS STRING)) AS sour
   CASE p_size % 3 WHEN 0 THEN 'SQL' WHEN 1 THEN 'PYTHON' ELSE 'SYNC' END AS lineage_type, p_size AS dag_id, p_partkey AS id
   FROM part WHERE p_partkey > 0"""
 
+VIEWS["edge_version_1"] = """
+SELECT source_table, target_table FROM lineage_edge WHERE id % 5 <> 0"""
+
+VIEWS["edge_version_2"] = """
+SELECT source_table, target_table FROM lineage_edge WHERE id % 7 <> 0"""
+
 VIEWS["meta_column_old"] = """
 SELECT p_brand AS table_name,
   concat(CASE p_size % 4 WHEN 0 THEN 'order_' WHEN 1 THEN 'tmp_' WHEN 2 THEN 'dim_' ELSE 'x' END, CAST(p_partkey AS STRING)) AS column_name,
@@ -281,6 +287,19 @@ SELECT o_orderkey AS id, CASE o_orderkey % 5
    WHEN 3 THEN concat('UPDATE dw.t', CAST(o_custkey % 9 AS STRING), ' SET a = 1')
    ELSE 'not a statement' END AS sql_text, o_orderdate AS executed_at FROM orders"""
 
+VIEWS["script_log"] = """
+SELECT id, concat(sql_text, '; -- done; really', chr(10), ' /* a;b */ DELETE FROM x.y WHERE k = "q;r";;') AS script FROM statement_log"""
+
+VIEWS["graph_node"] = """
+SELECT l_suppkey % 200 AS graph_id, l_partkey % 50 AS node_id, COUNT(*) AS n FROM lineitem GROUP BY 1, 2"""
+
+VIEWS["graph_edge"] = """
+SELECT DISTINCT l_suppkey % 200 AS graph_id, l_partkey % 50 AS source, (l_partkey % 50) * 2 + l_linenumber % 3 AS target
+FROM lineitem WHERE l_partkey % 50 > 0 OR l_linenumber % 3 > 0"""
+
+VIEWS["python_step"] = """
+SELECT event_id AS id, concat('out_', CAST(user_id % 9 AS STRING)) AS first_output, concat('`tmp`') AS second_output FROM events"""
+
 _NAME = re.compile(r"\b(" + "|".join((*VIEWS, *TABLES)) + r")\b")
 
 
