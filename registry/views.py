@@ -191,6 +191,30 @@ SELECT event_id AS seq, concat('cdc-events-', CAST(user_id % 10 AS STRING)) AS t
    CASE WHEN event_id % 4 = 0 THEN '' ELSE concat(',"ts_ms":', CAST(1704067200000 + event_id * 1000 AS STRING)) END, '}') AS value
   FROM events"""
 
+VIEWS["cdc_base"] = """
+SELECT c_custkey AS user_id, CAST(ROUND(c_acctbal * 100) AS BIGINT) AS cents FROM customer"""
+
+VIEWS["cdc_route"] = """
+SELECT concat('t', CAST(n_regionkey AS STRING)) AS source_table, concat('lake.r', CAST(n_regionkey AS STRING)) AS sink_table,
+  COUNT(*) AS n FROM nation WHERE n_regionkey <> 1 GROUP BY n_regionkey"""
+
+VIEWS["subscription"] = """
+SELECT c_custkey % 12 AS pipeline_id, c_nationkey AS key_id, COUNT(*) AS n FROM customer GROUP BY 1, 2"""
+
+VIEWS["push_event"] = """
+SELECT event_id AS id, user_id % 4 AS pipeline_id, user_id AS key_id, ts, CAST(FLOOR(value * 7) AS BIGINT) AS latency_ms,
+  event_type <> 'error' AS ok FROM events"""
+
+VIEWS["subtask_metric"] = """
+SELECT l_suppkey % 10 AS pipeline_id, l_shipdate AS sampled_at, l_linenumber AS subtask,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'Source: db' WHEN l_linenumber % 3 = 1 THEN 'Sink: lake' ELSE 'Source: db -> Sink: lake' END AS vertex,
+  CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 AND l_quantity < 6 THEN NULL ELSE CAST(l_quantity AS BIGINT) END AS records_out,
+  CASE WHEN l_returnflag = 'A' AND l_linenumber = 2 AND l_quantity < 6 THEN NULL ELSE CAST(l_quantity * 2 AS BIGINT) END AS records_per_second,
+  CAST(FLOOR(l_extendedprice) AS BIGINT) - 5000 AS lag_ms FROM lineitem"""
+
+VIEWS["key_limit"] = """
+SELECT user_id AS key_id, CAST(user_id % 4 AS INT) AS qps_limit, COUNT(*) AS n FROM events GROUP BY user_id"""
+
 VIEWS["metric_sample"] = """
 SELECT user_id % 10 AS pipeline_id, ts AS sampled_at,
   CASE WHEN event_type = 'error' THEN -1 ELSE CAST(FLOOR(value) AS BIGINT) END AS lag_seconds,
@@ -336,6 +360,16 @@ class Lake:
         return self.spark.sql(holes, **{name: self(name) for name in names})
 
 
+class StreamLake(Lake):
+    """The same tables and views over file streams."""
+
+    def _build(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            return super()._build(name)
+        static = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+
+
 def needed_views(text: str) -> list[str]:
     """The views a text needs, dependencies first."""
     order: list[str] = []
