@@ -18,24 +18,26 @@ GRADE_POINTS = {"PASS": 100, "WARNING": 60, "SEVERE": 20}
 RANGES = {"24h": (1, "hour"), "7d": (7, "day"), "30d": (30, "day")}
 ZOMBIE_DAYS = 7
 
-status = F.col("status_code")
-
 
 def stats_range(name: str | None) -> tuple[int, str]:
     """``(days back, bucket unit)`` of a named range; anything unknown means the last 24 hours."""
     return RANGES.get(name or "24h", RANGES["24h"])
 
 
+def _status() -> Column:
+    return F.col("status_code")
+
+
 def _is_success() -> Column:
-    return (status >= SUCCESS_FROM) & (status < SUCCESS_TO)
+    return (_status() >= SUCCESS_FROM) & (_status() < SUCCESS_TO)
 
 
 def _is_failed() -> Column:
-    return status >= FAILED_FROM
+    return _status() >= FAILED_FROM
 
 
 def _is_limited() -> Column:
-    return status == LIMITED
+    return _status() == LIMITED
 
 
 def _p95() -> Column:
@@ -169,7 +171,7 @@ def counts_by(df: DataFrame, key: str, ids: DataFrame | None = None, since=None,
 
 
 def status_classes(log: DataFrame, since, api_id=None) -> DataFrame:
-    between = lambda lo, hi: count_when((status >= lo) & (status < hi))
+    between = lambda lo, hi: count_when((_status() >= lo) & (_status() < hi))
     return _recent(log, since, api_id).agg(
         between(200, 300).alias("ok_2xx"), between(400, 500).alias("client_4xx"), between(500, 600).alias("server_5xx"))
 

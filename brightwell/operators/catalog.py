@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brightwell.functions.values import ago, count_when, escaped_contains, ntz
 from brightwell.operators.runs import latest_by
+from brightwell.plans.bounded import small
 
 # Search scores, caps and look-back periods.
 SCORES = {"table_name": 100, "prefix_bonus": 20, "comment": 60, "column": 40, "tag": 40, "owner": 20}
@@ -54,7 +55,7 @@ def search(tables: DataFrame, columns: DataFrame, tags: DataFrame, table_tags: D
     if word is None:
         return tables.select(*shown, F.lit(0).alias("score")).limit(0)
     flag = lambda ids, name: ids.withColumn(name, F.lit(True))
-    tagged = table_tags.join(tags.filter(escaped_contains(F.col("tag_name"), word)), "tag_id", "left_semi").select(
+    tagged = table_tags.join(small(tags.filter(escaped_contains(F.col("tag_name"), word))), "tag_id", "left_semi").select(
         "table_id").distinct()
     people = owners.filter(escaped_contains(F.col("user_name"), word)).select(
         F.col("user_id").alias("owner_user_id")).distinct()
@@ -63,7 +64,7 @@ def search(tables: DataFrame, columns: DataFrame, tags: DataFrame, table_tags: D
         *shown, "owner_user_id", escaped_contains(F.col("table_name"), word).alias("in_name"),
         name.startswith(lower).alias("leads"), _mentions(tables, word, "table_comment", "manual_comment").alias("in_comment"),
     ).join(flag(column_hits(columns, word), "in_column"), "table_id", "left").join(
-        flag(tagged, "in_tag"), "table_id", "left").join(flag(people, "in_owner"), "owner_user_id", "left")
+        flag(tagged, "in_tag"), "table_id", "left").join(small(flag(people, "in_owner")), "owner_user_id", "left")
     score = (F.when(F.col("in_name"), F.when(F.col("leads"), SCORES["table_name"] + SCORES["prefix_bonus"]).otherwise(
         SCORES["table_name"])).when(F.col("in_comment"), SCORES["comment"]).when(F.col("in_column"), SCORES["column"])
         .when(F.col("in_tag"), SCORES["tag"]).when(F.col("in_owner"), SCORES["owner"]))
@@ -148,7 +149,7 @@ def tag_cloud(tags: DataFrame, table_tags: DataFrame) -> DataFrame:
 
 def tags_by_table(tags: DataFrame, table_tags: DataFrame) -> DataFrame:
     """Sorted tag names per table; a set, so its length is bounded by the tag list."""
-    return table_tags.join(tags, "tag_id").groupBy("table_id").agg(
+    return table_tags.join(small(tags), "tag_id").groupBy("table_id").agg(
         F.sort_array(F.collect_set("tag_name")).alias("tags"))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightwell.functions.values import ago, count_when, half_open, ntz
+from brightwell.plans.bounded import small
 from brightwell.plans.two_level import previous_value, streaks
 
 # Event shape, operation names, topic prefix, thresholds and windows.
@@ -194,9 +195,9 @@ def subscriber_counts(events: DataFrame, as_of, ts: str = "ts") -> DataFrame:
 
 def route_events(events: DataFrame, grants: DataFrame) -> DataFrame:
     """One row per event and subscriber granted its pipeline; events without a subscriber are dropped."""
-    return events.join(grants.select("pipeline_id", "key_id").distinct(), "pipeline_id")
+    return events.join(small(grants.select("pipeline_id", "key_id").distinct()), "pipeline_id")
 
 
 def route_tables(events: DataFrame, mapping: DataFrame) -> DataFrame:
     """Events with their sink table; tables outside the mapping are dropped."""
-    return events.join(mapping.select(F.col("source_table").alias("table"), "sink_table").distinct(), "table")
+    return events.join(small(mapping.select(F.col("source_table").alias("table"), "sink_table").distinct()), "table")

@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from brightwell.functions.values import count_when
+from brightwell.plans.bounded import known
 from brightwell.plans.lineage_cut import cut_lineage
 
-# Walk depths, and the largest frontier that is sent to every executor.
+# Walk depths.
 DEFAULT_DEPTH, MAX_DEPTH, MAX_COLUMN_DEPTH = 1, 10, 20
-BROADCAST_NODES = 100_000
 
 
 def clamp_depth(depth: int | None) -> int:
@@ -35,11 +35,6 @@ def column_links(lineage: DataFrame) -> DataFrame:
         F.min("lineage_type").alias("lineage_type"))
 
 
-def _sized(frontier: DataFrame, count: int) -> DataFrame:
-    """A frontier counted to be small goes to every executor; a large one is shuffled like any other side."""
-    return F.broadcast(frontier) if count <= BROADCAST_NODES else frontier
-
-
 def _step(frontier: DataFrame, edges: DataFrame, here: Sequence[str], there: Sequence[str],
           node: Sequence[str]) -> DataFrame:
     """Nodes one edge away from the frontier."""
@@ -55,19 +50,19 @@ def walk(edges: DataFrame, start: Sequence[str], source: Sequence[str], target:
     """
     spark = edges.sparkSession
     edges = cut_lineage(edges)
-    known = [F.col(n).isNotNull() for n in node]
+    complete = [F.col(n).isNotNull() for n in node]
     seen = spark.createDataFrame([tuple(start)], ", ".join(f"{n} string" for n in node)).withColumn("level", F.lit(0))
     frontier, size = seen.select(*node), 1
     touched = []
     for level in range(1, depth + 1):
-        side = _sized(frontier, size)
+        side = known(frontier, size)
         steps = []
         if direction in ("DOWN", "BOTH"):
             steps.append(_step(side, edges, source, target, node))
         if direction in ("UP", "BOTH"):
             steps.append(_step(side, edges, target, source, node))
         reached = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
-        for condition in known:
+        for condition in complete:
             reached = reached.filter(condition)
         fresh = cut_lineage(reached.distinct().join(seen.select(*node), list(node), "left_anti"))
         touched.append((frontier, size))
@@ -79,7 +74,7 @@ def walk(edges: DataFrame, start: Sequence[str], source: Sequence[str], target:
     expanded = touched[0][0]
     for frame, _ in touched[1:]:
         expanded = expanded.unionByName(frame)
-    expanded = _sized(expanded, sum(count for _, count in touched))
+    expanded = known(expanded, sum(count for _, count in touched))
     ends = lambda cols: edges.join(
         expanded.select(*[F.col(n).alias(c) for n, c in zip(node, cols)]), list(cols), "left_semi")
     if direction == "DOWN":

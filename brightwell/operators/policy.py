@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brightwell.plans.bounded import small
+
 # Sensitivity levels from open to closed.
 LEVELS = ("PUBLIC", "INTERNAL", "CONFIDENTIAL")
 
@@ -27,7 +29,7 @@ def apply_grants(tables: DataFrame, grants: DataFrame | None) -> DataFrame:
         return tables
     db, table = F.col("database_name"), F.col("table_name")
     keys = ["datasource_id", "database_name", "table_name"]
-    flag = lambda df, cols, name: df.select(*cols).distinct().withColumn(name, F.lit(True))
+    flag = lambda df, cols, name: small(df.select(*cols).distinct().withColumn(name, F.lit(True)))
     by_source = flag(grants.filter(db.isNull() & table.isNull()), keys[:1], "g1")
     by_database = flag(grants.filter(db.isNotNull() & table.isNull()), keys[:2], "g2")
     by_table = flag(grants.filter(table.isNotNull()), keys, "g3")
@@ -41,8 +43,8 @@ def accessible_databases(databases: DataFrame, grants: DataFrame | None) -> Data
         return databases
     db = F.col("database_name")
     keys = ["datasource_id", "database_name"]
-    whole = grants.filter(db.isNull()).select("datasource_id").distinct().withColumn("g1", F.lit(True))
-    single = grants.filter(db.isNotNull()).select(*keys).distinct().withColumn("g2", F.lit(True))
+    whole = small(grants.filter(db.isNull()).select("datasource_id").distinct().withColumn("g1", F.lit(True)))
+    single = small(grants.filter(db.isNotNull()).select(*keys).distinct().withColumn("g2", F.lit(True)))
     joined = databases.join(whole, "datasource_id", "left").join(single, keys, "left")
     return joined.filter(F.coalesce("g1", "g2")).select(*databases.columns)
 
@@ -72,7 +74,7 @@ def confidential_hits(statement_tables: DataFrame, tables: DataFrame) -> DataFra
     named = statement_tables.select("id", F.lower(bare).alias("bare_name")).distinct()
     closed = _strictest(tables.withColumn("bare_name", F.lower("table_name")), "bare_name").filter(
         F.col("sensitivity_level") == "CONFIDENTIAL")
-    hits = named.join(closed.select("bare_name"), "bare_name")
+    hits = named.join(small(closed.select("bare_name")), "bare_name")
     return hits.groupBy("id").agg(F.count("*").alias("confidential_tables"), F.min("bare_name").alias("first_table"))
 
 

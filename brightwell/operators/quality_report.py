@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightwell.functions.values import ago, count_when, ntz, percent
+from brightwell.plans.bounded import small
 
 EXPORT_CAP = 5000  # fixed value: rows in an exported issue list
 DEFAULT_DAYS = 30
@@ -41,7 +42,7 @@ def scoped_details(details: DataFrame, scope: Scope, tables: DataFrame, batches:
     rows = details.filter(scope.within(F.col("created_at")))
     inside = _tables_in(scope, tables)
     if inside is not None:
-        rows = rows.join(inside.select("table_id"), "table_id", "left_semi")
+        rows = rows.join(small(inside.select("table_id")), "table_id", "left_semi")
     if scope.job_id is not None and batches is not None:
         rows = rows.join(batches.filter(F.col("job_id") == scope.job_id).select("batch_id"), "batch_id", "left_semi")
     return rows
@@ -99,7 +100,8 @@ def score_by_datasource(scores: DataFrame, online: DataFrame) -> DataFrame:
 
 
 def score_trend(history: DataFrame, scope: Scope, online: DataFrame) -> DataFrame:
-    rows = history.filter(scope.within(F.col("checked_at"))).join(online.select("table_id"), "table_id", "left_semi")
+    rows = history.filter(scope.within(F.col("checked_at"))).join(
+        small(online.select("table_id")), "table_id", "left_semi")
     return rows.groupBy(F.to_date("checked_at").alias("day")).agg(
         _mean("score").alias("avg_score"), F.count_distinct("table_id").alias("tables"))
 
@@ -116,8 +118,8 @@ def issues(details: DataFrame, tables: DataFrame, rules: DataFrame) -> DataFrame
         F.col("id").alias("detail_id"), "table_id", "rule_id", "result_value", "result_level",
         F.col("created_at").alias("checked_at"))
     limit = F.when(lvl == "SEVERE", F.col("severe_threshold")).otherwise(F.col("warning_threshold"))
-    return found.join(tables.select("table_id", "table_name"), "table_id", "left").join(
-        rules.select("rule_id", "rule_name", "warning_threshold", "severe_threshold"), "rule_id", "left").select(
+    return found.join(small(tables.select("table_id", "table_name")), "table_id", "left").join(
+        small(rules.select("rule_id", "rule_name", "warning_threshold", "severe_threshold")), "rule_id", "left").select(
         "detail_id", "table_id", "table_name", "rule_id", "rule_name", "result_value", limit.alias("threshold"),
         "result_level", "checked_at")
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from brightwell.plans.bounded import small
 from brightwell.plans.carried_scan import carried_scan
 
 # Windows, thresholds and waits of the live rules.
@@ -62,7 +63,7 @@ def rate_limit_replay(log: DataFrame, limits: DataFrame, window_s: int = RATE_WI
     Keys without a positive limit admit everything and never reach Python.
     """
     bounds = limits.select(key, F.col("qps_limit").cast("int").alias("qps_limit"))
-    joined = log.join(bounds, key, "left").withColumn("qps_limit", F.coalesce("qps_limit", F.lit(0)))
+    joined = log.join(small(bounds), key, "left").withColumn("qps_limit", F.coalesce("qps_limit", F.lit(0)))
     free = joined.filter(F.col("qps_limit") <= 0).withColumn("admitted", F.lit(True))
     step, settle = window_step(window_s * 1_000_000, "admitted", "qps_limit")
     bound = carried_scan(joined.filter(F.col("qps_limit") > 0), [key], "created_at", "id", step, settle,

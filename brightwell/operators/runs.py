@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightwell.functions.values import ago, count_when, half_open, interval, ntz, percent
+from brightwell.plans.bounded import small
 
 # Statuses and default limits.
 STATUSES = ("RUNNING", "SUCCESS", "FAILED", "TERMINATED")
@@ -21,7 +22,14 @@ QUEUE_CAPACITY = 10
 RECONCILE_HOURS, RECONCILE_MARGIN_MINUTES, BATCH_TOLERANCE_MINUTES = 2, 5, 1
 RETRY_INTERVAL_MINUTES = 5
 
-start, state = F.col("start_time"), F.col("status")
+
+
+def _start() -> Column:
+    return F.col("start_time")
+
+
+def _state() -> Column:
+    return F.col("status")
 
 
 def status_counts(df: DataFrame, values: Sequence[str] = STATUSES, col: str = "status", ts: str | None = None,
@@ -41,13 +49,13 @@ def flag_counts(df: DataFrame, flag: str = "enabled") -> DataFrame:
 
 
 def _daily() -> list[Column]:
-    return [F.count("*").alias("total"), count_when(state == "SUCCESS").alias("success"),
-            count_when(state == "FAILED").alias("failed")]
+    return [F.count("*").alias("total"), count_when(_state() == "SUCCESS").alias("success"),
+            count_when(_state() == "FAILED").alias("failed")]
 
 
 def daily_runs(history: DataFrame, since) -> DataFrame:
     """Runs per calendar day. Grouping is on the date, so equal days of different years stay apart."""
-    return history.filter(start >= ntz(since)).groupBy(F.to_date("start_time").alias("day")).agg(*_daily())
+    return history.filter(_start() >= ntz(since)).groupBy(F.to_date("start_time").alias("day")).agg(*_daily())
 
 
 def run_trend(history: DataFrame, as_of, days: int = 14) -> DataFrame:
@@ -63,10 +71,10 @@ def run_trend(history: DataFrame, as_of, days: int = 14) -> DataFrame:
 def success_rate_delta(history: DataFrame, as_of, days: int = 7) -> DataFrame:
     """Success share of finished runs now and in the period before; null without samples. Ranges are half-open."""
     edge, first = ago(as_of, days=days), ago(as_of, days=2 * days)
-    current = start >= edge
-    counts = history.filter(half_open(start, first, as_of)).agg(
-        count_when(current & (state == "SUCCESS")).alias("s1"), count_when(current & (state == "FAILED")).alias("f1"),
-        count_when(~current & (state == "SUCCESS")).alias("s0"), count_when(~current & (state == "FAILED")).alias("f0"))
+    current = _start() >= edge
+    counts = history.filter(half_open(_start(), first, as_of)).agg(
+        count_when(current & (_state() == "SUCCESS")).alias("s1"), count_when(current & (_state() == "FAILED")).alias("f1"),
+        count_when(~current & (_state() == "SUCCESS")).alias("s0"), count_when(~current & (_state() == "FAILED")).alias("f0"))
     rates = counts.select(percent(F.col("s1"), F.col("s1") + F.col("f1"), 1).alias("rate"),
                           percent(F.col("s0"), F.col("s0") + F.col("f0"), 1).alias("previous_rate"))
     return rates.withColumn("delta", F.col("rate") - F.col("previous_rate"))
@@ -74,12 +82,12 @@ def success_rate_delta(history: DataFrame, as_of, days: int = 7) -> DataFrame:
 
 def today_vs_yesterday(history: DataFrame, as_of) -> DataFrame:
     midnight = F.date_trunc("day", ntz(as_of)).cast("timestamp_ntz")
-    today = start >= midnight
-    return history.filter(half_open(start, midnight - interval(days=1), midnight + interval(days=1))).agg(
+    today = _start() >= midnight
+    return history.filter(half_open(_start(), midnight - interval(days=1), midnight + interval(days=1))).agg(
         count_when(today).alias("today"), count_when(~today).alias("yesterday"),
         (count_when(today) - count_when(~today)).alias("delta"),
-        count_when(today & (state == "SUCCESS")).alias("today_success"),
-        count_when(today & (state == "FAILED")).alias("today_failed"))
+        count_when(today & (_state() == "SUCCESS")).alias("today_success"),
+        count_when(today & (_state() == "FAILED")).alias("today_failed"))
 
 
 def unresolved_failures(history: DataFrame, as_of, days: int = 7) -> DataFrame:
@@ -90,15 +98,15 @@ def unresolved_failures(history: DataFrame, as_of, days: int = 7) -> DataFrame:
     those after the latest success are the unresolved ones, kept by collecting only distinct start times of one hour
     with their counts.
     """
-    recent = history.filter(start >= ago(as_of, days=days))
-    failed, last_hour = state == "FAILED", start > ago(as_of, hours=1)
+    recent = history.filter(_start() >= ago(as_of, days=days))
+    failed, last_hour = _state() == "FAILED", _start() > ago(as_of, hours=1)
     keys = ["kind", "task_id"]
     # Pre-aggregated on the start time, so a hot task reaches the second step as one row per distinct moment.
     moments = recent.filter(failed & last_hour).groupBy(*keys, "start_time").agg(F.count("*").alias("n"))
     tasks = recent.groupBy(*keys).agg(
-        F.max(F.when(failed, start)).alias("last_failure"), F.max(F.when(state == "SUCCESS", start)).alias("last_ok"))
+        F.max(F.when(failed, _start())).alias("last_failure"), F.max(F.when(_state() == "SUCCESS", _start())).alias("last_ok"))
     late = moments.join(tasks.select(*keys, "last_ok"), keys).filter(
-        F.col("last_ok").isNull() | (F.col("last_ok") <= start))
+        F.col("last_ok").isNull() | (F.col("last_ok") <= _start()))
     late_counts = late.groupBy(*keys).agg(F.sum("n").alias("failed_last_hour"))
     open_tasks = tasks.filter(F.col("last_failure").isNotNull() & (
         F.col("last_ok").isNull() | (F.col("last_ok") <= F.col("last_failure"))))
@@ -113,7 +121,7 @@ def unresolved_summary(history: DataFrame, as_of, days: int = 7) -> DataFrame:
 
 
 def top_failures(history: DataFrame, as_of, days: int = 14, n: int = 5) -> DataFrame:
-    return history.filter((state == "FAILED") & half_open(start, ago(as_of, days=days), as_of)).groupBy(
+    return history.filter((_state() == "FAILED") & half_open(_start(), ago(as_of, days=days), as_of)).groupBy(
         "kind", "task_id").agg(
         F.count("*").alias("fail_count"), F.max(F.coalesce("end_time", "start_time")).alias("last_failed_at")
     ).orderBy(F.desc("fail_count"), F.desc("last_failed_at"), "kind", "task_id").limit(n)
@@ -133,34 +141,35 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
 
 
 def latest_run_per_task(history: DataFrame) -> DataFrame:
-    return latest_by(history, ["kind", "task_id"], [start, F.col("id")])
+    return latest_by(history, ["kind", "task_id"], [_start(), F.col("id")])
 
 
 def timeout_scan(runs: DataFrame, tasks: DataFrame, as_of, default_minutes: int = DEFAULT_TIMEOUT_MINUTES) -> DataFrame:
     limit = F.coalesce(F.col("timeout_minutes"), F.lit(default_minutes))
-    joined = runs.filter(state == "RUNNING").join(tasks.select("task_id", "timeout_minutes"), "task_id", "left")
-    return joined.filter(start < ntz(as_of) - F.make_dt_interval(mins=limit)).select(
+    joined = runs.filter(_state() == "RUNNING").join(
+        small(tasks.select("task_id", "timeout_minutes")), "task_id", "left")
+    return joined.filter(_start() < ntz(as_of) - F.make_dt_interval(mins=limit)).select(
         "id", "kind", "task_id", "start_time", limit.alias("limit_minutes"))
 
 
 def reap_stuck(runs: DataFrame, as_of, minutes: int = STUCK_MINUTES) -> DataFrame:
     """Runs left RUNNING too long become FAILED as of now; a missing duration is filled."""
-    stuck = (state == "RUNNING") & (start < ago(as_of, mins=minutes))
+    stuck = (_state() == "RUNNING") & (_start() < ago(as_of, mins=minutes))
     return _expire(runs, stuck, as_of, "stuck run closed")
 
 
 def expire_waiting(runs: DataFrame, as_of, minutes: int) -> DataFrame:
-    return _expire(runs, (state == "WAITING") & (start < ago(as_of, mins=minutes)), as_of, "waiting timed out")
+    return _expire(runs, (_state() == "WAITING") & (_start() < ago(as_of, mins=minutes)), as_of, "waiting timed out")
 
 
 def _expire(runs: DataFrame, late: Column, as_of, message: str) -> DataFrame:
-    elapsed = F.timestamp_diff("MILLISECOND", start, ntz(as_of))
+    elapsed = F.timestamp_diff("MILLISECOND", _start(), ntz(as_of))
     duration = F.col("duration_ms") if "duration_ms" in runs.columns else F.lit(None).cast("bigint")
     return runs.withColumns({
         "duration_ms": F.when(late, F.coalesce(duration, elapsed)).otherwise(duration),
         "end_time": F.when(late, ntz(as_of)).otherwise(F.col("end_time")),
         "error": F.when(late, message),
-        "status": F.when(late, "FAILED").otherwise(state),
+        "status": F.when(late, "FAILED").otherwise(_state()),
     })
 
 
@@ -174,7 +183,7 @@ def missed_triggers(nodes: DataFrame, bindings: DataFrame, batches: DataFrame, a
     """
     window = half_open(F.col("run_start"), ago(as_of, hours=hours),
                        ago(as_of, mins=RECONCILE_MARGIN_MINUTES))
-    ended = nodes.filter((state == "SUCCESS") & window & F.col("end_time").isNotNull()).groupBy("node_id").agg(
+    ended = nodes.filter((_state() == "SUCCESS") & window & F.col("end_time").isNotNull()).groupBy("node_id").agg(
         F.max("end_time").alias("end_time"))
     newest = batches.filter(F.col("trigger_type") == "AUTO_TRIGGER").groupBy("job_id").agg(
         F.max("created_at").alias("newest_batch"))
@@ -198,7 +207,7 @@ def admit(waiting: DataFrame, running: DataFrame, queues: DataFrame) -> DataFram
         "queue_id", (F.col("capacity") - F.coalesce("used", F.lit(0))).alias("slots"))
     order = Window.partitionBy("queue_id").orderBy(F.desc("priority"), F.asc("start_time"), F.asc("id"))
     ranked = waiting.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= int(widest))
-    return ranked.join(slots, "queue_id").filter(F.col("position") <= F.col("slots")).drop("slots")
+    return ranked.join(small(slots), "queue_id").filter(F.col("position") <= F.col("slots")).drop("slots")
 
 
 def run_page(runs: DataFrame, owners: DataFrame, nodes: DataFrame, owner_like: str | None = None,
@@ -212,15 +221,15 @@ def run_page(runs: DataFrame, owners: DataFrame, nodes: DataFrame, owner_like: s
 
     rows = runs
     if statuses:
-        rows = rows.filter(state == statuses)
+        rows = rows.filter(_state() == statuses)
     if trigger:
         rows = rows.filter(F.col("trigger_type") == trigger)
     if t_from is not None or t_to is not None:
-        rows = rows.filter(half_open(start, t_from, t_to))
+        rows = rows.filter(half_open(_start(), t_from, t_to))
     names = owners.select("task_id", "task_name")
     if owner_like:
         names = names.filter(escaped_contains(F.col("task_name"), owner_like))
-    rows = rows.join(names, "task_id", "inner" if owner_like else "left")
+    rows = rows.join(small(names), "task_id", "inner" if owner_like else "left")
     paged = rows.orderBy(F.desc("start_time"), F.desc("id")).offset(max(page - 1, 0) * size).limit(size)
     on_page = nodes.join(F.broadcast(paged.select(F.col("id").alias("run_id"))), "run_id", "left_semi")  # <= size rows
     counts = on_page.groupBy("run_id").agg(
@@ -232,8 +241,8 @@ def run_page(runs: DataFrame, owners: DataFrame, nodes: DataFrame, owner_like: s
 
 
 def queue_load(queues: DataFrame, runs: DataFrame, owners: DataFrame) -> DataFrame:
-    load = runs.filter(state.isin("RUNNING", "WAITING")).groupBy("queue_id").agg(
-        count_when(state == "RUNNING").alias("running"), count_when(state == "WAITING").alias("waiting"))
+    load = runs.filter(_state().isin("RUNNING", "WAITING")).groupBy("queue_id").agg(
+        count_when(_state() == "RUNNING").alias("running"), count_when(_state() == "WAITING").alias("waiting"))
     bound = owners.groupBy("queue_id").agg(F.count("*").alias("owners"))
     return queues.select("queue_id").join(load, "queue_id", "left").join(bound, "queue_id", "left").select(
         "queue_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("running", "waiting", "owners")])
@@ -241,9 +250,10 @@ def queue_load(queues: DataFrame, runs: DataFrame, owners: DataFrame) -> DataFra
 
 def due_retries(history: DataFrame, jobs: DataFrame, as_of, minutes: int = RETRY_INTERVAL_MINUTES) -> DataFrame:
     """Failed runs whose retry is due and whose job still has attempts left, with the next attempt scheduled."""
-    due = history.filter((state == "FAILED") & (F.col("next_retry_at") <= ntz(as_of)))
+    due = history.filter((_state() == "FAILED") & (F.col("next_retry_at") <= ntz(as_of)))
     left = F.col("max_retries") - F.col("retry_count")
-    return due.join(jobs.filter("enabled").select("job_id", "max_retries", "retry_interval_minutes"), "job_id").filter(
+    return due.join(
+        small(jobs.filter("enabled").select("job_id", "max_retries", "retry_interval_minutes")), "job_id").filter(
         left > 0).select(
         "id", "job_id", F.col("id").alias("parent_history_id"), (F.col("retry_count") + 1).alias("attempt"),
         (left - 1).alias("remaining"),

@@ -17,32 +17,14 @@ only in expired parts count as equal. States are short texts.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from brightwell.plans.chunks import TARGET_ROWS, split_by_density
 from brightwell.plans.lineage_cut import cut_lineage
 
-TARGET_ROWS = 2_000_000
-WIDTHS = (2_592_000, 86_400, 3_600, 600, 60)
-BROADCAST_KEYS = 100_000
-
-
-def chunk_widths(rows: DataFrame, keys: Sequence[str], target_rows: int) -> DataFrame:
-    """Seconds per chunk for every key of ``rows``: the widest whose fullest chunk stays within ``target_rows``.
-
-    ``rows`` carries ``at_us``. Counting is pre-aggregated by minute, then rolled up to each width.
-    """
-    keys = list(keys)
-    minute = F.floor(F.col("at_us") / 60_000_000).alias("m")
-    per_minute = rows.groupBy(*keys, minute).agg(F.count("*").alias("n"))
-    widths = F.explode(F.array(*[F.lit(w) for w in WIDTHS])).alias("w")
-    filled = per_minute.select(*keys, "m", "n", widths).groupBy(
-        *keys, "w", F.floor(F.col("m") * 60 / F.col("w")).alias("c")).agg(F.sum("n").alias("n")).groupBy(*keys, "w").agg(
-        F.max("n").alias("n"))
-    fits = F.max(F.when(F.col("n") <= target_rows, F.col("w")))
-    finest = F.max(F.when(F.col("w") == WIDTHS[-1], F.greatest(F.lit(1), F.floor(WIDTHS[-1] * target_rows / F.col("n")))))
-    return filled.groupBy(*keys).agg(F.coalesce(fits, finest).cast("bigint").alias("chunk_seconds"))
 
 
 def carried_scan(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step: Callable, settle: Callable,
@@ -53,34 +35,22 @@ def carried_scan(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step
     ``seconds`` sets one chunk width for all keys and skips the counting.
     """
     keys = list(keys)
-    timed = rows.withColumn("at_us", F.unix_micros(F.col(ts).cast("timestamp")))
     result = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(output).fields])
-    if seconds is not None:
-        chunked = timed.withColumn("chunk_seconds", F.lit(seconds).cast("bigint"))
-        return _chunked_scan(chunked, keys, order, step, settle, result, initial)
-    large = cut_lineage(timed.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > target_rows).select(*keys))
-    count = large.count()
-    sized = F.broadcast(large) if count <= BROADCAST_KEYS else large
-    small = timed if count == 0 else timed.join(sized, keys, "left_anti")
+    quiet, dense = split_by_density(rows, keys, ts, seconds, target_rows)
 
     def whole(frame: pd.DataFrame) -> pd.DataFrame:
         _, out = step(initial, frame.sort_values(["at_us", order], kind="stable", ignore_index=True))
         return out[result.names]
 
-    scanned = small.groupBy(*keys).applyInPandas(whole, result)
-    if count == 0:
-        return scanned
-    dense = timed.join(sized, keys, "left_semi")
-    widths = cut_lineage(chunk_widths(dense, keys, target_rows))
-    dense = dense.join(F.broadcast(widths) if count <= BROADCAST_KEYS else widths, keys)
-    return scanned.unionByName(_chunked_scan(dense, keys, order, step, settle, result, initial))
+    parts = [] if quiet is None else [quiet.groupBy(*keys).applyInPandas(whole, result)]
+    if dense is not None:
+        parts.append(_chunked_scan(dense, keys, order, step, settle, result, initial))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _chunked_scan(rows: DataFrame, keys: list[str], order: str, step: Callable, settle: Callable,
+def _chunked_scan(chunked: DataFrame, keys: list[str], order: str, step: Callable, settle: Callable,
                   result_type: T.StructType, initial: str) -> DataFrame:
-    """The chunked form over rows that carry ``at_us`` and ``chunk_seconds``."""
-    chunked = rows.withColumn("chunk", F.floor(F.col("at_us") / (F.col("chunk_seconds") * 1_000_000)).cast("bigint")).drop(
-        "chunk_seconds")
+    """The chunked form over rows that carry ``at_us`` and ``chunk``."""
     group = [*keys, "chunk"]
     base = T.StructType([chunked.schema[c] for c in group])
     summary_type = T.StructType([*base.fields, T.StructField("first_us", T.LongType()),

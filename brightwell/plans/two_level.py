@@ -1,56 +1,71 @@
 """Look-back windows over keys that may hold a large share of all rows.
 
-A window partitioned by the key alone would sort a hot key in one task. These helpers work per key and time bucket,
-summarise each bucket in one row, carry values across the summaries, and hand them to the rows by an equi-join on key
-and bucket. All steps stay in the JVM.
+A window partitioned by the key alone would sort a hot key in one task. Keys that fit a task use that plain window.
+Larger ones are windowed per key and time chunk, each chunk is summarised in one row, values are carried across the
+summaries and handed to the rows by an equi-join on key and chunk. All steps stay in the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET = "1 hour"
-
-
-def _bucketed(rows: DataFrame, ts: str, bucket: str) -> DataFrame:
-    seconds = {"minute": 60, "hour": 3600, "day": 86400}[bucket.split()[1].rstrip("s")] * int(bucket.split()[0])
-    return rows.withColumn("time_bucket", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds))
+from brightwell.plans.chunks import TARGET_ROWS, split_by_density
 
 
 def previous_value(rows: DataFrame, keys: Sequence[str], ts: str, order: str, value: Column, name: str,
-                   bucket: str = BUCKET) -> DataFrame:
+                   seconds: int | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
     """``value`` of the row before, per key in the order of ``ts`` and ``order``; null on the first row."""
     keys = list(keys)
-    cells = [*keys, "time_bucket"]
-    marked = _bucketed(rows, ts, bucket).withColumn("current_value", value)
+    quiet, dense = split_by_density(rows, keys, ts, seconds, target_rows)
+    parts = []
+    if quiet is not None:
+        along = Window.partitionBy(*keys).orderBy(ts, order)
+        parts.append(quiet.select(*rows.columns, F.lag(value).over(along).alias(name)))
+    if dense is not None:
+        cells = [*keys, "chunk"]
+        marked = dense.withColumn("current_value", value)
+        inside = Window.partitionBy(*cells).orderBy(ts, order)
+        near = marked.withColumns({"nearby": F.lag("current_value").over(inside),
+                                   "leads": F.row_number().over(inside) == 1})
+        last = marked.groupBy(*cells).agg(F.max_by("current_value", F.struct(ts, order)).alias("last_value"))
+        carried = last.select(*cells, F.lag("last_value").over(Window.partitionBy(*keys).orderBy("chunk")).alias("carried"))
+        picked = F.when(F.col("leads"), F.col("carried")).otherwise(F.col("nearby"))
+        parts.append(near.join(carried, cells).select(*rows.columns, picked.alias(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _spells(rows: DataFrame, cells: list[str], ts: str, order: str) -> DataFrame:
+    """Position of each row in its cell and the position of the last row up to it that broke the run."""
     inside = Window.partitionBy(*cells).orderBy(ts, order)
-    near = marked.withColumns({"nearby": F.lag("current_value").over(inside), "leads": F.row_number().over(inside) == 1})
-    last = marked.groupBy(*cells).agg(F.max_by("current_value", F.struct(ts, order)).alias("last_value"))
-    carried = last.withColumn("carried", F.lag("last_value").over(Window.partitionBy(*keys).orderBy("time_bucket")))
-    joined = near.join(carried.select(*cells, "carried"), cells)
-    return joined.select(*rows.columns, F.when(F.col("leads"), F.col("carried")).otherwise(F.col("nearby")).alias(name))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("position", F.row_number().over(inside)).withColumn(
+        "last_reset", F.max(F.when(~F.col("met"), F.col("position"))).over(so_far))
 
 
 def streaks(rows: DataFrame, keys: Sequence[str], ts: str, order: str, condition: Column, name: str,
-            bucket: str = BUCKET) -> DataFrame:
+            seconds: int | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Length of the unbroken run of rows meeting ``condition`` that ends at each row; zero where it does not."""
     keys = list(keys)
-    cells = [*keys, "time_bucket"]
-    marked = _bucketed(rows, ts, bucket).withColumn("met", F.coalesce(condition, F.lit(False)))
-    inside = Window.partitionBy(*cells).orderBy(ts, order)
-    position = F.row_number().over(inside)
-    reset = F.max(F.when(~F.col("met"), F.col("position"))).over(
-        inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    near = marked.withColumn("position", position).withColumn("last_reset", reset)
-    cell = near.groupBy(*cells).agg(F.count("*").alias("n"), F.max("last_reset").alias("reset"))
-    cell = cell.withColumn("tail", F.col("n") - F.coalesce("reset", F.lit(0)))
-    along = Window.partitionBy(*keys).orderBy("time_bucket")
-    spell = F.count("reset").over(along)  # buckets with a reset so far: a new spell starts at each
-    cell = cell.withColumn("spell", spell).withColumn(
-        "running", F.sum("tail").over(Window.partitionBy(*keys, "spell").orderBy("time_bucket")))
-    carried = cell.select(*cells, F.coalesce(F.lag("running").over(along), F.lit(0)).alias("carried"))
-    length = F.when(F.col("last_reset").isNull(), F.col("position") + F.col("carried")).otherwise(
-        F.col("position") - F.col("last_reset"))
-    return near.join(carried, cells).select(*rows.columns, length.cast("bigint").alias(name))
+    marked = rows.withColumn("met", F.coalesce(condition, F.lit(False)))
+    quiet, dense = split_by_density(marked, keys, ts, seconds, target_rows)
+    parts = []
+    if quiet is not None:
+        length = F.col("position") - F.coalesce("last_reset", F.lit(0))
+        parts.append(_spells(quiet, keys, ts, order).select(*rows.columns, length.cast("bigint").alias(name)))
+    if dense is not None:
+        cells = [*keys, "chunk"]
+        near = _spells(dense, cells, ts, order)
+        cell = near.groupBy(*cells).agg(F.count("*").alias("n"), F.max("last_reset").alias("reset"))
+        cell = cell.withColumn("tail", F.col("n") - F.coalesce("reset", F.lit(0)))
+        along = Window.partitionBy(*keys).orderBy("chunk")
+        # Chunks with a reset so far: a new spell starts at each of them.
+        cell = cell.withColumn("spell", F.count("reset").over(along)).withColumn(
+            "running", F.sum("tail").over(Window.partitionBy(*keys, "spell").orderBy("chunk")))
+        carried = cell.select(*cells, F.coalesce(F.lag("running").over(along), F.lit(0)).alias("carried"))
+        length = F.when(F.col("last_reset").isNull(), F.col("position") + F.col("carried")).otherwise(
+            F.col("position") - F.col("last_reset"))
+        parts.append(near.join(carried, cells).select(*rows.columns, length.cast("bigint").alias(name)))
+    return reduce(DataFrame.unionByName, parts)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brightwell.functions.values import ago
 from brightwell.operators import call_log as ops
 from registry.base import Registry, shown
 from registry.views import EVENT_CLOCK
 
 R = Registry()
-DAY, WEEK, MONTH = (ago(EVENT_CLOCK, days=n) for n in (1, 7, 30))
-S_DAY, S_WEEK, S_MONTH = (f"TIMESTAMP '2024-01-{d} 00:00:00'" for d in ("30", "24", "01"))
+WEEK, MONTH = "2024-01-24 00:00:00", "2024-01-01 00:00:00"
+S_WEEK, S_MONTH = f"TIMESTAMP '{WEEK}'", f"TIMESTAMP '{MONTH}'"
 P95 = "ROUND(COALESCE(quantile_cont(duration_ms, 0.95), 0), 4) AS p95_ms"
 
 

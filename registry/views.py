@@ -199,7 +199,7 @@ SELECT concat('t', CAST(n_regionkey AS STRING)) AS source_table, concat('lake.r'
   COUNT(*) AS n FROM nation WHERE n_regionkey <> 1 GROUP BY n_regionkey"""
 
 VIEWS["subscription"] = """
-SELECT c_custkey % 12 AS pipeline_id, c_nationkey AS key_id, COUNT(*) AS n FROM customer GROUP BY 1, 2"""
+SELECT CAST(n_nationkey % 12 AS BIGINT) AS pipeline_id, CAST(n_regionkey AS BIGINT) AS key_id, COUNT(*) AS n FROM nation GROUP BY 1, 2"""
 
 VIEWS["push_event"] = """
 SELECT event_id AS id, user_id % 4 AS pipeline_id, user_id AS key_id, ts, CAST(FLOOR(value * 7) AS BIGINT) AS latency_ms,

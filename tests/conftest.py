@@ -16,7 +16,7 @@ def spark():
     scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     session = build_session("tests", "local[8]", 8, {
         "spark.driver.memory": "8g", "spark.local.dir": scratch, "spark.sql.warehouse.dir": f"{scratch}/warehouse",
-        "spark.checkpoint.dir": f"{scratch}/checkpoints", "spark.driver.extraJavaOptions": f"-Dderby.system.home={scratch}"})
+        "spark.checkpoint.dir": f"{scratch}/checkpoints"})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
