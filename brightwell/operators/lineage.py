@@ -141,20 +141,19 @@ def graph_audit(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     named = lambda c: nodes.select("graph_id", F.col("node_id").alias(c))
     valid = cut_lineage(raw.join(named("source"), ["graph_id", "source"], "left_semi").join(
         named("target"), ["graph_id", "target"], "left_semi").select("graph_id", "source", "target"))
-    left_nodes, left_edges, done, level = nodes, valid, None, 0
-    while True:
-        heads = left_edges.select("graph_id", F.col("target").alias("node_id")).distinct()
-        free = cut_lineage(left_nodes.join(heads, ["graph_id", "node_id"], "left_anti"))
-        if free.isEmpty():
-            break
-        layer = free.withColumn("level", F.lit(level))
-        done = layer if done is None else done.unionByName(layer)
-        left_nodes = cut_lineage(left_nodes.join(free, ["graph_id", "node_id"], "left_anti"))
-        left_edges = cut_lineage(left_edges.join(
-            free.withColumnRenamed("node_id", "source"), ["graph_id", "source"], "left_anti"))
+    heads = lambda e: e.select("graph_id", F.col("target").alias("node_id"))
+    free = cut_lineage(nodes.join(heads(valid), ["graph_id", "node_id"], "left_anti"))
+    left, done, level = valid, free.withColumn("level", F.lit(0)), 0
+    while not free.isEmpty():
+        # Only heads of the edges that fall away can become free next.
+        tails = free.withColumnRenamed("node_id", "source")
+        fallen = left.join(tails, ["graph_id", "source"], "left_semi")
+        left = cut_lineage(left.join(tails, ["graph_id", "source"], "left_anti"))
+        free = cut_lineage(heads(fallen).distinct().join(heads(left), ["graph_id", "node_id"], "left_anti"))
         level += 1
-    stuck = left_nodes.withColumn("level", F.lit(None).cast("int"))
-    levels = stuck if done is None else done.unionByName(stuck)
+        done = done.unionByName(free.withColumn("level", F.lit(level)))
+    stuck = nodes.join(done, ["graph_id", "node_id"], "left_anti").withColumn("level", F.lit(None).cast("int"))
+    levels = done.unionByName(stuck)
     ends = valid.select("graph_id", F.col("source").alias("node_id"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(
         valid.select("graph_id", "target", F.lit(0), F.lit(1)))
     degree = ends.groupBy("graph_id", "node_id").agg(F.sum("out").alias("out_degree"), F.sum("in").alias("in_degree"))

@@ -6,7 +6,6 @@ import json
 from collections import deque
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from brightwell.plans.bounded import small
@@ -44,10 +43,10 @@ def admit_within(times: np.ndarray, limit: int, window: int, recent: list[int])
 
 def window_step(window_us: int, out: str, limit_column: str | None = None, limit: int = 1):
     """``(step, settle)`` of a sliding-window rule; the state is the list of passed moments still in the window."""
-    def step(state: str, frame: pd.DataFrame):
-        bound = limit if limit_column is None else int(frame[limit_column].iloc[0])
-        passed, held = admit_within(frame["at_us"].to_numpy(), bound, window_us, json.loads(state or "[]"))
-        return json.dumps(held) if held else "", frame.assign(**{out: passed})
+    def step(state: str, column):
+        bound = limit if limit_column is None else int(column(limit_column)[0])
+        passed, held = admit_within(column("at_us"), bound, window_us, json.loads(state or "[]"))
+        return json.dumps(held) if held else "", {out: passed}
 
     def settle(state: str, first: int) -> str:
         held = [t for t in json.loads(state or "[]") if t > first - window_us]
@@ -83,11 +82,11 @@ def breaker_step(size: int, share: float, wait_us: int):
 
     State: ``mode|since|outcomes`` with the outcomes of the last calls, 1 for a failure.
     """
-    def step(state: str, frame: pd.DataFrame):
+    def step(state: str, column):
         mode, since, seen = (state or "CLOSED|0|").split("|")
         since, window = int(since), deque((int(c) for c in seen), maxlen=size)
         modes, admitted = [], []
-        for now, failed in zip(frame["at_us"].tolist(), frame["failed"].tolist()):
+        for now, failed in zip(column("at_us").tolist(), column("failed").tolist()):
             if mode == "OPEN" and now >= since + wait_us:
                 mode = "HALF_OPEN"
             modes.append(mode)
@@ -100,7 +99,7 @@ def breaker_step(size: int, share: float, wait_us: int):
                 if len(window) == size and sum(window) >= share * size:
                     mode, since = "OPEN", now
                     window.clear()
-        return f"{mode}|{since}|{''.join(map(str, window))}", frame.assign(breaker=modes, admitted=admitted)
+        return f"{mode}|{since}|{''.join(map(str, window))}", {"breaker": np.array(modes, dtype=object), "admitted": np.array(admitted)}
 
     def settle(state: str, first: int) -> str:
         mode, since, seen = (state or "CLOSED|0|").split("|")

@@ -9,16 +9,17 @@ the first chunk of a key is always right, and every round makes at least the nex
 quiet spells settle in one or two rounds; a key that never falls quiet needs up to one round per chunk, but never a
 task larger than a chunk.
 
-``step(state, frame)`` scans the sorted rows of one chunk and returns ``(state, frame with outputs)``. ``settle(state,
-first)`` reduces a state to what still matters at the chunk's first moment (microseconds), so that states that differ
-only in expired parts count as equal. States are short texts.
+``step(state, column)`` scans sorted rows of one key: ``column(name)`` gives a numpy array, the result is ``(state,
+{output name: array})``. ``settle(state, first)`` reduces a state to what still matters at a chunk's first moment
+(microseconds), so that states that differ only in expired parts count as equal. States are short texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -38,16 +39,42 @@ def carried_scan(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step
     result = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(output).fields])
     quiet, dense = split_by_density(rows, keys, ts, seconds, target_rows)
 
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        _, out = step(initial, frame.sort_values(["at_us", order], kind="stable", ignore_index=True))
-        return out[result.names]
-
-    parts = [] if quiet is None else [quiet.groupBy(*keys).applyInPandas(whole, result)]
+    parts = [] if quiet is None else [_sorted_scan(quiet, keys, order, step, result, initial)]
     if dense is not None:
         parts.append(_chunked_scan(dense, keys, order, step, settle, result, initial))
     return reduce(DataFrame.unionByName, parts)
 
 
+def stepped(frame: pd.DataFrame, step: Callable, state: str) -> tuple[str, pd.DataFrame]:
+    """One step over a whole frame."""
+    state, out = step(state, lambda name: frame[name].to_numpy())
+    return state, frame.assign(**out)
+
+
+def _sorted_scan(rows: DataFrame, keys: list[str], order: str, step: Callable, result: T.StructType,
+                 initial: str) -> DataFrame:
+    """Whole keys, sorted by Spark and streamed in batches; many small keys share a batch and a task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, initial
+        for batch in batches:
+            if batch.empty:
+                continue
+            arrays = {name: batch[name].to_numpy() for name in batch.columns}
+            codes = np.stack([pd.factorize(batch[k])[0] for k in keys])
+            starts = np.flatnonzero(np.r_[True, (codes[:, 1:] != codes[:, :-1]).any(axis=0)])
+            pieces: dict[str, list] = {}
+            for a, b in zip(starts, np.r_[starts[1:], len(batch)]):
+                key = tuple(None if pd.isna(arrays[k][a]) else arrays[k][a] for k in keys)
+                if key != last:
+                    last, state = key, initial
+                state, out = step(state, lambda name: arrays[name][a:b])
+                for name, values in out.items():
+                    pieces.setdefault(name, []).append(values)
+            yield batch.assign(**{name: np.concatenate(values) for name, values in pieces.items()})[result.names]
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "at_us", order).mapInPandas(run, result)
+
+
 def _chunked_scan(chunked: DataFrame, keys: list[str], order: str, step: Callable, settle: Callable,
                   result_type: T.StructType, initial: str) -> DataFrame:
     """The chunked form over rows that carry ``at_us`` and ``chunk``."""
@@ -61,7 +88,7 @@ def _chunked_scan(chunked: DataFrame, keys: list[str], order: str, step: Callabl
 
     def summary_of(frame: pd.DataFrame, state: str) -> pd.DataFrame:
         frame = ordered(frame)
-        out, _ = step(state, frame)
+        out, _ = stepped(frame, step, state)
         row = {**{c: frame[c].iloc[0] for c in group}, "first_us": frame["at_us"].iloc[0], "state_in": state,
                "state_out": out}
         return pd.DataFrame([row], columns=summary_type.names)
@@ -96,8 +123,7 @@ def _chunked_scan(chunked: DataFrame, keys: list[str], order: str, step: Callabl
     def emit(frame: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         if frame.empty:
             return pd.DataFrame(columns=result_type.names)
-        _, out = step(start["state_in"].iloc[0], ordered(frame))
-        return out[result_type.names]
+        return stepped(ordered(frame), step, start["state_in"].iloc[0])[1][result_type.names]
 
     states = summary.select(*group, "state_in")
     return chunked.groupBy(*group).cogroup(states.groupBy(*group)).applyInPandas(emit, result_type)

@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brightwell.operators import cdc, replay
 from brightwell.plans.bounded import small
+from brightwell.plans.carried_scan import stepped
 
 
 def scan_stream(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step: Callable, output: str) -> DataFrame:
-    """Applies ``step(state, frame)`` to each key's rows in order, keeping its state between micro-batches."""
+    """Applies ``step(state, column)`` to each key's rows in order, keeping its state between micro-batches."""
     keyed = rows.withColumn("at_us", F.unix_micros(F.col(ts).cast("timestamp")))
     result = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(output).fields])
 
@@ -26,7 +28,7 @@ def scan_stream(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step:
         frame = pd.concat(list(frames), ignore_index=True).sort_values(["at_us", order], kind="stable",
                                                                        ignore_index=True)
         before = state.get[0] if state.exists else ""
-        after, out = step(before, frame)
+        after, out = stepped(frame, step, before)
         state.update((after,))
         yield out[result.names]
 
@@ -56,10 +58,10 @@ def circuit_stream(log: DataFrame, key: str, size: int = replay.BREAKER_SIZE, wa
 
 def lag_alert_stream(samples: DataFrame, threshold: int = cdc.LAG_WARN_SECONDS, ts: str = "sampled_at",
                      order: str = "total_changes") -> DataFrame:
-    def step(state: str, frame: pd.DataFrame):
-        late = frame["lag_seconds"] > threshold
-        was = late.shift(1, fill_value=state == "late")
-        return "late" if late.iloc[-1] else "", frame.assign(fires=late & ~was)
+    def step(state: str, column):
+        late = column("lag_seconds") > threshold
+        was = np.r_[state == "late", late[:-1]]
+        return "late" if late[-1] else "", {"fires": late & ~was}
 
     scanned = scan_stream(samples, ["pipeline_id"], ts, order, step, "fires boolean")
     return scanned.filter("fires").drop("fires")
@@ -68,12 +70,12 @@ def lag_alert_stream(samples: DataFrame, threshold: int = cdc.LAG_WARN_SECONDS,
 def miss_stream(polls: DataFrame, n: int = cdc.NOT_FOUND_POLLS, ts: str = "sampled_at", order: str = "total_changes",
                 missing: str = "is_missing") -> DataFrame:
     """Polls that complete ``n`` misses in a row; ``missing`` names the boolean column."""
-    def step(state: str, frame: pd.DataFrame):
-        met = frame[missing].fillna(False).astype(bool)
-        spell = (~met).cumsum()
-        length = met.groupby(spell).cumsum() + (spell == 0) * int(state or 0)
-        length = length.where(met, 0)
-        return str(int(length.iloc[-1])), frame.assign(misses=length.astype("int64"))
+    def step(state: str, column):
+        met = np.array([bool(m) for m in column(missing)])
+        position = np.arange(1, len(met) + 1)
+        reset = np.maximum.accumulate(np.where(met, -int(state or 0), position))
+        length = np.where(met, position - reset, 0)
+        return str(int(length[-1])), {"misses": length.astype("int64")}
 
     scanned = scan_stream(polls, ["pipeline_id"], ts, order, step, "misses bigint")
     return scanned.filter((F.col("misses") > 0) & (F.col("misses") % n == 0))
