@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from brightwell.functions.values import ago, count_when, escaped_contains, ntz
 from brightwell.operators.runs import latest_by
 from brightwell.plans.bounded import small
+from brightwell.plans.lineage_cut import cut_lineage
 
 # Search scores, caps and look-back periods.
 SCORES = {"table_name": 100, "prefix_bonus": 20, "comment": 60, "column": 40, "tag": 40, "owner": 20}
@@ -106,19 +107,24 @@ def browse(tables: DataFrame, scores: DataFrame, view_log: DataFrame, as_of, dom
     if tagged is not None:
         rows = rows.join(tagged.select("table_id"), "table_id", "left_semi")
     rows = rows.select("table_id", "table_name", "data_domain", "data_topic", "updated_at")
-    shown_scores, heats = scores.select("table_id", "score", "health_level"), heat(view_log, as_of)
-    views = F.coalesce("view_count", F.lit(0)).alias("view_count")
-    cut = lambda df, *order: df.orderBy(*order, "table_name", "table_id").offset(
-        (max(page, 1) - 1) * size).limit(size)
+    scored, views = scores.select("table_id", "score", "health_level"), F.coalesce("view_count", F.lit(0))
+    # A page is written once, so the look-ups below do not search the catalogue again.
+    cut = lambda df, *order: cut_lineage(df.orderBy(*order, "table_name", "table_id").offset(
+        (max(page, 1) - 1) * size).limit(size))
     if sort == "score":
-        rows = cut(rows.join(shown_scores, "table_id", "left"), F.desc_nulls_last("score"))
-        return rows.join(heats, "table_id", "left").select(*[c for c in rows.columns], views)
-    if sort == "hot":
-        ranked = rows.join(heats, "table_id", "left").withColumn("view_count", views)
-        return cut(ranked, F.desc("view_count")).join(shown_scores, "table_id", "left")
-    rows = cut(rows, F.desc("updated_at")) if sort == "latest" else cut(rows)
-    joined = rows.join(shown_scores, "table_id", "left").join(heats, "table_id", "left")
-    return joined.withColumn("view_count", views)
+        shown = cut(rows.join(scored, "table_id", "left"), F.desc_nulls_last("score"))
+    elif sort == "hot":
+        ranked = rows.join(heat(view_log, as_of), "table_id", "left").withColumn("view_count", views)
+        shown = cut(ranked, F.desc("view_count"))
+    else:
+        shown = cut(rows, F.desc("updated_at")) if sort == "latest" else cut(rows)
+    # What the page still lacks is looked up for its rows alone, of which there are at most ``size``.
+    on_page = lambda df: df.join(F.broadcast(shown.select("table_id")), "table_id", "left_semi")
+    if sort != "score":
+        shown = shown.join(on_page(scored), "table_id", "left")
+    if sort != "hot":
+        shown = shown.join(heat(on_page(view_log), as_of), "table_id", "left").withColumn("view_count", views)
+    return shown
 
 
 def classification_counts(tables: DataFrame) -> DataFrame:

@@ -167,8 +167,8 @@ def current_state(samples: DataFrame, ts: str = "sampled_at") -> DataFrame:
 def subscription_metrics(events: DataFrame, as_of, ts: str = "ts") -> DataFrame:
     """Per pipeline: events and failed sends of the day, last event, and P95 over the last 1024 latencies.
 
-    The rank is cut at the sample size before rows are shuffled, so a hot pipeline sends at most that many rows per
-    task.
+    Counts per minute tell from which minute on the last samples lie. Only rows from there on are ranked, so a hot
+    pipeline ranks little more than the sample itself.
     """
     midnight = F.date_trunc("day", ntz(as_of)).cast("timestamp_ntz")
     before = events.filter(F.col(ts) < ntz(as_of))
@@ -177,9 +177,16 @@ def subscription_metrics(events: DataFrame, as_of, ts: str = "ts") -> DataFrame:
         count_when(sent & (F.col(ts) >= midnight)).alias("today_events"),
         count_when(~sent & (F.col(ts) >= midnight)).alias("failed_sends"),
         F.max(F.when(sent, F.col(ts))).alias("last_event_at"))
-    newest = Window.partitionBy("pipeline_id").orderBy(F.desc(ts), F.desc("id"))
+    by_pipeline = Window.partitionBy("pipeline_id")
+    minute = F.date_trunc("minute", F.col(ts)).cast("timestamp_ntz")
     sample = before.filter(sent).select("pipeline_id", ts, "id", F.greatest("latency_ms", F.lit(0)).alias("latency_ms"))
-    sample = sample.withColumn("newest", F.row_number().over(newest)).filter(F.col("newest") <= LATENCY_SAMPLES)
+    minutes = sample.groupBy("pipeline_id", minute.alias("minute")).agg(F.count("*").alias("n"))
+    later = F.sum("n").over(by_pipeline.orderBy(F.desc("minute"))) - F.col("n")  # one row per minute
+    since = minutes.withColumn("later", later).filter(F.col("later") < LATENCY_SAMPLES).groupBy("pipeline_id").agg(
+        F.min("minute").alias("since"))
+    recent = sample.join(small(since), "pipeline_id").filter(F.col(ts) >= F.col("since")).drop("since")
+    ranked = recent.withColumn("newest", F.row_number().over(by_pipeline.orderBy(F.desc(ts), F.desc("id"))))
+    sample = ranked.filter(F.col("newest") <= LATENCY_SAMPLES)
     p95 = sample.groupBy("pipeline_id").agg(
         F.expr(f"percentile_disc({LATENCY_SHARE}) WITHIN GROUP (ORDER BY latency_ms)").cast("bigint").alias("p95_ms"))
     return counts.join(p95, "pipeline_id", "left").select(

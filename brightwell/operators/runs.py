@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from brightwell.functions.values import ago, count_when, half_open, interval, ntz, percent
 from brightwell.plans.bounded import small
+from brightwell.plans.lineage_cut import cut_lineage
+from brightwell.plans.topk import top_per_key
 
 # Statuses and default limits.
 STATUSES = ("RUNNING", "SUCCESS", "FAILED", "TERMINATED")
@@ -197,16 +199,15 @@ def missed_triggers(nodes: DataFrame, bindings: DataFrame, batches: DataFrame, a
 def admit(waiting: DataFrame, running: DataFrame, queues: DataFrame) -> DataFrame:
     """Per queue the first ``capacity - running`` waiting runs, by priority then age.
 
-    The rank is bounded by the largest capacity before the exact per-queue test, which lets each task drop all but
-    that many rows of a queue ahead of the shuffle. The capacity is one number from the queue settings.
+    Rows ranked beyond the largest capacity of any queue are dropped early, then the exact per-queue test follows. The
+    largest capacity is one number from the queue settings.
     """
     settings = queues.select("queue_id", F.coalesce("capacity", F.lit(QUEUE_CAPACITY)).alias("capacity"))
     widest = settings.agg(F.max("capacity")).first()[0] or QUEUE_CAPACITY
     used = running.groupBy("queue_id").agg(F.count("*").alias("used"))
     slots = settings.join(used, "queue_id", "left").select(
         "queue_id", (F.col("capacity") - F.coalesce("used", F.lit(0))).alias("slots"))
-    order = Window.partitionBy("queue_id").orderBy(F.desc("priority"), F.asc("start_time"), F.asc("id"))
-    ranked = waiting.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= int(widest))
+    ranked = top_per_key(waiting, ["queue_id"], [F.desc("priority"), F.asc("start_time"), F.asc("id")], "id", int(widest))
     return ranked.join(small(slots), "queue_id").filter(F.col("position") <= F.col("slots")).drop("slots")
 
 
@@ -215,7 +216,7 @@ def run_page(runs: DataFrame, owners: DataFrame, nodes: DataFrame, owner_like: s
              size: int = 20) -> DataFrame:
     """One page of runs, newest first, with node counts per status.
 
-    Filters come first, the page is cut next, and node rows are counted only for the runs on the page.
+    Filters come first, the page is cut and written next, and node rows are counted only for the runs on the page.
     """
     from brightwell.functions.values import escaped_contains
 
@@ -230,7 +231,7 @@ def run_page(runs: DataFrame, owners: DataFrame, nodes: DataFrame, owner_like: s
     if owner_like:
         names = names.filter(escaped_contains(F.col("task_name"), owner_like))
     rows = rows.join(small(names), "task_id", "inner" if owner_like else "left")
-    paged = rows.orderBy(F.desc("start_time"), F.desc("id")).offset(max(page - 1, 0) * size).limit(size)
+    paged = cut_lineage(rows.orderBy(F.desc("start_time"), F.desc("id")).offset(max(page - 1, 0) * size).limit(size))
     on_page = nodes.join(F.broadcast(paged.select(F.col("id").alias("run_id"))), "run_id", "left_semi")  # <= size rows
     counts = on_page.groupBy("run_id").agg(
         F.count("*").alias("nodes"), count_when(F.col("node_status") == "SUCCESS").alias("nodes_ok"),

@@ -146,3 +146,21 @@ def test_expired_partitions_are_dropped(spark):
     assert sorted(r["id"] for r in spark.table("kept_log").collect()) == [2, 3]
     assert retention.retain(spark.table("kept_log").withColumn("d", F.col("day").cast("date")), "d", 0, "2024-01-31").count() == 1
     spark.sql("DROP TABLE kept_log")
+
+
+@pytest.mark.parametrize("limit", ["1000", "3"])
+def test_top_rows_per_key_with_and_without_salting(spark, limit):
+    from brightwell.plans.topk import top_per_key
+
+    rows = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("k"))
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", limit)
+    try:
+        got = {(r["k"], r["position"]): r["id"] for r in top_per_key(rows, ["k"], [F.desc("id")], "id", 20).collect()}
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", before)
+    expected = {}
+    for k in range(7):
+        mine = sorted((i for i in range(500) if (0 if i % 3 == 0 else i % 7) == k), reverse=True)[:20]
+        expected |= {(k, n): i for n, i in enumerate(mine, 1)}
+    assert got == expected
