@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brightwell.functions.values import count_when
+from brightwell.plans.joins import null_safe_join
 
 # Column attributes whose change is reported, with the name each change carries.
 ATTRIBUTES = {"data_type": "TYPE", "column_comment": "COMMENT", "ordinal_position": "ORDINAL", "nullable": "NULLABLE",
@@ -78,18 +79,6 @@ def schema_diff(old: DataFrame, new: DataFrame, key: Sequence[str] = ("table_nam
         "change_type", F.when(new_table, "ADDED_TABLE").otherwise(F.col("change_type"))).drop("known")
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, key: Sequence[str], how: str) -> DataFrame:
-    """Equi-join in which null keys meet; the planner still hashes on the keys."""
-    renamed = {k: f"right_{k}" for k in key}
-    right = right.withColumnsRenamed(renamed)
-    joined = left.join(right, [F.col(k).eqNullSafe(F.col(renamed[k])) for k in key], how)
-    if how in ("left_semi", "left_anti"):
-        return joined
-    keys = [F.coalesce(k, renamed[k]).alias(k) for k in key] if how in ("right", "full") else [F.col(k) for k in key]
-    rest = [c for c in joined.columns if c not in key and c not in renamed.values()]
-    return joined.select(*keys, *rest)
-
-
 def table_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Table changes: added, comment modified, revived and deleted.
 

@@ -21,9 +21,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from brightwell.plans.chunks import TARGET_ROWS, split_by_density
+from brightwell.plans.joins import null_safe_join
 from brightwell.plans.lineage_cut import cut_lineage
 
 
@@ -45,34 +47,53 @@ def carried_scan(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step
     return reduce(DataFrame.unionByName, parts)
 
 
-def stepped(frame: pd.DataFrame, step: Callable, state: str) -> tuple[str, pd.DataFrame]:
-    """One step over a whole frame."""
-    state, out = step(state, lambda name: frame[name].to_numpy())
-    return state, frame.assign(**out)
+def _numpy(table: pa.Table | pa.RecordBatch) -> Callable[[str], np.ndarray]:
+    """Columns as numpy arrays, each converted once and only when a step asks for it."""
+    known: dict[str, np.ndarray] = {}
+
+    def column(name: str) -> np.ndarray:
+        if name not in known:
+            values = table.column(name)
+            values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+            known[name] = values.to_numpy(zero_copy_only=False)
+        return known[name]
+
+    return column
+
+
+def _stepped(table: pa.Table, step: Callable, state: str) -> tuple[str, pa.Table]:
+    state, out = step(state, _numpy(table))
+    for name, values in out.items():
+        table = table.append_column(name, pa.array(values))
+    return state, table
 
 
 def _sorted_scan(rows: DataFrame, keys: list[str], order: str, step: Callable, result: T.StructType,
                  initial: str) -> DataFrame:
-    """Whole keys, sorted by Spark and streamed in batches; many small keys share a batch and a task."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole keys, sorted by Spark and streamed in batches; many small keys share a batch and a task.
+
+    Columns that the step does not read pass through as they are.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, initial
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            arrays = {name: batch[name].to_numpy() for name in batch.columns}
-            codes = np.stack([pd.factorize(batch[k])[0] for k in keys])
+            codes = np.stack([batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy() for k in keys])
             starts = np.flatnonzero(np.r_[True, (codes[:, 1:] != codes[:, :-1]).any(axis=0)])
-            pieces: dict[str, list] = {}
-            for a, b in zip(starts, np.r_[starts[1:], len(batch)]):
-                key = tuple(None if pd.isna(arrays[k][a]) else arrays[k][a] for k in keys)
+            column, pieces = _numpy(batch), {}
+            for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):
+                key = tuple(batch.column(k)[int(a)].as_py() for k in keys)
                 if key != last:
                     last, state = key, initial
-                state, out = step(state, lambda name: arrays[name][a:b])
+                state, out = step(state, lambda name: column(name)[a:b])
                 for name, values in out.items():
                     pieces.setdefault(name, []).append(values)
-            yield batch.assign(**{name: np.concatenate(values) for name, values in pieces.items()})[result.names]
+            added = {name: pa.array(np.concatenate(values)) for name, values in pieces.items()}
+            yield pa.RecordBatch.from_arrays(
+                [added[n] if n in added else batch.column(n) for n in result.names], names=result.names)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "at_us", order).mapInPandas(run, result)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "at_us", order).mapInArrow(run, result)
 
 
 def _chunked_scan(chunked: DataFrame, keys: list[str], order: str, step: Callable, settle: Callable,
@@ -83,31 +104,29 @@ def _chunked_scan(chunked: DataFrame, keys: list[str], order: str, step: Callabl
     summary_type = T.StructType([*base.fields, T.StructField("first_us", T.LongType()),
                                  T.StructField("state_in", T.StringType()), T.StructField("state_out", T.StringType())])
 
-    def ordered(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.sort_values(["at_us", order], kind="stable", ignore_index=True)
+    def ordered(table: pa.Table) -> pa.Table:
+        return table.sort_by([("at_us", "ascending"), (order, "ascending")])
 
-    def summary_of(frame: pd.DataFrame, state: str) -> pd.DataFrame:
-        frame = ordered(frame)
-        out, _ = stepped(frame, step, state)
-        row = {**{c: frame[c].iloc[0] for c in group}, "first_us": frame["at_us"].iloc[0], "state_in": state,
-               "state_out": out}
-        return pd.DataFrame([row], columns=summary_type.names)
+    def summary_of(table: pa.Table, state: str) -> pa.Table:
+        table = ordered(table)
+        out, _ = _stepped(table, step, state)
+        row = table.slice(0, 1).select([*group, "at_us"]).rename_columns([*group, "first_us"])
+        return row.append_column("state_in", pa.array([state], pa.string())).append_column(
+            "state_out", pa.array([out], pa.string()))
 
-    def first_pass(frame: pd.DataFrame) -> pd.DataFrame:
-        return summary_of(frame, initial)
+    def first_pass(table: pa.Table) -> pa.Table:
+        return summary_of(table, initial)
 
-    def again(frame: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if frame.empty or wanted.empty:
-            return pd.DataFrame(columns=summary_type.names)
-        return summary_of(frame, wanted["wanted"].iloc[0])
+    def again(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        return summary_of(table, wanted.column("wanted")[0].as_py())
 
     @F.pandas_udf("string")
     def settled(state: pd.Series, first: pd.Series) -> pd.Series:
         return pd.Series([initial if s is None else settle(s, int(f)) for s, f in zip(state, first)], dtype=object)
 
-    summary = cut_lineage(chunked.groupBy(*group).applyInPandas(first_pass, summary_type))
+    summary = cut_lineage(chunked.groupBy(*group).applyInArrow(first_pass, summary_type))
     before = Window.partitionBy(*keys).orderBy("chunk")  # one row per chunk of a key, not per row
-    while True:
+    for _ in range(summary.count() + 1):  # no key needs more rounds than it has chunks
         assumed = summary.withColumn("carried", F.lag("state_out").over(before))
         wrong = assumed.withColumn("wanted", settled("carried", "first_us")).filter(
             F.col("wanted") != F.col("state_in")).select(*group, "wanted")
@@ -115,15 +134,16 @@ def _chunked_scan(chunked: DataFrame, keys: list[str], order: str, step: Callabl
         if wrong.isEmpty():
             break
         # Only chunks to repeat reach Python: the other rows are dropped by the semi-join.
-        redo = chunked.join(wrong.select(*group), group, "left_semi")
-        fixed = redo.groupBy(*group).cogroup(wrong.groupBy(*group)).applyInPandas(again, summary_type)
-        summary = cut_lineage(summary.join(wrong.select(*group), group, "left_anti").select(
+        redo = null_safe_join(chunked, wrong.select(*group), group, "left_semi")
+        fixed = redo.groupBy(*group).cogroup(wrong.groupBy(*group)).applyInArrow(again, summary_type)
+        summary = cut_lineage(null_safe_join(summary, wrong.select(*group), group, "left_anti").select(
             *summary_type.names).unionByName(fixed))
+    else:
+        raise RuntimeError("the scan did not settle: step must be a function of state and rows")
 
-    def emit(frame: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if frame.empty:
-            return pd.DataFrame(columns=result_type.names)
-        return stepped(ordered(frame), step, start["state_in"].iloc[0])[1][result_type.names]
+    def emit(table: pa.Table, start: pa.Table) -> pa.Table:
+        return _stepped(ordered(table), step, start.column("state_in")[0].as_py())[1].select(result_type.names)
 
+    # Both sides hold the same chunks, so every group has rows and one state.
     states = summary.select(*group, "state_in")
-    return chunked.groupBy(*group).cogroup(states.groupBy(*group)).applyInPandas(emit, result_type)
+    return chunked.groupBy(*group).cogroup(states.groupBy(*group)).applyInArrow(emit, result_type)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from brightwell.plans.bounded import known
+from brightwell.plans.joins import null_safe_join
 from brightwell.plans.lineage_cut import cut_lineage
 
 TARGET_ROWS = 2_000_000
@@ -46,7 +47,8 @@ def split_by_density(rows: DataFrame, keys: Sequence[str], ts: str, seconds: int
     if count == 0:
         return timed, None
     sized = known(large, count)
-    dense = timed.join(sized, keys, "left_semi")
+    dense = null_safe_join(timed, sized, keys, "left_semi")
     widths = known(cut_lineage(chunk_widths(dense, keys, target_rows)), count)
     chunk = F.floor(F.col("at_us") / (F.col("chunk_seconds") * 1_000_000)).cast("bigint")
-    return timed.join(sized, keys, "left_anti"), dense.join(widths, keys).withColumn("chunk", chunk).drop("chunk_seconds")
+    return (null_safe_join(timed, sized, keys, "left_anti"),
+            null_safe_join(dense, widths, keys).withColumn("chunk", chunk).drop("chunk_seconds"))

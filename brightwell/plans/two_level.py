@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightwell.plans.chunks import TARGET_ROWS, split_by_density
+from brightwell.plans.joins import null_safe_join
 
 
 def previous_value(rows: DataFrame, keys: Sequence[str], ts: str, order: str, value: Column, name: str,
@@ -33,7 +34,7 @@ def previous_value(rows: DataFrame, keys: Sequence[str], ts: str, order: str, va
         last = marked.groupBy(*cells).agg(F.max_by("current_value", F.struct(ts, order)).alias("last_value"))
         carried = last.select(*cells, F.lag("last_value").over(Window.partitionBy(*keys).orderBy("chunk")).alias("carried"))
         picked = F.when(F.col("leads"), F.col("carried")).otherwise(F.col("nearby"))
-        parts.append(near.join(carried, cells).select(*rows.columns, picked.alias(name)))
+        parts.append(null_safe_join(near, carried, cells).select(*rows.columns, picked.alias(name)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -67,5 +68,5 @@ def streaks(rows: DataFrame, keys: Sequence[str], ts: str, order: str, condition
         carried = cell.select(*cells, F.coalesce(F.lag("running").over(along), F.lit(0)).alias("carried"))
         length = F.when(F.col("last_reset").isNull(), F.col("position") + F.col("carried")).otherwise(
             F.col("position") - F.col("last_reset"))
-        parts.append(near.join(carried, cells).select(*rows.columns, length.cast("bigint").alias(name)))
+        parts.append(null_safe_join(near, carried, cells).select(*rows.columns, length.cast("bigint").alias(name)))
     return reduce(DataFrame.unionByName, parts)

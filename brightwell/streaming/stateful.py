@@ -16,37 +16,44 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brightwell.operators import cdc, replay
 from brightwell.plans.bounded import small
-from brightwell.plans.carried_scan import stepped
 
 
 def scan_stream(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step: Callable, output: str) -> DataFrame:
-    """Applies ``step(state, column)`` to each key's rows in order, keeping its state between micro-batches."""
-    keyed = rows.withColumn("at_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    result = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(output).fields])
+    """Applies ``step(state, column)`` to each key's rows in order, keeping its state between micro-batches.
+
+    Whole-number keys travel as text, since pandas would turn a key column with nulls into fractions.
+    """
+    fields = rows.schema.fields
+    fragile = {f.name: f.dataType for f in fields if isinstance(f.dataType, T.LongType) and f.name in keys}
+    keyed = rows.withColumn("at_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumns(
+        {name: F.col(name).cast("string") for name in fragile})
+    result = T.StructType([*[T.StructField(f.name, T.StringType()) if f.name in fragile else f for f in fields],
+                           *T.StructType.fromDDL(output).fields])
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(frames), ignore_index=True).sort_values(["at_us", order], kind="stable",
                                                                        ignore_index=True)
         before = state.get[0] if state.exists else ""
-        after, out = stepped(frame, step, before)
+        after, out = step(before, lambda name: frame[name].to_numpy())
         state.update((after,))
-        yield out[result.names]
+        yield frame.assign(**out)[result.names]
 
-    return keyed.groupBy(*keys).applyInPandasWithState(
+    scanned = keyed.groupBy(*keys).applyInPandasWithState(
         run, result, T.StructType.fromDDL("state string"), "append", GroupStateTimeout.NoTimeout)
+    return scanned.withColumns({name: F.col(name).cast(kind) for name, kind in fragile.items()})
 
 
 def rate_limit_stream(log: DataFrame, limits: DataFrame, window_s: int = replay.RATE_WINDOW_S,
                       key: str = "key_id") -> DataFrame:
     bounds = limits.select(key, F.col("qps_limit").cast("int").alias("qps_limit"))
     joined = log.join(small(bounds), key, "left").withColumn("qps_limit", F.coalesce("qps_limit", F.lit(0)))
-    step, _ = replay.window_step(window_s * 1_000_000, "admitted", "qps_limit")
+    step, _ = replay.window_step(window_s * 1_000_000, "admitted", "qps_limit", calls=None)
     return scan_stream(joined, [key], "created_at", "id", step, "admitted boolean")
 
 
 def dedupe_stream(alerts: DataFrame, keys: Sequence[str] = ("object_type", "object_id", "alert_type"),
                   window_s: int = replay.ALERT_WINDOW_S, ts: str = "fired_at") -> DataFrame:
-    step, _ = replay.window_step(window_s * 1_000_000, "sent")
+    step, _ = replay.window_step(window_s * 1_000_000, "sent", calls=None)
     return scan_stream(alerts, keys, ts, "id", step, "sent boolean")
 
 

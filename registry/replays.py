@@ -15,8 +15,8 @@ def window_sql(rows, keys, ts, limit, seconds):
     same = " AND ".join(f"o.{k} = r.{k}" for k in keys)
     key = ", ".join(f"o.{k}" for k in keys)
     kept = f"list_filter(r.held, lambda x: x > o.at - INTERVAL {seconds} SECOND)"
-    return f"""WITH RECURSIVE o AS (SELECT *, {ts} AS at, {limit} AS bound, ROW_NUMBER() OVER (PARTITION BY {', '.join(keys)}
-  ORDER BY {ts}, id) AS rn FROM {rows}),
+    return f"""WITH RECURSIVE o AS (SELECT *, date_trunc('millisecond', {ts}) AS at, {limit} AS bound, ROW_NUMBER() OVER (PARTITION BY {', '.join(keys)}
+  ORDER BY date_trunc('millisecond', {ts}), id) AS rn FROM {rows}),
 r AS (SELECT o.*, TRUE AS passed, [o.at] AS held FROM o WHERE rn = 1
   UNION ALL SELECT o.*, len({kept}) < o.bound, CASE WHEN len({kept}) < o.bound THEN list_append({kept}, o.at) ELSE {kept} END
   FROM r JOIN o ON {same} AND o.rn = r.rn + 1)"""

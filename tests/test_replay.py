@@ -38,22 +38,17 @@ def test_rate_limit_equals_a_loop(spark, seed, plan):
     rows = calls(seed)
     log = spark.createDataFrame(rows, "id bigint, key_id bigint, created_at timestamp_ntz, failed boolean")
     limits = spark.createDataFrame([(0, 3), (1, 1), (2, 0)], "key_id bigint, qps_limit int")
-    if "target_rows" in plan:
-        step, settle = replay.window_step(60_000_000, "admitted", "qps_limit")
-        got = replay.carried_scan(log.join(limits, "key_id").filter("qps_limit > 0"), ["key_id"], "created_at", "id", step,
-                                  settle, "admitted boolean", **plan)
-        rows = [r for r in rows if r[1] in (0, 1)]
-    else:
-        got = replay.rate_limit_replay(log, limits, 60, **plan)
+    got = replay.rate_limit_replay(log, limits, 60, **plan)
     expected = loop_limits(rows, lambda k: {0: 3, 1: 1}.get(k, 0), 60)
     assert {r["id"]: r["admitted"] for r in got.collect()} == expected
 
 
-def test_dedupe_equals_a_loop(spark):
+@pytest.mark.parametrize("plan", [{"seconds": 45}, {"target_rows": 50}, {}])
+def test_dedupe_equals_a_loop(spark, plan):
     rows = calls(7, n=400)
-    alerts = spark.createDataFrame([(i, "DAG", k, "FAILURE", at) for i, k, at, _ in rows],
+    alerts = spark.createDataFrame([(i, "DAG", k or None, "FAILURE", at) for i, k, at, _ in rows],
                                    "id bigint, object_type string, object_id bigint, alert_type string, fired_at timestamp_ntz")
-    got = replay.dedupe_alerts(alerts, seconds=45)
+    got = replay.dedupe_alerts(alerts, **plan)
     assert {r["id"]: r["sent"] for r in got.collect()} == loop_limits(rows, lambda k: 1, 60)
 
 
@@ -82,6 +77,15 @@ def test_breaker_equals_a_loop(spark, plan):
     assert {r["id"]: r["breaker"] for r in got.collect()} == loop_breaker(rows)
 
 
+def test_many_calls_in_one_millisecond(spark):
+    rows = [(i, 1, START + timedelta(microseconds=i % 900), False) for i in range(300)]
+    rows += [(300 + i, 1, START + timedelta(seconds=60, microseconds=i), False) for i in range(100)]
+    log = spark.createDataFrame(rows, "id bigint, key_id bigint, created_at timestamp_ntz, failed boolean")
+    limits = spark.createDataFrame([(1, 40)], "key_id bigint, qps_limit int")
+    got = sorted(r["id"] for r in replay.rate_limit_replay(log, limits).filter("admitted").collect())
+    assert got == [*range(40), *range(300, 340)]
+
+
 def test_free_keys_never_reach_python(spark):
     log = spark.createDataFrame(calls(5), "id bigint, key_id bigint, created_at timestamp_ntz, failed boolean")
     limits = spark.createDataFrame([(9, 1)], "key_id bigint, qps_limit int")
