@@ -41,7 +41,11 @@ def _is_limited() -> Column:
 
 
 def _p95() -> Column:
-    """Interpolated P95 of the known durations; zero when there are none."""
+    """Interpolated P95 of the known durations; zero when there are none.
+
+    Durations are whole milliseconds, so the counts kept per task are as many as there are different latencies, not
+    calls.
+    """
     return F.coalesce(F.percentile("duration_ms", 0.95), F.lit(0.0))
 
 

@@ -52,7 +52,7 @@ def walk(edges: DataFrame, start: Sequence[str], source: Sequence[str], target:
     edges = cut_lineage(edges)
     complete = [F.col(n).isNotNull() for n in node]
     seen = spark.createDataFrame([tuple(start)], ", ".join(f"{n} string" for n in node)).withColumn("level", F.lit(0))
-    frontier, size = seen.select(*node), 1
+    frontier, size, total = seen.select(*node), 1, 1
     touched = []
     for level in range(1, depth + 1):
         side = known(frontier, size)
@@ -64,9 +64,12 @@ def walk(edges: DataFrame, start: Sequence[str], source: Sequence[str], target:
         reached = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
         for condition in complete:
             reached = reached.filter(condition)
-        fresh = cut_lineage(reached.distinct().join(seen.select(*node), list(node), "left_anti"))
+        # Known nodes are dropped before the distinct, so only new ones are shuffled while the known ones fit a broadcast.
+        unseen = reached.join(known(seen.select(*node), total), list(node), "left_anti")
+        fresh = cut_lineage(unseen.distinct())
         touched.append((frontier, size))
         size = fresh.count()
+        total += size
         if size == 0:
             break
         seen = seen.unionByName(fresh.withColumn("level", F.lit(level)))
@@ -74,7 +77,7 @@ def walk(edges: DataFrame, start: Sequence[str], source: Sequence[str], target:
     expanded = touched[0][0]
     for frame, _ in touched[1:]:
         expanded = expanded.unionByName(frame)
-    expanded = known(expanded, sum(count for _, count in touched))
+    expanded = known(expanded, total)
     ends = lambda cols: edges.join(
         expanded.select(*[F.col(n).alias(c) for n, c in zip(node, cols)]), list(cols), "left_semi")
     if direction == "DOWN":

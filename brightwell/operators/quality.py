@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from brightwell.functions.values import DECIMAL, count_when, decimal_value, ratio
@@ -16,6 +16,7 @@ from brightwell.functions.values import DECIMAL, count_when, decimal_value, rati
 WARNING_DEDUCT, SEVERE_DEDUCT, BAD_THRESHOLD = 10, 30, 60
 EXCELLENT_FROM, GOOD_FROM = 85, 75
 LEVELS = ("PASS", "WARNING", "SEVERE", "UNAVAILABLE")
+PARALLEL_CHECKS = 4
 
 DETAIL_SCHEMA = T.StructType([
     T.StructField("rule_id", T.LongType()), T.StructField("result_value", T.DecimalType(20, 6)),
@@ -137,11 +138,24 @@ def _fused(df: DataFrame, rules: Iterable[Rule]) -> tuple[list[tuple[Rule, Colum
     return good, bad
 
 
+def _single_value(spark: SparkSession, tables: Mapping[str, DataFrame], rule: Rule) -> tuple:
+    """The one value of a statement or Python check; any failure is that rule's own."""
+    try:
+        if rule.kind == "PYTHON":
+            value = python_rule(tables[rule.table], rule.check, rule.metric)
+        else:
+            named = {n: t for n, t in tables.items() if "{" + n + "}" in rule.sql}
+            value = custom_sql(spark, rule.sql, rule.metric, **named)
+        return (rule.rule_id, _number(value), True, None)
+    except Exception as error:  # user code may raise anything
+        return (rule.rule_id, None, False, str(error).split("\n")[0])
+
+
 def run_rules(spark: SparkSession, tables: Mapping[str, DataFrame], rules: Iterable[Rule]) -> DataFrame:
     """One graded detail row per rule.
 
     All template rules of a table become one aggregation, hence one scan of the columns they name, instead of one
-    query per rule. Statements and Python checks return one value each and run on their own, so a failing one makes
+    query per rule. Statements and Python checks return one value each and run side by side, so a failing one makes
     only its own row UNAVAILABLE.
     """
     rules = list(rules)
@@ -159,16 +173,10 @@ def run_rules(spark: SparkSession, tables: Mapping[str, DataFrame], rules: Itera
                 "result_value"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
                 for r, _ in good]
             frames.append(wide.select(F.inline(F.array(*entries))))
-    for rule in (r for r in rules if r.kind in ("CUSTOM_SQL", "PYTHON")):
-        try:
-            if rule.kind == "PYTHON":
-                value = python_rule(tables[rule.table], rule.check, rule.metric)
-            else:
-                named = {n: t for n, t in tables.items() if "{" + n + "}" in rule.sql}
-                value = custom_sql(spark, rule.sql, rule.metric, **named)
-            single.append((rule.rule_id, _number(value), True, None))
-        except (PySparkException, ValueError, KeyError, ArithmeticError, TypeError) as error:
-            single.append((rule.rule_id, None, False, str(error).split("\n")[0]))
+    free = [r for r in rules if r.kind in ("CUSTOM_SQL", "PYTHON")]
+    if free:
+        with ThreadPoolExecutor(max_workers=PARALLEL_CHECKS) as pool:
+            single += list(pool.map(lambda r: _single_value(spark, tables, r), free))
     if single:
         frames.append(spark.createDataFrame(single, DETAIL_SCHEMA))
     limits = spark.createDataFrame(
