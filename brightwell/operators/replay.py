@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from brightwell.plans.bounded import small
 from brightwell.plans.carried_scan import carried_scan
-from brightwell.plans.joins import null_safe_join
 
 # Windows, thresholds and waits of the live rules.
 RATE_WINDOW_S = 60
@@ -78,9 +77,11 @@ def _sliding(rows: DataFrame, keys: list[str], ts: str, order: str, out: str, st
     timed = rows.withColumn("moment", moment)
     moments = timed.groupBy(*keys, *carried, "moment").agg(F.count("*").alias("calls"))
     scanned = carried_scan(moments, keys, "moment", "moment", step, settle, "passed bigint", **plan)
-    cell = Window.partitionBy(*keys, "moment").orderBy(order)
-    ranked = timed.withColumn("turn", F.row_number().over(cell))
-    joined = null_safe_join(ranked, scanned.select(*keys, "moment", "passed"), [*keys, "moment"])
+    # Inside a struct null keys are equal, and rank and join share one shuffle on it.
+    cell = F.struct(*keys, "moment").alias("cell")
+    turn = F.row_number().over(Window.partitionBy("cell").orderBy(order))
+    ranked = timed.select(*rows.columns, cell).withColumn("turn", turn)
+    joined = ranked.join(scanned.select(cell, "passed"), "cell")
     return joined.select(*rows.columns, (F.col("turn") <= F.col("passed")).alias(out))
 
 

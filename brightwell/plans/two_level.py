@@ -13,7 +13,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightwell.plans.chunks import TARGET_ROWS, split_by_density
-from brightwell.plans.joins import null_safe_join
+
+
+def _celled(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Key and chunk as one struct: null keys are equal inside it, and windows and joins share one shuffle on it."""
+    return rows.withColumn("cell", F.struct(*keys, "chunk"))
+
+
+def _along(keys: Sequence[str], *more: str) -> Window:
+    """The chunks of a key in order."""
+    return Window.partitionBy(*[F.col(f"cell.{k}") for k in keys], *more).orderBy("cell.chunk")
 
 
 def previous_value(rows: DataFrame, keys: Sequence[str], ts: str, order: str, value: Column, name: str,
@@ -26,15 +35,14 @@ def previous_value(rows: DataFrame, keys: Sequence[str], ts: str, order: str, va
         along = Window.partitionBy(*keys).orderBy(ts, order)
         parts.append(quiet.select(*rows.columns, F.lag(value).over(along).alias(name)))
     if dense is not None:
-        cells = [*keys, "chunk"]
-        marked = dense.withColumn("current_value", value)
-        inside = Window.partitionBy(*cells).orderBy(ts, order)
+        marked = _celled(dense, keys).withColumn("current_value", value)
+        inside = Window.partitionBy("cell").orderBy(ts, order)
         near = marked.withColumns({"nearby": F.lag("current_value").over(inside),
                                    "leads": F.row_number().over(inside) == 1})
-        last = marked.groupBy(*cells).agg(F.max_by("current_value", F.struct(ts, order)).alias("last_value"))
-        carried = last.select(*cells, F.lag("last_value").over(Window.partitionBy(*keys).orderBy("chunk")).alias("carried"))
+        last = marked.groupBy("cell").agg(F.max_by("current_value", F.struct(ts, order)).alias("last_value"))
+        carried = last.select("cell", F.lag("last_value").over(_along(keys)).alias("carried"))
         picked = F.when(F.col("leads"), F.col("carried")).otherwise(F.col("nearby"))
-        parts.append(null_safe_join(near, carried, cells).select(*rows.columns, picked.alias(name)))
+        parts.append(near.join(carried, "cell").select(*rows.columns, picked.alias(name)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -57,16 +65,15 @@ def streaks(rows: DataFrame, keys: Sequence[str], ts: str, order: str, condition
         length = F.col("position") - F.coalesce("last_reset", F.lit(0))
         parts.append(_spells(quiet, keys, ts, order).select(*rows.columns, length.cast("bigint").alias(name)))
     if dense is not None:
-        cells = [*keys, "chunk"]
-        near = _spells(dense, cells, ts, order)
-        cell = near.groupBy(*cells).agg(F.count("*").alias("n"), F.max("last_reset").alias("reset"))
+        near = _spells(_celled(dense, keys), ["cell"], ts, order)
+        cell = near.groupBy("cell").agg(F.count("*").alias("n"), F.max("last_reset").alias("reset"))
         cell = cell.withColumn("tail", F.col("n") - F.coalesce("reset", F.lit(0)))
-        along = Window.partitionBy(*keys).orderBy("chunk")
+        along = _along(keys)
         # Chunks with a reset so far: a new spell starts at each of them.
         cell = cell.withColumn("spell", F.count("reset").over(along)).withColumn(
-            "running", F.sum("tail").over(Window.partitionBy(*keys, "spell").orderBy("chunk")))
-        carried = cell.select(*cells, F.coalesce(F.lag("running").over(along), F.lit(0)).alias("carried"))
+            "running", F.sum("tail").over(_along(keys, "spell")))
+        carried = cell.select("cell", F.coalesce(F.lag("running").over(along), F.lit(0)).alias("carried"))
         length = F.when(F.col("last_reset").isNull(), F.col("position") + F.col("carried")).otherwise(
             F.col("position") - F.col("last_reset"))
-        parts.append(null_safe_join(near, carried, cells).select(*rows.columns, length.cast("bigint").alias(name)))
+        parts.append(near.join(carried, "cell").select(*rows.columns, length.cast("bigint").alias(name)))
     return reduce(DataFrame.unionByName, parts)
