@@ -53,8 +53,9 @@ SELECT DISTINCT task_id, concat('task_', CAST(task_id AS STRING)) AS task_name,
   task_id % 8 <> 0 AS enabled FROM exec_history"""
 
 VIEWS["queue"] = """
-SELECT n_regionkey AS queue_id, CASE WHEN n_regionkey = 1 THEN NULL ELSE CAST(400 + n_regionkey * 60 AS INT) END AS capacity,
-  COUNT(*) AS size FROM nation GROUP BY n_regionkey"""
+SELECT queue_id, CASE WHEN queue_id = 1 THEN NULL ELSE CAST(FLOOR(COUNT(*) / 10) AS INT) END AS capacity
+  FROM run_log GROUP BY queue_id
+UNION ALL SELECT CAST(r_regionkey + 90 AS BIGINT) AS queue_id, CAST(7 AS INT) AS capacity FROM region"""
 
 VIEWS["run_node"] = """
 SELECT l_orderkey AS run_id, l_linenumber AS node_no,
