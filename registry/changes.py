@@ -51,7 +51,7 @@ def _(lake):
     return _drained(lake, "events", _events(StreamLake(lake.spark, lake.folder)))
 
 
-@R.query("f2_pipeline_of_topic", f"""WITH {EVENT.strip()} SELECT seq, topic, CAST(substr(topic, 12) AS BIGINT) AS pipeline_id FROM n
+@R.query("f2_change_stream_of_topic", f"""WITH {EVENT.strip()} SELECT seq, topic, CAST(substr(topic, 12) AS BIGINT) AS pipeline_id FROM n
 WHERE topic LIKE 'cdc-events-%'""")
 def _(lake):
     return ops.with_pipeline(_events(lake)).select("seq", "topic", "pipeline_id")
