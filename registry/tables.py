@@ -139,9 +139,10 @@ def _(lake):
     return preview.truncated(lake("orders").select("o_orderkey", "o_totalprice"), 200, [F.col("o_orderkey")])
 
 
-@R.query("a10_complete_result", "SELECT *, FALSE AS truncated FROM nation")
+@R.query("a10_complete_result", """
+SELECT o_orderpriority, COUNT(*) AS orders, FALSE AS truncated FROM orders GROUP BY o_orderpriority""")
 def _(lake):
-    return preview.truncated(lake("nation"), 25)
+    return preview.truncated(lake("orders").groupBy("o_orderpriority").agg(F.count("*").alias("orders")), 5)
 
 
 @R.query("a11_csv_export", """
