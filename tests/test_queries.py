@@ -10,8 +10,13 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as contract  # noqa: E402
 from oracle_check import compare, connect  # noqa: E402
 
+from registry.catalogue import all_queries  # noqa: E402
+
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, CHECKS = contract.queries(), contract.oracle_sql()
+#: The queries of this registry; those of the optional subpackage are tested with it.
+OWN = all_queries()
+QUERIES = {name: build for name, build in contract.queries().items() if name in OWN}
+CHECKS = {name: sql for name, sql in contract.oracle_sql().items() if name in OWN}
 
 
 @pytest.fixture(scope="module")
