@@ -8,8 +8,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, types as T
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+#: A batch on its way to or from a task; a single longer row makes a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def worker_state(key: str, build: Callable[[], object]):
@@ -26,7 +30,7 @@ def worker_state(key: str, build: Callable[[], object]):
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches by rows into parts whose text takes about ``limit`` bytes, or one longer row each."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         if not len(sizes):
             continue
         part = (np.cumsum(sizes, dtype=np.int64) - 1) // limit
@@ -35,6 +39,12 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             yield batch.slice(start, end - start)
 
 
+def map_batches(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes, for rows that hold whole texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return ["" if text is None else text for text in batch.column(column).to_pylist()]
 
@@ -96,21 +106,25 @@ class Spelled:
     Two generations of at most about ``limit`` words each are kept, so words in use stay and memory is bounded.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int = 300_000):
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int = 150_000):
         self.compute, self.limit = compute, limit
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def lookup(self, words: set[str]) -> dict[str, bytes]:
-        """A table that holds at least ``words``."""
+    def joined(self, texts: list[list[str]]) -> list[bytes]:
+        """For each list of words their bytes one after another."""
         if len(self.recent) > self.limit:
             self.recent, self.older = {}, self.recent
-        new = words.difference(self.recent)
-        if new and self.older:
-            again = [x for x in new if x in self.older]
-            self.recent.update((x, self.older[x]) for x in again)
+        recent = self.recent
+        found = [list(map(recent.get, words)) for words in texts]
+        gaps = [k for k, spelled in enumerate(found) if None in spelled]
+        if gaps:
+            new = {word for k in gaps for word, spelled in zip(texts[k], found[k]) if spelled is None}
+            again = [word for word in new if word in self.older]
+            recent.update((word, self.older[word]) for word in again)
             new.difference_update(again)
-        if new:
             new = list(new)
-            self.recent.update(zip(new, self.compute(new)))
-        return self.recent
+            recent.update(zip(new, self.compute(new)))
+            for k in gaps:
+                found[k] = map(recent.__getitem__, texts[k])
+        return [b"".join(spelled) for spelled in found]

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from brightwell.llm.batches import pieces
+from brightwell.llm.batches import map_batches, pieces
 from brightwell.llm.shared import written
 
 CHUNK = 4096
@@ -84,7 +84,7 @@ def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ["doc_id", "n_chars", "n_bytes", "high", "low", "text_sha256"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_chars long, n_bytes long, high long, low long, text_sha256 string")
+    return map_batches(rows, run, "doc_id long, n_chars long, n_bytes long, high long, low long, text_sha256 string")
 
 
 KEY = ["n_bytes", "high", "low"]
@@ -104,7 +104,7 @@ def chunks(df: DataFrame, text_col: str = "text", bases: tuple[int, ...] = BASES
                                              [*KEY, "place", "chunk"])
 
     rows = df.select(F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "n_bytes long, high long, low long, place long, chunk binary")
+    return map_batches(rows, run, "n_bytes long, high long, low long, place long, chunk binary")
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bases: tuple[int, ...] = BASES,
@@ -154,7 +154,7 @@ def _by_text(df: DataFrame, prints: DataFrame, clashes: DataFrame, id_col: str,
                 ["doc_id", "n_chars", *KEY, "text_sha256", "exact"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    full = rows.mapInArrow(run, "doc_id long, n_chars long, n_bytes long, high long, low long, text_sha256 string, "
+    full = map_batches(rows, run, "doc_id long, n_chars long, n_bytes long, high long, low long, text_sha256 string, "
                                 "exact binary").join(clashes, KEY, "left_semi")
     rest = prints.join(clashes, KEY, "left_anti").withColumn("exact", F.lit(None).cast("binary"))
     return rest.unionByName(full)

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from brightwell.llm.batches import pieces
+from brightwell.llm.batches import map_batches, pieces
 
 #: Fixed values of HTML: elements that are no part of a line of text, whose content is no text, and that hold no content.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
@@ -284,4 +284,4 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                      F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(rows, run, "page_id long, url string, text string, n_chars long")

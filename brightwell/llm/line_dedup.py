@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from brightwell.llm.batches import lists, pieces
+from brightwell.llm.batches import lists, map_batches, pieces
 from brightwell.llm.shared import written
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -151,7 +151,7 @@ def suspects(df: DataFrame, text_col: str, segments: int, least_bits: int = 1 <<
                 [pa.array([segment], type=pa.int32()), pa.array([bloom.bits], type=pa.int64()),
                  pa.array([bloom.data.tobytes()], type=pa.binary())], ["segment", "bits", "data"])
 
-    sent = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(
+    sent = map_batches(df.select(F.col(text_col).cast("string").alias("text")),
         local, "segment int, hashes binary, marks binary")
     merged = sent.repartition(segments, "segment").mapInArrow(merge, "segment int, bits long, data binary")
     return Suspects({r.segment: Bloom(r.bits, bytes(r.data)) for r in merged.toLocalIterator()}, segments)
@@ -182,7 +182,7 @@ def repeated_lines(df: DataFrame, found: Suspects, id_col: str, text_col: str) -
                  pa.array(at, type=pa.list_(pa.int32()))], ["doc_id", "key", "places"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = written(rows.mapInArrow(suspect, "doc_id long, key binary, places array<int>"), "suspects")
+    lines = written(map_batches(rows, suspect, "doc_id long, key binary, places array<int>"), "suspects")
     shared = (lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
               .filter("first < last").select(F.col("key").alias("shared_key"), "first"))
     lost = lines.join(shared, F.col("key") == F.col("shared_key")).filter("doc_id > first")
@@ -219,4 +219,4 @@ def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str
                  pa.array(dropped, type=pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
 
     joined = rows.join(lost, F.col("doc_id") == F.col("lost_id"), "left").select("doc_id", "text", "lines")
-    return joined.mapInArrow(rebuild, "doc_id long, text string, n_lines long, n_dropped long")
+    return map_batches(joined, rebuild, "doc_id long, text string, n_lines long, n_dropped long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from sentencepiece import SentencePieceProcessor
 
-from brightwell.llm.batches import Spelled, lists, pieces, spread, texts_of, worker_state
+from brightwell.llm.batches import Spelled, lists, map_batches, pieces, spread, texts_of, worker_state
 
 BLANK = "▁"
 NO_PAIR = np.iinfo(np.int32).max
@@ -202,9 +202,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers; an empty text has none."""
-        parts = [words_of(x) for x in texts]
-        known = self.words.lookup(set().union(*parts))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        return self.words.joined([words_of(x) for x in texts])
 
 
 def words_of(text: str) -> list[str]:
@@ -236,7 +234,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return map_batches(rows, run, "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -251,7 +249,7 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
                                                  ["doc_id", "ids", "text"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return map_batches(rows, run, "doc_id long, ids array<int>, text string")
 
 
 def round_trip_digests(df: DataFrame, model_path: str) -> DataFrame:

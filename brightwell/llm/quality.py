@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brightwell.llm.batches import pieces, texts_of
+from brightwell.llm.batches import map_batches, pieces, texts_of
 
 STATISTICS = ("bytes_log", "words_log", "word_length", "upper", "lower", "digit", "blank", "punctuation", "symbol",
               "other_bytes", "distinct_words", "repeats_next", "longest_run", "lines_log", "line_length",
@@ -127,7 +127,7 @@ def with_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                              ["doc_id", "statistics"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(measure, "doc_id long, statistics array<double>")
+    return map_batches(rows, measure, "doc_id long, statistics array<double>")
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str, learn: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -158,7 +158,7 @@ def score(df: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.scores(rows))], ["doc_id", "score"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(rate, "doc_id long, score double")
+    return map_batches(rows, rate, "doc_id long, score double")
 
 
 def keep_scored(df: DataFrame, forest: Forest, least: float, text_col: str = "text") -> DataFrame:
@@ -172,4 +172,4 @@ def keep_scored(df: DataFrame, forest: Forest, least: float, text_col: str = "te
             rows = np.array([statistics(x) for x in texts_of(part, text_col)])
             yield part.filter(pa.array(own.scores(rows) >= least))
 
-    return df.mapInArrow(choose, schema)
+    return map_batches(df, choose, schema)

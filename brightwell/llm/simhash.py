@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from brightwell.llm.batches import pieces
+from brightwell.llm.batches import map_batches, pieces
 from brightwell.llm.shared import written
 from brightwell.plans.lineage_cut import cut_lineage
 
@@ -59,7 +59,7 @@ def with_fingerprints(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "code"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, code long")
+    return map_batches(rows, run, "doc_id long, code long")
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +21,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from brightwell.llm.batches import Spelled, lists, pieces, texts_of, worker_state
+from brightwell.llm.batches import lists, map_batches, pieces, texts_of, worker_state
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
+KEPT_SEGMENTS = 450_000
 STORED = "doc_id long, shard int, local_start long, n_tokens int, tokens array<int>"
 
 
-#: Fixed values of the byte-level vocabulary: its splitting pattern, and the bytes that stand for themselves.
+#: The splitting pattern of the byte-level vocabulary, white space besides blank and line feed, and the
+#: bytes that stand for themselves.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+RARE_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a" \
+    "\u2028\u2029\u202f\u205f\u3000"
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
+class Segments(dict):
+    """Ids of segments, spelt when first asked for. Two generations of about ``limit`` are kept: memory is bounded."""
+
+    def __init__(self, spell: Callable[[str], bytes], limit: int = KEPT_SEGMENTS):
+        super().__init__()
+        self.spell, self.limit, self.older = spell, limit, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.spell(word)
+        self[word] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
+
 class SegmentEncoder:
     """Ids of whole texts by the tokenizers library, whose model is asked once for each distinct part of a word.
 
@@ -50,42 +74,44 @@ class SegmentEncoder:
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         others = iter(range(256, 512))
         self.spelling = {b: chr(b) if b in PRINTED else chr(next(others)) for b in range(256)}
+        self.little = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.split = regex.compile(PATTERN)
         self.lone = re.compile(r"(?<=\S) (?=\S)")
-        self.irregular = re.compile(r"\s\s")
-        self.segments, self.parts = Spelled(self._segments), Spelled(self._parts)
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        tokenize, spelling = self.model.tokenize, self.spelling
-        return [b"".join([t.id.to_bytes(4, "little") for t in
-                          tokenize(part.encode("utf-8").decode("latin-1").translate(spelling))]) for part in parts]
-
-    def _segments(self, segments: list[str]) -> list[bytes]:
-        split = []
-        for word in segments:
-            if word.isalpha():
-                split.append((" " + word,))
-            elif word[-1:] in (".", ",") and word[:-1].isalpha():
-                split.append((" " + word[:-1], word[-1]))
-            else:
-                split.append(None if self.special.search(word) else self.split.findall(" " + word))
-        known = self.parts.lookup({x for parts in split if parts for x in parts})
-        return [self._whole([" " + word])[0] if parts is None else b"".join([known[x] for x in parts])
-                for word, parts in zip(segments, split)]
+        self.runs = re.compile(r"\s\s")
+        self.marks = {mark: self._part(mark) for mark in ".,"}
+        self.segments = Segments(self._segment)
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        spelt = part.encode("utf-8").decode("latin-1").translate(self.spelling)
+        return b"".join([self.little[t.id] for t in self.model.tokenize(spelt)])
+
+    def _segment(self, word: str) -> bytes:
+        """Ids of a segment, given without its blank. Most are a word, or a word and a mark, which are parted at once."""
+        if word.isalpha():
+            return self._part(" " + word)
+        if word[-1:] in self.marks and word[:-1].isalpha():
+            return self.segments[word[:-1]] + self.marks[word[-1]]
+        if self.special.search(word):
+            return self._whole(" " + word)
+        return b"".join(map(self._part, self.split.findall(" " + word)))
+
+    def irregular(self, text: str) -> bool:
+        """Whether a blank stands at an end of the text or next to other white space."""
+        if text[:1].isspace() or text[-1:].isspace() or "  " in text or " \n" in text or "\n " in text:
+            return True
+        return any(c in text for c in RARE_SPACE) and self.runs.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        parts = []
-        for text in texts:
-            odd = self.irregular.search(text) or text[:1].isspace() or text[-1:].isspace()
-            parts.append(self.lone.split(text) if odd else text.split(" "))
-        known = self.segments.lookup(set().union(*(p[1:] for p in parts)))
-        heads = self._whole([p[0] for p in parts])
-        return [b"".join((head, *map(known.__getitem__, p[1:]))) for head, p in zip(heads, parts)]
+        parts = [self.lone.split(x) if self.irregular(x) else x.split(" ") for x in texts]
+        heads = [p.pop(0) for p in parts]
+        heads = [self._part(x) if x.isalpha() else self._whole(x) for x in heads]
+        self.segments.turn()
+        known = self.segments.__getitem__
+        return [head + b"".join(map(known, p)) for head, p in zip(heads, parts)]
 
 
 def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -112,7 +138,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer_path: str, id_col: str =
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    (rows.mapInArrow(encode, STORED).write
+    (map_batches(rows, encode, STORED).write
      .option("parquet.writer.version", "PARQUET_2_0")
      .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
      .option("parquet.enable.dictionary", "true")
@@ -157,5 +183,5 @@ def token_digests(rows: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), batch.column("start"), batch.column("n_tokens").cast(pa.int64()),
                  pa.array(sums, type=pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "n_tokens", "tokens").mapInArrow(
-        digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(rows.select("doc_id", "start", "n_tokens", "tokens"), digest,
+                       "doc_id long, start long, n_tokens long, ids_crc32 long")

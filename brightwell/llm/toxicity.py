@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brightwell.llm.batches import Numbered, pieces, spread, texts_of
+from brightwell.llm.batches import Numbered, map_batches, pieces, spread, texts_of
 
 SHORTEST, LONGEST = 3, 6
 #: Bounds of the sample that the model is fitted on.
@@ -91,11 +91,11 @@ def window_means(sums: np.ndarray, counts: np.ndarray, window: int) -> np.ndarra
 
 
 def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int = 16, window: int = 3,
-          epochs: int = 14, rate: float = 2.0, seed: int = 7) -> SubwordModel:
+          steps: int = 2_000, rate: float = 2.0, least_docs: int = 3, seed: int = 7) -> SubwordModel:
     """Fits embeddings and softmax jointly by gradient steps on one window per document and epoch.
 
     The first epochs take windows at random, the others the window with the highest score; clean documents always add a
-    random one, which keeps common n-grams neutral. With no rows, or a single label, the score is a constant.
+    random one, which keeps common n-grams neutral. There are about ``steps`` steps of 64 windows. With no rows, or a single label, the score is a constant.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, dtype=np.float64)
@@ -113,12 +113,20 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int
     flat = np.fromiter((vocabulary[w] for words in split for w in words), dtype=np.int64)
     sizes = np.fromiter(map(len, split), dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
-    embedding = rng.normal(0, 0.05, (len(used), dim))
+    # N-grams of fewer documents say too little to be learnt; their vectors stay zero.
+    in_doc = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(vocabulary) + flat)
+    words_in, docs_in = in_doc % len(vocabulary), in_doc // len(vocabulary)
+    each = counts[words_in]
+    pairs = np.unique(np.repeat(docs_in, each) * len(used) + grams[spread(gram_starts[words_in], each)])
+    known = (np.bincount(pairs % len(used), minlength=len(used)) >= least_docs).astype(np.float64)[:, None]
+    embedding = rng.normal(0, 0.05, (len(used), dim)) * known
     softmax = rng.normal(0, 0.5, (dim, 2))
     bias = np.zeros(2)
     one_hot = np.stack([1 - y, y], axis=1)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)  # both labels count alike
     positions = np.maximum(sizes - window, 0) + 1
+    batches = max(1, int(len(y) + (y == 0).sum()) // 64)
+    epochs = max(6, -(-steps // batches))
 
     def hardest() -> np.ndarray:
         per_gram = embedding @ (softmax[:, 1] - softmax[:, 0])
@@ -133,7 +141,7 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int
         first = np.concatenate([top, (rng.random(len(sizes)) * positions).astype(np.int64)[y == 0]])
         order = rng.permutation(len(docs))
         step = rate * (1 - epoch / epochs)
-        for batch in np.array_split(order, max(1, len(order) // 64)):
+        for batch in np.array_split(order, batches):
             d, f = docs[batch], first[batch]
             words_each = np.minimum(sizes[d], window)
             words = flat[spread(starts[d] + f, words_each)]
@@ -149,7 +157,7 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int
             back = (error @ softmax.T) / number[:, None]
             softmax -= step * hidden.T @ error
             bias -= step * error.sum(axis=0)
-            np.subtract.at(embedding, ids, step * len(d) * back[owner])
+            np.subtract.at(embedding, ids, step * len(d) * back[owner] * known[ids])
     weights = np.zeros(buckets, dtype=np.float32)
     weights[used] = embedding @ (softmax[:, 1] - softmax[:, 0])
     return SubwordModel(weights, float(bias[1] - bias[0]), window)
@@ -193,4 +201,4 @@ def score(df: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "score"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(rate, "doc_id long, score double")
+    return map_batches(rows, rate, "doc_id long, score double")
