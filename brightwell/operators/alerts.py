@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from brightwell.functions.values import count_when, ntz
-from brightwell.plans.bounded import small
 
 # Alert types by weight in the summary, and alert levels.
 ALERT_TYPES = ("FAILURE", "TIMEOUT", "LAG_EXCEEDED", "EXTERNAL_STOP", "SUCCESS")
@@ -48,7 +47,7 @@ def merge_batch_alerts(details: DataFrame, batches: DataFrame, jobs: DataFrame)
     alerted, without details, or of jobs without an alert level give nothing. Lines are ordered by detail id.
     """
     alerting = jobs.filter(F.trim(F.coalesce("alert_level", F.lit(""))) != "").select("job_id", "alert_level")
-    pending = batches.filter(~F.coalesce(F.col("alert_sent"), F.lit(False))).join(small(alerting), "job_id")
+    pending = batches.filter(~F.coalesce(F.col("alert_sent"), F.lit(False))).join(alerting, "job_id")
     level = F.col("result_level")
     findings = (level == "SEVERE") | ((level == "WARNING") & (F.upper("alert_level") != SEVERE_ONLY))
     line = F.concat(F.lit("["), level, F.lit("] "), F.col("rule_name"),

@@ -12,12 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brightwell.functions.values import ago, count_when, escaped_contains, ntz
 from brightwell.operators.runs import latest_by
-from brightwell.plans.bounded import small
 from brightwell.plans.lineage_cut import cut_lineage
 
-# Search scores, caps and look-back periods.
+# Search scores and look-back periods.
 SCORES = {"table_name": 100, "prefix_bonus": 20, "comment": 60, "column": 40, "tag": 40, "owner": 20}
-KEYWORD_LENGTH, SEARCH_CAP, PATH_CAP, HOT_CAP = 100, 200, 100, 50
 HEAT_DAYS, NEW_DAYS = 30, 7
 SOURCE_RANK = {"BUILTIN": 3, "EXTERNAL": 2, "MANUAL": 1}
 
@@ -27,9 +25,9 @@ def _online() -> Column:
 
 
 def clean_keyword(keyword: str | None) -> str | None:
-    """Trimmed and cut to the limit; nothing for blanks and bare wildcards."""
+    """Trimmed; nothing for blanks and bare wildcards."""
     text = (keyword or "").strip()
-    return text[:KEYWORD_LENGTH] if text.strip("%_ ") else None
+    return text if text.strip("%_ ") else None
 
 
 def column_hits(columns: DataFrame, keyword: str) -> DataFrame:
@@ -45,42 +43,54 @@ def _mentions(df: DataFrame, keyword: str, *names: str) -> Column:
 
 
 def search(tables: DataFrame, columns: DataFrame, tags: DataFrame, table_tags: DataFrame, owners: DataFrame,
-           keyword: str | None, cap: int | None = SEARCH_CAP) -> DataFrame:
-    """ONLINE tables that mention the keyword, scored by the strongest place it occurs in.
+           keyword: str | None, n: int | None = None) -> DataFrame:
+    """ONLINE tables that mention the keyword, scored by the strongest place it occurs in; the first ``n`` if given.
 
-    Name and comment are tested in the scan of the tables; columns, tags and owners become distinct id sets that are
-    joined as flags, so each table row is produced once and never multiplied by its columns or tags.
+    Every place gives (table, score) hits; their maximum per table is joined to the tables once. Narrow ``tables``
+    beforehand, by :func:`narrowed`, to search within a datasource, a health level or the tables granted.
     """
     word = clean_keyword(keyword)
     shown = ["table_id", "table_name", "datasource_id", "database_name"]
+    online = tables.filter(_online())
     if word is None:
-        return tables.select(*shown, F.lit(0).alias("score")).limit(0)
-    flag = lambda ids, name: ids.withColumn(name, F.lit(True))
-    tagged = table_tags.join(small(tags.filter(escaped_contains(F.col("tag_name"), word))), "tag_id", "left_semi").select(
-        "table_id").distinct()
-    people = owners.filter(escaped_contains(F.col("user_name"), word)).select(
-        F.col("user_id").alias("owner_user_id")).distinct()
-    name, lower = F.lower("table_name"), word.lower()
-    marked = tables.filter(_online()).select(
-        *shown, "owner_user_id", escaped_contains(F.col("table_name"), word).alias("in_name"),
-        name.startswith(lower).alias("leads"), _mentions(tables, word, "table_comment", "manual_comment").alias("in_comment"),
-    ).join(flag(column_hits(columns, word), "in_column"), "table_id", "left").join(
-        flag(tagged, "in_tag"), "table_id", "left").join(small(flag(people, "in_owner")), "owner_user_id", "left")
-    score = (F.when(F.col("in_name"), F.when(F.col("leads"), SCORES["table_name"] + SCORES["prefix_bonus"]).otherwise(
-        SCORES["table_name"])).when(F.col("in_comment"), SCORES["comment"]).when(F.col("in_column"), SCORES["column"])
-        .when(F.col("in_tag"), SCORES["tag"]).when(F.col("in_owner"), SCORES["owner"]))
-    found = marked.select(*shown, score.alias("score")).filter(F.col("score").isNotNull())
-    return found if cap is None else found.orderBy(F.desc("score"), "table_name", "table_id").limit(cap)
-
-
-def path_search(tables: DataFrame, keyword: str | None, cap: int = PATH_CAP) -> DataFrame:
+        return online.select(*shown, F.lit(0).alias("score")).limit(0)
+    hit = lambda ids, score: ids.select("table_id", F.lit(score).alias("score"))
+    named = F.when(F.lower("table_name").startswith(word.lower()), SCORES["table_name"] + SCORES["prefix_bonus"]).when(
+        escaped_contains(F.col("table_name"), word), SCORES["table_name"]).when(
+        _mentions(tables, word, "table_comment", "manual_comment"), SCORES["comment"])
+    direct = online.select("table_id", named.alias("score")).filter(F.col("score").isNotNull())
+    tagged = table_tags.join(tags.filter(escaped_contains(F.col("tag_name"), word)).select("tag_id"), "tag_id", "left_semi")
+    people = owners.filter(escaped_contains(F.col("user_name"), word)).select(F.col("user_id").alias("owner_user_id"))
+    owned = online.select("table_id", "owner_user_id").join(people, "owner_user_id", "left_semi")
+    hits = direct.unionByName(hit(column_hits(columns, word), SCORES["column"])).unionByName(
+        hit(tagged, SCORES["tag"])).unionByName(hit(owned, SCORES["owner"]))
+    best = hits.groupBy("table_id").agg(F.max("score").alias("score"))
+    found = online.select(*shown).join(best, "table_id").select(*shown, "score")
+    return found if n is None else found.orderBy(F.desc("score"), "table_name", "table_id").limit(n)
+
+
+def path_search(tables: DataFrame, keyword: str | None, n: int | None = None) -> DataFrame:
+    """ONLINE tables whose database, schema or name mentions the keyword, in order of the path; the first ``n`` if given."""
     word = clean_keyword(keyword)
     path = ["datasource_id", "database_name", "schema_name", "table_name"]
     if word is None:
         return tables.select("table_id", *path).limit(0)
     hit = _mentions(tables, word, "database_name", "schema_name", "table_name")
-    return tables.filter(_online() & hit).select("table_id", *path).orderBy(
-        "datasource_id", "database_name", F.coalesce("schema_name", F.lit("")), "table_name", "table_id").limit(cap)
+    found = tables.filter(_online() & hit).select("table_id", *path)
+    if n is None:
+        return found
+    return found.orderBy("datasource_id", "database_name", F.coalesce("schema_name", F.lit("")), "table_name",
+                         "table_id").limit(n)
+
+
+def narrowed(tables: DataFrame, datasource_id: int | None = None, health: DataFrame | None = None,
+             health_level: str | None = None, granted: DataFrame | None = None) -> DataFrame:
+    """Tables of one datasource, one health level and the grants of a user, each only if given."""
+    if datasource_id is not None:
+        tables = tables.filter(F.col("datasource_id") == datasource_id)
+    if health_level and health is not None:
+        tables = tables.join(health.filter(F.col("health_level") == health_level).select("table_id"), "table_id", "left_semi")
+    return tables if granted is None else tables.join(granted.select("table_id"), "table_id", "left_semi")
 
 
 def heat(view_log: DataFrame, as_of, days: int = HEAT_DAYS) -> DataFrame:
@@ -88,25 +98,24 @@ def heat(view_log: DataFrame, as_of, days: int = HEAT_DAYS) -> DataFrame:
         F.sum("view_count").alias("view_count"))
 
 
-def browse(tables: DataFrame, scores: DataFrame, view_log: DataFrame, as_of, domain: str | None = None,
-           topic: str | None = None, datasource_id: int | None = None, uncategorized: bool = False,
-           health_level: str | None = None, tagged: DataFrame | None = None, sort: str = "name", page: int = 1,
-           size: int = 20) -> DataFrame:
-    """One page of ONLINE tables under optional filters, sorted by name, latest, score or hot over all of them."""
-    rows = tables.filter(_online())
+def browsed(tables: DataFrame, scores: DataFrame, domain: str | None = None, topic: str | None = None,
+            datasource_id: int | None = None, uncategorized: bool = False, health_level: str | None = None,
+            tagged: DataFrame | None = None, granted: DataFrame | None = None) -> DataFrame:
+    """ONLINE tables under optional filters; count them for the total that goes with a page."""
+    rows = narrowed(tables.filter(_online()), datasource_id, scores, health_level, granted)
     blank = F.trim(F.coalesce("data_domain", F.lit(""))) == ""
     if uncategorized:
         rows = rows.filter(blank)
     else:
         rows = rows.filter(F.col("data_domain") == domain) if domain else rows
         rows = rows.filter(F.col("data_topic") == topic) if topic else rows
-    if datasource_id is not None:
-        rows = rows.filter(F.col("datasource_id") == datasource_id)
-    if health_level:
-        rows = rows.join(scores.filter(F.col("health_level") == health_level).select("table_id"), "table_id", "left_semi")
-    if tagged is not None:
-        rows = rows.join(tagged.select("table_id"), "table_id", "left_semi")
-    rows = rows.select("table_id", "table_name", "data_domain", "data_topic", "updated_at")
+    return rows if tagged is None else rows.join(tagged.select("table_id"), "table_id", "left_semi")
+
+
+def browse(tables: DataFrame, scores: DataFrame, view_log: DataFrame, as_of, sort: str = "name", page: int = 1,
+           size: int = 20, **filters) -> DataFrame:
+    """One page of :func:`browsed`, sorted by name, latest, score or hot over all of them."""
+    rows = browsed(tables, scores, **filters).select("table_id", "table_name", "data_domain", "data_topic", "updated_at")
     scored, views = scores.select("table_id", "score", "health_level"), F.coalesce("view_count", F.lit(0))
     # A page is written once, so the look-ups below do not search the catalogue again.
     cut = lambda df, *order: cut_lineage(df.orderBy(*order, "table_name", "table_id").offset(
@@ -155,7 +164,7 @@ def tag_cloud(tags: DataFrame, table_tags: DataFrame) -> DataFrame:
 
 def tags_by_table(tags: DataFrame, table_tags: DataFrame) -> DataFrame:
     """Sorted tag names per table; a set, so its length is bounded by the tag list."""
-    return table_tags.join(small(tags), "tag_id").groupBy("table_id").agg(
+    return table_tags.join(tags, "tag_id").groupBy("table_id").agg(
         F.sort_array(F.collect_set("tag_name")).alias("tags"))
 
 
@@ -170,8 +179,7 @@ def view_counts(views: DataFrame, ts: str = "ts") -> DataFrame:
 
 def hot_tables(view_log: DataFrame, tables: DataFrame, as_of, n: int = 10, days: int = HEAT_DAYS) -> DataFrame:
     online = tables.filter(_online()).select("table_id", "table_name")
-    return heat(view_log, as_of, days).join(online, "table_id").orderBy(F.desc("view_count"), "table_id").limit(
-        min(max(n, 1), HOT_CAP))
+    return heat(view_log, as_of, days).join(online, "table_id").orderBy(F.desc("view_count"), "table_id").limit(n)
 
 
 def asset_totals(tables: DataFrame, as_of, ts: str = "updated_at") -> DataFrame:

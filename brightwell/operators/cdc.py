@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightwell.functions.values import ago, count_when, half_open, ntz
-from brightwell.plans.bounded import small
+from brightwell.plans.topk import top_per_key
 from brightwell.plans.two_level import previous_value, streaks
 
 # Event shape, operation names, topic prefix, thresholds and windows.
@@ -32,7 +32,8 @@ def normalize_cdc(raw: DataFrame, now=None, value: str = "value", message_ts: st
     operation = F.coalesce(*[F.when(F.col("e.op") == k, v) for k, v in OPERATIONS.items()])
     sent = F.coalesce(F.col("e.ts_ms"), F.unix_millis(F.col(message_ts).cast("timestamp")))
     clock = F.unix_millis(F.current_timestamp() if now is None else ntz(now).cast("timestamp"))
-    parsed = raw.withColumn("e", event)
+    # Behind a generator the optimizer keeps one parse: neither the filter nor the columns below copy it.
+    parsed = raw.select("*", F.explode(F.array(event)).alias("e"))
     kept = [c for c in raw.columns if c != value]
     return parsed.select(
         *kept, operation.alias("op_type"), F.col("e.source.table").alias("table"),
@@ -92,21 +93,24 @@ def evolve(target: DataFrame, df: DataFrame) -> DataFrame:
     return target.unionByName(df, allowMissingColumns=True)
 
 
-def minute_metrics(samples: DataFrame, ts: str = "sampled_at") -> DataFrame:
+def minute_metrics(samples: DataFrame, ts: str = "sampled_at", *more: Column) -> DataFrame:
     """One row per pipeline and minute: whole mean and maximum of valid lags, mean of valid throughputs, last counters.
 
-    On a stream call ``withWatermark`` first; on a batch frame any timestamp type will do.
+    On a stream call ``withWatermark`` first; on a batch frame any timestamp type will do. ``more`` are further
+    aggregates, appended under their names.
     """
+
     lag, rate = F.col("lag_seconds"), F.col("records_per_second")
     valid_lag = F.when(lag >= 0, lag)
     last = F.max_by(F.struct("restarts", "total_changes"), F.struct(ts, "total_changes"))
     grouped = samples.groupBy("pipeline_id", F.window(ts, "1 minute").alias("w")).agg(
         F.floor(F.sum(valid_lag) / F.count(valid_lag)).cast("int").alias("lag_avg_seconds"),
         F.max(valid_lag).cast("int").alias("lag_max_seconds"),
-        F.avg(F.when(rate >= 0, rate)).alias("records_per_second_avg"), last.alias("last"))
+        F.avg(F.when(rate >= 0, rate)).alias("records_per_second_avg"), last.alias("last"), *more)
+    extra = grouped.columns[len(grouped.columns) - len(more):]
     return grouped.select("pipeline_id", F.col("w.start").alias("minute_at"), "lag_avg_seconds", "lag_max_seconds",
                           "records_per_second_avg", F.col("last.restarts").alias("restarts"),
-                          F.col("last.total_changes").alias("total_changes"))
+                          F.col("last.total_changes").alias("total_changes"), *extra)
 
 
 def metric_trend(minutes: DataFrame, name: str | None, as_of, pipeline_id: int | None = None) -> DataFrame:
@@ -184,9 +188,8 @@ def subscription_metrics(events: DataFrame, as_of, ts: str = "ts") -> DataFrame:
     later = F.sum("n").over(by_pipeline.orderBy(F.desc("minute"))) - F.col("n")  # one row per minute
     since = minutes.withColumn("later", later).filter(F.col("later") < LATENCY_SAMPLES).groupBy("pipeline_id").agg(
         F.min("minute").alias("since"))
-    recent = sample.join(small(since), "pipeline_id").filter(F.col(ts) >= F.col("since")).drop("since")
-    ranked = recent.withColumn("newest", F.row_number().over(by_pipeline.orderBy(F.desc(ts), F.desc("id"))))
-    sample = ranked.filter(F.col("newest") <= LATENCY_SAMPLES)
+    recent = sample.join(since, "pipeline_id").filter(F.col(ts) >= F.col("since")).drop("since")
+    sample = top_per_key(recent, ["pipeline_id"], [F.desc(ts), F.desc("id")], "id", LATENCY_SAMPLES)
     p95 = sample.groupBy("pipeline_id").agg(
         F.expr(f"percentile_disc({LATENCY_SHARE}) WITHIN GROUP (ORDER BY latency_ms)").cast("bigint").alias("p95_ms"))
     return counts.join(p95, "pipeline_id", "left").select(
@@ -202,9 +205,9 @@ def subscriber_counts(events: DataFrame, as_of, ts: str = "ts") -> DataFrame:
 
 def route_events(events: DataFrame, grants: DataFrame) -> DataFrame:
     """One row per event and subscriber granted its pipeline; events without a subscriber are dropped."""
-    return events.join(small(grants.select("pipeline_id", "key_id").distinct()), "pipeline_id")
+    return events.join(grants.select("pipeline_id", "key_id").distinct(), "pipeline_id")
 
 
 def route_tables(events: DataFrame, mapping: DataFrame) -> DataFrame:
     """Events with their sink table; tables outside the mapping are dropped."""
-    return events.join(small(mapping.select(F.col("source_table").alias("table"), "sink_table").distinct()), "table")
+    return events.join(mapping.select(F.col("source_table").alias("table"), "sink_table").distinct(), "table")

@@ -46,12 +46,16 @@ def type_matches(expected: Column, actual: Column) -> Column:
     return type_fits(parse_type(expected), parse_type(actual))
 
 
+#: Regular expressions are tried one by one on every name; a list longer than this is refused.
+MOST_PATTERNS = 10_000
+
+
 def usable_pattern(spark: SparkSession, pattern: str) -> bool:
     """Whether the engine accepts the pattern; a broken one matches nothing."""
     try:
-        spark.sql("SELECT '' RLIKE :pattern", args={"pattern": _full(pattern)}).collect()
+        spark._jvm.java.util.regex.Pattern.compile(_full(pattern))
         return True
-    except (PySparkException, Py4JError):  # constant folding reports a bad pattern before any job runs
+    except (Py4JError, PySparkException):
         return False
 
 
@@ -59,50 +63,49 @@ def _full(pattern: str) -> str:
     return rf"\A(?:{pattern})\z"
 
 
-def _hit(name: Column, kind: str, value: str | None, spark: SparkSession) -> Column | None:
-    if value is None or not value.strip():
-        return None
-    if kind == "PREFIX":
-        return F.startswith(name, F.lit(value))
-    if kind == "SUFFIX":
-        return F.endswith(name, F.lit(value))
-    if kind == "REGEX" and usable_pattern(spark, value):
-        return name.rlike(_full(value))
-    return None
+def standards_for(rules: DataFrame, kind: str) -> DataFrame:
+    """The enabled standards of one object type."""
+    return rules.filter(F.col("enabled") & (F.col("applies_to") == kind))
 
 
-def enabled_rules(rules: DataFrame) -> dict[str, list]:
-    """The enabled standards per object type in matching order: priority, then age.
+def match_standard(objects: DataFrame, name: str, rules: DataFrame, out: str = "standard_id") -> DataFrame:
+    """Adds the id of the first standard each name meets, by priority then age; null when it meets none.
 
-    Standards are a hand-kept list of settings. They become literal conditions in the plan, so the objects are
-    matched in the scan stage without any join.
+    Names are matched once each. Prefixes and suffixes are equal parts of a name, cut to the lengths that occur among
+    the standards, so they are found by equi-joins. Only regular expressions are compared with every name; their list is
+    counted first and broadcast.
     """
-    chosen = sorted(rules.filter("enabled").collect(), key=lambda r: (-r["priority"], r["id"]))
-    return {kind: [r for r in chosen if r["applies_to"] == kind] for kind in ("TABLE", "COLUMN")}
-
-
-def match_standard(objects: DataFrame, name: str, rules: list, out: str = "standard_id") -> DataFrame:
-    """Adds the id of the first standard each name meets, null when it meets none."""
-    spark, col = objects.sparkSession, F.col(name)
-    hits = []
-    for rule in rules:
-        condition = _hit(col, rule["rule_type"], rule["rule_value"], spark)
-        if condition is not None:
-            hits.append(F.when(condition, F.lit(rule["id"])))
-    chosen = F.coalesce(*hits) if hits else F.lit(None)
-    return objects.withColumn(out, chosen.cast("bigint"))
-
-
-def _described(rules: list, allowed: dict | None = None) -> Column:
-    """The standards offered with a finding, as an array of structs."""
-    fields = "array<struct<standard_name:string,rule_type:string,rule_value:string,allowed_types:array<string>>>"
-    if not rules:
-        return F.array().cast(fields)
-    return F.array(*[F.struct(
-        F.lit(r["name"]).alias("standard_name"), F.lit(r["rule_type"]).alias("rule_type"),
-        F.lit(r["rule_value"]).alias("rule_value"),
-        (F.array(*[F.lit(t) for t in allowed[r["id"]]]) if allowed and r["id"] in allowed else F.lit(None)).cast(
-            "array<string>").alias("allowed_types")) for r in rules]).cast(fields)
+    spark = objects.sparkSession
+    names = objects.select(F.col(name).alias("n")).filter(F.col("n").isNotNull()).distinct()
+    usable = rules.filter(F.trim(F.coalesce("rule_value", F.lit(""))) != "").select("id", "priority", "rule_type", "rule_value")
+    found = []
+    for kind, part in (("PREFIX", F.left), ("SUFFIX", F.right)):
+        fixed = usable.filter(F.col("rule_type") == kind)
+        lengths = [r[0] for r in fixed.select(F.length("rule_value")).distinct().collect()]  # no more than a name is long
+        if lengths:
+            cut = names.select("n", F.explode(F.array(*map(F.lit, sorted(lengths)))).alias("size")).filter(
+                F.length("n") >= F.col("size")).select("n", part(F.col("n"), F.col("size")).alias("rule_value"))
+            found.append(cut.join(fixed, "rule_value").select("n", "id", "priority"))
+    patterns = usable.filter(F.col("rule_type") == "REGEX")
+    listed = patterns.limit(MOST_PATTERNS + 1).collect()
+    if len(listed) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} regular expressions")
+    good = [(r["id"], r["priority"], _full(r["rule_value"])) for r in listed if usable_pattern(spark, r["rule_value"])]
+    if good:
+        side = F.broadcast(spark.createDataFrame(good, "id bigint, priority int, pattern string"))
+        found.append(names.join(side, F.expr("n RLIKE pattern")).select("n", "id", "priority"))
+    if not found:
+        return objects.withColumn(out, F.lit(None).cast("bigint"))
+    hits = reduce(DataFrame.unionByName, found)
+    first = hits.groupBy("n").agg(F.min_by("id", F.struct(-F.col("priority"), "id")).cast("bigint").alias(out))
+    return objects.join(first, objects[name] == first["n"], "left").drop("n")
+
+
+OFFERED = "array<struct<standard_name:string,rule_type:string,rule_value:string,allowed_types:array<string>>>"
+
+
+def _described(allowed: Column) -> Column:
+    return F.struct(F.col("name").alias("standard_name"), "rule_type", "rule_value", allowed.alias("allowed_types"))
 
 
 def object_path(*parts: str) -> Column:
@@ -112,41 +115,42 @@ def object_path(*parts: str) -> Column:
 def compliance_scan(tables: DataFrame, columns: DataFrame, rules: DataFrame, type_standards: DataFrame) -> DataFrame:
     """Findings over ONLINE tables and columns.
 
-    A name that meets no standard is a NAMING finding. A column whose standard points to a type standard must match
-    one of its allowed types, else it is a TYPE finding. ``rules.target_standard_id`` refers to
-    ``type_standards(id, allowed_types)``.
+    A name that meets no standard is a NAMING finding and lists all standards of its object type. A column whose
+    standard points to a type standard must match one of its allowed types, else it is a TYPE finding.
+    ``rules.target_standard_id`` refers to ``type_standards(id, allowed_types)``. Standards stay data: their number
+    changes the size of joins, never the plan.
     """
-    by_kind = enabled_rules(rules)
-    table_rules, column_rules = by_kind["TABLE"], by_kind["COLUMN"]
-    allowed_by_id = {r["id"]: r["allowed_types"] for r in type_standards.collect() if r["allowed_types"]}
-    allowed = {r["id"]: allowed_by_id[r["target_standard_id"]] for r in column_rules
-               if r["target_standard_id"] in allowed_by_id}
-    none = F.lit(None)
-
-    def shape(df, kind, path, violation, actual, expected, applicable):
-        return df.select(
-            "table_id", F.lit(kind).alias("object_type"), path.alias("object_path"), violation.alias("violation_type"),
-            "standard_id", actual.cast("string").alias("actual_value"), expected.cast("string").alias("expected_value"),
-            applicable.alias("applicable_standards")).filter(F.col("violation_type").isNotNull())
-
-    table_path = object_path("database_name", "schema_name", "table_name")
-    column_path = object_path("database_name", "schema_name", "table_name", "column_name")
-    named_tables = match_standard(tables.filter(F.col("source_status") == "ONLINE"), "table_name", table_rules)
+    none = F.lit(None).cast("array<string>")
+    order = F.struct((-F.col("priority")).alias("p"), "id", _described(none).alias("d"))
+    offered = rules.filter("enabled").groupBy(F.col("applies_to").alias("object_type")).agg(
+        F.transform(F.sort_array(F.collect_list(order)), lambda s: s["d"]).alias("all_standards"))
+    typed = rules.filter(F.col("enabled")).join(type_standards.filter(F.size("allowed_types") > 0).select(
+        F.col("id").alias("target_standard_id"), "allowed_types"), "target_standard_id").select(
+        F.col("id").alias("standard_id"), "allowed_types", F.transform("allowed_types", parse_type).alias("allowed"),
+        F.array(_described(F.col("allowed_types"))).alias("own_standard"))
+
+    def online(df: DataFrame, kind: str, name: str) -> DataFrame:
+        return match_standard(df.filter(F.col("source_status") == "ONLINE"), name, standards_for(rules, kind))
+
+    named_tables = online(tables, "TABLE", "table_name").select(
+        "table_id", F.lit("TABLE").alias("object_type"), object_path("database_name", "schema_name", "table_name").alias(
+            "object_path"), "standard_id", F.lit(None).cast("string").alias("data_type"))
+    named_columns = online(columns, "COLUMN", "column_name").select(
+        "table_id", F.lit("COLUMN").alias("object_type"),
+        object_path("database_name", "schema_name", "table_name", "column_name").alias("object_path"), "standard_id",
+        "data_type")
+    judged = named_columns.join(typed, "standard_id", "left").withColumn("parsed", parse_type(F.col("data_type")))
+    fits = F.exists("allowed", lambda e: type_fits(e, F.col("parsed")))
     unnamed = F.col("standard_id").isNull()
-    bad_tables = shape(named_tables, "TABLE", table_path, F.when(unnamed, "NAMING"), none, none,
-                       _described(table_rules))
-    # One pass over the columns: the standard met decides which types are allowed.
-    misfit, expected, offered = F.when(unnamed, "NAMING"), none, F.when(unnamed, _described(column_rules))
-    for rule in (r for r in column_rules if r["id"] in allowed):
-        mine = F.col("standard_id") == rule["id"]
-        fits = F.exists(F.array(*[parse_type(F.lit(t)) for t in allowed[rule["id"]]]), lambda e: type_fits(e, F.col("parsed_type")))
-        misfit = misfit.when(mine & ~fits, "TYPE")
-        expected = F.when(mine, ",".join(allowed[rule["id"]])).otherwise(expected)
-        offered = offered.when(mine, _described([rule], allowed))
-    named = match_standard(columns.filter(F.col("source_status") == "ONLINE"), "column_name", column_rules).withColumn(
-        "parsed_type", parse_type(F.col("data_type")))
-    bad_columns = shape(named, "COLUMN", column_path, misfit, F.when(~unnamed, F.col("data_type")), expected, offered)
-    return bad_tables.unionByName(bad_columns)
+    misfits = judged.filter(~unnamed & F.col("allowed").isNotNull() & ~fits).select(
+        "table_id", "object_type", "object_path", F.lit("TYPE").alias("violation_type"), "standard_id",
+        F.col("data_type").alias("actual_value"), F.array_join("allowed_types", ",").alias("expected_value"),
+        F.col("own_standard").cast(OFFERED).alias("applicable_standards"))
+    strays = named_tables.unionByName(named_columns).filter(unnamed).join(offered, "object_type", "left").select(
+        "table_id", "object_type", "object_path", F.lit("NAMING").alias("violation_type"), "standard_id",
+        F.lit(None).cast("string").alias("actual_value"), F.lit(None).cast("string").alias("expected_value"),
+        F.coalesce("all_standards", F.array()).cast(OFFERED).alias("applicable_standards"))
+    return strays.unionByName(misfits)
 
 
 def replace_scope(old: DataFrame, new: DataFrame, scope: DataFrame, key: str = "table_id") -> DataFrame:

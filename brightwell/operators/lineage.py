@@ -1,26 +1,27 @@
 """Walks over the lineage graph and audits of dependency graphs.
 
 Walks are breadth-first: each level joins the frontier to the edges and drops nodes already seen. The distinct edges
-are written once, and every frontier is written as it is found, so no level recomputes an earlier one and a lost
-executor costs one level at most.
+are written once, and every level is written as it is found, so no level recomputes an earlier one and a lost executor
+costs one level at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from brightwell.functions.values import count_when
-from brightwell.plans.bounded import known
 from brightwell.plans.lineage_cut import cut_lineage
 
-# Walk depths.
-DEFAULT_DEPTH, MAX_DEPTH, MAX_COLUMN_DEPTH = 1, 10, 20
+# Fixed value: the depth of a walk whose depth is zero or less.
+DEFAULT_DEPTH = 1
 
 
-def clamp_depth(depth: int | None) -> int:
-    return DEFAULT_DEPTH if not depth or depth <= 0 else min(depth, MAX_DEPTH)
+def walk_depth(depth: int | None) -> int | None:
+    """None walks to the end of the graph; a caller that wants a bound passes it."""
+    return depth if depth is None or depth > 0 else DEFAULT_DEPTH
 
 
 def table_edges(lineage: DataFrame) -> DataFrame:
@@ -35,84 +36,60 @@ def column_links(lineage: DataFrame) -> DataFrame:
         F.min("lineage_type").alias("lineage_type"))
 
 
-def _step(frontier: DataFrame, edges: DataFrame, here: Sequence[str], there: Sequence[str],
-          node: Sequence[str]) -> DataFrame:
-    """Nodes one edge away from the frontier."""
-    start = frontier.select(*[F.col(n).alias(h) for n, h in zip(node, here)])
-    return edges.join(start, list(here), "left_semi").select(*[F.col(t).alias(n) for t, n in zip(there, node)])
-
-
 def walk(edges: DataFrame, start: Sequence[str], source: Sequence[str], target: Sequence[str], node: Sequence[str],
-         depth: int, direction: str) -> tuple[DataFrame, DataFrame]:
+         depth: int | None, direction: str) -> tuple[DataFrame, DataFrame]:
     """``(nodes with their level, edges touched)`` around one start node; DOWN, UP or BOTH.
 
-    ``source``, ``target`` and ``node`` name the columns that make up an edge end and a node.
+    ``source``, ``target`` and ``node`` name the columns that make up an edge end and a node. Without a depth the walk
+    goes on until no new node is found. The edges a level touches are written once and serve both the next level and the
+    result, so a level moves its frontier and never all edges.
     """
     spark = edges.sparkSession
     edges = cut_lineage(edges)
-    complete = [F.col(n).isNotNull() for n in node]
     seen = spark.createDataFrame([tuple(start)], ", ".join(f"{n} string" for n in node)).withColumn("level", F.lit(0))
-    frontier, size, total = seen.select(*node), 1, 1
-    touched = []
-    for level in range(1, depth + 1):
-        side = known(frontier, size)
-        steps = []
-        if direction in ("DOWN", "BOTH"):
-            steps.append(_step(side, edges, source, target, node))
-        if direction in ("UP", "BOTH"):
-            steps.append(_step(side, edges, target, source, node))
-        reached = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
-        for condition in complete:
-            reached = reached.filter(condition)
-        # Known nodes are dropped before the distinct, so only new ones are shuffled while the known ones fit a broadcast.
-        unseen = reached.join(known(seen.select(*node), total), list(node), "left_anti")
-        fresh = cut_lineage(unseen.distinct())
-        touched.append((frontier, size))
-        size = fresh.count()
-        total += size
-        if size == 0:
+    frontier, touched, level = seen.select(*node), [], 0
+    ways = [(source, target)] * (direction != "UP") + [(target, source)] * (direction != "DOWN")
+    while depth is None or level < depth:
+        level += 1
+        found = [edges.join(frontier.select(*[F.col(n).alias(h) for n, h in zip(node, here)]), list(here), "left_semi")
+                 .withColumn("way", F.lit(k)) for k, (here, _) in enumerate(ways)]
+        hit = cut_lineage(found[0] if len(found) == 1 else found[0].unionByName(found[1]))
+        touched.append(hit.drop("way"))
+        ends = [F.when(F.col("way") == 0, F.col(ways[0][1][k])).otherwise(F.col(ways[-1][1][k])).alias(n)
+                for k, n in enumerate(node)]
+        reached = hit.select(*ends).dropna().distinct()
+        frontier = cut_lineage(reached.join(seen.select(*node), list(node), "left_anti"))
+        if frontier.isEmpty():
             break
-        seen = seen.unionByName(fresh.withColumn("level", F.lit(level)))
-        frontier = fresh
-    expanded = touched[0][0]
-    for frame, _ in touched[1:]:
-        expanded = expanded.unionByName(frame)
-    expanded = known(expanded, total)
-    ends = lambda cols: edges.join(
-        expanded.select(*[F.col(n).alias(c) for n, c in zip(node, cols)]), list(cols), "left_semi")
-    if direction == "DOWN":
-        kept = ends(source)
-    elif direction == "UP":
-        kept = ends(target)
-    else:
-        kept = ends(source).unionByName(ends(target)).distinct()
-    return seen, kept
+        seen = seen.unionByName(frontier.withColumn("level", F.lit(level)))
+    kept = reduce(DataFrame.unionByName, touched)
+    return seen, kept.distinct() if len(ways) > 1 else kept
 
 
 def _tables(lineage: DataFrame, table: str, depth: int | None, direction: str) -> tuple[DataFrame, DataFrame]:
-    return walk(table_edges(lineage), [table], ["source_table"], ["target_table"], ["table_name"], clamp_depth(depth),
+    return walk(table_edges(lineage), [table], ["source_table"], ["target_table"], ["table_name"], walk_depth(depth),
                 direction)
 
 
-def impact(lineage: DataFrame, table: str, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+def impact(lineage: DataFrame, table: str, depth: int | None = DEFAULT_DEPTH) -> tuple[DataFrame, DataFrame]:
     """Everything downstream of a table."""
     return _tables(lineage, table, depth, "DOWN")
 
 
-def origin(lineage: DataFrame, table: str, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+def origin(lineage: DataFrame, table: str, depth: int | None = DEFAULT_DEPTH) -> tuple[DataFrame, DataFrame]:
     """Everything upstream of a table."""
     return _tables(lineage, table, depth, "UP")
 
 
-def neighbourhood(lineage: DataFrame, table: str, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+def neighbourhood(lineage: DataFrame, table: str, depth: int | None = DEFAULT_DEPTH) -> tuple[DataFrame, DataFrame]:
     """Both directions from every node reached."""
     return _tables(lineage, table, depth, "BOTH")
 
 
-def column_lineage(lineage: DataFrame, table: str, column: str, depth: int = MAX_COLUMN_DEPTH) -> DataFrame:
-    """Column links around one column, both ways."""
+def column_lineage(lineage: DataFrame, table: str, column: str, depth: int | None = None) -> DataFrame:
+    """Column links around one column, both ways, to the end unless a depth is given."""
     return walk(column_links(lineage), [table, column], ["source_table", "source_column"],
-                ["target_table", "target_column"], ["table_name", "column_name"], min(depth, MAX_COLUMN_DEPTH), "BOTH")[1]
+                ["target_table", "target_column"], ["table_name", "column_name"], walk_depth(depth), "BOTH")[1]
 
 
 def with_scores(nodes: DataFrame, scores: DataFrame) -> DataFrame:

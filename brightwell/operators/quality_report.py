@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightwell.functions.values import ago, count_when, ntz, percent
-from brightwell.plans.bounded import small
 
 EXPORT_CAP = 5000  # fixed value: rows in an exported issue list
 DEFAULT_DAYS = 30
@@ -42,7 +41,7 @@ def scoped_details(details: DataFrame, scope: Scope, tables: DataFrame, batches:
     rows = details.filter(scope.within(F.col("created_at")))
     inside = _tables_in(scope, tables)
     if inside is not None:
-        rows = rows.join(small(inside.select("table_id")), "table_id", "left_semi")
+        rows = rows.join(inside.select("table_id"), "table_id", "left_semi")
     if scope.job_id is not None and batches is not None:
         rows = rows.join(batches.filter(F.col("job_id") == scope.job_id).select("batch_id"), "batch_id", "left_semi")
     return rows
@@ -101,7 +100,7 @@ def score_by_datasource(scores: DataFrame, online: DataFrame) -> DataFrame:
 
 def score_trend(history: DataFrame, scope: Scope, online: DataFrame) -> DataFrame:
     rows = history.filter(scope.within(F.col("checked_at"))).join(
-        small(online.select("table_id")), "table_id", "left_semi")
+        online.select("table_id"), "table_id", "left_semi")
     return rows.groupBy(F.to_date("checked_at").alias("day")).agg(
         _mean("score").alias("avg_score"), F.count_distinct("table_id").alias("tables"))
 
@@ -111,31 +110,47 @@ def score_series(history: DataFrame, scope: Scope, table_id: int) -> DataFrame:
         "checked_at", "id")
 
 
+def _found(details: DataFrame) -> DataFrame:
+    return details.filter(F.col("result_level").isin("WARNING", "SEVERE"))
+
+
 def issues(details: DataFrame, tables: DataFrame, rules: DataFrame) -> DataFrame:
-    """Warnings and severe findings with the limit that was crossed; rules or tables since deleted leave nulls."""
+    """Warnings and severe findings with the limit that was crossed.
+
+    Rule name, type and metric are those recorded with the detail and outlive the rule; only the limit is looked up, so
+    it is null once the rule is gone. The table is named with its schema, or else its database, in front.
+    """
     lvl = F.col("result_level")
-    found = details.filter(lvl.isin("WARNING", "SEVERE")).select(
-        F.col("id").alias("detail_id"), "table_id", "rule_id", "result_value", "result_level",
+    kept = [c for c in ("rule_name", "rule_type", "result_metric") if c in details.columns]
+    found = _found(details).select(
+        F.col("id").alias("detail_id"), "table_id", "rule_id", *kept, "result_value", "result_level",
         F.col("created_at").alias("checked_at"))
+    front = [F.when(F.trim(F.col(c)) != "", F.col(c)) for c in ("schema_name", "database_name") if c in tables.columns]
+    named = tables.select("table_id", F.concat_ws(".", F.coalesce(*front), "table_name").alias("table_name") if front
+                          else F.col("table_name"))
     limit = F.when(lvl == "SEVERE", F.col("severe_threshold")).otherwise(F.col("warning_threshold"))
-    return found.join(small(tables.select("table_id", "table_name")), "table_id", "left").join(
-        small(rules.select("rule_id", "rule_name", "warning_threshold", "severe_threshold")), "rule_id", "left").select(
-        "detail_id", "table_id", "table_name", "rule_id", "rule_name", "result_value", limit.alias("threshold"),
+    return found.join(named, "table_id", "left").join(
+        rules.select("rule_id", "warning_threshold", "severe_threshold"), "rule_id", "left").select(
+        "detail_id", "table_id", "table_name", "rule_id", *kept, "result_value", limit.alias("threshold"),
         "result_level", "checked_at")
 
 
+def issue_total(details: DataFrame) -> DataFrame:
+    return _found(details).agg(F.count("*").alias("total"))
+
+
 def issue_page(details: DataFrame, tables: DataFrame, rules: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
     """One page, newest first. The page is cut before names are joined."""
-    found = details.filter(F.col("result_level").isin("WARNING", "SEVERE"))
-    return issues(found.orderBy(F.desc("id")).offset((max(page, 1) - 1) * size).limit(size), tables, rules)
+    return issues(_found(details).orderBy(F.desc("id")).offset((max(page, 1) - 1) * size).limit(size), tables, rules)
 
 
-def export_issues(details: DataFrame, tables: DataFrame, rules: DataFrame, cap: int = EXPORT_CAP) -> DataFrame:
-    """The newest ``cap`` issues with a flag that says whether more exist; the report feature is the cap itself."""
-    found = details.filter(F.col("result_level").isin("WARNING", "SEVERE"))
-    newest = found.orderBy(F.desc("id")).limit(cap + 1)
-    flagged = newest.withColumn("truncated", F.count("*").over(Window.partitionBy()) > cap)  # at most cap + 1 rows
-    kept = flagged.orderBy(F.desc("id")).limit(cap)
+def export_issues(details: DataFrame, tables: DataFrame, rules: DataFrame, n: int | None = None) -> DataFrame:
+    """All issues, or the newest ``n`` if the caller asks, with a flag that says whether more exist."""
+    if n is None:
+        return issues(details, tables, rules).withColumn("truncated", F.lit(False))
+    newest = _found(details).orderBy(F.desc("id")).limit(n + 1)
+    flagged = newest.withColumn("truncated", F.count("*").over(Window.partitionBy()) > n)  # at most n + 1 rows
+    kept = flagged.orderBy(F.desc("id")).limit(n)
     return issues(kept, tables, rules).join(kept.select(F.col("id").alias("detail_id"), "truncated"), "detail_id")
 
 

@@ -8,7 +8,6 @@ from collections import deque
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from brightwell.plans.bounded import small
 from brightwell.plans.carried_scan import carried_scan
 
 # Windows, thresholds and waits of the live rules.
@@ -91,8 +90,9 @@ def rate_limit_replay(log: DataFrame, limits: DataFrame, window_s: int = RATE_WI
 
     Keys without a positive limit admit everything and take no part in the scan.
     """
-    bounds = limits.select(key, F.col("qps_limit").cast("int").alias("qps_limit"))
-    joined = log.join(small(bounds), key, "left").withColumn("qps_limit", F.coalesce("qps_limit", F.lit(0)))
+    # Of several limits for a key the strictest holds, so no call is doubled.
+    bounds = limits.groupBy(key).agg(F.min(F.col("qps_limit").cast("int")).alias("qps_limit"))
+    joined = log.join(bounds, key, "left").withColumn("qps_limit", F.coalesce("qps_limit", F.lit(0)))
     free = joined.filter(F.col("qps_limit") <= 0).withColumn("admitted", F.lit(True))
     step, settle = window_step(window_s * 1_000_000, "passed", "qps_limit")
     bound = _sliding(joined.filter(F.col("qps_limit") > 0), [key], "created_at", "id", "admitted", step, settle,

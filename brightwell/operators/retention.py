@@ -27,11 +27,16 @@ def cascade(children: DataFrame, parents_expired: DataFrame, fk: str, pk: str) -
 
 
 def drop_expired_partitions(spark, table: str, partition_column: str, days: int, as_of: str) -> list[str]:
-    """Drop whole expired date partitions of a partitioned table without reading rows; returns what was dropped."""
+    """Drop whole expired date partitions of a partitioned table without reading rows; returns the days dropped.
+
+    The date may be one of several partition columns: a day goes with everything below it, by one statement per day.
+    """
     limit = spark.sql("SELECT date_sub(CAST(:now AS DATE), :days) AS d", args={"now": as_of, "days": max(days, 1)}
                       ).first()["d"].isoformat()
-    old = [r["partition"].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
-    dropped = sorted(d for d in old if d < limit)
+    found = spark.sql(f"SHOW PARTITIONS {table}")
+    level = F.filter(F.split("partition", "/"), lambda p: F.startswith(p, F.lit(f"{partition_column}=")))
+    days_there = found.select(F.substring_index(level[0], "=", -1).alias("day")).filter(F.col("day") < limit).distinct()
+    dropped = sorted(r["day"] for r in days_there.collect())  # one short text per expired day
     for day in dropped:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition_column} = '{day}')")
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (`{partition_column}` = '{day}')")
     return dropped

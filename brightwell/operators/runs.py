@@ -11,9 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightwell.functions.values import ago, count_when, half_open, interval, ntz, percent
-from brightwell.plans.bounded import small
 from brightwell.plans.lineage_cut import cut_lineage
-from brightwell.plans.topk import top_per_key
+from brightwell.plans.topk import ranked_up_to
 
 # Statuses and default limits.
 STATUSES = ("RUNNING", "SUCCESS", "FAILED", "TERMINATED")
@@ -149,7 +148,7 @@ def latest_run_per_task(history: DataFrame) -> DataFrame:
 def timeout_scan(runs: DataFrame, tasks: DataFrame, as_of, default_minutes: int = DEFAULT_TIMEOUT_MINUTES) -> DataFrame:
     limit = F.coalesce(F.col("timeout_minutes"), F.lit(default_minutes))
     joined = runs.filter(_state() == "RUNNING").join(
-        small(tasks.select("task_id", "timeout_minutes")), "task_id", "left")
+        tasks.select("task_id", "timeout_minutes"), "task_id", "left")
     return joined.filter(_start() < ntz(as_of) - F.make_dt_interval(mins=limit)).select(
         "id", "kind", "task_id", "start_time", limit.alias("limit_minutes"))
 
@@ -197,40 +196,48 @@ def missed_triggers(nodes: DataFrame, bindings: DataFrame, batches: DataFrame, a
 
 
 def admit(waiting: DataFrame, running: DataFrame, queues: DataFrame) -> DataFrame:
-    """Per queue the first ``capacity - running`` waiting runs, by priority then age.
-
-    Rows ranked beyond the largest capacity of any queue are dropped early, then the exact per-queue test follows. The
-    largest capacity is one number from the queue settings.
-    """
+    """Per queue the first ``capacity - running`` waiting runs, by priority then age."""
     settings = queues.select("queue_id", F.coalesce("capacity", F.lit(QUEUE_CAPACITY)).alias("capacity"))
-    widest = settings.agg(F.max("capacity")).first()[0] or QUEUE_CAPACITY
     used = running.groupBy("queue_id").agg(F.count("*").alias("used"))
     slots = settings.join(used, "queue_id", "left").select(
         "queue_id", (F.col("capacity") - F.coalesce("used", F.lit(0))).alias("slots"))
-    ranked = top_per_key(waiting, ["queue_id"], [F.desc("priority"), F.asc("start_time"), F.asc("id")], "id", int(widest))
-    return ranked.join(small(slots), "queue_id").filter(F.col("position") <= F.col("slots")).drop("slots")
+    return ranked_up_to(waiting, ["queue_id"], [F.desc("priority"), F.asc("start_time"), F.asc("id")], slots, "slots")
 
 
-def run_page(runs: DataFrame, owners: DataFrame, nodes: DataFrame, owner_like: str | None = None,
-             statuses: str | None = None, trigger: str | None = None, t_from=None, t_to=None, page: int = 1,
-             size: int = 20) -> DataFrame:
-    """One page of runs, newest first, with node counts per status.
+def run_list(runs: DataFrame, owners: DataFrame, owner_like: str | None = None, statuses: str | None = None,
+             trigger: str | None = None, t_from=None, t_to=None, owner_id: int | None = None,
+             project_like: str | None = None, projects: DataFrame | None = None) -> DataFrame:
+    """Runs with their owner's name under optional filters; count them for the total that goes with a page.
 
-    Filters come first, the page is cut and written next, and node rows are counted only for the runs on the page.
+    Owners are narrowed by a part of their own name and of their project's (``projects``: project_id, project_name),
+    runs by the exact owner, status, trigger and a half-open time range.
     """
     from brightwell.functions.values import escaped_contains
 
     rows = runs
+    if owner_id is not None:
+        rows = rows.filter(F.col("task_id") == owner_id)
     if statuses:
         rows = rows.filter(_state() == statuses)
     if trigger:
         rows = rows.filter(F.col("trigger_type") == trigger)
     if t_from is not None or t_to is not None:
         rows = rows.filter(half_open(_start(), t_from, t_to))
-    names = owners.select("task_id", "task_name")
+    named = owners
     if owner_like:
-        names = names.filter(escaped_contains(F.col("task_name"), owner_like))
-    rows = rows.join(small(names), "task_id", "inner" if owner_like else "left")
+        named = named.filter(escaped_contains(F.col("task_name"), owner_like))
+    if project_like:
+        mine = projects.filter(escaped_contains(F.col("project_name"), project_like)).select("project_id")
+        named = named.join(mine, "project_id", "left_semi")
+    return rows.join(named.select("task_id", "task_name"), "task_id", "inner" if owner_like or project_like else "left")
+
+
+def run_page(runs: DataFrame, owners: DataFrame, nodes: DataFrame, page: int = 1, size: int = 20, **filters) -> DataFrame:
+    """One page of :func:`run_list`, newest first, with node counts per status.
+
+    Filters come first, the page is cut and written next, and node rows are counted only for the runs on the page.
+    """
+    rows = run_list(runs, owners, **filters)
     paged = cut_lineage(rows.orderBy(F.desc("start_time"), F.desc("id")).offset(max(page - 1, 0) * size).limit(size))
     on_page = nodes.join(F.broadcast(paged.select(F.col("id").alias("run_id"))), "run_id", "left_semi")  # <= size rows
     counts = on_page.groupBy("run_id").agg(
@@ -254,7 +261,7 @@ def due_retries(history: DataFrame, jobs: DataFrame, as_of, minutes: int = RETRY
     due = history.filter((_state() == "FAILED") & (F.col("next_retry_at") <= ntz(as_of)))
     left = F.col("max_retries") - F.col("retry_count")
     return due.join(
-        small(jobs.filter("enabled").select("job_id", "max_retries", "retry_interval_minutes")), "job_id").filter(
+        jobs.filter("enabled").select("job_id", "max_retries", "retry_interval_minutes"), "job_id").filter(
         left > 0).select(
         "id", "job_id", F.col("id").alias("parent_history_id"), (F.col("retry_count") + 1).alias("attempt"),
         (left - 1).alias("remaining"),

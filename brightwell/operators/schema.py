@@ -133,14 +133,15 @@ def latest_change(changes: DataFrame) -> DataFrame:
     return latest_by(keyed, ["database_name", "schema_name", "table_name"], [F.col("id")])
 
 
-def keyed_diff(left: DataFrame, right: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """Ids added, removed or modified between two versions; the compared columns travel as one digest."""
+def keyed_diff(left: DataFrame, right: DataFrame, key: str | Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Keys added, removed or modified between two versions; the compared columns travel as one digest."""
+    keys = [key] if isinstance(key, str) else list(key)
     digest = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
-    a = left.select(key, digest.alias("l"))
-    b = right.select(key, digest.alias("r"))
+    a = left.select(*keys, digest.alias("l"))
+    b = right.select(*keys, digest.alias("r"))
     state = (F.when(F.col("l").isNull(), "ADDED").when(F.col("r").isNull(), "REMOVED")
              .when(F.col("l") != F.col("r"), "MODIFIED"))
-    return a.join(b, key, "full").select(key, state.alias("change")).filter(F.col("change").isNotNull())
+    return a.join(b, keys, "full").select(*keys, state.alias("change")).filter(F.col("change").isNotNull())
 
 
 def edge_set_diff(left: DataFrame, right: DataFrame, source: str, target: str) -> DataFrame:

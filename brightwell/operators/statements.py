@@ -26,10 +26,10 @@ _CREATE = r"\ACREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:TEMPORARY|TEMP|EXTERNAL|GLOBAL|
 _TARGETS = [re.compile(p + rf"(?P<name>{_NAME})", re.I) for p in (
     _CREATE + r"TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?", _CREATE + r"VIEW\s+(?:IF\s+NOT\s+EXISTS\s+)?",
     r"\AINSERT\s+(?:INTO\s+|OVERWRITE\s+)?(?:TABLE\s+)?", r"\AUPDATE\s+", r"\ADELETE\s+FROM\s+")]
-_STOP = (r"(?:WHERE|JOIN|LEFT|RIGHT|FULL|INNER|OUTER|CROSS|NATURAL|ON|USING|GROUP|ORDER|HAVING|LIMIT|UNION|INTERSECT|"
-         r"EXCEPT|SET|SELECT|VALUES|WINDOW|LATERAL|AS)\b")
-_TABLE = rf"{_NAME}(?:\s+(?:AS\s+)?(?!{_STOP})\w+)?"
-_FROM = re.compile(rf"\b(?:FROM|JOIN)\s+(?P<list>{_TABLE}(?:\s*,\s*{_TABLE})*)", re.I)
+_ENDS = frozenset("""WHERE GROUP ORDER HAVING LIMIT UNION INTERSECT EXCEPT SET VALUES WINDOW QUALIFY FETCH OFFSET RETURNING
+WHEN""".split())
+_JOINERS = frozenset("LEFT RIGHT FULL INNER OUTER CROSS NATURAL ON USING AS TABLESAMPLE PIVOT UNPIVOT".split())
+_TOKEN = re.compile(rf"(?P<open>\()|(?P<close>\))|(?P<comma>,)|(?P<name>{_NAME})")
 _CTE = re.compile(r"(?:\bWITH\s+(?:RECURSIVE\s+)?|\)\s*,\s*)(\w+)\s*(?:\([^()]*\)\s*)?AS\s*\(", re.I)
 _WORDS = re.compile(r"[(),]|\bFROM\b|\bSELECT\b", re.I)
 _ALIAS = re.compile(r"\A(?P<expr>.*?)(?:\s+AS\s+`?(?P<a>\w+)`?|(?<=[\w)'\"`])\s+(?!(?:END|NULL|TRUE|FALSE)\Z)"
@@ -52,12 +52,12 @@ def split_statements(script: str | None) -> list[str]:
     return [s for s in found if s]
 
 
-_EXTRACT = re.compile(r"(\bEXTRACT\s*\(\s*\w+\s+)FROM\b", re.I)
+_DISTINCT = re.compile(r"(\b(?:IS|NOT)\s+DISTINCT\s+)FROM\b", re.I)
 
 
 def _masked(statement: str) -> str:
-    """The statement with quotes, comments and the inner FROM of EXTRACT blanked, positions kept."""
-    return _EXTRACT.sub(r"\1____", _PIECE.sub(_blank, statement))
+    """The statement with quotes, comments and the FROM of IS DISTINCT FROM blanked, positions kept."""
+    return _DISTINCT.sub(r"\1____", _PIECE.sub(_blank, statement))
 
 
 def _blank(match: re.Match) -> str:
@@ -73,6 +73,55 @@ def _plain(name: str) -> str:
     return name[1:-1] if len(name) > 1 and name[0] == name[-1] == "`" and "`." not in name else name
 
 
+class _Scope:
+    """What stands between two parentheses: whether a SELECT was seen, and whether a table list is being read."""
+
+    def __init__(self, listing: bool = False, selects: bool = False):
+        self.selects, self.listing, self.expects = selects, listing, listing
+
+
+def source_tables(masked: str) -> list[str]:
+    """Names in the table lists of a masked statement, in order and each once.
+
+    FROM opens a list only at the depth of its SELECT (or of a DELETE or UPDATE), so the FROM inside EXTRACT, TRIM or
+    SUBSTRING does not. A list goes on after commas and joins, past parentheses, samples and aliases; a name followed by
+    a parenthesis is a function and no table.
+    """
+    verb = masked.lstrip()[:6].upper()
+    stack, found = [_Scope(selects=verb in ("DELETE", "UPDATE"))], {}
+    stack[0].listing = verb == "UPDATE"
+    tokens = list(_TOKEN.finditer(masked))
+    for at, token in enumerate(tokens):
+        top = stack[-1]
+        if token["open"]:
+            stack.append(_Scope(listing=top.expects))
+            top.expects = False
+        elif token["close"]:
+            if len(stack) > 1:
+                stack.pop()
+        elif token["comma"]:
+            top.expects = top.listing
+        else:
+            word = token["name"].upper()
+            following = tokens[at + 1] if at + 1 < len(tokens) else None
+            if word in ("SELECT", "WITH"):
+                top.selects, top.listing, top.expects = top.selects or word == "SELECT", False, False
+            elif word == "FROM":
+                top.listing = top.expects = top.selects
+            elif word == "JOIN":
+                top.expects = top.listing
+            elif word in _ENDS:
+                top.listing = top.expects = False
+            elif word == "LATERAL":
+                if following is not None and following["name"] and following["name"].upper() == "VIEW":
+                    top.listing = top.expects = False
+            elif top.expects and word not in _JOINERS and word != "ONLY":
+                top.expects = False
+                if not (following is not None and following["open"] and not masked[token.end():following.start()].strip()):
+                    found[_plain(token["name"])] = None
+    return list(found)
+
+
 def _select_items(masked: str, original: str, start: int) -> list[str] | None:
     """Expressions of the first top-level SELECT at or after ``start``, cut from the original text."""
     depth, begin, items = 0, None, []
@@ -98,7 +147,8 @@ def statement_edges(statement: str) -> list[tuple]:
     """(source table, source column, target table, target column) rows of one statement.
 
     Statements without a target give nothing. Column rows need exactly one source; a target without sources gives one
-    row with an empty source.
+    row with an empty source. Names are told apart by exact case: a source that differs from the target in case only is
+    another table. Names of WITH queries are hidden without regard to case.
     """
     masked = _masked(statement)
     lead = len(masked) - len(masked.lstrip())
@@ -108,9 +158,7 @@ def statement_edges(statement: str) -> list[tuple]:
         return []
     name = _plain(target["name"])
     hidden = {c.lower() for c in _CTE.findall(masked)}
-    sources = dict.fromkeys(
-        _plain(re.match(_NAME, t.strip()).group()) for m in _FROM.finditer(masked) for t in m["list"].split(","))
-    sources = [s for s in sources if s != name and s.lower() not in hidden]
+    sources = [s for s in source_tables(masked) if s != name and s.lower() not in hidden]
     rows: list[tuple] = [(s, None, name, None) for s in sources] or [(None, None, name, None)]
     verb = masked[:6].upper()
     if len(sources) != 1 or verb not in ("INSERT", "CREATE") or re.search(r"\b(?:UNION|INTERSECT|EXCEPT)\b", masked, re.I):
@@ -179,8 +227,7 @@ def statement_tables(log: DataFrame, column: str = "sql_text") -> DataFrame:
             masked = _masked(statement).strip()
             hidden = {c.lower() for c in _CTE.findall(masked)}
             names |= {_plain(m["name"]) for m in (p.match(masked) for p in _TARGETS) if m}
-            names |= {_plain(re.match(_NAME, t.strip()).group())
-                      for m in _FROM.finditer(masked) for t in m["list"].split(",")}
+            names |= set(source_tables(masked))
             names = {n for n in names if n.lower() not in hidden}
         return [(n,) for n in sorted(names)]
 

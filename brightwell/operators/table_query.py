@@ -88,7 +88,7 @@ def _filtered(df: DataFrame, spec: QuerySpec, params: Mapping[str, str]) -> Data
 
 
 def page_bounds(page: int | None, size: int | None, size_max: int) -> tuple[int, int]:
-    """``(offset, size)`` with the size clamped to what the definition allows."""
+    """``(offset, size)``; the size used is at most the one the definition declares, and callers are given it."""
     size = max(1, min(DEFAULT_PAGE if size is None else size, size_max))
     return max((page or 1) - 1, 0) * size, size
 
@@ -116,15 +116,33 @@ def table_count(df: DataFrame, spec: QuerySpec, params: Mapping[str, str] | None
     return _filtered(df, spec.checked(df.columns), params or {}).agg(F.count("*").alias("total"))
 
 
-def history_page(df: DataFrame, spec: QuerySpec, params: Mapping[str, str] | None = None,
-                 like: Mapping[str, str] | None = None, page: int = 1, size: int = 20) -> DataFrame:
-    """A page of a history log: the conditions of ``spec`` and substring tests on named columns."""
+def mentioning(df: DataFrame, like: Mapping[str | tuple[str, ...], str]) -> DataFrame:
+    """Rows in which each word occurs in its column, or in any of its columns; blank words test nothing."""
     from brightwell.functions.values import escaped_contains
 
-    for name, word in (like or {}).items():
+    for names, word in like.items():
         if word and word.strip():
-            df = df.filter(escaped_contains(F.col(name), word.strip()))
-    return table_query(df, spec, params, page, size)
+            names = (names,) if isinstance(names, str) else names
+            tests = [F.coalesce(escaped_contains(F.col(n), word.strip()), F.lit(False)) for n in names]
+            df = df.filter(reduce(lambda a, b: a | b, tests))
+    return df
+
+
+def history_page(df: DataFrame, spec: QuerySpec, params: Mapping[str, str] | None = None,
+                 like: Mapping[str | tuple[str, ...], str] | None = None, page: int = 1, size: int = 20) -> DataFrame:
+    """A page of a history log: the conditions of ``spec`` and substring tests as in :func:`mentioning`."""
+    return table_query(mentioning(df, like or {}), spec, params, page, size)
+
+
+def history_count(df: DataFrame, spec: QuerySpec, params: Mapping[str, str] | None = None,
+                  like: Mapping[str | tuple[str, ...], str] | None = None) -> DataFrame:
+    """How many rows :func:`history_page` pages through."""
+    return table_count(mentioning(df, like or {}), spec, params)
+
+
+def total(df: DataFrame) -> DataFrame:
+    """The number of rows a page is cut from."""
+    return df.agg(F.count("*").alias("total"))
 
 
 def resolve_parameters(as_of: datetime, defaults: Mapping[str, str] | None = None,

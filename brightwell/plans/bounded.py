@@ -7,14 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 BROADCAST_ROWS = 100_000
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a settings-like side for broadcast if it has at most ``max_rows`` rows; else leaves the join to the planner.
+def known(df: DataFrame, rows: int, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a narrow side for broadcast if its row count, already taken, is at most ``max_rows``; else the planner decides.
 
-    Counting stops one row beyond the bound. Use it for narrow frames: names, limits, grants, id sets.
+    Sides whose size is not known beforehand need no mark: adaptive execution broadcasts what turns out small.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def known(df: DataFrame, rows: int, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The same for a frame whose row count was already taken."""
     return F.broadcast(df) if rows <= max_rows else df

@@ -9,19 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Connection addresses and identifier quotes per kind of database.
 URLS = {
-    "mysql": "jdbc:mysql://{host}:{port}/{database}?useSSL=false&allowPublicKeyRetrieval=true&serverTimezone=UTC",
-    "doris": "jdbc:mysql://{host}:{port}/{database}?useSSL=false&allowPublicKeyRetrieval=true&serverTimezone=UTC",
+    "mysql": "jdbc:mysql://{host}:{port}/{database}?serverTimezone=UTC",
+    "doris": "jdbc:mysql://{host}:{port}/{database}?serverTimezone=UTC",
     "postgresql": "jdbc:postgresql://{host}:{port}/{database}",
     "oracle": "jdbc:oracle:thin:@//{host}:{port}/{database}",
-    "sqlserver": "jdbc:sqlserver://{host}:{port};databaseName={database};encrypt=false;trustServerCertificate=true",
+    "sqlserver": "jdbc:sqlserver://{host}:{port};databaseName={database}",
 }
+#: Added to the address of an encrypted and of an open connection.
+SECURE = {"mysql": "&sslMode=REQUIRED", "doris": "&sslMode=REQUIRED", "sqlserver": ";encrypt=true"}
+OPEN = {"mysql": "&sslMode=DISABLED&allowPublicKeyRetrieval=true", "doris": "&sslMode=DISABLED&allowPublicKeyRetrieval=true",
+        "sqlserver": ";encrypt=false"}
 QUOTES = {"mysql": "``", "doris": "``", "postgresql": '""', "oracle": '""', "sqlserver": "[]", "derby": '""'}
 FETCH_SIZE = 10_000
 
 
 @dataclass(frozen=True)
 class Connection:
-    """Where a database is. ``url`` overrides the address built from the parts."""
+    """Where a database is. ``url`` overrides the address built from the parts; ``encrypted`` may be turned off."""
 
     kind: str
     host: str = ""
@@ -31,6 +35,7 @@ class Connection:
     user: str | None = None
     password: str | None = None
     url: str | None = None
+    encrypted: bool = True
     options: dict[str, str] = field(default_factory=dict)
 
     def address(self) -> str:
@@ -39,6 +44,7 @@ class Connection:
         if self.kind not in URLS:
             raise ValueError(f"unsupported database kind {self.kind}")
         address = URLS[self.kind].format(host=self.host, port=self.port, database=self.database)
+        address += (SECURE if self.encrypted else OPEN).get(self.kind, "")
         return f"{address}?currentSchema={self.schema}" if self.kind == "postgresql" and self.schema else address
 
     def qualified(self, table: str) -> str:

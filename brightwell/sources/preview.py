@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 # Preview sizes and shown time formats.
-PREVIEW_ROWS, PREVIEW_MAX, TERMINAL_MAX = 100, 1000, 1000
+PREVIEW_ROWS = 100
 TIME_FORMAT, DATE_FORMAT = "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"
 
 
@@ -23,7 +23,7 @@ def shown_times(df: DataFrame) -> DataFrame:
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
     """The first rows by the first column; ties follow the other columns, so the choice is stable."""
-    return shown_times(df.orderBy(*df.columns).limit(max(1, min(n, PREVIEW_MAX))))
+    return shown_times(df.orderBy(*df.columns).limit(n))
 
 
 def preview_total(df: DataFrame) -> DataFrame:

@@ -6,25 +6,34 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Topics of change events, and where reading starts per mode.
 TOPICS = "cdc-events-.*"
-OFFSETS = {"INITIAL": "latest", "LATEST": "latest", "EARLIEST": "earliest"}
+OFFSETS = {"LATEST": "latest", "EARLIEST": "earliest"}
+STARTS = ("INITIAL", *OFFSETS)
 NO_EARLIEST = ("postgresql",)
 
 
-def start_offsets(start: str, source_kind: str) -> str:
-    """Where the change topic is read from. INITIAL reads the snapshot elsewhere and then goes on from the latest."""
-    if start not in OFFSETS:
+def start_options(start: str, source_kind: str, snapshot_ms: int | None = None) -> dict[str, str]:
+    """Where the change topic is read from.
+
+    INITIAL reads a snapshot elsewhere and goes on from ``snapshot_ms``, a moment before that snapshot began, so no change
+    made meanwhile is lost; those the snapshot already holds come again and lose nothing, as rows go by sequence.
+    """
+    if start not in STARTS:
         raise ValueError(f"unknown start {start}")
     if start == "EARLIEST" and source_kind in NO_EARLIEST:
         raise ValueError(f"{source_kind} cannot start from the earliest change")
-    return OFFSETS[start]
+    if start != "INITIAL":
+        return {"startingOffsets": OFFSETS[start]}
+    if snapshot_ms is None:
+        raise ValueError("INITIAL needs the moment before the snapshot")
+    return {"startingTimestamp": str(snapshot_ms), "startingOffsetsByTimestampStrategy": "latest"}
 
 
 def kafka_events(spark: SparkSession, servers: str, start: str = "LATEST", source_kind: str = "mysql",
-                 max_offsets: int = 1_000_000, topics: str = TOPICS) -> DataFrame:
+                 max_offsets: int = 1_000_000, topics: str = TOPICS, snapshot_ms: int | None = None) -> DataFrame:
     """Raw change events of all topics, shaped for ``normalize_cdc``. Needs the Kafka connector on the class path."""
     raw = spark.readStream.format("kafka").options(**{
-        "kafka.bootstrap.servers": servers, "subscribePattern": topics, "startingOffsets": start_offsets(start, source_kind),
-        "maxOffsetsPerTrigger": str(max_offsets)}).load()
+        "kafka.bootstrap.servers": servers, "subscribePattern": topics, "maxOffsetsPerTrigger": str(max_offsets),
+        **start_options(start, source_kind, snapshot_ms)}).load()
     return raw.select("topic", F.col("timestamp").alias("kafka_ts"), F.col("value").cast("string").alias("value"),
                       F.struct("partition", "offset").alias("position"))
 

@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 PARALLEL_TABLES = 3
@@ -70,8 +69,8 @@ def _run(job: SyncJob) -> tuple:
         source = job.read().observe(seen, F.count(F.lit(1)).alias("n"))
         job.write(sync_full(source, job.mapping).observe(stored, F.count(F.lit(1)).alias("n")))
         return (job.table, target, "SUCCESS", seen.get["n"], stored.get["n"], elapsed(), None)
-    except (PySparkException, OSError, ValueError) as error:
-        return (job.table, target, "FAILED", None, None, elapsed(), str(error).split("\n")[0])
+    except Exception as error:  # whatever a job raises is its own result
+        return (job.table, target, "FAILED", None, None, elapsed(), (str(error) or type(error).__name__).split("\n")[0])
 
 
 def sync_many(spark: SparkSession, jobs: Iterable[SyncJob], parallel: int = PARALLEL_TABLES) -> DataFrame:

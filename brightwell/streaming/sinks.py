@@ -1,54 +1,34 @@
-"""Idempotent merging of micro-batches into partitioned tables."""
+"""Change logs that are appended to and resolved on reading.
+
+A micro-batch only adds files, so what it writes is bounded by the batch. A row carries its key and a sequence taken
+from the data; the row with the highest sequence is the current one, and a batch that runs twice adds equal rows that
+change nothing. Deletions are rows too. ``compacted`` gives the resolved log for an occasional rewrite to another folder.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brightwell.operators.cdc import latest_changes
-from brightwell.plans.lineage_cut import cut_lineage
 
 GONE = "is_deleted"
 
 
-def key_bucket(key: Sequence[str], buckets: int) -> Column:
-    """A stable bucket number per key, for tables without a natural date partition."""
-    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+def append_batch(batch: DataFrame, path: str, partition: str) -> None:
+    """Adds the rows of a micro-batch, marked as alive unless they say otherwise."""
+    if GONE not in batch.columns:
+        batch = batch.withColumn(GONE, F.lit(False))
+    batch.write.mode("append").partitionBy(partition).parquet(path)
+
 
+def compacted(log: DataFrame, key: Sequence[str], seq: Sequence[str]) -> DataFrame:
+    """The last row of every key, deletions included. ``seq`` lists the columns of the sequence, most telling first."""
+    order = log.withColumn("_order", F.struct(*seq))
+    return latest_changes(order, key, "_order").select(*log.columns)
 
-def merge_into_partitions(batch: DataFrame, path: str, key: Sequence[str], seq: str, partition: str) -> None:
-    """Upsert a batch by key; the row with the highest ``seq`` wins, deletions stay as marked rows.
 
-    Only partitions that the batch touches are read and rewritten, the list of them being as short as the partition
-    column has values. A batch that is run again after a failure finds its own rows and changes nothing. The merged
-    rows are written to the checkpoint folder before the old ones are replaced.
-    """
-    spark = batch.sparkSession
-    if GONE not in batch.columns:
-        batch = batch.withColumn(GONE, F.lit(False))
-    batch = cut_lineage(latest_changes(batch, [*key, partition], seq))
-    touched = [r[0] for r in batch.select(partition).distinct().collect()]
-    if not touched:
-        return
-    stored = _stored(spark, path, batch)
-    if stored is not None:
-        # Equal sequence numbers mean the same change; the stored row stays.
-        batch = stored.filter(F.col(partition).isin(touched)).unionByName(batch)
-    merged = cut_lineage(latest_changes(batch, [*key, partition], seq))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-
-
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
-def read_merged(spark: SparkSession, path: str, *hidden: str) -> DataFrame:
-    """Live rows of a merged table."""
-    return spark.read.parquet(path).filter(~F.col(GONE)).drop(GONE, *hidden)
+def read_current(spark: SparkSession, path: str, key: Sequence[str], seq: Sequence[str], *hidden: str) -> DataFrame:
+    """Live rows of an appended log."""
+    return compacted(spark.read.parquet(path), key, seq).filter(~F.col(GONE)).drop(GONE, *hidden)

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brightwell.operators import cdc, replay
-from brightwell.plans.bounded import small
 
 
 def scan_stream(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step: Callable, output: str) -> DataFrame:
@@ -45,8 +44,9 @@ def scan_stream(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step:
 
 def rate_limit_stream(log: DataFrame, limits: DataFrame, window_s: int = replay.RATE_WINDOW_S,
                       key: str = "key_id") -> DataFrame:
-    bounds = limits.select(key, F.col("qps_limit").cast("int").alias("qps_limit"))
-    joined = log.join(small(bounds), key, "left").withColumn("qps_limit", F.coalesce("qps_limit", F.lit(0)))
+    # Of several limits for a key the strictest holds, so no call is doubled.
+    bounds = limits.groupBy(key).agg(F.min(F.col("qps_limit").cast("int")).alias("qps_limit"))
+    joined = log.join(bounds, key, "left").withColumn("qps_limit", F.coalesce("qps_limit", F.lit(0)))
     step, _ = replay.window_step(window_s * 1_000_000, "admitted", "qps_limit", calls=None)
     return scan_stream(joined, [key], "created_at", "id", step, "admitted boolean")
 

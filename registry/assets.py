@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brightwell.operators import catalog as ops
+from brightwell.operators.table_query import total
 from registry.base import Registry, shown
 from registry.views import EVENT_CLOCK
 
@@ -49,7 +50,15 @@ def _(lake):
 
 @R.query("h1_search_top", f"SELECT * FROM ({_search_sql('a')}) x ORDER BY score DESC, table_name, table_id LIMIT 200")
 def _(lake):
-    return _search(lake, "a", ops.SEARCH_CAP)
+    return _search(lake, "a", 200)
+
+
+@R.query("h1_search_within_a_datasource", f"""SELECT x.* FROM ({_search_sql('a')}) x JOIN asset_score s ON s.table_id = x.table_id
+  WHERE datasource_id = 2 AND health_level = 'BAD' AND x.table_id % 3 = 0""")
+def _(lake):
+    granted = lake("asset").filter("table_id % 3 = 0")
+    tables = ops.narrowed(lake("asset"), 2, lake("asset_score"), "BAD", granted)
+    return ops.search(tables, lake("asset_column"), lake("asset_tag"), lake("asset_table_tag"), lake("asset_owner"), "a")
 
 
 @R.query("h3_column_hits", """
@@ -62,11 +71,19 @@ def _(lake):
 @R.query("h4_path_search", """
 SELECT table_id, datasource_id, database_name, schema_name, table_name FROM asset WHERE source_status = 'ONLINE' AND
   (contains(lower(database_name), '1') OR contains(lower(COALESCE(schema_name, '')), '1') OR contains(lower(table_name), '1'))
-ORDER BY datasource_id, database_name, COALESCE(schema_name, ''), table_name, table_id LIMIT 100""")
+""")
 def _(lake):
     return ops.path_search(lake("asset"), "1")
 
 
+@R.query("h4_path_search_top", """
+SELECT table_id, datasource_id, database_name, schema_name, table_name FROM asset WHERE source_status = 'ONLINE' AND
+  (contains(lower(database_name), '1') OR contains(lower(COALESCE(schema_name, '')), '1') OR contains(lower(table_name), '1'))
+ORDER BY datasource_id, database_name, COALESCE(schema_name, ''), table_name, table_id LIMIT 100""")
+def _(lake):
+    return ops.path_search(lake("asset"), "1", 100)
+
+
 HEAT = """heat AS (SELECT table_id, CAST(SUM(view_count) AS BIGINT) AS view_count FROM asset_view
   WHERE view_date >= DATE '2024-01-01' GROUP BY table_id)"""
 BROWSE = """SELECT a.table_id, a.table_name, data_domain, data_topic, updated_at, CAST(score AS DOUBLE) AS score, health_level,
@@ -104,6 +121,12 @@ def _(lake):
     return _browse(lake, sort="hot", health_level="BAD", tagged=tagged)
 
 
+@R.query("h5_browse_total_under_grants", """SELECT COUNT(*) AS total FROM asset WHERE source_status = 'ONLINE'
+  AND datasource_id = 2 AND table_id % 3 = 0""")
+def _(lake):
+    return total(ops.browsed(lake("asset"), lake("asset_score"), datasource_id=2, granted=lake("asset").filter("table_id % 3 = 0")))
+
+
 @R.query("h6_classification_counts", """
 WITH o AS (SELECT NULLIF(trim(data_domain), '') AS domain, NULLIF(trim(data_topic), '') AS topic FROM asset
   WHERE source_status = 'ONLINE')
@@ -155,7 +178,7 @@ def _(lake):
 
 @R.query("h13_hot_tables", f"""
 WITH {HEAT} SELECT h.table_id, view_count, table_name FROM heat h JOIN asset a ON a.table_id = h.table_id
-  AND source_status = 'ONLINE' ORDER BY view_count DESC, h.table_id LIMIT 50""")
+  AND source_status = 'ONLINE' ORDER BY view_count DESC, h.table_id LIMIT 80""")
 def _(lake):
     return ops.hot_tables(lake("asset_view"), lake("asset"), EVENT_CLOCK, 80)
 

@@ -10,13 +10,7 @@ MODULES = ("calls", "runs", "replays", "quality", "schemas", "changes", "graphs"
 def all_queries():
     found = {}
     for module in MODULES:
-        try:
-            items = importlib.import_module(f"registry.{module}").R.items
-        except ModuleNotFoundError as missing:
-            if missing.name != f"registry.{module}":
-                raise
-            continue
-        for name, query in items.items():
+        for name, query in importlib.import_module(f"registry.{module}").R.items.items():
             if name in found:
                 raise ValueError(f"{name} is registered twice")
             found[name] = query

@@ -76,8 +76,8 @@ def _(lake):
 def _(lake):
     path, checkpoint = _scratch(lake, "rows")
     changes = _events(StreamLake(lake.spark, lake.folder)).select("user_id", "cents", "seq", "op_type")
-    flows.apply_change_stream(changes, path, checkpoint, ["user_id"], "seq", buckets=8).awaitTermination()
-    return sinks.read_merged(lake.spark, path, "seq", "bucket")
+    flows.apply_change_stream(changes, path, checkpoint, "seq").awaitTermination()
+    return sinks.read_current(lake.spark, path, ["user_id"], ["seq"], "seq", "part")
 
 
 @R.query("f4_evolved_schema", """
@@ -110,7 +110,8 @@ def _(lake):
 def _(lake):
     path, checkpoint = _scratch(lake, "minutes")
     flows.minute_metric_stream(StreamLake(lake.spark, lake.folder)("metric_sample"), path, checkpoint).awaitTermination()
-    return shown(sinks.read_merged(lake.spark, path, "batch_no", "day"))
+    return shown(sinks.read_current(lake.spark, path, ["pipeline_id", "minute_at"], flows.METRIC_SEQUENCE, "day",
+                                    *flows.METRIC_SEQUENCE))
 
 
 def _trend(bucket, first):
@@ -238,12 +239,11 @@ def _(lake):
         F.count("*").alias("total"), F.count_if(F.col("status_code") >= 400).alias("failed")).select(
         F.col("w.start").alias("hour_at"), "api_id", "total", "failed")
 
-    def upsert(batch, batch_id):
-        dated = batch.withColumns({"day": F.to_date("hour_at"), "batch_no": F.lit(batch_id)})
-        sinks.merge_into_partitions(dated, path, ["api_id", "hour_at"], "batch_no", "day")
+    def add(batch, _):
+        sinks.append_batch(batch.withColumn("day", F.to_date("hour_at")), path, "day")
 
-    flows.start(hours, checkpoint, upsert, "update").awaitTermination()
-    return shown(sinks.read_merged(lake.spark, path, "batch_no", "day"))
+    flows.start(hours, checkpoint, add, "update").awaitTermination()
+    return shown(sinks.read_current(lake.spark, path, ["api_id", "hour_at"], ["total"], "day"))
 
 
 @R.query("a12_lake_sink_streamed", f"""WITH {EVENT.strip()} SELECT seq, op_type, "table", user_id, cents, sink_table FROM n
@@ -259,7 +259,7 @@ def _(lake):
 def _(lake):
     path, checkpoint = _scratch(lake, "views")
     flows.view_count_stream(StreamLake(lake.spark, lake.folder)("asset_view_event"), path, checkpoint).awaitTermination()
-    return shown(sinks.read_merged(lake.spark, path, "batch_no", "day"))
+    return shown(sinks.read_current(lake.spark, path, ["table_id", "view_date"], ["view_count"], "day"))
 
 
 def _sql(name):

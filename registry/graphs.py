@@ -22,9 +22,9 @@ w(table_name, level) AS (SELECT '{start}', 0 UNION {step}),
 n AS (SELECT table_name, CAST(MIN(level) AS INT) AS level FROM w GROUP BY table_name)"""
 
 
-@R.query("g1_downstream_impact", f"{_walk('t1', 10, 'DOWN')} SELECT * FROM n")
+@R.query("g1_downstream_impact", f"{_walk('t1', 99, 'DOWN')} SELECT * FROM n")
 def _(lake):
-    return ops.impact(lake("lineage_edge"), "t1", 99)[0]
+    return ops.impact(lake("lineage_edge"), "t1", None)[0]
 
 
 @R.query("g1_downstream_edges_default_depth", f"""{_walk('t2', 1, 'DOWN')} SELECT e.* FROM e JOIN n ON n.table_name = e.source_table
@@ -57,16 +57,16 @@ def _(lake):
 @R.query("g6_column_lineage", """
 WITH RECURSIVE e AS (SELECT source_table, source_column, target_table, target_column, MIN(lineage_type) AS lineage_type
   FROM lineage_edge GROUP BY 1, 2, 3, 4),
-w(t, c, level) AS (SELECT 't40', 'c0', 0 UNION
+w(t, c) AS (SELECT 't40', 'c0' UNION
   SELECT CASE WHEN e.source_table = w.t AND e.source_column = w.c THEN e.target_table ELSE e.source_table END,
-    CASE WHEN e.source_table = w.t AND e.source_column = w.c THEN e.target_column ELSE e.source_column END, w.level + 1
+    CASE WHEN e.source_table = w.t AND e.source_column = w.c THEN e.target_column ELSE e.source_column END
   FROM w JOIN e ON (e.source_table = w.t AND e.source_column = w.c) OR (e.target_table = w.t AND e.target_column = w.c)
-  WHERE w.level < 3),
-n AS (SELECT t, c, MIN(level) AS level FROM w GROUP BY t, c)
-SELECT DISTINCT e.* FROM e JOIN n ON level < 3 AND ((e.source_table = n.t AND e.source_column = n.c)
+),
+n AS (SELECT DISTINCT t, c FROM w)
+SELECT DISTINCT e.* FROM e JOIN n ON ((e.source_table = n.t AND e.source_column = n.c)
   OR (e.target_table = n.t AND e.target_column = n.c))""")
 def _(lake):
-    return ops.column_lineage(lake("lineage_edge"), "t40", "c0", depth=3)
+    return ops.column_lineage(lake("lineage_edge"), "t40", "c0")
 
 
 @R.query("g7_nodes_with_scores", f"""{_walk('t1', 4, 'DOWN')},
@@ -139,12 +139,15 @@ VALID = """valid AS (SELECT e.* FROM graph_edge e JOIN graph_node s ON s.graph_i
   JOIN graph_node t ON t.graph_id = e.graph_id AND t.node_id = e.target)"""
 
 
-@R.query("g12_audit_of_nodes", f"""
-WITH RECURSIVE {VALID}, roots AS (SELECT graph_id, node_id FROM graph_node n WHERE NOT EXISTS (SELECT 1 FROM valid v
+AUDIT = f"""RECURSIVE {VALID}, roots AS (SELECT graph_id, node_id FROM graph_node n WHERE NOT EXISTS (SELECT 1 FROM valid v
     WHERE v.graph_id = n.graph_id AND v.target = n.node_id)),
 paths(graph_id, node_id, level) AS (SELECT graph_id, node_id, 0 FROM roots UNION SELECT v.graph_id, v.target, p.level + 1
     FROM paths p JOIN valid v ON v.graph_id = p.graph_id AND v.source = p.node_id),
-levels AS (SELECT graph_id, node_id, CAST(MAX(level) AS INT) AS level FROM paths GROUP BY 1, 2)
+levels AS (SELECT graph_id, node_id, CAST(MAX(level) AS INT) AS level FROM paths GROUP BY 1, 2)"""
+
+
+@R.query("g12_audit_of_nodes", f"""
+WITH {AUDIT}
 SELECT n.graph_id, n.node_id, l.level, r.node_id IS NOT NULL AS is_root, r.node_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM valid v
   WHERE v.graph_id = n.graph_id AND v.source = n.node_id) AND (SELECT COUNT(*) FROM graph_node g WHERE g.graph_id = n.graph_id) > 1
   AS is_isolated
@@ -155,15 +158,38 @@ def _(lake):
 
 
 @R.query("g12_audit_of_graphs", f"""
-WITH {VALID} SELECT g.graph_id, COUNT(*) AS nodes,
+WITH {AUDIT}, size AS (SELECT graph_id, COUNT(*) AS nodes FROM graph_node GROUP BY 1)
+SELECT g.graph_id, COUNT(*) AS nodes, COUNT(r.node_id) AS roots, COUNT(*) FILTER (WHERE r.node_id IS NOT NULL AND s.nodes > 1
+    AND NOT EXISTS (SELECT 1 FROM valid v WHERE v.graph_id = g.graph_id AND v.source = g.node_id)) AS isolated,
+  CAST(MAX(l.level) + 1 AS INT) AS levels, COUNT(l.node_id) < COUNT(*) AS cyclic,
   (SELECT COUNT(*) FROM valid v WHERE v.graph_id = g.graph_id) AS valid_edges,
   (SELECT COUNT(*) FROM graph_edge v WHERE v.graph_id = g.graph_id) - (SELECT COUNT(*) FROM valid v
-    WHERE v.graph_id = g.graph_id) AS dangling_edges FROM graph_node g GROUP BY g.graph_id""")
+    WHERE v.graph_id = g.graph_id) AS dangling_edges
+FROM graph_node g JOIN size s ON s.graph_id = g.graph_id LEFT JOIN roots r ON r.graph_id = g.graph_id AND r.node_id = g.node_id
+LEFT JOIN levels l ON l.graph_id = g.graph_id AND l.node_id = g.node_id GROUP BY g.graph_id""")
 def _(lake):
-    return ops.graph_audit(lake("graph_node"), lake("graph_edge"))[1].select(
-        "graph_id", "nodes", "valid_edges", "dangling_edges")
+    return ops.graph_audit(lake("graph_node"), lake("graph_edge"))[1]
 
 
+# With one edge back per graph: nodes on and behind the cycle have no level.
+CYCLE = """cyclic_edge AS (SELECT graph_id, source, target FROM graph_edge UNION SELECT graph_id, target AS source, source AS target
+  FROM graph_edge WHERE graph_id % 3 = 0 AND source = 5)"""
+BEHIND = """on_cycle(graph_id, start, node_id) AS (SELECT graph_id, source, target FROM valid UNION SELECT c.graph_id, c.start, v.target
+  FROM on_cycle c JOIN valid v ON v.graph_id = c.graph_id AND v.source = c.node_id),
+stuck AS (SELECT DISTINCT c.graph_id, c.node_id FROM on_cycle c JOIN (SELECT DISTINCT graph_id, start FROM on_cycle
+  WHERE start = node_id) s ON s.graph_id = c.graph_id AND s.start = c.start)"""
+
+
+@R.query("g12_audit_of_cyclic_graphs", f"""
+WITH RECURSIVE {CYCLE}, {VALID.replace('graph_edge', 'cyclic_edge')}, {BEHIND}
+SELECT n.graph_id, COUNT(*) AS nodes, COUNT(s.node_id) AS unlevelled, COUNT(s.node_id) > 0 AS cyclic
+FROM graph_node n LEFT JOIN stuck s ON s.graph_id = n.graph_id AND s.node_id = n.node_id GROUP BY n.graph_id""")
+def _(lake):
+    back = lake("graph_edge").filter("graph_id % 3 = 0 AND source = 5").select(
+        "graph_id", F.col("target").alias("source"), F.col("source").alias("target"))
+    per_node, per_graph = ops.graph_audit(lake("graph_node"), lake("graph_edge").unionByName(back))
+    levels = per_node.groupBy("graph_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("level").isNull()).alias("unlevelled"))
+    return levels.join(per_graph.select("graph_id", "cyclic"), "graph_id")
 
 
 @R.query("i4_confidential_access", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brightwell.operators import alerts, runs as ops
+from brightwell.operators.table_query import total
 from registry.base import Registry, shown
 from registry.views import EVENT_CLOCK, RUN_CLOCK
 
@@ -222,6 +223,9 @@ def _(lake):
     return ops.expire_waiting(lake("run_log"), "2000-06-01 12:00:00", 60)
 
 
+CRON_RUNS = {"owner_like": "Task_1", "statuses": "SUCCESS", "trigger": "CRON", "t_from": "1997-01-01", "t_to": "2001-01-01"}
+
+
 @R.query("c38_run_page", """
 WITH p AS (SELECT r.*, t.task_name FROM run_log r JOIN task t ON t.task_id = r.task_id
   WHERE contains(lower(task_name), 'task_1') AND status = 'SUCCESS' AND trigger_type = 'CRON'
@@ -231,8 +235,31 @@ SELECT p.id, kind, task_id, task_name, status, trigger_type, start_time, COUNT(n
   COUNT(*) FILTER (WHERE node_status = 'SUCCESS') AS nodes_ok, COUNT(*) FILTER (WHERE node_status = 'FAILED') AS nodes_failed
 FROM p LEFT JOIN run_node n ON n.run_id = p.id GROUP BY ALL""")
 def _(lake):
-    return ops.run_page(lake("run_log"), lake("task"), lake("run_node"), "Task_1", "SUCCESS", "CRON",
-                        "1997-01-01", "2001-01-01", page=2)
+    return ops.run_page(lake("run_log"), lake("task"), lake("run_node"), page=2, **CRON_RUNS)
+
+
+@R.query("c38_run_total", """
+SELECT COUNT(*) AS total FROM run_log r JOIN task t ON t.task_id = r.task_id
+WHERE contains(lower(task_name), 'task_1') AND status = 'SUCCESS' AND trigger_type = 'CRON'
+  AND start_time >= TIMESTAMP '1997-01-01 00:00:00' AND start_time < TIMESTAMP '2001-01-01 00:00:00'""")
+def _(lake):
+    return total(ops.run_list(lake("run_log"), lake("task"), **CRON_RUNS))
+
+
+@R.query("c38_run_page_of_projects", """
+WITH p AS (SELECT r.*, t.task_name FROM run_log r JOIN task t ON t.task_id = r.task_id JOIN project j ON j.project_id = t.project_id
+  WHERE contains(lower(project_name), 't_1') AND contains(lower(task_name), '1') ORDER BY start_time DESC, r.id DESC LIMIT 30)
+SELECT p.id, kind, task_id, task_name, status, trigger_type, start_time, COUNT(node_no) AS nodes,
+  COUNT(*) FILTER (WHERE node_status = 'SUCCESS') AS nodes_ok, COUNT(*) FILTER (WHERE node_status = 'FAILED') AS nodes_failed
+FROM p LEFT JOIN run_node n ON n.run_id = p.id GROUP BY ALL""")
+def _(lake):
+    return ops.run_page(lake("run_log"), lake("task"), lake("run_node"), size=30, owner_like="1", project_like="T_1",
+                        projects=lake("project"))
+
+
+@R.query("c38_runs_of_one_owner", "SELECT id, kind, task_id, status, start_time FROM run_log WHERE task_id = 7")
+def _(lake):
+    return ops.run_list(lake("run_log"), lake("task"), owner_id=7).select("id", "kind", "task_id", "status", "start_time")
 
 
 @R.query("c39_queue_load", """

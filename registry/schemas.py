@@ -143,27 +143,33 @@ STANDARD_OF = """CASE WHEN regexp_full_match(column_name, 'dim_[0-9]*[05]') THEN
 def _(lake):
     rules, _ = _standards(lake)
     return std.match_standard(lake("std_column").select("column_id", "column_name"), "column_name",
-                              std.enabled_rules(rules)["COLUMN"])
+                              std.standards_for(rules, "COLUMN"))
 
 
+OFFERED = {"TABLE": "blank|PREFIX| |;brands|REGEX|Brand#[1-3][0-9]|;fives|SUFFIX|5|",
+           "COLUMN": "broken|REGEX|x[0-9|;dims|REGEX|dim_[0-9]*[05]|;all dims|PREFIX|dim_|;orders|PREFIX|order_|;nines|SUFFIX|9|"}
 FINDINGS = f"""
 named AS (SELECT *, CAST({STANDARD_OF} AS BIGINT) AS standard_id, concat_ws('.', database_name, schema_name, table_name, column_name)
   AS object_path FROM std_column WHERE source_status = 'ONLINE'),
 findings AS (
   SELECT table_id, 'TABLE' AS object_type, concat_ws('.', database_name, schema_name, table_name) AS object_path,
     'NAMING' AS violation_type, CAST(NULL AS BIGINT) AS standard_id, CAST(NULL AS VARCHAR) AS actual_value,
-    CAST(NULL AS VARCHAR) AS expected_value, 3 AS offered FROM std_table WHERE source_status = 'ONLINE'
+    CAST(NULL AS VARCHAR) AS expected_value, '{OFFERED['TABLE']}' AS offered FROM std_table WHERE source_status = 'ONLINE'
     AND NOT regexp_full_match(table_name, 'Brand#[1-3][0-9]') AND NOT ends_with(table_name, '5')
-  UNION ALL SELECT table_id, 'COLUMN', object_path, 'NAMING', NULL, NULL, NULL, 5 FROM named WHERE standard_id IS NULL
-  UNION ALL SELECT table_id, 'COLUMN', object_path, 'TYPE', standard_id, data_type, 'INT,BIGINT,DATE', 1 FROM named
+  UNION ALL SELECT table_id, 'COLUMN', object_path, 'NAMING', NULL, NULL, NULL, '{OFFERED['COLUMN']}' FROM named WHERE standard_id IS NULL
+  UNION ALL SELECT table_id, 'COLUMN', object_path, 'TYPE', standard_id, data_type, 'INT,BIGINT,DATE',
+    CASE standard_id WHEN 1 THEN 'orders|PREFIX|order_|INT,BIGINT,DATE' ELSE 'all dims|PREFIX|dim_|INT,BIGINT,DATE' END FROM named
     WHERE standard_id IN (1, 3) AND upper(data_type) NOT IN ('INT', 'BIGINT', 'DATE')
-  UNION ALL SELECT table_id, 'COLUMN', object_path, 'TYPE', standard_id, data_type, 'VARCHAR(64),DECIMAL(18,2)', 1 FROM named
+  UNION ALL SELECT table_id, 'COLUMN', object_path, 'TYPE', standard_id, data_type, 'VARCHAR(64),DECIMAL(18,2)', 'dims|REGEX|dim_[0-9]*[05]|VARCHAR(64),DECIMAL(18,2)' FROM named
     WHERE standard_id = 2 AND NOT ({_matches('VARCHAR(64)', 'data_type')} OR {_matches('DECIMAL(18,2)', 'data_type')}))"""
 
 
 def _scan(lake):
+    """Findings with the offered standards as one text each, so that their content is compared too."""
+    one = lambda s: F.concat_ws(
+        "|", s["standard_name"], s["rule_type"], s["rule_value"], F.coalesce(F.concat_ws(",", s["allowed_types"]), F.lit("")))
     return std.compliance_scan(lake("std_table"), lake("std_column"), *_standards(lake)).withColumn(
-        "offered", F.size("applicable_standards")).drop("applicable_standards")
+        "offered", F.array_join(F.transform("applicable_standards", one), ";")).drop("applicable_standards")
 
 
 @R.query("e5_compliance_scan", f"WITH {FINDINGS.strip()} SELECT * FROM findings")
@@ -232,15 +238,14 @@ def _(lake):
 
 
 @R.query("e11_keyed_diff", """
-WITH n AS (SELECT * FROM meta_column_new WHERE table_name NOT LIKE '%_new'), o AS (SELECT * FROM meta_column_old)
-SELECT COALESCE(o.column_name, n.column_name) AS column_name, CASE WHEN o.column_name IS NULL THEN 'ADDED'
+WITH n AS (SELECT * FROM meta_column_new), o AS (SELECT * FROM meta_column_old)
+SELECT COALESCE(o.table_name, n.table_name) AS table_name, COALESCE(o.column_name, n.column_name) AS column_name, CASE WHEN o.column_name IS NULL THEN 'ADDED'
   WHEN n.column_name IS NULL THEN 'REMOVED' ELSE 'MODIFIED' END AS change
-FROM o FULL JOIN n ON n.column_name = o.column_name WHERE o.column_name IS NULL OR n.column_name IS NULL
+FROM o FULL JOIN n ON n.table_name = o.table_name AND n.column_name = o.column_name WHERE o.column_name IS NULL OR n.column_name IS NULL
   OR o.data_type IS DISTINCT FROM n.data_type OR o.ordinal_position IS DISTINCT FROM n.ordinal_position
   OR o.nullable IS DISTINCT FROM n.nullable OR o.column_comment IS DISTINCT FROM n.column_comment""")
 def _(lake):
-    new = lake("meta_column_new").filter("table_name NOT LIKE '%_new'")
-    return ops.keyed_diff(lake("meta_column_old"), new, "column_name",
+    return ops.keyed_diff(lake("meta_column_old"), lake("meta_column_new"), ["table_name", "column_name"],
                           ["data_type", "ordinal_position", "nullable", "column_comment"])
 
 

@@ -86,6 +86,25 @@ def _(lake):
         {"object_name": "1", "rule_name": "Rule 3"})
 
 
+AUDIT = QuerySpec([("action", "EQ"), ("created_at", "RANGE")], ["id", "resource_name", "operator", "action", "created_at"],
+                  "created_at DESC", True, tie_break=("id",))
+AUDIT_LIKE = {("resource_name", "content"): "7", "operator": "USER_3"}
+AUDIT_WHERE = """action = 'click' AND created_at >= TIMESTAMP '2024-01-05 00:00:00' AND contains(operator, 'user_3')
+  AND (contains(resource_name, '7') OR contains(content, '7'))"""
+
+
+@R.query("c30_audit_page", f"""
+SELECT id, resource_name, operator, action, created_at FROM audit_log WHERE {AUDIT_WHERE}
+ORDER BY created_at DESC, id LIMIT 20 OFFSET 20""")
+def _(lake):
+    return ops.history_page(lake("audit_log"), AUDIT, {"action": "click", "min_created_at": "2024-01-05"}, AUDIT_LIKE, page=2)
+
+
+@R.query("c30_audit_total", f"SELECT COUNT(*) AS total FROM audit_log WHERE {AUDIT_WHERE}")
+def _(lake):
+    return ops.history_count(lake("audit_log"), AUDIT, {"action": "click", "min_created_at": "2024-01-05"}, AUDIT_LIKE)
+
+
 @R.query("a2_full_sync", "SELECT c_custkey AS id, c_name AS full_name, c_acctbal AS balance FROM customer")
 def _(lake):
     path = f"{ensure_checkpoint_dir(lake.spark)}/{sync.target_name('customer', 'shop-db')}-{uuid.uuid4().hex}"

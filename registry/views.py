@@ -52,6 +52,18 @@ SELECT DISTINCT task_id, concat('task_', CAST(task_id AS STRING)) AS task_name,
   task_id % 4 AS queue_id, CASE WHEN task_id % 5 = 0 THEN NULL ELSE CAST(10 + task_id AS INT) END AS timeout_minutes,
   task_id % 8 <> 0 AS enabled FROM exec_history"""
 
+VIEWS["project"] = """
+SELECT DISTINCT project_id, concat('project_', CAST(project_id AS STRING)) AS project_name FROM task"""
+
+VIEWS["audit_log"] = """
+SELECT event_id AS id, concat('res_', CAST(user_id AS STRING)) AS resource_name, props AS content,
+  concat('user_', CAST(user_id % 9 AS STRING)) AS operator, event_type AS action, ts AS created_at FROM events"""
+
+VIEWS["issue_detail"] = """
+SELECT id, batch_id, rule_id, table_id, result_value, result_level, created_at, concat('rule ', CAST(rule_id AS STRING)) AS rule_name,
+  CASE WHEN rule_id % 2 = 0 THEN 'RANGE' ELSE 'COMPLETENESS' END AS rule_type,
+  CASE WHEN rule_id % 2 = 0 THEN 'out_of_range' ELSE 'null_rate' END AS result_metric FROM check_detail"""
+
 VIEWS["queue"] = """
 SELECT queue_id, CASE WHEN queue_id = 1 THEN NULL ELSE CAST(FLOOR(COUNT(*) / 10) AS INT) END AS capacity
   FROM run_log GROUP BY queue_id

@@ -25,7 +25,7 @@ def test_walks_end_on_cycles(cyclic):
 def test_depth_is_clamped(cyclic):
     assert names(ops.impact(cyclic, "a", 0)[0]) == {"a": 0, "b": 1}
     assert names(ops.impact(cyclic, "a", None)[0]) == {"a": 0, "b": 1}
-    assert ops.clamp_depth(99) == 10 and ops.clamp_depth(-1) == 1
+    assert ops.walk_depth(99) == 99 and ops.walk_depth(-1) == 1 and ops.walk_depth(None) is None
 
 
 def test_directions(cyclic):
@@ -87,3 +87,26 @@ def test_long_quoted_text_does_not_overflow():
 def test_same_text_is_read_once_and_kept_per_row(spark):
     log = spark.createDataFrame([(i, "INSERT INTO t SELECT x FROM s") for i in range(50)], "id bigint, sql_text string")
     assert st.lineage_from_statements(log).count() == 50
+
+
+@pytest.mark.parametrize("sql, sources", [
+    ("SELECT a IS DISTINCT FROM y AS d FROM t", ["t"]), ("SELECT trim(both ' ' FROM c) FROM t", ["t"]),
+    ("SELECT substring(c FROM 2 FOR 3), EXTRACT(YEAR FROM d) FROM t", ["t"]), ("SELECT 1 FROM (s)", ["s"]),
+    ("SELECT 1 FROM s TABLESAMPLE (10 PERCENT), u", ["s", "u"]), ("SELECT 1 FROM generate_series(1,3) g, t", ["t"]),
+    ("SELECT 1 FROM (SELECT x FROM a, b) q JOIN (c JOIN d ON c.k = d.k) ON q.x = c.x WHERE e IN (SELECT z FROM f)",
+     ["a", "b", "c", "d", "f"]),
+    ("SELECT 1 FROM t LATERAL VIEW explode(xs) v AS p, q", ["t"]), ("DELETE FROM t WHERE k IN (SELECT k FROM u)", ["t", "u"]),
+    ("UPDATE t JOIN u ON t.k = u.k SET t.a = 1", ["u"]), ("SELECT a, b FROM x AS p, y q, `z.w` WHERE 1 = 1", ["x", "y", "z.w"]),
+    ("SELECT (a, b) FROM t GROUP BY f, g", ["t"])])
+def test_source_tables(sql, sources):
+    assert [s.strip("`") for s in st.source_tables(st._masked(sql))] == sources
+
+
+def test_column_pairs_survive_inner_froms():
+    sql = "INSERT INTO d(a, b) SELECT trim(both ' ' FROM c), x IS NOT DISTINCT FROM y FROM s"
+    assert st.statement_edges(sql) == [("s", None, "d", None), ("s", "trim(both ' ' FROM c)", "d", "a"),
+                                       ("s", "x IS NOT DISTINCT FROM y", "d", "b")]
+
+
+def test_names_that_differ_in_case_are_two_tables():
+    assert st.statement_edges("INSERT INTO T SELECT a FROM t")[0] == ("t", None, "T", None)

@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 
 from brightwell.operators.replay import admit_within, breaker_step, window_step
 from brightwell.operators.statements import split_statements
-from brightwell.sources.streams import start_offsets
+from brightwell.sources.streams import start_options
 
 
 def plain(times, calls, limit, window):
@@ -77,7 +77,8 @@ def test_split_keeps_every_statement(parts):
 
 
 def test_start_positions():
-    assert start_offsets("EARLIEST", "mysql") == "earliest" and start_offsets("INITIAL", "postgresql") == "latest"
+    assert start_options("EARLIEST", "mysql") == {"startingOffsets": "earliest"}
+    assert start_options("INITIAL", "postgresql", 5)["startingTimestamp"] == "5"
     for bad in (("EARLIEST", "postgresql"), ("SOON", "mysql")):
         with pytest.raises(ValueError):
-            start_offsets(*bad)
+            start_options(*bad)

@@ -57,3 +57,13 @@ def test_offline_columns_and_null_keys(spark):
 def test_snapshot_reads_only_schemas(spark):
     got = schema.snapshot(spark, {"r": spark.range(1).withColumn("s", F.lit("x"))}).collect()
     assert [(r["column_name"], r["data_type"], r["ordinal_position"]) for r in got] == [("id", "bigint", 1), ("s", "string", 2)]
+
+
+def test_a_thousand_standards(spark):
+    rules = [(k, f"n{k}", "COLUMN", ("PREFIX", "SUFFIX", "REGEX")[k % 3], (f"p{k}_", f"_s{k}", f"r{k}_[0-9]+")[k % 3], None, k % 7, True)
+             for k in range(1000)]
+    df = spark.createDataFrame(rules, "id bigint, name string, applies_to string, rule_type string, rule_value string, "
+                                      "target_standard_id bigint, priority int, enabled boolean")
+    names = spark.createDataFrame([("p3_x",), ("x_s400",), ("r500_12",), ("p3_x_s400",), ("none",), (None,)], "column_name string")
+    got = {r[0]: r[1] for r in std.match_standard(names, "column_name", std.standards_for(df, "COLUMN")).collect()}
+    assert got == {"p3_x": 3, "x_s400": 400, "r500_12": 500, "p3_x_s400": 3, "none": None, None: None}

@@ -69,10 +69,15 @@ def test_lag_alerts_and_misses_stream(spark, sample_rows, folder):
     assert rows_of(drained(spark, streamed, f"{folder}/b")) == rows_of(cdc.consecutive_misses(sample_rows, missing))
 
 
+def read_minutes(spark, folder):
+    return sinks.read_current(spark, f"{folder}/out", ["pipeline_id", "minute_at"], flows.METRIC_SEQUENCE, "day",
+                              *flows.METRIC_SEQUENCE)
+
+
 def test_minute_metrics_stream_over_batches(spark, sample_rows, folder):
     stream = in_files(spark, sample_rows, "total_changes", f"{folder}/in")
     flows.minute_metric_stream(stream, f"{folder}/out", f"{folder}/check").awaitTermination()
-    got = sinks.read_merged(spark, f"{folder}/out", "batch_no", "day")
+    got = read_minutes(spark, folder)
     got = got.withColumn("minute_at", F.col("minute_at").cast("timestamp_ntz"))
     assert rows_of(got) == rows_of(cdc.minute_metrics(sample_rows))
 
@@ -96,12 +101,28 @@ def test_change_stream_over_batches_and_replayed_batch(spark, folder):
     rows = [(rng.randrange(20), rng.randrange(1000), i, rng.choice(["INSERT", "UPDATE", "UPDATE", "DELETE"])) for i in range(400)]
     changes = spark.createDataFrame(rows, "id bigint, amount bigint, seq bigint, op_type string")
     stream = in_files(spark, changes, "seq", f"{folder}/in")
-    flows.apply_change_stream(stream, f"{folder}/out", f"{folder}/check", ["id"], "seq", buckets=4).awaitTermination()
+    flows.apply_change_stream(stream, f"{folder}/out", f"{folder}/check", "seq").awaitTermination()
     expected = cdc.apply_changes(changes.select("id", "amount").limit(0), changes, ["id"], "seq")
-    assert rows_of(sinks.read_merged(spark, f"{folder}/out", "seq", "bucket")) == rows_of(expected)
-    again = changes.withColumns({sinks.GONE: F.col("op_type") == "DELETE", "bucket": sinks.key_bucket(["id"], 4)}).drop("op_type")
-    sinks.merge_into_partitions(again, f"{folder}/out", ["id"], "seq", "bucket")
-    assert rows_of(sinks.read_merged(spark, f"{folder}/out", "seq", "bucket")) == rows_of(expected)
+    current = lambda: rows_of(sinks.read_current(spark, f"{folder}/out", ["id"], ["seq"], "seq", "part"))
+    assert current() == rows_of(expected)
+    # A new checkpoint reads everything again; rows go by their own sequence, so nothing newer is lost.
+    flows.apply_change_stream(stream, f"{folder}/out", f"{folder}/check2", "seq").awaitTermination()
+    assert current() == rows_of(expected)
+
+
+def test_minutes_survive_a_new_checkpoint(spark, sample_rows, folder):
+    stream = in_files(spark, sample_rows, "total_changes", f"{folder}/in")
+    flows.minute_metric_stream(stream, f"{folder}/out", f"{folder}/check").awaitTermination()
+    first = rows_of(read_minutes(spark, folder))
+    flows.minute_metric_stream(stream, f"{folder}/out", f"{folder}/check2").awaitTermination()
+    assert rows_of(read_minutes(spark, folder)) == first
+
+
+def test_changes_made_during_the_snapshot_are_not_lost(spark):
+    changes = spark.createDataFrame([(1, 10, 4, "UPDATE"), (1, 11, 7, "UPDATE"), (2, 5, 5, "INSERT"), (3, 0, 6, "DELETE")],
+                                    "id bigint, amount bigint, seq bigint, op_type string")
+    snapshot = spark.createDataFrame([(1, 10), (2, 5), (3, 9)], "id bigint, amount bigint")  # taken after change 5
+    assert sorted(map(tuple, cdc.apply_changes(snapshot, changes, ["id"], "seq").collect())) == [(1, 11), (2, 5)]
 
 
 def test_late_rows_beyond_the_watermark_are_dropped(spark, folder):
@@ -110,9 +131,22 @@ def test_late_rows_beyond_the_watermark_are_dropped(spark, folder):
     for part in (first, late):
         spark.createDataFrame(part, SAMPLE).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(SAMPLE).parquet(f"{folder}/in")
-        flows.minute_metric_stream(stream, f"{folder}/out", f"{folder}/check").awaitTermination()
-    got = {r["minute_at"]: r["lag_max_seconds"] for r in sinks.read_merged(spark, f"{folder}/out").collect()}
+        query = flows.minute_metric_stream(stream, f"{folder}/out", f"{folder}/check")
+        query.awaitTermination()
+    got = {r["minute_at"]: r["lag_max_seconds"] for r in read_minutes(spark, folder).collect()}
     assert got[START] == 10 and got[START + timedelta(minutes=115)] == 50
+    assert flows.dropped_late(query) == 1
+
+
+def test_a_wider_watermark_keeps_late_rows(spark, folder):
+    first = [(1, START + timedelta(minutes=m), 10, 1, 0, m) for m in range(0, 120, 10)]
+    for part in (first, [(1, START, 99, 1, 0, 1000)]):
+        spark.createDataFrame(part, SAMPLE).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(SAMPLE).parquet(f"{folder}/in")
+        query = flows.minute_metric_stream(stream, f"{folder}/out", f"{folder}/check", watermark="3 hours")
+        query.awaitTermination()
+    assert {r["minute_at"]: r["lag_max_seconds"] for r in read_minutes(spark, folder).collect()}[START] == 99
+    assert flows.dropped_late(query) == 0
 
 
 def test_normalisation_drops_what_cannot_be_read(spark):
