@@ -34,6 +34,7 @@ _CTE = re.compile(r"(?:\bWITH\s+(?:RECURSIVE\s+)?|\)\s*,\s*)(\w+)\s*(?:\([^()]*\
 _WORDS = re.compile(r"[(),]|\bFROM\b|\bSELECT\b", re.I)
 _ALIAS = re.compile(r"\A(?P<expr>.*?)(?:\s+AS\s+`?(?P<a>\w+)`?|(?<=[\w)'\"`])\s+(?!(?:END|NULL|TRUE|FALSE)\Z)"
                     r"(?P<b>[A-Za-z_]\w*))\Z", re.I | re.S)
+_OPERATOR = re.compile(r"\b(?:FROM|AND|OR|NOT|LIKE|IS|IN|BETWEEN|THEN|ELSE|WHEN)\Z", re.I)
 EDGE_FIELDS = "source_table string, source_column string, target_table string, target_column string"
 
 
@@ -169,6 +170,8 @@ def statement_edges(statement: str) -> list[tuple]:
     columns = [c.split()[0].strip("`") for c in declared.group(1).split(",") if c.strip()] if declared else []
     for i, item in enumerate(_select_items(masked, statement, target.end()) or []):
         alias = _ALIAS.match(item)
+        if alias and alias["b"] and _OPERATOR.search(alias["expr"]):
+            alias = None  # the last word is an operand
         expression = alias["expr"].strip() if alias else item
         target_column = columns[i] if i < len(columns) else (alias["a"] or alias["b"]) if alias else None
         if target_column:

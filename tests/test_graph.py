@@ -22,9 +22,10 @@ def test_walks_end_on_cycles(cyclic):
     assert names(nodes) == {"a": 0, "b": 1, "c": 2, "d": 3} and edges.count() == 4
 
 
-def test_depth_is_clamped(cyclic):
+def test_depth_is_the_one_given(cyclic):
     assert names(ops.impact(cyclic, "a", 0)[0]) == {"a": 0, "b": 1}
-    assert names(ops.impact(cyclic, "a", None)[0]) == {"a": 0, "b": 1}
+    assert names(ops.impact(cyclic, "a")[0]) == {"a": 0, "b": 1}
+    assert names(ops.impact(cyclic, "a", None)[0]) == names(ops.impact(cyclic, "a", 99)[0]) == {"a": 0, "b": 1, "c": 2, "d": 3}
     assert ops.walk_depth(99) == 99 and ops.walk_depth(-1) == 1 and ops.walk_depth(None) is None
 
 
