@@ -17,8 +17,8 @@ WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: The term number of end postings.
 END = 0
-#: Terms that are broadcast at most; a larger vocabulary is joined by a shuffle.
-BROADCAST_TERMS = 1_000_000
+#: Terms and document ids that are broadcast at most; larger sides are joined by a shuffle.
+BROADCAST_TERMS, BROADCAST_DOCUMENTS = 1_000_000, 1_000_000
 
 
 def words(text) -> F.Column:
@@ -89,6 +89,8 @@ def phrase_matches(index: DataFrame, terms: DataFrame, runs: DataFrame) -> DataF
         (F.col("start") + F.col("offset")).alias("asked_position"))
     wanted = probes.select("asked_id", "asked_term", "asked_position").distinct()
     concerned = both.select(F.col("doc_id").alias("some_id")).distinct()
+    if concerned.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS:
+        concerned = F.broadcast(concerned)  # the index then stays where it lies; beyond the bound it is shuffled
     postings = index.join(concerned, F.col("doc_id").eqNullSafe(F.col("some_id")), "left_semi")
     hit = postings.join(wanted, F.col("asked_id").eqNullSafe(F.col("doc_id")) & (F.col("asked_term") == F.col("term"))
                         & (F.col("asked_position") == F.col("position")), "left_semi").distinct()
