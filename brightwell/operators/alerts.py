@@ -49,17 +49,16 @@ def merge_batch_alerts(details: DataFrame, batches: DataFrame, jobs: DataFrame)
     alerting = jobs.filter(F.trim(F.coalesce("alert_level", F.lit(""))) != "").select("job_id", "alert_level")
     pending = batches.filter(~F.coalesce(F.col("alert_sent"), F.lit(False))).join(alerting, "job_id")
     level = F.col("result_level")
-    findings = (level == "SEVERE") | ((level == "WARNING") & (F.upper("alert_level") != SEVERE_ONLY))
+    findings = F.coalesce((level == "SEVERE") | ((level == "WARNING") & (F.upper("alert_level") != SEVERE_ONLY)), F.lit(False))
     line = F.concat(F.lit("["), level, F.lit("] "), F.col("rule_name"),
                     F.when(F.trim(F.coalesce("detail", F.lit(""))) != "", F.concat(F.lit(": "), "detail")).otherwise(""))
     rows = details.join(pending.select("batch_id", "job_id", "batch_status", "alert_level"), "batch_id").select(
         "batch_id", "job_id", "batch_status", findings.alias("hit"), F.struct("id", line.alias("line")).alias("item"))
-    # A batch holds one detail per rule of a job, so the lists stay as long as the job's rule list.
-    grouped = rows.groupBy("batch_id", "job_id", "batch_status").agg(
-        F.sort_array(F.collect_list(F.when(F.col("hit"), F.col("item")))).alias("hits"),
-        F.sort_array(F.collect_list("item")).alias("items"))
-    failing = F.size("hits") > 0
-    chosen = F.when(failing, F.col("hits")).otherwise(F.col("items"))
-    return grouped.filter(failing | (F.upper("batch_status") == "SUCCESS")).select(
-        "batch_id", "job_id", F.when(failing, "FAILURE").otherwise("SUCCESS").alias("alert_type"),
-        F.size(chosen).alias("items"), F.array_join(chosen["line"], "\n").alias("summary"))
+    # Only lines that are shown are gathered: the findings of a failing batch, all lines of a clean, successful one.
+    state = rows.groupBy("batch_id").agg(F.max("hit").alias("failing"))
+    shown = rows.join(state, "batch_id").filter(
+        F.col("hit") | (~F.col("failing") & (F.upper("batch_status") == "SUCCESS")))
+    grouped = shown.groupBy("batch_id", "job_id", "failing").agg(F.sort_array(F.collect_list("item")).alias("lines"))
+    return grouped.select(
+        "batch_id", "job_id", F.when(F.col("failing"), "FAILURE").otherwise("SUCCESS").alias("alert_type"),
+        F.size("lines").alias("items"), F.array_join(F.col("lines")["line"], "\n").alias("summary"))

@@ -101,7 +101,10 @@ UNION ALL SELECT id, executed_at, regexp_extract(sql_text, 'ods\\.s\\d'), 'y + 1
   FROM statement_log WHERE id % 5 = 0
 UNION ALL SELECT id, executed_at, 'ods.s1', NULL, regexp_extract(sql_text, 'dw\\.c\\d'), NULL FROM statement_log WHERE id % 5 = 1
 UNION ALL SELECT id, executed_at, 'ods.s2', NULL, regexp_extract(sql_text, 'dw\\.c\\d'), NULL FROM statement_log WHERE id % 5 = 1
-UNION ALL SELECT id, executed_at, NULL, NULL, regexp_extract(sql_text, 'dw\\.t\\d'), NULL FROM statement_log WHERE id % 5 = 3) x"""
+UNION ALL SELECT id, executed_at, NULL, NULL, regexp_extract(sql_text, 'dw\\.t\\d'), NULL FROM statement_log WHERE id % 5 = 3
+UNION ALL SELECT id, executed_at, regexp_extract(sql_text, 'ods\\.s\\d'), c.s, regexp_extract(sql_text, 'dw\\.t\\d'), c.t FROM statement_log,
+  (VALUES (NULL, NULL), ('trim(both '' '' FROM x)', 'a'), ('y IS DISTINCT FROM z', 'b')) c(s, t) WHERE id % 15 = 9
+UNION ALL SELECT id, executed_at, c.s, NULL, 'dw.f1', NULL FROM statement_log, (VALUES ('ods.s3'), ('ods.s4')) c(s) WHERE id % 15 = 14) x"""
 
 
 @R.query("g9_edges_from_statements", EDGES)

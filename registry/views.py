@@ -322,7 +322,11 @@ SELECT o_orderkey AS id, CASE o_orderkey % 5
    WHEN 1 THEN concat('CREATE TABLE dw.c', CAST(o_custkey % 9 AS STRING), ' AS SELECT p AS q FROM ods.s1 JOIN ods.s2 ON s1.k = s2.k')
    WHEN 2 THEN concat('SELECT * FROM ods.s', CAST(o_custkey % 7 AS STRING), ' WHERE z = '';''')
    WHEN 3 THEN concat('UPDATE dw.t', CAST(o_custkey % 9 AS STRING), ' SET a = 1')
-   ELSE 'not a statement' END AS sql_text, o_orderdate AS executed_at FROM orders"""
+   ELSE CASE o_orderkey % 15
+     WHEN 9 THEN concat('INSERT INTO dw.t', CAST(o_custkey % 9 AS STRING), '(a, b) SELECT trim(both '' '' FROM x), y IS DISTINCT FROM z FROM ods.s',
+       CAST(o_custkey % 7 AS STRING))
+     WHEN 14 THEN 'CREATE TABLE dw.f1 AS SELECT v AS w FROM (ods.s3 JOIN ods.s4 ON s3.k = s4.k), generate_series(1, 3) g'
+     ELSE 'not a statement' END END AS sql_text, o_orderdate AS executed_at FROM orders"""
 
 VIEWS["script_log"] = """
 SELECT id, concat(sql_text, '; -- done; really', chr(10), ' /* a;b */ DELETE FROM x.y WHERE k = "q;r";;') AS script FROM statement_log"""
