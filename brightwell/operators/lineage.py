@@ -46,24 +46,27 @@ def walk(edges: DataFrame, start: Sequence[str], source: Sequence[str], target:
     """
     spark = edges.sparkSession
     edges = cut_lineage(edges)
-    seen = spark.createDataFrame([tuple(start)], ", ".join(f"{n} string" for n in node)).withColumn("level", F.lit(0))
-    frontier, touched, level = seen.select(*node), [], 0
+    seen = spark.createDataFrame([tuple(start)], ", ".join(f"{n} string" for n in node))
+    levels, frontier, touched, level = [seen.withColumn("level", F.lit(0))], seen, [], 0
     ways = [(source, target)] * (direction != "UP") + [(target, source)] * (direction != "DOWN")
+    ends = [F.when(F.col("way") == 0, F.col(ways[0][1][k])).otherwise(F.col(ways[-1][1][k])).alias(n)
+            for k, n in enumerate(node)]
     while depth is None or level < depth:
         level += 1
         found = [edges.join(frontier.select(*[F.col(n).alias(h) for n, h in zip(node, here)]), list(here), "left_semi")
                  .withColumn("way", F.lit(k)) for k, (here, _) in enumerate(ways)]
         hit = cut_lineage(found[0] if len(found) == 1 else found[0].unionByName(found[1]))
         touched.append(hit.drop("way"))
-        ends = [F.when(F.col("way") == 0, F.col(ways[0][1][k])).otherwise(F.col(ways[-1][1][k])).alias(n)
-                for k, n in enumerate(node)]
-        reached = hit.select(*ends).dropna().distinct()
-        frontier = cut_lineage(reached.join(seen.select(*node), list(node), "left_anti"))
-        if frontier.isEmpty():
+        if hit.isEmpty():
             break
-        seen = seen.unionByName(frontier.withColumn("level", F.lit(level)))
+        reached = hit.select(*ends).dropna()
+        frontier = reached.distinct().join(seen, list(node), "left_anti")
+        seen = seen.unionByName(reached)
+        levels.append(reached.withColumn("level", F.lit(level)))
+    # A node counts at the first level that reached it.
+    nodes = reduce(DataFrame.unionByName, levels).groupBy(*node).agg(F.min("level").alias("level"))
     kept = reduce(DataFrame.unionByName, touched)
-    return seen, kept.distinct() if len(ways) > 1 else kept
+    return nodes, kept.distinct() if len(ways) > 1 else kept
 
 
 def _tables(lineage: DataFrame, table: str, depth: int | None, direction: str) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from brightwell.operators import cdc
-from brightwell.operators.catalog import view_counts
 from brightwell.streaming.sinks import GONE, append_batch
 
 #: Defaults; the functions take a watermark as an argument.
@@ -86,5 +85,4 @@ def lake_sink(events: DataFrame, mapping: DataFrame, path: str, checkpoint: str,
         "path", path).partitionBy("sink_table").trigger(**(trigger or {"availableNow": True})).start()
 
 
-__all__ = ["append_to", "apply_change_stream", "dropped_late", "lake_sink", "minute_metric_stream", "start", "view_count_stream",
-           "view_counts"]
+__all__ = ["append_to", "apply_change_stream", "dropped_late", "lake_sink", "minute_metric_stream", "start", "view_count_stream"]
