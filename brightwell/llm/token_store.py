@@ -78,6 +78,7 @@ class SegmentEncoder:
         self.split = regex.compile(PATTERN)
         self.lone = re.compile(r"(?<=\S) (?=\S)")
         self.runs = re.compile(r"\s\s")
+        self.blank = self.spelling[32]
         self.marks = {mark: self._part(mark) for mark in ".,"}
         self.segments = Segments(self._segment)
 
@@ -85,13 +86,16 @@ class SegmentEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        spelt = part.encode("utf-8").decode("latin-1").translate(self.spelling)
-        return b"".join([self.little[t.id] for t in self.model.tokenize(spelt)])
+        return self._spelt(part.encode("utf-8").decode("latin-1").translate(self.spelling))
+
+    def _spelt(self, part: str) -> bytes:
+        little = self.little
+        return b"".join([little[t.id] for t in self.model.tokenize(part)])
 
     def _segment(self, word: str) -> bytes:
         """Ids of a segment, given without its blank. Most are a word, or a word and a mark, which are parted at once."""
         if word.isalpha():
-            return self._part(" " + word)
+            return self._spelt(self.blank + word) if word.isascii() else self._part(" " + word)
         if word[-1:] in self.marks and word[:-1].isalpha():
             return self.segments[word[:-1]] + self.marks[word[-1]]
         if self.special.search(word):
