@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The characters [\x20\x09-\x0D] as bytes and as text.
-SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -22,14 +20,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = worker_folder()
+        base = own_folder()
     return f"{base.rstrip('/')}/brightwell-{name}-{uuid.uuid4().hex}"
 
 
 _own: list[str] = []
 
 
-def worker_folder() -> str:
+def own_folder() -> str:
+    """A scratch folder of this process, made when first asked for."""
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="run-"))
     return _own[0]

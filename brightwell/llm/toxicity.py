@@ -43,7 +43,8 @@ def hashed(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
             found.append((code[keep] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40))
             owner.append(position_owner[:len(tail)][keep])
     whole = np.zeros(len(words), dtype=np.uint64)
-    np.add.at(whole, position_owner, data * (np.arange(len(data)) - np.repeat(starts, sizes) + 7).astype(np.uint64) ** np.uint64(3))
+    place = (np.arange(len(data)) - np.repeat(starts, sizes) + 7).astype(np.uint64)
+    np.add.at(whole, position_owner, data * place ** np.uint64(3))
     found.append((whole * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40))
     owner.append(np.arange(len(words)))
     owner, found = np.concatenate(owner), np.concatenate(found).astype(np.int64) % buckets
@@ -95,7 +96,8 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int
     """Fits embeddings and softmax jointly by gradient steps on one window per document and epoch.
 
     The first epochs take windows at random, the others the window with the highest score; clean documents always add a
-    random one, which keeps common n-grams neutral. There are about ``steps`` steps of 64 windows. With no rows, or a single label, the score is a constant.
+    random one, which keeps common n-grams neutral. There are about ``steps`` steps of 64 windows. With no rows, or a
+    single label, the score is a constant.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, dtype=np.float64)
