@@ -183,8 +183,9 @@ def repeated_lines(df: DataFrame, found: Suspects, id_col: str, text_col: str) -
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = written(map_batches(rows, suspect, "doc_id long, key binary, places array<int>"), "suspects")
-    shared = (lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-              .filter("first < last").select(F.col("key").alias("shared_key"), "first"))
+    # Written out, both sides of the join are plain shuffles, which adaptive execution splits at a common line.
+    shared = written(lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                     .filter("first < last").select(F.col("key").alias("shared_key"), "first"), "shared-lines")
     lost = lines.join(shared, F.col("key") == F.col("shared_key")).filter("doc_id > first")
     return lost.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("lines"))
 
