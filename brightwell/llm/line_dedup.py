@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from brightwell.llm.batches import lists, map_batches, pieces
+from brightwell.llm.batches import map_batches, pieces
 from brightwell.llm.shared import written
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -171,12 +171,11 @@ def repeated_lines(df: DataFrame, found: Suspects, id_col: str, text_col: str) -
                 for k, key in enumerate(keys_of(text)):
                     if key:
                         places.setdefault(key, []).append(k)
-                if places:
-                    own = list(places)
-                    for k in np.flatnonzero(filters.has(hashes_of(own))).tolist():
-                        ids.append(doc_id)
-                        keys.append(own[k])
-                        at.append(places[own[k]])
+                ids += [doc_id] * len(places)
+                keys += places
+                at += places.values()
+            hits = np.flatnonzero(filters.has(hashes_of(keys))).tolist()
+            ids, keys, at = ([x[k] for k in hits] for x in (ids, keys, at))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, type=pa.int64()), pa.array(keys, type=pa.binary()),
                  pa.array(at, type=pa.list_(pa.int32()))], ["doc_id", "key", "places"])
