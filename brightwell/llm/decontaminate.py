@@ -80,9 +80,10 @@ def phrase_matches(index: DataFrame, terms: DataFrame, runs: DataFrame) -> DataF
         "run", "size", F.col("doc_id").alias("asked_id"), "start", F.col("next_term").alias("asked_term"),
         (F.col("start") + F.col("next_offset")).alias("asked_position"))
     lists = index.join(second.select(F.col("next_term").alias("term")).distinct(), "term", "left_semi")
+    # Rows that repeat within a document give one candidate: the probes below are counted against the run's size.
     both = written(asked.join(lists, F.col("asked_id").eqNullSafe(F.col("doc_id")) & (F.col("asked_term") == F.col("term"))
-                              & (F.col("asked_position") == F.col("position"))).select("run", "size", "doc_id", "start"),
-                   "candidates")
+                              & (F.col("asked_position") == F.col("position")), "left_semi").select(
+        "run", "size", F.col("asked_id").alias("doc_id"), "start").distinct(), "candidates")
     # The other terms: probes of all candidates, each once, against the postings of the documents concerned.
     probes = both.join(placed.select("run", "offset", "term"), "run").select(
         "run", "size", F.col("doc_id").alias("asked_id"), "start", F.col("term").alias("asked_term"),
@@ -98,7 +99,7 @@ def phrase_matches(index: DataFrame, terms: DataFrame, runs: DataFrame) -> DataF
                         & (F.col("asked_position") == F.col("position")))
     full = whole.groupBy("run", "size", F.col("asked_id").alias("doc_id"), "start").agg(
         F.count(F.lit(1)).alias("n")).filter("n = size").drop("n")
-    result = full.unionByName(alone.select("run", "size", "doc_id", "start"))
+    result = full.unionByName(alone.select("run", "size", "doc_id", "start").distinct())
     return result.join(distinct.select("run", "words"), "run").select("words", "doc_id", "start", "size")
 
 

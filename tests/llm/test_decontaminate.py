@@ -58,6 +58,13 @@ def test_rows_that_share_an_id(spark):
     assert got == {1: (4, 4, 2, ["7", "8"], True)}
 
 
+def test_repeated_rows_stay_contaminated(spark):
+    docs = [(1, "x alpha beta gamma"), (1, "x alpha beta gamma"), (1, "x alpha beta gamma"), (2, "clean words"),
+            (None, "alpha beta one"), (None, "alpha beta two")]
+    got = result(spark, docs, [(7, "alpha beta"), (8, "alpha beta gamma")], 3)
+    assert got == {1: (4, 3, 2, ["7", "8"], True), 2: (2, 0, 0, [], False), None: (3, 2, 1, ["7"], True)}
+
+
 def test_proximity(spark):
     docs = [(1, "red fox jumps over a blue fence"), (2, "blue fox and red"), (3, "red one two three four blue"), (4, "fox")]
     items = item_words(spark.createDataFrame([(1, "red blue fox")], "item_id long, text string"))
