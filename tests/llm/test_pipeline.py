@@ -86,3 +86,18 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() == 0
+
+
+def test_rows_are_judged_by_themselves(spark):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first().text
+    other = "A quiet river runs past the old stone mill and on through nine green fields to the grey and distant sea."
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    left = lambda stage, rows: sorted(((r.doc_id, r.text) for r in stage(spark, frame(rows), FOLDER).collect()), key=repr)
+    rows = [(None, item), (None, "clean"), (None, "clean"), (5, item), (5, "clean too"), (6, other)]
+    assert left(corpus_pipeline.uncontaminated, rows) == sorted([r for r in rows if r[1] != item], key=repr)
+    rows = [(None, "same"), (None, "same"), (None, "once"), (None, "held"), (3, "held"), (3, "held"), (3, "own"), (4, "own"), (2, "o wn")]
+    assert left(corpus_pipeline.first_of_equals, rows) == sorted(
+        [(None, "same"), (None, "once"), (3, "held"), (2, "o wn")], key=repr)
+    rows = [(None, other), (None, other), (None, item), (3, item), (3, item.upper()), (3, "Ten short words that have nothing to do with it."),
+            (4, "Ten short words that have nothing to do with it.")]
+    assert [r[0] for r in left(corpus_pipeline.first_of_similar, rows)] == [3, 3, None]
