@@ -10,6 +10,7 @@ are settled before, which leaves little or nothing to search on most pages.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "th": {"td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol menu dir dl table tbody thead tfoot select div section article aside nav header footer form main body".split())
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     rf"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S | re.I)
 HINTS = re.compile(r"(?:\b(?:class|id|role|aria-label|itemprop|data-component)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -50,6 +51,11 @@ navbar navigation breadcrumb breadcrumbs sidebar widget toolbar footer masthead
 replies reviews share sharing social related recommended recommendations pagination pager copyright legal disclaimer
 toc contentinfo complementary search skip hidden""".split(), -12.0),
     **dict.fromkeys("article content main post entry story body text articlebody".split(), 2.0), "header": -3.0}
+#: Elements that hold the page or its text, whatever their names say of the layout; words that make a name say whether
+#: something is there, and what a negative word then counts.
+OUTER = frozenset(("html", "body", "main", "article"))
+MODIFIERS = frozenset("has have with without no not hide show is enable enabled disable disabled supports".split())
+MODIFIED = -0.25
 PER_CHARACTER, MOST_BY_LENGTH, BASE, LINK_SHARE, HIDDEN_WEIGHT = 0.01, 1.5, 0.3, -3.0, -20.0
 #: Smoothness of neighbours in page order by the distance to their common container, and of those within a container.
 ADJACENT, SAME_CONTAINER = 1.0, 2.0
@@ -73,12 +79,23 @@ class Block:
     text: str = ""
 
 
-def hint_weight(attributes: str) -> float:
-    """The weight of the words of class, id and role; the strongest negative and the strongest positive count once."""
-    words = [w.lower() for found in HINTS.findall(attributes) for w in WORD.findall(found)]
-    values = [HINT_WORDS[w] for w in words if w in HINT_WORDS]
-    low = min(values, default=0.0)
-    return min(low, 0.0) if low < 0 else max(values, default=0.0)
+def hint_weight(attributes: str, outer: bool = False) -> float:
+    """The weight of the words of class, id and role; the strongest negative and the strongest positive count once.
+
+    A name of which a negative word is only a part, beside words that say that something is there or not, as has-sidebar
+    or no-sidebar, describes the layout and counts ``MODIFIED`` at most. Names of an ``outer`` element speak for it only.
+    """
+    low = high = 0.0
+    for found in HINTS.findall(attributes):
+        for name in found.strip("\"'").split():
+            words = [w.lower() for w in WORD.findall(name)]
+            values = [HINT_WORDS[w] for w in words if w in HINT_WORDS]
+            least = MODIFIERS.isdisjoint(words) and -math.inf or MODIFIED
+            low = min([low, *(max(v, least) for v in values)])
+            high = max([high, *values])
+    if outer:
+        return high
+    return high + low if low >= MODIFIED else low
 
 
 def blocks_of(source: str) -> tuple[list[Block], list[Node]]:
@@ -152,7 +169,7 @@ def blocks_of(source: str) -> tuple[list[Block], list[Node]]:
             at = nodes[at].parent
         weight = ELEMENTS.get(name, 0.0)
         if attributes:
-            weight += hint_weight(attributes)
+            weight += hint_weight(attributes, name in OUTER)
             if HIDDEN.search(attributes):
                 weight += HIDDEN_WEIGHT
         parent = nodes[at]

@@ -27,6 +27,23 @@ def test_odd_pages():
     assert main_text(deep) == "Some text at the bottom of it."
 
 
+def test_custom_elements_are_not_raw():
+    for name in ("svg-icon", "title-bar", "object-card", "select-box"):
+        page = f"<article><p>Text before it.</p><{name} class=a>x</{name}><p>The rest of the article goes on here.</p></article>"
+        assert main_text(page).endswith("The rest of the article goes on here."), name
+    assert main_text("<p>One <svg\n><text>drawn</text></svg>line of text.</p>") == "One line of text."
+
+
+def test_names_of_the_layout_keep_the_text():
+    text = "A paragraph of the story that is long enough to stand on its own feet."
+    for outer in ("<body class='single-post has-sidebar'>", "<body class=\"nav-open comments-open\"><main class=search-page>",
+                  "<body><article class='post has-comments'>", "<body><div class='page no-sidebar'>",
+                  "<body><div id=wrap class='with-header-ad hasSidebar'>"):
+        page = f"<html>{outer}<p>{text}</p><div class=sidebar><p>Other things that are related to it.</p></div></html>"
+        assert main_text(page) == text, outer
+    assert main_text(f"<body><article class=post><p>{text}</p></article><div class='post-sidebar'><p>{text}</p></div>") == text
+
+
 def test_blocks_keep_page_order():
     blocks, _ = blocks_of("<div>a<p>b</p>c<table><tr><td>d<td>e</table></div>f")
     assert [b.text for b in blocks] == ["a", "b", "c", "d", "e", "f"]
