@@ -157,36 +157,46 @@ def suspects(df: DataFrame, text_col: str, segments: int, least_bits: int = 1 <<
     return Suspects({r.segment: Bloom(r.bits, bytes(r.data)) for r in merged.toLocalIterator()}, segments)
 
 
+def marked_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, mark, text) for every row."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+
+
 def repeated_lines(df: DataFrame, found: Suspects, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, lines): the places of the lines that a document loses; documents that lose none are left out."""
+    """(doc_id, mark, lines): the places of the lines that a row loses; rows that lose none are left out.
+
+    ``mark`` is a hash of the row's text, by which rows that share an id are told apart.
+    """
     parts = {segment: (bloom.bits, bloom.data.tobytes()) for segment, bloom in found.filters.items()}
     shipped = df.sparkSession.sparkContext.broadcast((parts, found.segments))  # MOST_BITS at most
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = Suspects({s: Bloom(*x) for s, x in shipped.value[0].items()}, shipped.value[1])
         for part in pieces(batches, "text"):
-            ids, keys, at = [], [], []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+            ids, marks, keys, at = [], [], [], []
+            for doc_id, mark, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
                 places: dict[bytes, list[int]] = {}
                 for k, key in enumerate(keys_of(text)):
                     if key:
                         places.setdefault(key, []).append(k)
                 ids += [doc_id] * len(places)
+                marks += [mark] * len(places)
                 keys += places
                 at += places.values()
             hits = np.flatnonzero(filters.has(hashes_of(keys))).tolist()
-            ids, keys, at = ([x[k] for k in hits] for x in (ids, keys, at))
+            ids, marks, keys, at = ([x[k] for k in hits] for x in (ids, marks, keys, at))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, type=pa.int64()), pa.array(keys, type=pa.binary()),
-                 pa.array(at, type=pa.list_(pa.int32()))], ["doc_id", "key", "places"])
+                [pa.array(ids, type=pa.int64()), pa.array(marks, type=pa.int64()), pa.array(keys, type=pa.binary()),
+                 pa.array(at, type=pa.list_(pa.int32()))], ["doc_id", "mark", "key", "places"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = written(map_batches(rows, suspect, "doc_id long, key binary, places array<int>"), "suspects")
+    rows = marked_rows(df, id_col, text_col)
+    lines = written(map_batches(rows, suspect, "doc_id long, mark long, key binary, places array<int>"), "suspects")
     # Written out, both sides of the join are plain shuffles, which adaptive execution splits at a common line.
     shared = written(lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
                      .filter("first < last").select(F.col("key").alias("shared_key"), "first"), "shared-lines")
     lost = lines.join(shared, F.col("key") == F.col("shared_key")).filter("doc_id > first")
-    return lost.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("lines"))
+    return lost.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("places")).alias("lines"))
 
 
 def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -195,15 +205,16 @@ def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     Keys of at least 10 code points in at least two documents lose all their lines but those of the document with the
     smallest id, which keeps each of them. A null or empty text is one empty line. Rows that share an id are one
-    document: they lose the lines of either that an earlier document holds. Rows without an id keep all lines and take
+    document: each loses those of its lines that an earlier document holds. Rows without an id keep all lines and take
     no line from others.
     """
     spark = df.sparkSession
     segments = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = df.filter(F.col(id_col).isNotNull())
     found = suspects(known, text_col, segments)
-    lost = repeated_lines(known, found, id_col, text_col).select(F.col("doc_id").alias("lost_id"), "lines")
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    lost = repeated_lines(known, found, id_col, text_col).select(
+        F.col("doc_id").alias("lost_id"), F.col("mark").alias("lost_mark"), "lines")
+    rows = marked_rows(df, id_col, text_col)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
@@ -218,5 +229,6 @@ def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str
                 [part.column("doc_id"), pa.array(texts, type=pa.string()), pa.array(counts, type=pa.int64()),
                  pa.array(dropped, type=pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
 
-    joined = rows.join(lost, F.col("doc_id") == F.col("lost_id"), "left").select("doc_id", "text", "lines")
+    joined = rows.join(lost, (F.col("doc_id") == F.col("lost_id")) & (F.col("mark") == F.col("lost_mark")), "left").select(
+        "doc_id", "text", "lines")
     return map_batches(joined, rebuild, "doc_id long, text string, n_lines long, n_dropped long")

@@ -55,6 +55,12 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert [r[3] for r in result(spark.createDataFrame(rows, "doc_id long, text string"))] == [0, 0, 1]
 
 
+def test_rows_that_share_an_id_lose_their_own_lines(spark):
+    rows = [(1, "shared line aa"), (2, "shared line aa"), (2, "shared line aa"), (2, "a unique line bb"),
+            (2, "a unique line cc\nshared line aa"), (3, "a unique line bb\nkept by the third")]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_filters_forget_nothing():
     hashes = np.random.default_rng(1).integers(0, 1 << 62, 5000).astype(np.uint64)
     bloom = Bloom(1 << 16)
