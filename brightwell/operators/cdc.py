@@ -113,6 +113,18 @@ def minute_metrics(samples: DataFrame, ts: str = "sampled_at", *more: Column) ->
                           F.col("last.total_changes").alias("total_changes"), *extra)
 
 
+def sessions(events: DataFrame, keys: Sequence[str], gap: str, ts: str, *aggregates: Column) -> DataFrame:
+    """One row per session: the keys, its first moment, its end (the last moment plus ``gap``), rows, and ``aggregates``.
+
+    Rows of a key belong together while each comes at most ``gap`` after one before it. Neighbouring rows of a task are
+    merged ahead of the shuffle, so a busy key sends its sessions rather than its rows. On a stream call
+    ``withWatermark`` first. Rows without a moment are in no session; those without a key are a key of their own.
+    """
+    grouped = events.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n_rows"), *aggregates)
+    return grouped.select(*keys, F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"),
+                          *[c for c in grouped.columns if c not in (*keys, "w")])
+
+
 def metric_trend(minutes: DataFrame, name: str | None, as_of, pipeline_id: int | None = None) -> DataFrame:
     """Lag and throughput per bucket of a named range; buckets without samples stay out."""
     hours, bucket = TREND_RANGES.get(name or "24h", TREND_RANGES["24h"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from brightwell.operators import cdc
@@ -77,6 +79,17 @@ def view_count_stream(views: DataFrame, path: str, checkpoint: str, ts: str = "t
     return start(daily, checkpoint, add, "update", trigger)
 
 
+def session_stream(events: DataFrame, keys: Sequence[str], gap: str, ts: str, *aggregates: Column,
+                   watermark: str = WATERMARK) -> DataFrame:
+    """Sessions of a key: rows at most ``gap`` apart, with their start, end (last row plus gap) and number of rows.
+
+    A row between two sessions joins them into one. A session is given out once the watermark has passed its end; rows
+    behind the watermark are dropped and counted by :func:`dropped_late`.
+    """
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    return cdc.sessions(timed, keys, gap, ts, *aggregates)
+
+
 def lake_sink(events: DataFrame, mapping: DataFrame, path: str, checkpoint: str,
               trigger: dict | None = None) -> StreamingQuery:
     """Raw change events appended per sink table."""
@@ -85,4 +98,5 @@ def lake_sink(events: DataFrame, mapping: DataFrame, path: str, checkpoint: str,
         "path", path).partitionBy("sink_table").trigger(**(trigger or {"availableNow": True})).start()
 
 
-__all__ = ["append_to", "apply_change_stream", "dropped_late", "lake_sink", "minute_metric_stream", "start", "view_count_stream"]
+__all__ = ["append_to", "apply_change_stream", "dropped_late", "lake_sink", "minute_metric_stream", "session_stream", "start",
+           "view_count_stream"]

@@ -1,8 +1,10 @@
-"""Sequential per-key rules on streams.
+"""Sequential per-key rules on streams, in the order of event time.
 
-The steps are those of the batch scans; here the state lives in the state store. A micro-batch holds as many rows of a
-key as the source's intake options allow (``maxFilesPerTrigger``, ``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``).
-Rows of one key must arrive in order across batches; inside a batch they are sorted.
+The steps are those of the batch scans. Rows wait in the state store, cut into slices of event time, until the watermark
+has passed their slice; a timer then takes the slice, sorts it and hands it to the step together with the carried state.
+So rows may come in any order within the watermark, later ones are dropped and counted, and a task holds one slice of one
+key at a time. A carried state that says nothing is not kept, and any other goes when its key has been silent for the
+time the rule names, also by a timer.
 """
 
 from __future__ import annotations
@@ -11,78 +13,156 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from brightwell.operators import cdc, replay
 
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Defaults: how far rows may be out of order, the width of a slice, and after how long a silent key is forgotten.
+WATERMARK, SLICE_S, FORGET_S = "10 seconds", 10, 86_400
+EVENT_TIME = "event_time"
 
-def scan_stream(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step: Callable, output: str) -> DataFrame:
-    """Applies ``step(state, column)`` to each key's rows in order, keeping its state between micro-batches.
 
-    Whole-number keys travel as text, since pandas would turn a key column with nulls into fractions.
+class OrderedScan(StatefulProcessor):
+    """Feeds each key's rows to ``step(state, column)`` in order of time; see the module.
+
+    State: ``pending`` holds the rows of a slice as they came, in numbered parts; ``parts`` counts these; ``carried`` is
+    the step's state with the end of the last slice it saw.
+    """
+
+    def __init__(self, step: Callable, order: str, columns: Sequence[str], slice_ms: int, forget_ms: int):
+        self.step, self.order, self.columns = step, order, list(columns)
+        self.slice_ms, self.forget_ms = slice_ms, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "slice bigint, part int", "rows binary")
+        self.parts = handle.getMapState("parts", "slice bigint", "n int")
+        self.carried = handle.getValueState("carried", "state string, seen_ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            slices = frame["at_us"].to_numpy() // (1000 * self.slice_ms)
+            for number in np.unique(slices).tolist():
+                n = self.parts.getValue((number,))[0] if self.parts.containsKey((number,)) else 0
+                self.pending.updateValue((number, n), (packed(frame[slices == number]),))
+                self.parts.updateValue((number,), (n + 1,))
+                if n == 0:
+                    self.handle.registerTimer((number + 1) * self.slice_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted(number for (number,) in self.parts.keys() if (number + 1) * self.slice_ms <= now)
+        for number in due:
+            yield self._scanned(number)
+        # The slice in which the time runs out has been scanned by then.
+        if self.carried.exists() and self.carried.get()[1] + self.forget_ms + self.slice_ms <= now:
+            self.carried.clear()
+
+    def _scanned(self, number: int) -> pd.DataFrame:
+        places = [(number, part) for part in range(self.parts.getValue((number,))[0])]
+        frames = [unpacked(self.pending.getValue(place)[0]) for place in places]
+        for place in places:
+            self.pending.removeKey(place)
+        self.parts.removeKey((number,))
+        rows = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]  # one slice of one key
+        rows = rows.sort_values(["at_us", self.order], kind="stable", ignore_index=True)
+        end = (number + 1) * self.slice_ms
+        before = ""
+        if self.carried.exists():
+            state, seen = self.carried.get()
+            before = state if seen + self.forget_ms > number * self.slice_ms else ""
+        after, out = self.step(before, lambda name: rows[name].to_numpy())
+        if after:
+            self.carried.update((after, end))
+            self.handle.registerTimer(end + self.forget_ms + self.slice_ms)
+        else:
+            self.carried.clear()
+        return rows.assign(**out)[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def packed(frame: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(data)).read_pandas()
+
+
+def scan_stream(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step: Callable, output: str,
+                forget_s: int = FORGET_S, watermark: str = WATERMARK, slice_s: int = SLICE_S) -> DataFrame:
+    """Applies ``step(state, column)`` to each key's rows in order of ``ts`` and ``order``, keeping its state.
+
+    A row is answered once the watermark has passed its slice. A key without rows for ``forget_s`` starts anew; a window
+    rule passes its window, after which its state says nothing. Rows without a moment are dropped. Whole-number keys
+    travel as text, since pandas would turn a key column with nulls into fractions.
     """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
     fields = rows.schema.fields
     fragile = {f.name: f.dataType for f in fields if isinstance(f.dataType, T.LongType) and f.name in keys}
-    keyed = rows.withColumn("at_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumns(
-        {name: F.col(name).cast("string") for name in fragile})
+    moment = F.col(ts).cast("timestamp")
+    timed = rows.filter(F.col(ts).isNotNull()).withColumns({EVENT_TIME: moment, "at_us": F.unix_micros(moment)})
+    keyed = timed.withWatermark(EVENT_TIME, watermark).withColumns({name: F.col(name).cast("string") for name in fragile})
     result = T.StructType([*[T.StructField(f.name, T.StringType()) if f.name in fragile else f for f in fields],
                            *T.StructType.fromDDL(output).fields])
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames), ignore_index=True).sort_values(["at_us", order], kind="stable",
-                                                                       ignore_index=True)
-        before = state.get[0] if state.exists else ""
-        after, out = step(before, lambda name: frame[name].to_numpy())
-        state.update((after,))
-        yield frame.assign(**out)[result.names]
-
-    scanned = keyed.groupBy(*keys).applyInPandasWithState(
-        run, result, T.StructType.fromDDL("state string"), "append", GroupStateTimeout.NoTimeout)
+    scan = OrderedScan(step, order, result.names, 1000 * slice_s, 1000 * forget_s)
+    scanned = keyed.groupBy(*keys).transformWithStateInPandas(scan, result, "append", "eventTime")
     return scanned.withColumns({name: F.col(name).cast(kind) for name, kind in fragile.items()})
 
 
 def rate_limit_stream(log: DataFrame, limits: DataFrame, window_s: int = replay.RATE_WINDOW_S,
-                      key: str = "key_id") -> DataFrame:
+                      key: str = "key_id", **plan) -> DataFrame:
     # Of several limits for a key the strictest holds, so no call is doubled.
     bounds = limits.groupBy(key).agg(F.min(F.col("qps_limit").cast("int")).alias("qps_limit"))
     joined = log.join(bounds, key, "left").withColumn("qps_limit", F.coalesce("qps_limit", F.lit(0)))
     step, _ = replay.window_step(window_s * 1_000_000, "admitted", "qps_limit", calls=None)
-    return scan_stream(joined, [key], "created_at", "id", step, "admitted boolean")
+    return scan_stream(joined, [key], "created_at", "id", step, "admitted boolean", window_s, **plan)
 
 
 def dedupe_stream(alerts: DataFrame, keys: Sequence[str] = ("object_type", "object_id", "alert_type"),
-                  window_s: int = replay.ALERT_WINDOW_S, ts: str = "fired_at") -> DataFrame:
+                  window_s: int = replay.ALERT_WINDOW_S, ts: str = "fired_at", **plan) -> DataFrame:
+    """Each alert with ``sent``, as ``replay.dedupe_alerts``; a key is forgotten once its window is over."""
     step, _ = replay.window_step(window_s * 1_000_000, "sent", calls=None)
-    return scan_stream(alerts, keys, ts, "id", step, "sent boolean")
+    return scan_stream(alerts, keys, ts, "id", step, "sent boolean", window_s, **plan)
 
 
 def circuit_stream(log: DataFrame, key: str, size: int = replay.BREAKER_SIZE, wait_s: int = replay.BREAKER_WAIT_S,
-                   share: float = replay.BREAKER_FAILURE_SHARE, ts: str = "created_at") -> DataFrame:
+                   share: float = replay.BREAKER_FAILURE_SHARE, ts: str = "created_at", **plan) -> DataFrame:
     step, _ = replay.breaker_step(size, share, wait_s * 1_000_000)
-    return scan_stream(log, [key], ts, "id", step, "breaker string, admitted boolean")
+    return scan_stream(log, [key], ts, "id", step, "breaker string, admitted boolean", **plan)
 
 
 def lag_alert_stream(samples: DataFrame, threshold: int = cdc.LAG_WARN_SECONDS, ts: str = "sampled_at",
-                     order: str = "total_changes") -> DataFrame:
+                     order: str = "total_changes", **plan) -> DataFrame:
+    """Samples at which the lag rises above the threshold; only pipelines that are late keep a state."""
     def step(state: str, column):
         late = column("lag_seconds") > threshold
         was = np.r_[state == "late", late[:-1]]
         return "late" if late[-1] else "", {"fires": late & ~was}
 
-    scanned = scan_stream(samples, ["pipeline_id"], ts, order, step, "fires boolean")
+    scanned = scan_stream(samples, ["pipeline_id"], ts, order, step, "fires boolean", **plan)
     return scanned.filter("fires").drop("fires")
 
 
 def miss_stream(polls: DataFrame, n: int = cdc.NOT_FOUND_POLLS, ts: str = "sampled_at", order: str = "total_changes",
-                missing: str = "is_missing") -> DataFrame:
-    """Polls that complete ``n`` misses in a row; ``missing`` names the boolean column."""
+                missing: str = "is_missing", **plan) -> DataFrame:
+    """Polls that complete ``n`` misses in a row; ``missing`` names the boolean column. Only missing jobs keep a state."""
     def step(state: str, column):
         met = np.array([bool(m) for m in column(missing)])
         position = np.arange(1, len(met) + 1)
         reset = np.maximum.accumulate(np.where(met, -int(state or 0), position))
         length = np.where(met, position - reset, 0)
-        return str(int(length[-1])), {"misses": length.astype("int64")}
+        return str(int(length[-1]) or ""), {"misses": length.astype("int64")}
 
-    scanned = scan_stream(polls, ["pipeline_id"], ts, order, step, "misses bigint")
+    scanned = scan_stream(polls, ["pipeline_id"], ts, order, step, "misses bigint", **plan)
     return scanned.filter((F.col("misses") > 0) & (F.col("misses") % n == 0))

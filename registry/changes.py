@@ -14,6 +14,8 @@ from registry.replays import R as REPLAYS
 from registry.views import EVENT_CLOCK, StreamLake
 
 R = Registry()
+#: The bundled samples are hours apart, so slices of event time are days here.
+DAY = 86_400
 
 EVENT = """
 e AS (SELECT seq, topic, kafka_ts, CASE value->>'$.op' WHEN 'c' THEN 'INSERT' WHEN 'u' THEN 'UPDATE' WHEN 'd' THEN 'DELETE' END AS op_type,
@@ -35,6 +37,30 @@ def _scratch(lake, name):
     return f"{base}/table", f"{base}/checkpoint"
 
 
+def _in_batches(lake, name, rows, ts, build, parts=4):
+    """``build`` over a stream of ``rows``, fed in ``parts`` slices of time and drained after each with one checkpoint.
+
+    So the stream is stopped and taken up again between its batches. A last row far ahead, without a key, moves the
+    watermark past everything.
+    """
+    source, (path, checkpoint) = _scratch(lake, f"{name}-source")[0], _scratch(lake, name)
+    moment = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(moment, [k / parts for k in range(1, parts)]).alias("cuts"), F.max(ts).alias("last")).first()
+    edges = [None, *(cuts["cuts"] or []), None]
+    closing = lake.spark.range(1).select(*[
+        (F.lit(cuts["last"]).cast(f.dataType) + F.expr("INTERVAL 400 DAYS") if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in rows.schema.fields])
+    slices = [rows.filter((F.lit(low is None) | (moment > low)) & (F.lit(high is None) | (moment <= high)))
+              for low, high in zip(edges, edges[1:])]
+    result = None
+    for part in (*slices, closing):
+        part.write.mode("append").parquet(source)
+        if result is None:
+            result = build(lake.spark.readStream.schema(rows.schema).parquet(source))
+        flows.append_to(result, checkpoint, path).awaitTermination()
+    return lake.spark.read.schema(result.schema).parquet(path)
+
+
 def _drained(lake, name, df):
     path, checkpoint = _scratch(lake, name)
     flows.append_to(df, checkpoint, path).awaitTermination()
@@ -162,7 +188,8 @@ def _(lake):
 
 @R.query("f9_lag_alerts_streamed", LAG)
 def _(lake):
-    return _drained(lake, "alerts", stateful.lag_alert_stream(StreamLake(lake.spark, lake.folder)("metric_sample"), 250))
+    return _in_batches(lake, "alerts", lake("metric_sample"), "sampled_at",
+                       lambda s: stateful.lag_alert_stream(s, 250, slice_s=DAY, forget_s=40 * DAY))
 
 
 MISSES = f"""SELECT {SAMPLE}, misses FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY pipeline_id, spell, missing
@@ -178,8 +205,9 @@ def _(lake):
 
 @R.query("f10_consecutive_misses_streamed", MISSES)
 def _(lake):
-    polls = StreamLake(lake.spark, lake.folder)("metric_sample").withColumn("is_missing", F.col("lag_seconds") < 0)
-    return _drained(lake, "misses", stateful.miss_stream(polls).drop("is_missing"))
+    polls = lake("metric_sample").withColumn("is_missing", F.col("lag_seconds") < 0)
+    return _in_batches(lake, "misses", polls, "sampled_at",
+                       lambda s: stateful.miss_stream(s, slice_s=DAY, forget_s=40 * DAY)).drop("is_missing")
 
 
 @R.query("f11_subscription_metrics", """
@@ -246,6 +274,27 @@ def _(lake):
     return shown(sinks.read_current(lake.spark, path, ["api_id", "hour_at"], ["total"], "day"))
 
 
+SESSIONS = """
+SELECT api_id, MIN(created_at) AS started_at, MAX(created_at) + INTERVAL 2 HOUR AS ended_at, COUNT(*) AS n_rows,
+  COUNT(*) FILTER (WHERE status_code >= 400) AS failed, MAX(duration_ms) AS slowest_ms FROM (
+  SELECT *, COUNT(*) FILTER (WHERE fresh) OVER (PARTITION BY api_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS session
+  FROM (SELECT *, COALESCE(created_at > LAG(created_at) OVER (PARTITION BY api_id ORDER BY created_at, id) + INTERVAL 2 HOUR, TRUE)
+    AS fresh FROM call_log) x) y GROUP BY api_id, session"""
+CALLS = (F.count_if(F.col("status_code") >= 400).alias("failed"), F.max("duration_ms").alias("slowest_ms"))
+
+
+@R.query("f14_sessions", SESSIONS)
+def _(lake):
+    return ops.sessions(lake("call_log"), ["api_id"], "2 hours", "created_at", *CALLS)
+
+
+@R.query("f14_sessions_streamed", SESSIONS)
+def _(lake):
+    """Sessions that span several micro-batches are merged in the state store."""
+    return shown(_in_batches(lake, "sessions", lake("call_log"), "created_at",
+                             lambda s: flows.session_stream(s, ["api_id"], "2 hours", "created_at", *CALLS)))
+
+
 @R.query("a12_lake_sink_streamed", f"""WITH {EVENT.strip()} SELECT seq, op_type, "table", user_id, cents, sink_table FROM n
 JOIN cdc_route r ON r.source_table = n."table\"""")
 def _(lake):
@@ -266,15 +315,17 @@ def _sql(name):
     return REPLAYS.items[name].sql
 
 
-for _name, _build in {
-    "c17_rate_limit_replay": lambda s, lake: stateful.rate_limit_stream(
-        s("call_log").select("id", "key_id", "created_at"), lake("key_limit"), 172_800),
-    "c18_circuit_replay": lambda s, lake: stateful.circuit_stream(s("call_log").select(
-        "id", "api_id", "created_at", (F.col("status_code") >= 500).alias("failed")), "api_id", wait_s=14_400),
-    "c31_deduplicated_alerts": lambda s, lake: stateful.dedupe_stream(s("alert_candidate"), window_s=21_600),
-}.items():
-    def _streamed(lake, build=_build, name=_name):
-        return _drained(lake, name, build(StreamLake(lake.spark, lake.folder), lake))
+for _name, _ts, _rows, _build in [
+    ("c17_rate_limit_replay", "created_at", lambda lake: lake("call_log").select("id", "key_id", "created_at"),
+     lambda stream, lake: stateful.rate_limit_stream(stream, lake("key_limit"), 172_800, slice_s=DAY)),
+    ("c18_circuit_replay", "created_at", lambda lake: lake("call_log").select(
+        "id", "api_id", "created_at", (F.col("status_code") >= 500).alias("failed")),
+     lambda stream, lake: stateful.circuit_stream(stream, "api_id", wait_s=14_400, slice_s=DAY, forget_s=400 * DAY)),
+    ("c31_deduplicated_alerts", "fired_at", lambda lake: lake("alert_candidate"),
+     lambda stream, lake: stateful.dedupe_stream(stream, window_s=21_600, slice_s=DAY)),
+]:
+    def _streamed(lake, name=_name, ts=_ts, rows=_rows, build=_build):
+        return _in_batches(lake, name, rows(lake), ts, lambda stream: build(stream, lake))
 
     R.query(f"{_name}_streamed")(_streamed)
     # The batch replay's check SQL already carries its views.

@@ -35,6 +35,12 @@ def in_files(spark, df, order, path, parts=5):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def close_stream(spark, schema, ts, path, at=START + timedelta(days=400)):
+    """One more file with a row far ahead, which moves the watermark past all others."""
+    names = spark.createDataFrame([], schema).columns
+    spark.createDataFrame([tuple(at if n == ts else None for n in names)], schema).coalesce(1).write.mode("append").parquet(path)
+
+
 def rows_of(df):
     return sorted(map(str, df.select(*sorted(df.columns)).collect()))
 
@@ -63,12 +69,93 @@ def test_hot_key_is_chunked_and_others_are_not(sample_rows):
 
 def test_lag_alerts_and_misses_stream(spark, sample_rows, folder):
     stream = in_files(spark, sample_rows, "total_changes", f"{folder}/in")
+    close_stream(spark, SAMPLE, "sampled_at", f"{folder}/in")
     assert rows_of(drained(spark, stateful.lag_alert_stream(stream), f"{folder}/a")) == rows_of(cdc.lag_alerts(sample_rows))
     missing = F.col("lag_seconds") < 0
-    streamed = stateful.miss_stream(stream.withColumn("is_missing", missing)).drop("is_missing")
+    streamed = stateful.miss_stream(stream.withColumn("is_missing", missing), slice_s=600).drop("is_missing")
     assert rows_of(drained(spark, streamed, f"{folder}/b")) == rows_of(cdc.consecutive_misses(sample_rows, missing))
 
 
+def test_rows_out_of_order_within_the_watermark(spark, sample_rows, folder):
+    rng = random.Random(2)
+    mixed = [(*r, r[1].timestamp() + rng.random() * 500) for r in map(tuple, sample_rows.collect())]
+    shuffled = spark.createDataFrame(mixed, SAMPLE + ", arrival double")
+    stream = in_files(spark, shuffled, "arrival", f"{folder}/in", 6)
+    close_stream(spark, SAMPLE + ", arrival double", "sampled_at", f"{folder}/in")
+    got = drained(spark, stateful.lag_alert_stream(stream.drop("arrival"), watermark="10 minutes"), f"{folder}/a")
+    assert rows_of(got) == rows_of(cdc.lag_alerts(sample_rows))
+
+
+def stored(spark, folder, name):
+    return spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/check")
+
+
+def test_state_goes_away(spark, folder):
+    late = lambda key, minute, lag: (key, START + timedelta(minutes=minute), lag, 1, 0, minute)
+    files = [[late(1, 0, 90), late(2, 0, 5), late(3, 0, 90)], [late(1, 10, 90), late(3, 10, 5), late(2, 10, 5)], [late(2, 11, 5)],
+             [late(2, 300, 5)], [late(1, 301, 90), late(2, 320, 5)], [late(2, 400, 5)]]
+    fired, kept = [], []
+    for rows in files:
+        spark.createDataFrame(rows, SAMPLE).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(SAMPLE).parquet(f"{folder}/in")
+        got = drained(spark, stateful.lag_alert_stream(stream, forget_s=3600), folder)
+        fired.append(sorted((r.pipeline_id, r.total_changes) for r in got.collect()))
+        kept.append(sorted(r.key.pipeline_id for r in stored(spark, folder, "carried").collect()))
+    # Pipeline 3 is back in time and leaves nothing; 1 is forgotten after an hour of silence and fires anew.
+    assert fired[2] == [(1, 0), (3, 0)] and fired[-1] == [(1, 0), (1, 301), (3, 0)]
+    assert kept[0] == [] and kept[2] == ["1"] and kept[3] == []
+    waiting = {r.key.pipeline_id for r in stored(spark, folder, "pending").collect()}
+    assert waiting == {"2"}  # the last sample waits for its slice to end
+
+
+def test_late_rows_are_dropped_by_the_scan(spark, folder):
+    first = [(1, START + timedelta(minutes=m), 90, 1, 0, m) for m in range(0, 60, 10)]
+    for rows in (first, [(1, START + timedelta(minutes=5), 5, 1, 0, 100)]):
+        spark.createDataFrame(rows, SAMPLE).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(SAMPLE).parquet(f"{folder}/in")
+        query = flows.append_to(stateful.lag_alert_stream(stream), f"{folder}/check", f"{folder}/out")
+        query.awaitTermination()
+    assert flows.dropped_late(query) == 1
+    assert spark.read.parquet(f"{folder}/out").count() == 1
+
+
+def test_one_key_with_many_rows_is_scanned_by_slices(spark, folder, monkeypatch):
+    rows = spark.range(30_000).selectExpr(
+        "CAST(NULL AS BIGINT) AS pipeline_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id / 4) AS sampled_at",
+        "CAST(pmod(hash(id), 60) AS BIGINT) AS lag_seconds", "1L AS records_per_second", "0 AS restarts", "id AS total_changes")
+    stream = in_files(spark, rows, "total_changes", f"{folder}/in", 4)
+    close_stream(spark, SAMPLE, "sampled_at", f"{folder}/in")
+    got = drained(spark, stateful.lag_alert_stream(stream, slice_s=300), f"{folder}/a")
+    assert rows_of(got) == rows_of(cdc.lag_alerts(rows))
+
+
+def test_sessions_over_batches(spark, folder):
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), START + timedelta(seconds=rng.randrange(0, 20_000)), k) for k in range(150)]
+    rows += [(9, START, 900), (9, START + timedelta(minutes=5), 901), (9, START + timedelta(minutes=10, seconds=1), 902), (None, START, 903)]
+    events = spark.createDataFrame(rows, "key bigint, at timestamp_ntz, id bigint")
+    expected = rows_of(cdc.sessions(events, ["key"], "5 minutes", "at", F.sum("id").alias("total")))
+    stream = in_files(spark, events, "id", f"{folder}/in", 5)
+    close_stream(spark, "key bigint, at timestamp_ntz, id bigint", "at", f"{folder}/in")
+    got = drained(spark, flows.session_stream(stream, ["key"], "5 minutes", "at", F.sum("id").alias("total"), watermark="1 day"), folder)
+    assert rows_of(got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")})) == expected
+    at_gap = cdc.sessions(events.filter("key = 9"), ["key"], "5 minutes", "at").collect()
+    assert sorted(r.n_rows for r in at_gap) == [1, 2]  # a row exactly a gap later still belongs
+
+
+def test_late_rows_do_not_reach_sessions(spark, folder):
+    schema = "key bigint, at timestamp_ntz"
+    for rows in ([(1, START), (1, START + timedelta(hours=2))], [(1, START + timedelta(minutes=1)), (1, START + timedelta(hours=2, minutes=1))],
+                 [(1, START + timedelta(days=9))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        query = flows.append_to(flows.session_stream(stream, ["key"], "5 minutes", "at"), f"{folder}/check", f"{folder}/out")
+        query.awaitTermination()
+        if len(rows) == 2 and rows[0][1] > START:
+            assert flows.dropped_late(query) == 1
+    assert sorted(r.n_rows for r in spark.read.parquet(f"{folder}/out").collect()) == [1, 2]
+
+
 def read_minutes(spark, folder):
     return sinks.read_current(spark, f"{folder}/out", ["pipeline_id", "minute_at"], flows.METRIC_SEQUENCE, "day",
                               *flows.METRIC_SEQUENCE)
@@ -88,6 +175,7 @@ def test_rate_limit_and_dedupe_streams(spark, folder):
     log = spark.createDataFrame(rows, "id bigint, key_id bigint, created_at timestamp_ntz")
     limits = spark.createDataFrame([(1, 4), (2, 1), (3, 0)], "key_id bigint, qps_limit int")
     stream = in_files(spark, log, "id", f"{folder}/in")
+    close_stream(spark, log.schema, "created_at", f"{folder}/in")
     batch = replay.rate_limit_replay(log, limits)
     assert rows_of(drained(spark, stateful.rate_limit_stream(stream, limits), f"{folder}/a")) == rows_of(batch)
     alerts = lambda df: df.select("id", F.lit("DAG").alias("object_type"), F.col("key_id").alias("object_id"),
