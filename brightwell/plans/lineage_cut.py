@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -26,3 +26,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written copy, which outlives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` with the number of rows, counted while they are written."""
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = Observation()
+    cut = df.observe(rows, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return cut, rows.get["n"]

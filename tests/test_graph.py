@@ -111,3 +111,87 @@ def test_column_pairs_survive_inner_froms():
 
 def test_names_that_differ_in_case_are_two_tables():
     assert st.statement_edges("INSERT INTO T SELECT a FROM t")[0] == ("t", None, "T", None)
+
+
+def counted(monkeypatch):
+    """Records the rows of every frame that a walk or an audit writes."""
+    from brightwell.plans import rounds
+
+    written = []
+
+    def record(module, name):
+        plain = getattr(module, name)
+
+        def write(df):
+            out = plain(df)
+            written.append(out[1] if isinstance(out, tuple) else out.count())
+            return out
+
+        monkeypatch.setattr(module, name, write)
+
+    record(ops, "cut_lineage"), record(ops, "cut_and_count"), record(rounds, "cut_lineage")
+    return written
+
+
+def test_deep_chains_write_each_node_about_once(spark, monkeypatch):
+    def chain(n):
+        return spark.createDataFrame([(f"n{k}", f"n{k + 1}", "x", "x", "SQL") for k in range(n)], EDGE)
+
+    written = counted(monkeypatch)
+    assert names(ops.impact(chain(40), "n0", None)[0]) == {f"n{k}": k for k in range(41)}
+    short = sum(written)
+    written.clear()
+    nodes, edges = ops.neighbourhood(chain(80), "n40", None)
+    assert names(nodes) == {f"n{k}": abs(k - 40) for k in range(81)} and edges.count() == 80
+    # Edges twice (read, laid out) for each way, nodes once; one way old frames are merged now and then.
+    assert sum(written) <= 2 * 2 * 80 + 81 and short <= 2 * 40 + 41 + 41 * 4
+
+
+def random_edges(spark, seed, nodes, edges):
+    import random
+
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(edges)} | {(0, k) for k in range(nodes)}
+    return pairs, spark.createDataFrame([(f"n{a}", f"n{b}", "x", "x", "SQL") for a, b in pairs], EDGE)
+
+
+@pytest.mark.parametrize("direction", ["DOWN", "UP", "BOTH"])
+def test_hubs_are_split(spark, monkeypatch, direction):
+    monkeypatch.setattr(ops, "PART_EDGES", 20)
+    monkeypatch.setattr(ops, "HUB_EDGES", 10)
+    pairs, frame = random_edges(spark, 3, 60, 50)
+    ends = (["source_table"], ["target_table"])
+    nodes, edges = ops.walk(ops.table_edges(frame), ["n7"], *ends, ["table_name"], 3, direction)
+    level, front, touched = {7: 0}, {7}, set()
+    for k in range(1, 4):
+        hit = {(a, b) for a, b in pairs if direction != "UP" and a in front or direction != "DOWN" and b in front}
+        touched |= hit
+        front = {x for a, b in hit for x in ((b,) if direction == "DOWN" else (a,) if direction == "UP" else (a, b))} - set(level)
+        level |= {x: k for x in front}
+    assert names(nodes) == {f"n{x}": k for x, k in level.items()}
+    assert {(r.source_table, r.target_table) for r in edges.collect()} == {(f"n{a}", f"n{b}") for a, b in touched}
+
+
+def test_audit_writes_no_more_counters_than_edges(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    edges = {(g, a, b) for g in range(6) for a in range(30) for b in rng.sample(range(31), 4) if b > a}
+    edges |= {(5, 9, 3), (5, 3, 9)}
+    nodes = [(g, n) for g in range(6) for n in range(31)]
+    monkeypatch.setattr(ops, "PART_EDGES", 50)
+    written = counted(monkeypatch)
+    frames = spark.createDataFrame(nodes, "graph_id int, node_id int"), spark.createDataFrame(list(edges), "graph_id int, source int, target int")
+    levels = {(r.graph_id, r.node_id): r.level for r in ops.graph_audit(*frames)[0].collect()}
+    expected, preds = {}, {}
+    for g, a, b in edges:
+        preds.setdefault((g, b), []).append((g, a))
+    while True:
+        more = {n: 1 + max((expected[p] for p in preds.get(n, [])), default=-1) for n in nodes
+                if n not in expected and all(p in expected for p in preds.get(n, []))}
+        if not more:
+            break
+        expected |= more
+    assert levels == {n: expected.get(n) for n in nodes}
+    # The edges and nodes are laid out before; the rounds write a counter per edge at most and merge old ones.
+    assert sum(written) <= 2 * len(edges) + 3 * len(edges) + 3 * len(nodes)
