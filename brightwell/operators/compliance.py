@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from brightwell.functions.values import count_when
+from brightwell.plans.lineage_cut import cut_lineage
 
 # Shape of a type name, and the bases that carry a length or a precision.
 TYPE_SHAPE = r"^(\w+)(?:\(([^)]+)\))?$"
@@ -46,21 +45,61 @@ def type_matches(expected: Column, actual: Column) -> Column:
     return type_fits(parse_type(expected), parse_type(actual))
 
 
-#: Regular expressions are tried one by one on every name; a list longer than this is refused.
-MOST_PATTERNS = 10_000
+#: Parts that names are dealt to where a pattern has to be tried on all of them, and the longest n-gram that is looked up.
+SALTS, GRAM = 64, 3
+#: Tokens of a regular expression: escapes, classes, quantifiers, structure, and single characters; escapes that stand for
+#: a kind of character or a place.
+_PATTERN_TOKEN = r"(?s)\\.|\[\^?\]?(?:\\.|[^\]\\])*+\]|\{[^}]*+\}[?+]?|[*+?][?+]?|."
+_KINDS = r"\A\\[dDwWsSbBAZzhHvVR]\z"
 
 
-def usable_pattern(spark: SparkSession, pattern: str) -> bool:
-    """Whether the engine accepts the pattern; a broken one matches nothing."""
-    try:
-        spark._jvm.java.util.regex.Pattern.compile(_full(pattern))
-        return True
-    except (Py4JError, PySparkException):
-        return False
+def _full(pattern: Column) -> Column:
+    return F.concat(F.lit(r"\A(?:"), pattern, F.lit(r")\z"))
 
 
-def _full(pattern: str) -> str:
-    return rf"\A(?:{pattern})\z"
+def usable_pattern(pattern: Column) -> Column:
+    """Whether the engine accepts a regular expression; a broken one matches nothing."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), _full(pattern), F.lit("")).isNotNull()
+
+
+def required_text(pattern: Column) -> Column:
+    """A text that every match of a regular expression contains, the longest in sight; empty if none is sure.
+
+    Characters outside groups and classes count, each run of them up to the next other thing; one that a quantifier makes
+    optional does not. Alternatives, flags and unusual escapes make nothing sure.
+    """
+    tokens = F.regexp_extract_all(pattern, F.lit(_PATTERN_TOKEN), F.lit(0))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("run"), F.lit("").alias("best"), F.lit(True).alias("sure"),
+                    F.lit("").alias("before"))
+    longer = lambda s: F.when(F.char_length(s["run"]) > F.char_length(s["best"]), s["run"]).otherwise(s["best"])
+
+    def step(s: Column, t: Column) -> Column:
+        escaped = F.startswith(t, F.lit("\\")) & (F.char_length(t) == 2)
+        odd = escaped & t.rlike(r"[A-Za-z0-9]\z") & ~t.rlike(_KINDS)
+        structure = t.isin("(", ")", "|", "^", "$", ".") | (F.startswith(t, F.lit("[")) & (F.char_length(t) > 1)) | (
+            escaped & t.rlike(r"[A-Za-z0-9]\z"))
+        quantifier = t.rlike(r"(?s)\A(?:[*+?][?+]?|\{.*\}[?+]?)\z")
+        char = F.when(escaped, F.substring(t, 2, 1)).otherwise(t)
+        literal = ~structure & ~quantifier & (s["depth"] == 0)
+        optional = t.rlike(r"\A(?:[*?]|\{0)")
+        cut = F.substring(s["run"], F.lit(1), F.char_length(s["run"]) - 1)
+        ended = F.when(quantifier & optional, F.struct(cut.alias("run"), s["best"].alias("best"))).otherwise(
+            F.struct(s["run"].alias("run"), s["best"].alias("best")))
+        return F.struct(
+            (s["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).alias("depth"),
+            F.when(literal, F.concat(s["run"], char)).otherwise("").alias("run"),
+            F.when(literal, s["best"]).otherwise(longer(ended)).alias("best"),
+            (s["sure"] & ~odd & ~((t == "|") & (s["depth"] == 0)) & ~(quantifier & (s["before"] == "("))).alias("sure"),
+            t.alias("before"))
+
+    return F.aggregate(tokens, zero, step, lambda s: F.when(s["sure"], longer(s)).otherwise(""))
+
+
+def grams(text: Column, size: Column) -> Column:
+    """All parts of ``size`` characters of a text."""
+    starts = F.when(F.char_length(text) >= size, F.sequence(F.lit(1), F.char_length(text) - size + 1)).otherwise(
+        F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, size)))
 
 
 def standards_for(rules: DataFrame, kind: str) -> DataFrame:
@@ -68,32 +107,53 @@ def standards_for(rules: DataFrame, kind: str) -> DataFrame:
     return rules.filter(F.col("enabled") & (F.col("applies_to") == kind))
 
 
+def read_rules(rules: DataFrame) -> DataFrame:
+    """Standards as :func:`match_standard` uses them, read and written once: usable ones only, with the text and the length
+    that names are looked up by. A blank value and a broken regular expression match nothing."""
+    value, is_regex = F.col("rule_value"), F.col("rule_type") == "REGEX"
+    usable = rules.filter(F.trim(F.coalesce(value, F.lit(""))) != "").withColumn("needed", F.when(
+        is_regex, required_text(value))).filter(~is_regex | usable_pattern(value))
+    size = F.when(is_regex, F.least(F.lit(GRAM), F.char_length("needed"))).otherwise(F.char_length(value))
+    return cut_lineage(usable.withColumn("size", size))
+
+
 def match_standard(objects: DataFrame, name: str, rules: DataFrame, out: str = "standard_id") -> DataFrame:
     """Adds the id of the first standard each name meets, by priority then age; null when it meets none.
 
-    Names are matched once each. Prefixes and suffixes are equal parts of a name, cut to the lengths that occur among
-    the standards, so they are found by equi-joins. Only regular expressions are compared with every name; their list is
-    counted first and broadcast.
+    Names are matched once each, and always by equi-joins. Prefixes and suffixes are equal parts of a name, cut to the
+    lengths that occur among the standards. A regular expression is tried on the names that hold the rarest n-gram of a
+    text it requires; one that requires none has to be tried on every name, which is dealt over ``SALTS`` parts.
     """
-    spark = objects.sparkSession
     names = objects.select(F.col(name).alias("n")).filter(F.col("n").isNotNull()).distinct()
-    usable = rules.filter(F.trim(F.coalesce("rule_value", F.lit(""))) != "").select("id", "priority", "rule_type", "rule_value")
+    usable = rules if "needed" in rules.columns else read_rules(rules)
+    sizes = {(r["rule_type"], r["size"]) for r in usable.select("rule_type", "size").distinct().collect()}  # at most the lengths of names
     found = []
     for kind, part in (("PREFIX", F.left), ("SUFFIX", F.right)):
-        fixed = usable.filter(F.col("rule_type") == kind)
-        lengths = [r[0] for r in fixed.select(F.length("rule_value")).distinct().collect()]  # no more than a name is long
+        lengths = sorted(n for k, n in sizes if k == kind)
         if lengths:
-            cut = names.select("n", F.explode(F.array(*map(F.lit, sorted(lengths)))).alias("size")).filter(
+            cut = names.select("n", F.explode(F.array(*map(F.lit, lengths))).alias("size")).filter(
                 F.length("n") >= F.col("size")).select("n", part(F.col("n"), F.col("size")).alias("rule_value"))
+            fixed = usable.filter(F.col("rule_type") == kind).select("rule_value", "id", "priority")
             found.append(cut.join(fixed, "rule_value").select("n", "id", "priority"))
-    patterns = usable.filter(F.col("rule_type") == "REGEX")
-    listed = patterns.limit(MOST_PATTERNS + 1).collect()
-    if len(listed) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} regular expressions")
-    good = [(r["id"], r["priority"], _full(r["rule_value"])) for r in listed if usable_pattern(spark, r["rule_value"])]
-    if good:
-        side = F.broadcast(spark.createDataFrame(good, "id bigint, priority int, pattern string"))
-        found.append(names.join(side, F.expr("n RLIKE pattern")).select("n", "id", "priority"))
+    patterns = usable.filter("rule_type = 'REGEX'").select("id", "priority", "needed", "size", _full(F.col("rule_value")).alias("pattern"))
+    meets = F.expr("n RLIKE pattern")
+    lengths = sorted(n for k, n in sizes if k == "REGEX")
+    if any(lengths):
+        postings = names.select("n", F.explode(F.flatten(F.array(
+            *[grams(F.col("n"), F.lit(n)) for n in lengths if n]))).alias("gram"))
+        frequency = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+        rarest = patterns.filter("size > 0").select("*", F.explode(grams(F.col("needed"), F.col("size"))).alias("gram")).join(
+            frequency, "gram").groupBy("id", "priority", "needed", "pattern").agg(
+            F.min_by("gram", F.struct("names", "gram")).alias("gram"), F.count(F.lit(1)).alias("known"),
+            F.max(F.size(grams(F.col("needed"), F.col("size")))).alias("grams"))
+        # A pattern of whose text some n-gram stands in no name meets none.
+        rarest = rarest.filter("known = grams").drop("known", "grams")
+        found.append(postings.join(rarest, "gram").filter(F.contains("n", F.col("needed"))).filter(meets).select(
+            "n", "id", "priority"))
+    if 0 in lengths:
+        dealt = names.withColumn("part", F.pmod(F.xxhash64("n"), F.lit(SALTS)).cast("int"))
+        everywhere = patterns.filter("size = 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found.append(dealt.join(everywhere, "part").filter(meets).select("n", "id", "priority"))
     if not found:
         return objects.withColumn(out, F.lit(None).cast("bigint"))
     hits = reduce(DataFrame.unionByName, found)
@@ -112,45 +172,62 @@ def object_path(*parts: str) -> Column:
     return F.concat_ws(".", *[F.when(F.trim(F.col(p)) != "", F.col(p)) for p in parts])
 
 
+def _set_of(standard: Column) -> Column:
+    return F.concat(F.lit("#"), standard.cast("string"))
+
+
+def _typed(rules: DataFrame, type_standards: DataFrame) -> DataFrame:
+    """Enabled standards that point to a type standard, with its types."""
+    allowed = type_standards.filter(F.size("allowed_types") > 0).select(F.col("id").alias("target_standard_id"), "allowed_types")
+    return rules.filter("enabled").join(allowed, "target_standard_id").withColumn("standard_id", F.col("id"))
+
+
+def applicable_standards(rules: DataFrame, type_standards: DataFrame) -> DataFrame:
+    """(standards_set, applicable_standards), one row per set that findings name: all standards of an object type in order
+    of priority and age, and each standard with a type on its own."""
+    none = F.lit(None).cast("array<string>")
+    order = F.struct((-F.col("priority")).alias("p"), "id", _described(none).alias("d"))
+    whole = rules.filter("enabled").groupBy(F.col("applies_to").alias("standards_set")).agg(
+        F.transform(F.sort_array(F.collect_list(order)), lambda s: s["d"]).cast(OFFERED).alias("applicable_standards"))
+    own = _typed(rules, type_standards).select(_set_of(F.col("standard_id")).alias("standards_set"), F.array(
+        _described(F.col("allowed_types"))).cast(OFFERED).alias("applicable_standards"))
+    return whole.unionByName(own)
+
+
 def compliance_scan(tables: DataFrame, columns: DataFrame, rules: DataFrame, type_standards: DataFrame) -> DataFrame:
     """Findings over ONLINE tables and columns.
 
-    A name that meets no standard is a NAMING finding and lists all standards of its object type. A column whose
-    standard points to a type standard must match one of its allowed types, else it is a TYPE finding.
-    ``rules.target_standard_id`` refers to ``type_standards(id, allowed_types)``. Standards stay data: their number
-    changes the size of joins, never the plan.
+    A name that meets no standard is a NAMING finding. A column whose standard points to a type standard must match one of
+    its allowed types, else it is a TYPE finding. ``rules.target_standard_id`` refers to ``type_standards(id,
+    allowed_types)``. ``standards_set`` names the standards that apply, which :func:`applicable_standards` lists once.
+    Standards stay data: their number changes the size of joins, never the plan.
     """
-    none = F.lit(None).cast("array<string>")
-    order = F.struct((-F.col("priority")).alias("p"), "id", _described(none).alias("d"))
-    offered = rules.filter("enabled").groupBy(F.col("applies_to").alias("object_type")).agg(
-        F.transform(F.sort_array(F.collect_list(order)), lambda s: s["d"]).alias("all_standards"))
-    typed = rules.filter(F.col("enabled")).join(type_standards.filter(F.size("allowed_types") > 0).select(
-        F.col("id").alias("target_standard_id"), "allowed_types"), "target_standard_id").select(
-        F.col("id").alias("standard_id"), "allowed_types", F.transform("allowed_types", parse_type).alias("allowed"),
-        F.array(_described(F.col("allowed_types"))).alias("own_standard"))
+    typed = _typed(rules, type_standards).select("standard_id", "allowed_types", F.transform(
+        "allowed_types", parse_type).alias("allowed"))
 
-    def online(df: DataFrame, kind: str, name: str) -> DataFrame:
-        return match_standard(df.filter(F.col("source_status") == "ONLINE"), name, standards_for(rules, kind))
+    read = read_rules(rules.filter("enabled"))
 
-    named_tables = online(tables, "TABLE", "table_name").select(
-        "table_id", F.lit("TABLE").alias("object_type"), object_path("database_name", "schema_name", "table_name").alias(
-            "object_path"), "standard_id", F.lit(None).cast("string").alias("data_type"))
-    named_columns = online(columns, "COLUMN", "column_name").select(
+    def online(df: DataFrame, kind: str, name: str) -> DataFrame:
+        return match_standard(df.filter(F.col("source_status") == "ONLINE"), name, standards_for(read, kind))
+
+    unnamed, none = F.col("standard_id").isNull(), F.lit(None).cast("string")
+    strays = online(tables, "TABLE", "table_name").filter(unnamed).select(
+        "table_id", F.lit("TABLE").alias("object_type"),
+        object_path("database_name", "schema_name", "table_name").alias("object_path"),
+        F.lit("NAMING").alias("violation_type"), "standard_id", none.alias("actual_value"), none.alias("expected_value"),
+        F.lit("TABLE").alias("standards_set"))
+    # Names and types of the columns are judged in one pass over them.
+    judged = online(columns, "COLUMN", "column_name").join(typed, "standard_id", "left").withColumn(
+        "parsed", parse_type(F.col("data_type")))
+    misfit = F.col("allowed").isNotNull() & ~F.exists("allowed", lambda e: type_fits(e, F.col("parsed")))
+    found = judged.filter(unnamed | misfit).select(
         "table_id", F.lit("COLUMN").alias("object_type"),
-        object_path("database_name", "schema_name", "table_name", "column_name").alias("object_path"), "standard_id",
-        "data_type")
-    judged = named_columns.join(typed, "standard_id", "left").withColumn("parsed", parse_type(F.col("data_type")))
-    fits = F.exists("allowed", lambda e: type_fits(e, F.col("parsed")))
-    unnamed = F.col("standard_id").isNull()
-    misfits = judged.filter(~unnamed & F.col("allowed").isNotNull() & ~fits).select(
-        "table_id", "object_type", "object_path", F.lit("TYPE").alias("violation_type"), "standard_id",
-        F.col("data_type").alias("actual_value"), F.array_join("allowed_types", ",").alias("expected_value"),
-        F.col("own_standard").cast(OFFERED).alias("applicable_standards"))
-    strays = named_tables.unionByName(named_columns).filter(unnamed).join(offered, "object_type", "left").select(
-        "table_id", "object_type", "object_path", F.lit("NAMING").alias("violation_type"), "standard_id",
-        F.lit(None).cast("string").alias("actual_value"), F.lit(None).cast("string").alias("expected_value"),
-        F.coalesce("all_standards", F.array()).cast(OFFERED).alias("applicable_standards"))
-    return strays.unionByName(misfits)
+        object_path("database_name", "schema_name", "table_name", "column_name").alias("object_path"),
+        F.when(unnamed, "NAMING").otherwise("TYPE").alias("violation_type"), "standard_id",
+        F.when(~unnamed, F.col("data_type")).alias("actual_value"),
+        F.when(~unnamed, F.array_join("allowed_types", ",")).alias("expected_value"),
+        F.when(unnamed, "COLUMN").otherwise(_set_of(F.col("standard_id"))).alias("standards_set"))
+    return strays.unionByName(found)
 
 
 def replace_scope(old: DataFrame, new: DataFrame, scope: DataFrame, key: str = "table_id") -> DataFrame:

@@ -104,7 +104,10 @@ UNION ALL SELECT id, executed_at, 'ods.s2', NULL, regexp_extract(sql_text, 'dw\\
 UNION ALL SELECT id, executed_at, NULL, NULL, regexp_extract(sql_text, 'dw\\.t\\d'), NULL FROM statement_log WHERE id % 5 = 3
 UNION ALL SELECT id, executed_at, regexp_extract(sql_text, 'ods\\.s\\d'), c.s, regexp_extract(sql_text, 'dw\\.t\\d'), c.t FROM statement_log,
   (VALUES (NULL, NULL), ('trim(both '' '' FROM x)', 'a'), ('y IS DISTINCT FROM z', 'b')) c(s, t) WHERE id % 15 = 9
-UNION ALL SELECT id, executed_at, c.s, NULL, 'dw.f1', NULL FROM statement_log, (VALUES ('ods.s3'), ('ods.s4')) c(s) WHERE id % 15 = 14) x"""
+UNION ALL SELECT id, executed_at, c.s, NULL, 'dw.f1', NULL FROM statement_log, (VALUES ('ods.s3'), ('ods.s4')) c(s) WHERE id % 15 = 14
+UNION ALL SELECT id, executed_at, regexp_extract(sql_text, 'ods\\.s\\d'), c.s, regexp_extract(sql_text, 'dw\\.[tl]\\d'), c.t FROM statement_log,
+  (VALUES (4, NULL, NULL), (19, NULL, NULL), (19, 'x', 'a'), (34, NULL, NULL), (34, 'x', 'a'), (49, NULL, NULL), (64, NULL, NULL),
+    (64, '$$a; FROM x.y$$', 'a')) c(m, s, t) WHERE id % 90 = c.m) x"""
 
 
 @R.query("g9_edges_from_statements", EDGES)
@@ -113,8 +116,8 @@ def _(lake):
 
 
 @R.query("g10_split_and_classify", """
-SELECT id, script, CAST(1 AS INT) AS position, sql_text AS statement, CASE WHEN sql_text LIKE 'SELECT%' THEN 'QUERY'
-  WHEN sql_text LIKE 'CREATE%' THEN 'DDL' WHEN sql_text LIKE 'INSERT%' OR sql_text LIKE 'UPDATE%' THEN 'DML'
+SELECT id, script, CAST(1 AS INT) AS position, sql_text AS statement, CASE WHEN sql_text LIKE 'SELECT%' OR sql_text LIKE 'WITH%' THEN 'QUERY'
+  WHEN sql_text LIKE 'CREATE%' THEN 'DDL' WHEN sql_text LIKE 'INSERT%' OR sql_text LIKE 'UPDATE%' OR sql_text LIKE 'DELETE%' THEN 'DML'
   ELSE 'UNKNOWN' END AS statement_class FROM script_log JOIN statement_log s USING (id)
 UNION ALL SELECT id, script, 2, concat('--', chr(10), ' /* a;b */ DELETE FROM x.y WHERE k = "q;r"'), 'UNKNOWN' FROM script_log""")
 def _(lake):
@@ -122,8 +125,8 @@ def _(lake):
 
 
 @R.query("g10_classes_in_the_log", """
-SELECT CASE WHEN sql_text LIKE 'SELECT%' THEN 'QUERY' WHEN sql_text LIKE 'CREATE%' THEN 'DDL'
-  WHEN sql_text LIKE 'INSERT%' OR sql_text LIKE 'UPDATE%' THEN 'DML' ELSE 'UNKNOWN' END AS statement_class, COUNT(*) AS statements
+SELECT CASE WHEN sql_text LIKE 'SELECT%' OR sql_text LIKE 'WITH%' THEN 'QUERY' WHEN sql_text LIKE 'CREATE%' THEN 'DDL'
+  WHEN sql_text LIKE 'INSERT%' OR sql_text LIKE 'UPDATE%' OR sql_text LIKE 'DELETE%' THEN 'DML' ELSE 'UNKNOWN' END AS statement_class, COUNT(*) AS statements
 FROM statement_log GROUP BY 1""")
 def _(lake):
     return lake("statement_log").groupBy(statements.classify(F.col("sql_text")).alias("statement_class")).agg(

@@ -166,10 +166,15 @@ findings AS (
 
 def _scan(lake):
     """Findings with the offered standards as one text each, so that their content is compared too."""
+    return std.compliance_scan(lake("std_table"), lake("std_column"), *_standards(lake)).join(
+        _sets(lake), "standards_set").drop("standards_set")
+
+
+def _sets(lake):
     one = lambda s: F.concat_ws(
         "|", s["standard_name"], s["rule_type"], s["rule_value"], F.coalesce(F.concat_ws(",", s["allowed_types"]), F.lit("")))
-    return std.compliance_scan(lake("std_table"), lake("std_column"), *_standards(lake)).withColumn(
-        "offered", F.array_join(F.transform("applicable_standards", one), ";")).drop("applicable_standards")
+    return std.applicable_standards(*_standards(lake)).select(
+        "standards_set", F.array_join(F.transform("applicable_standards", one), ";").alias("offered"))
 
 
 @R.query("e5_compliance_scan", f"WITH {FINDINGS.strip()} SELECT * FROM findings")
@@ -177,6 +182,14 @@ def _(lake):
     return _scan(lake)
 
 
+@R.query("e5_findings_by_set_of_standards", f"""
+WITH {FINDINGS.strip()} SELECT CASE violation_type WHEN 'NAMING' THEN object_type ELSE '#' || CAST(standard_id AS VARCHAR) END
+  AS standards_set, COUNT(*) AS findings FROM findings GROUP BY 1""")
+def _(lake):
+    return std.compliance_scan(lake("std_table"), lake("std_column"), *_standards(lake)).groupBy("standards_set").agg(
+        F.count("*").alias("findings"))
+
+
 @R.query("e6_rescan_of_a_scope", f"""
 WITH {FINDINGS.strip()} SELECT object_path, violation_type, checked FROM (
   SELECT table_id, object_path, violation_type, 'first' AS checked FROM findings
@@ -186,7 +199,8 @@ WITH {FINDINGS.strip()} SELECT object_path, violation_type, checked FROM (
 def _(lake):
     scope = lake("std_table").filter("schema_name = 'public'")
     keep = ("table_id", "object_path", "violation_type")
-    old = _scan(lake).select(*keep).withColumn("checked", F.lit("first"))
+    old = std.compliance_scan(lake("std_table"), lake("std_column"), *_standards(lake)).select(*keep).withColumn(
+        "checked", F.lit("first"))
     rescan = std.compliance_scan(scope, lake("std_column").filter("schema_name = 'public'"), *_standards(lake))
     return std.replace_scope(old, rescan.select(*keep).withColumn("checked", F.lit("again")), scope).select(
         "object_path", "violation_type", "checked")
@@ -198,7 +212,7 @@ WITH {FINDINGS.strip()}, c AS (SELECT COUNT(*) FILTER (WHERE table_id % 4 <> 0)
   + (SELECT COUNT(*) FROM std_column WHERE source_status = 'ONLINE') AS objects FROM findings)
 SELECT *, CAST(((objects - non_compliant) * 2000 + objects) // (2 * objects) AS DOUBLE) / 10 AS rate FROM c""")
 def _(lake):
-    results = _scan(lake).withColumn("ignored", F.col("table_id") % 4 == 0)
+    results = std.compliance_scan(lake("std_table"), lake("std_column"), *_standards(lake)).withColumn("ignored", F.col("table_id") % 4 == 0)
     return std.compliance_summary(results, lake("std_table"), lake("std_column"))
 
 

@@ -326,7 +326,15 @@ SELECT o_orderkey AS id, CASE o_orderkey % 5
      WHEN 9 THEN concat('INSERT INTO dw.t', CAST(o_custkey % 9 AS STRING), '(a, b) SELECT trim(both '' '' FROM x), y IS DISTINCT FROM z FROM ods.s',
        CAST(o_custkey % 7 AS STRING))
      WHEN 14 THEN 'CREATE TABLE dw.f1 AS SELECT v AS w FROM (ods.s3 JOIN ods.s4 ON s3.k = s4.k), generate_series(1, 3) g'
-     ELSE 'not a statement' END END AS sql_text, o_orderdate AS executed_at FROM orders"""
+     ELSE CASE o_orderkey % 90
+       WHEN 4 THEN concat('DELETE FROM dw.t', CAST(o_custkey % 9 AS STRING), ' USING ods.s', CAST(o_custkey % 7 AS STRING), ' WHERE p = q')
+       WHEN 19 THEN concat('WITH c AS (SELECT x FROM ods.s', CAST(o_custkey % 7 AS STRING), ') INSERT INTO dw.t',
+         CAST(o_custkey % 9 AS STRING), '(a) SELECT x FROM c')
+       WHEN 34 THEN concat('INSERT IGNORE INTO dw.t', CAST(o_custkey % 9 AS STRING), ' SELECT x AS a FROM ods.s', CAST(o_custkey % 7 AS STRING))
+       WHEN 49 THEN concat('CREATE TABLE dw.l', CAST(o_custkey % 9 AS STRING), ' LIKE ods.s', CAST(o_custkey % 7 AS STRING))
+       WHEN 64 THEN concat('INSERT INTO dw.t', CAST(o_custkey % 9 AS STRING), ' SELECT $$a; FROM x.y$$ AS a FROM ods.s',
+         CAST(o_custkey % 7 AS STRING))
+       ELSE 'not a statement' END END END AS sql_text, o_orderdate AS executed_at FROM orders"""
 
 VIEWS["script_log"] = """
 SELECT id, concat(sql_text, '; -- done; really', chr(10), ' /* a;b */ DELETE FROM x.y WHERE k = "q;r";;') AS script FROM statement_log"""

@@ -67,3 +67,56 @@ def test_a_thousand_standards(spark):
     names = spark.createDataFrame([("p3_x",), ("x_s400",), ("r500_12",), ("p3_x_s400",), ("none",), (None,)], "column_name string")
     got = {r[0]: r[1] for r in std.match_standard(names, "column_name", std.standards_for(df, "COLUMN")).collect()}
     assert got == {"p3_x": 3, "x_s400": 400, "r500_12": 500, "p3_x_s400": 3, "none": None, None: None}
+
+
+PATTERNS = [("dim_[0-9]*[05]", "dim_"), ("abc", "abc"), ("ab?c", "a"), ("ab+cd", "ab"), ("a{2}b", "a"), ("a{0,3}bcd", "bcd"), ("(abc)+de", "de"),
+            ("a|b", ""), ("(?i)abc", ""), (r"a\.b\d+wxyz", "wxyz"), (r"\x41bc", ""), (r"\Qa.b\E", ""), ("[abc]+_end", "_end"), ("x[^]a]y_z", "y_z"),
+            (".*", ""), ("", ""), (r"a\_b", "a_b"), ("^start$", "start"), ("(a|b)tail", "tail"), (r"\p{L}+name", ""), ("é+ñandú", "ñandú"),
+            ("abc*?de", "ab"), (r"q\?r", "q?r")]
+
+
+def test_required_texts(spark):
+    df = spark.createDataFrame([(p,) for p, _ in PATTERNS], "p string")
+    got = {r[0]: r[1] for r in df.select("p", std.required_text(F.col("p"))).collect()}
+    assert got == dict(PATTERNS)
+
+
+def test_prefilter_equals_trying_every_pattern(spark):
+    import random
+    import re
+
+    rng = random.Random(7)
+    pieces = ["a", "b", "ab", "[ab]", "(ab|c)", "a?", "b*", "c+", r"\d", "_", r"\.", "x{2}", "[0-9]+", "|"]
+    patterns = ["".join(rng.choices(pieces, k=rng.randint(1, 5))) for _ in range(300)] + ["x[0-9", "(a", "*a", "a{", "[a-b-]"]
+    names = ["".join(rng.choices(["a", "b", "c", "ab", "_", ".", "x", "xx", "7", "42"], k=rng.randint(0, 6))) for _ in range(300)]
+    rules = spark.createDataFrame([(k, f"n{k}", "COLUMN", "REGEX", p, None, k % 5, True) for k, p in enumerate(patterns)], RULES)
+    objects = spark.createDataFrame([(n,) for n in names], "column_name string")
+    usable = []
+    for k, p in enumerate(patterns):
+        try:
+            usable.append((-(k % 5), k, re.compile(f"(?:{p})")))
+        except re.error:
+            pass
+    expected = {n: min(((q, k) for q, k, p in usable if p.fullmatch(n)), default=(0, None))[1] for n in names}
+    got = {r[0]: r[1] for r in std.match_standard(objects, "column_name", std.standards_for(rules, "COLUMN")).collect()}
+    assert got == expected
+
+
+def test_twenty_thousand_patterns_without_a_nested_loop(spark):
+    rules = spark.range(20_000).selectExpr(
+        "id", "concat('n', id) AS name", "'COLUMN' AS applies_to", "'REGEX' AS rule_type", "concat('r', id, '_[0-9]+') AS rule_value",
+        "CAST(NULL AS BIGINT) AS target_standard_id", "CAST(id % 7 AS INT) AS priority", "true AS enabled")
+    names = spark.range(30_000).selectExpr("concat('r', id * 3, '_', id) AS column_name")
+    found = std.match_standard(names, "column_name", std.standards_for(rules, "COLUMN"))
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    assert found.filter("standard_id IS NOT NULL").count() == len(range(0, 20_000, 3))
+    assert found.filter("standard_id <> CAST(substring_index(substr(column_name, 2), '_', 1) AS BIGINT)").count() == 0
+
+
+def test_standards_are_stored_once_and_linked(spark):
+    rules = spark.createDataFrame([(1, "t", "TABLE", "PREFIX", "dwd_", None, 1, True), (2, "c", "COLUMN", "PREFIX", "order_", 7, 1, True),
+                                   (3, "d", "COLUMN", "SUFFIX", "_id", None, 5, True), (4, "off", "COLUMN", "SUFFIX", "x", 7, 5, False)], RULES)
+    types = spark.createDataFrame([(7, ["INT"]), (8, [])], "id bigint, allowed_types array<string>")
+    sets = {r.standards_set: [(s.standard_name, s.allowed_types) for s in r.applicable_standards]
+            for r in std.applicable_standards(rules, types).collect()}
+    assert sets == {"TABLE": [("t", None)], "COLUMN": [("d", None), ("c", None)], "#2": [("c", ["INT"])]}
