@@ -40,13 +40,33 @@ def _is_limited() -> Column:
     return _status() == LIMITED
 
 
-def _p95() -> Column:
+def _p95(calls: Column) -> Column:
     """Interpolated P95 of the known durations; zero when there are none.
 
     Durations are whole milliseconds, so the counts kept per task are as many as there are different latencies, not
     calls.
     """
-    return F.coalesce(F.percentile("duration_ms", 0.95), F.lit(0.0))
+    return F.coalesce(F.percentile("duration_ms", 0.95, calls), F.lit(0.0))
+
+
+def _calls(log: DataFrame) -> Column:
+    """How many calls a row stands for: one, or the ``calls`` of a histogram."""
+    return F.col("calls") if "calls" in log.columns else F.lit(1).cast("long")
+
+
+def _number(calls: Column, condition: Column | None = None) -> Column:
+    counted = calls if condition is None else F.when(condition, calls)
+    return F.coalesce(F.sum(counted), F.lit(0).cast("long"))
+
+
+def latency_histograms(log: DataFrame, unit: str = "hour") -> DataFrame:
+    """(api_id, created_at, status_code, duration_ms, calls): the log as counts per time bucket, exact to the millisecond.
+
+    The statistics below read it in place of the log, for ranges that begin with a bucket. Counts of buckets, tasks and
+    days add up, so it is kept per day and a long range merges what is stored instead of reading calls again.
+    """
+    bucket = F.date_trunc(unit, F.col("created_at")).cast("timestamp_ntz").alias("created_at")
+    return log.groupBy("api_id", bucket, "status_code", "duration_ms").agg(_number(_calls(log)).alias("calls"))
 
 
 def _recent(log: DataFrame, since, api_id=None) -> DataFrame:
@@ -55,29 +75,32 @@ def _recent(log: DataFrame, since, api_id=None) -> DataFrame:
 
 
 def call_overview(log: DataFrame, since, api_id=None, as_of=None) -> DataFrame:
-    """One row of totals and P95; for one API also the mean duration and the calls of the day of ``as_of``."""
+    """One row of totals and P95 from the log or its :func:`latency_histograms`; for one API also the mean duration and the calls of the day of ``as_of``."""
+    calls = _calls(log)
     aggregates = [
-        F.count("*").alias("total"),
-        count_when(_is_success()).alias("success"),
-        count_when(_is_limited()).alias("limited"),
-        _p95().alias("p95_ms"),
+        _number(calls).alias("total"),
+        _number(calls, _is_success()).alias("success"),
+        _number(calls, _is_limited()).alias("limited"),
+        _p95(calls).alias("p95_ms"),
     ]
     if api_id is not None:
         today = F.date_trunc("day", ntz(as_of)).cast("timestamp_ntz")
+        known = F.when(F.col("duration_ms").isNotNull(), calls)
         aggregates += [
-            count_when(_is_failed()).alias("failed"),
-            F.coalesce(F.avg("duration_ms"), F.lit(0.0)).alias("avg_ms"),
-            count_when(F.col("created_at") >= today).alias("today"),
+            _number(calls, _is_failed()).alias("failed"),
+            F.coalesce(F.try_divide(F.sum(F.col("duration_ms") * calls), F.sum(known)), F.lit(0.0)).alias("avg_ms"),
+            _number(calls, F.col("created_at") >= today).alias("today"),
         ]
     return _recent(log, since, api_id).agg(*aggregates)
 
 
 def call_stats_by_api(log: DataFrame, since) -> DataFrame:
+    calls = _calls(log)
     return _recent(log, since).groupBy("api_id").agg(
-        F.count("*").alias("total"),
-        count_when(_is_failed()).alias("failed"),
-        count_when(_is_limited()).alias("limited"),
-        _p95().alias("p95_ms"),
+        _number(calls).alias("total"),
+        _number(calls, _is_failed()).alias("failed"),
+        _number(calls, _is_limited()).alias("limited"),
+        _p95(calls).alias("p95_ms"),
     )
 
 

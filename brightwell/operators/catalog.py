@@ -6,13 +6,16 @@ source_status, source_type, data_domain, data_topic, updated_at``.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightwell.functions.values import ago, count_when, escaped_contains, ntz
 from brightwell.operators.runs import latest_by
+from brightwell.operators import text_index
 from brightwell.plans.lineage_cut import cut_lineage
+from brightwell.plans.seek import page_of
 
 # Search scores and look-back periods.
 SCORES = {"table_name": 100, "prefix_bonus": 20, "comment": 60, "column": 40, "tag": 40, "owner": 20}
@@ -43,11 +46,12 @@ def _mentions(df: DataFrame, keyword: str, *names: str) -> Column:
 
 
 def search(tables: DataFrame, columns: DataFrame, tags: DataFrame, table_tags: DataFrame, owners: DataFrame,
-           keyword: str | None, n: int | None = None) -> DataFrame:
+           keyword: str | None, n: int | None = None, index: str | None = None) -> DataFrame:
     """ONLINE tables that mention the keyword, scored by the strongest place it occurs in; the first ``n`` if given.
 
     Every place gives (table, score) hits; their maximum per table is joined to the tables once. Narrow ``tables``
-    beforehand, by :func:`narrowed`, to search within a datasource, a health level or the tables granted.
+    beforehand, by :func:`narrowed`, to search within a datasource, a health level or the tables granted. With the folder of
+    a :func:`search_index` only rows that the index names are tested.
     """
     word = clean_keyword(keyword)
     shown = ["table_id", "table_name", "datasource_id", "database_name"]
@@ -58,7 +62,14 @@ def search(tables: DataFrame, columns: DataFrame, tags: DataFrame, table_tags: D
     named = F.when(F.lower("table_name").startswith(word.lower()), SCORES["table_name"] + SCORES["prefix_bonus"]).when(
         escaped_contains(F.col("table_name"), word), SCORES["table_name"]).when(
         _mentions(tables, word, "table_comment", "manual_comment"), SCORES["comment"])
-    direct = online.select("table_id", named.alias("score")).filter(F.col("score").isNotNull())
+    near = online
+    if index is not None:
+        found = cut_lineage(text_index.candidates(tables.sparkSession, index, word))
+        at = lambda df, place, key: df.join(
+            found.filter(F.col("place") == place).select(F.col("id").alias(key)), key, "left_semi")
+        near, columns = at(online, "table", "table_id"), at(columns, "column", "table_id")
+        tags, owners = at(tags, "tag", "tag_id"), at(owners, "owner", "user_id")
+    direct = near.select("table_id", named.alias("score")).filter(F.col("score").isNotNull())
     tagged = table_tags.join(tags.filter(escaped_contains(F.col("tag_name"), word)).select("tag_id"), "tag_id", "left_semi")
     people = owners.filter(escaped_contains(F.col("user_name"), word)).select(F.col("user_id").alias("owner_user_id"))
     owned = online.select("table_id", "owner_user_id").join(people, "owner_user_id", "left_semi")
@@ -69,6 +80,17 @@ def search(tables: DataFrame, columns: DataFrame, tags: DataFrame, table_tags: D
     return found if n is None else found.orderBy(F.desc("score"), "table_name", "table_id").limit(n)
 
 
+def search_index(path: str, tables: DataFrame, columns: DataFrame, tags: DataFrame, owners: DataFrame) -> None:
+    """Writes the trigrams of all texts that :func:`search` looks into, offline objects included, to a folder."""
+    texts = lambda df, place, key, *names: [
+        df.select(F.lit(place).alias("place"), F.col(key).cast("long").alias("id"), F.col(c).alias("text"))
+        for c in names if c in df.columns]
+    every = [*texts(tables, "table", "table_id", "table_name", "table_comment", "manual_comment"),
+             *texts(columns, "column", "table_id", "column_name", "column_comment", "manual_comment"),
+             *texts(tags, "tag", "tag_id", "tag_name"), *texts(owners, "owner", "user_id", "user_name")]
+    text_index.build(reduce(DataFrame.unionByName, every), path)
+
+
 def path_search(tables: DataFrame, keyword: str | None, n: int | None = None) -> DataFrame:
     """ONLINE tables whose database, schema or name mentions the keyword, in order of the path; the first ``n`` if given."""
     word = clean_keyword(keyword)
@@ -113,20 +135,19 @@ def browsed(tables: DataFrame, scores: DataFrame, domain: str | None = None, top
 
 
 def browse(tables: DataFrame, scores: DataFrame, view_log: DataFrame, as_of, sort: str = "name", page: int = 1,
-           size: int = 20, **filters) -> DataFrame:
-    """One page of :func:`browsed`, sorted by name, latest, score or hot over all of them."""
+           size: int = 20, after: Mapping[str, object] | None = None, **filters) -> DataFrame:
+    """One page of :func:`browsed`, sorted by name, latest, score or hot over all of them; ``after`` as in
+    :func:`seek.page_of`."""
     rows = browsed(tables, scores, **filters).select("table_id", "table_name", "data_domain", "data_topic", "updated_at")
     scored, views = scores.select("table_id", "score", "health_level"), F.coalesce("view_count", F.lit(0))
     # A page is written once, so the look-ups below do not search the catalogue again.
-    cut = lambda df, *order: cut_lineage(df.orderBy(*order, "table_name", "table_id").offset(
-        (max(page, 1) - 1) * size).limit(size))
+    first = {"score": [("score", True)], "hot": [("view_count", True)], "latest": [("updated_at", True)]}.get(sort, [])
+    ranked = rows
     if sort == "score":
-        shown = cut(rows.join(scored, "table_id", "left"), F.desc_nulls_last("score"))
+        ranked = rows.join(scored, "table_id", "left")
     elif sort == "hot":
         ranked = rows.join(heat(view_log, as_of), "table_id", "left").withColumn("view_count", views)
-        shown = cut(ranked, F.desc("view_count"))
-    else:
-        shown = cut(rows, F.desc("updated_at")) if sort == "latest" else cut(rows)
+    shown = cut_lineage(page_of(ranked, [*first, ("table_name", False), ("table_id", False)], size, page, after))
     # What the page still lacks is looked up for its rows alone, of which there are at most ``size``.
     on_page = lambda df: df.join(F.broadcast(shown.select("table_id")), "table_id", "left_semi")
     if sort != "score":

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brightwell.functions.values import count_when
+from brightwell.functions.values import count_when, ntz
 from brightwell.plans.lineage_cut import cut_lineage
+from brightwell.plans.seek import page_of
 
 # Shape of a type name, and the bases that carry a length or a precision.
 TYPE_SHAPE = r"^(\w+)(?:\(([^)]+)\))?$"
@@ -249,10 +251,8 @@ def compliance_summary(results: DataFrame, tables: DataFrame, columns: DataFrame
 
 
 def compliance_page(results: DataFrame, ignored: int | None = None, violation_type: str | None = None, t_from=None,
-                    t_to=None, page: int = 1, size: int = 20) -> DataFrame:
-    """``ignored`` 0 shows open findings, 1 ignored ones, 2 or none all."""
-    from brightwell.functions.values import ntz
-
+                    t_to=None, page: int = 1, size: int = 20, after: Mapping[str, object] | None = None) -> DataFrame:
+    """``ignored`` 0 shows open findings, 1 ignored ones, 2 or none all; ``after`` as in :func:`seek.page_of`."""
     rows = results
     if ignored in (0, 1):
         rows = rows.filter(F.col("ignored") == bool(ignored))
@@ -262,7 +262,7 @@ def compliance_page(results: DataFrame, ignored: int | None = None, violation_ty
         rows = rows.filter(F.col("checked_at") >= ntz(t_from))
     if t_to is not None:
         rows = rows.filter(F.col("checked_at") <= ntz(t_to))
-    return rows.orderBy(F.desc("checked_at"), F.desc("id")).offset((max(page, 1) - 1) * size).limit(size)
+    return page_of(rows, [("checked_at", True), ("id", True)], size, page, after)
 
 
 # Type-name prefixes that make an incremental field numeric or temporal.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightwell.functions.values import ago, count_when, ntz, percent
+from brightwell.plans.seek import page_of
 
 EXPORT_CAP = 5000  # fixed value: rows in an exported issue list
 DEFAULT_DAYS = 30
@@ -139,9 +141,10 @@ def issue_total(details: DataFrame) -> DataFrame:
     return _found(details).agg(F.count("*").alias("total"))
 
 
-def issue_page(details: DataFrame, tables: DataFrame, rules: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
-    """One page, newest first. The page is cut before names are joined."""
-    return issues(_found(details).orderBy(F.desc("id")).offset((max(page, 1) - 1) * size).limit(size), tables, rules)
+def issue_page(details: DataFrame, tables: DataFrame, rules: DataFrame, page: int = 1, size: int = 10,
+               after: Mapping[str, object] | None = None) -> DataFrame:
+    """One page, newest first, by its number or behind the ``id`` in ``after``. It is cut before names are joined."""
+    return issues(page_of(_found(details), [("id", True)], size, page, after), tables, rules)
 
 
 def export_issues(details: DataFrame, tables: DataFrame, rules: DataFrame, n: int | None = None) -> DataFrame:

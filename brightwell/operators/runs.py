@@ -6,12 +6,13 @@ two logs of the platform (task graphs and table syncs) are one frame told apart
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightwell.functions.values import ago, count_when, half_open, interval, ntz, percent
 from brightwell.plans.lineage_cut import cut_lineage
+from brightwell.plans.seek import page_of
 from brightwell.plans.topk import ranked_up_to
 
 # Statuses and default limits.
@@ -232,13 +233,14 @@ def run_list(runs: DataFrame, owners: DataFrame, owner_like: str | None = None,
     return rows.join(named.select("task_id", "task_name"), "task_id", "inner" if owner_like or project_like else "left")
 
 
-def run_page(runs: DataFrame, owners: DataFrame, nodes: DataFrame, page: int = 1, size: int = 20, **filters) -> DataFrame:
-    """One page of :func:`run_list`, newest first, with node counts per status.
+def run_page(runs: DataFrame, owners: DataFrame, nodes: DataFrame, page: int = 1, size: int = 20,
+             after: Mapping[str, object] | None = None, **filters) -> DataFrame:
+    """One page of :func:`run_list`, newest first, with node counts per status; ``after`` as in :func:`seek.page_of`.
 
     Filters come first, the page is cut and written next, and node rows are counted only for the runs on the page.
     """
     rows = run_list(runs, owners, **filters)
-    paged = cut_lineage(rows.orderBy(F.desc("start_time"), F.desc("id")).offset(max(page - 1, 0) * size).limit(size))
+    paged = cut_lineage(page_of(rows, [("start_time", True), ("id", True)], size, page, after))
     on_page = nodes.join(F.broadcast(paged.select(F.col("id").alias("run_id"))), "run_id", "left_semi")  # <= size rows
     counts = on_page.groupBy("run_id").agg(
         F.count("*").alias("nodes"), count_when(F.col("node_status") == "SUCCESS").alias("nodes_ok"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brightwell.functions.values import count_when
 from brightwell.plans.joins import null_safe_join
+from brightwell.plans.tree_diff import bucket_digests, differing_buckets, within
 
 # Column attributes whose change is reported, with the name each change carries.
 ATTRIBUTES = {"data_type": "TYPE", "column_comment": "COMMENT", "ordinal_position": "ORDINAL", "nullable": "NULLABLE",
@@ -40,17 +41,30 @@ def _summary(side: str) -> Column:
                     F.lit("|"), F.coalesce(F.col(f"{side}.column_comment"), F.lit("")))
 
 
-def schema_diff(old: DataFrame, new: DataFrame, key: Sequence[str] = ("table_name", "column_name")) -> DataFrame:
+def changed_parts(old: DataFrame, new: DataFrame, key: Sequence[str], columns: Sequence[str], buckets: int,
+                  bucket_key: Sequence[str] | None = None, counted: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both snapshots without the buckets in which they agree; ``counted`` says which old rows stand for a present object."""
+    present = old if counted is None else old.filter(counted)
+    digests = [bucket_digests(side, key, columns, buckets, bucket_key) for side in (present, new)]
+    differing = differing_buckets(*digests)
+    return within(old, differing, bucket_key or key, buckets), within(new, differing, bucket_key or key, buckets)
+
+
+def schema_diff(old: DataFrame, new: DataFrame, key: Sequence[str] = ("table_name", "column_name"),
+                buckets: int | None = None) -> DataFrame:
     """Column changes from the stored snapshot to the collected one.
 
     One full outer join on the column key, then one row per changed attribute. Old columns marked OFFLINE that come
     back count as added; OFFLINE columns that stay away give nothing. Columns of a table unknown to the old snapshot
-    are logged as part of the added table. A table absent from the new snapshot belongs to :func:`table_diff`.
+    are logged as part of the added table. A table absent from the new snapshot belongs to :func:`table_diff`. With
+    ``buckets`` large snapshots are first compared by the hashes of so many buckets of tables, and only what differs is joined.
     """
     key = list(key)
     table_key = [k for k in key if k != "column_name"]
     attributes = [a for a in ATTRIBUTES if a in old.columns and a in new.columns]
     online = (F.col("source_status") == "ONLINE") if "source_status" in old.columns else F.lit(True)
+    if buckets:
+        old, new = changed_parts(old, new, key, attributes, buckets, table_key, F.coalesce(online, F.lit(False)))
     pack = lambda df, extra: df.select(*key, F.struct(*attributes, *extra).alias("s"))
     left = pack(old, [online.alias("online")]).withColumnRenamed("s", "o")
     right = pack(new, []).withColumnRenamed("s", "n")
@@ -79,17 +93,21 @@ def schema_diff(old: DataFrame, new: DataFrame, key: Sequence[str] = ("table_nam
         "change_type", F.when(new_table, "ADDED_TABLE").otherwise(F.col("change_type"))).drop("known")
 
 
-def table_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+def table_diff(old: DataFrame, new: DataFrame, buckets: int | None = None) -> DataFrame:
     """Table changes: added, comment modified, revived and deleted.
 
     A database of a source whose new list is empty is taken as not collected, so nothing in it counts as deleted.
+    ``buckets`` as in :func:`schema_diff`.
     """
     key = list(TABLE_KEY)
     blank = F.coalesce(F.col("schema_name"), F.lit("")).alias("schema_name")
-    plain = [F.col(k) for k in key if k != "schema_name"]
-    left = old.select(*plain, blank, F.struct("table_comment", "source_status").alias("o"))
-    right = new.select(*plain, blank, F.struct("table_comment").alias("n"))
-    lists = right.select("datasource_id", "database_name", "schema_name").distinct().withColumn("listed", F.lit(True))
+    old, new = old.withColumn("schema_name", blank), new.withColumn("schema_name", blank)
+    lists = new.select("datasource_id", "database_name", "schema_name").distinct().withColumn("listed", F.lit(True))
+    if buckets:
+        online = F.coalesce(F.col("source_status") == "ONLINE", F.lit(False))
+        old, new = changed_parts(old, new, key, ["table_comment"], buckets, counted=online)
+    left = old.select(*key, F.struct("table_comment", "source_status").alias("o"))
+    right = new.select(*key, F.struct("table_comment").alias("n"))
     joined = left.join(right, key, "full").join(lists, key[:3], "left")
     online = F.col("o.source_status") == "ONLINE"
     same = F.col("o.table_comment").eqNullSafe(F.col("n.table_comment"))
@@ -133,9 +151,13 @@ def latest_change(changes: DataFrame) -> DataFrame:
     return latest_by(keyed, ["database_name", "schema_name", "table_name"], [F.col("id")])
 
 
-def keyed_diff(left: DataFrame, right: DataFrame, key: str | Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Keys added, removed or modified between two versions; the compared columns travel as one digest."""
+def keyed_diff(left: DataFrame, right: DataFrame, key: str | Sequence[str], cols: Sequence[str],
+               buckets: int | None = None) -> DataFrame:
+    """Keys added, removed or modified between two versions; the compared columns travel as one digest. ``buckets`` as in
+    :func:`schema_diff`."""
     keys = [key] if isinstance(key, str) else list(key)
+    if buckets:
+        left, right = changed_parts(left, right, keys, cols, buckets)
     digest = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
     a = left.select(*keys, digest.alias("l"))
     b = right.select(*keys, digest.alias("r"))

@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from brightwell.plans.seek import page_of, sorted_by
+
 # Limits of a definition, shapes of names and parameters, page sizes, system parameter formats.
 MAX_FILTERS, MAX_FIELDS = 20, 100
 IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_]{0,63}$")
@@ -94,20 +96,23 @@ def page_bounds(page: int | None, size: int | None, size_max: int) -> tuple[int,
 
 
 def table_query(df: DataFrame, spec: QuerySpec, params: Mapping[str, str] | None = None, page: int | None = None,
-                size: int | None = None) -> DataFrame:
-    """The rows a caller asked for. Filters and columns reach the scan; a page is a top-n, not a full sort."""
+                size: int | None = None, after: Mapping[str, object] | None = None) -> DataFrame:
+    """The rows a caller asked for. Filters and columns reach the scan; a page is a top-n, not a full sort.
+
+    A page may be named by its number, or by the values that the last row seen has in the order's columns (``after``): then
+    no task gathers more than one page.
+    """
     spec = spec.checked(df.columns)
     rows = _filtered(df, spec, params or {})
-    order = []
+    order = [(c, False) for c in spec.tie_break]
     if spec.order_by:
         name, _, way = spec.order_by.partition(" ")
-        order.append(F.col(name).desc() if way.strip().upper() == "DESC" else F.col(name).asc())
-    order += [F.col(c).asc() for c in spec.tie_break]
-    if order:
-        rows = rows.orderBy(*order)
+        order.insert(0, (name, way.strip().upper() == "DESC"))
     if spec.paginated:
-        offset, size = page_bounds(page, size, spec.page_size_max)
-        rows = rows.offset(offset).limit(size)
+        _, size = page_bounds(page, size, spec.page_size_max)
+        rows = page_of(rows, order, size, page or 1, after)
+    elif order:
+        rows = rows.orderBy(*sorted_by(order))
     return rows.select(*spec.fields) if spec.fields else rows
 
 
@@ -129,9 +134,10 @@ def mentioning(df: DataFrame, like: Mapping[str | tuple[str, ...], str]) -> Data
 
 
 def history_page(df: DataFrame, spec: QuerySpec, params: Mapping[str, str] | None = None,
-                 like: Mapping[str | tuple[str, ...], str] | None = None, page: int = 1, size: int = 20) -> DataFrame:
+                 like: Mapping[str | tuple[str, ...], str] | None = None, page: int = 1, size: int = 20,
+                 after: Mapping[str, object] | None = None) -> DataFrame:
     """A page of a history log: the conditions of ``spec`` and substring tests as in :func:`mentioning`."""
-    return table_query(mentioning(df, like or {}), spec, params, page, size)
+    return table_query(mentioning(df, like or {}), spec, params, page, size, after)
 
 
 def history_count(df: DataFrame, spec: QuerySpec, params: Mapping[str, str] | None = None,

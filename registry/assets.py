@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from brightwell.operators import catalog as ops
 from brightwell.operators.table_query import total
+from brightwell.plans.lineage_cut import ensure_checkpoint_dir
 from registry.base import Registry, shown
 from registry.views import EVENT_CLOCK
 
@@ -38,6 +41,23 @@ def _(lake):
     return _search(lake, " EN_1 ")
 
 
+def _indexed(lake, word):
+    folder = f"{ensure_checkpoint_dir(lake.spark)}/grams-{uuid.uuid4().hex}"
+    ops.search_index(folder, lake("asset"), lake("asset_column"), lake("asset_tag"), lake("asset_owner"))
+    return ops.search(lake("asset"), lake("asset_column"), lake("asset_tag"), lake("asset_table_tag"), lake("asset_owner"),
+                      word, index=folder)
+
+
+@R.query("h1_search_by_index", _search_sql("en_1"))
+def _(lake):
+    return _indexed(lake, "EN_1")
+
+
+@R.query("h1_search_of_two_letters_by_index", _search_sql("00"))
+def _(lake):
+    return _indexed(lake, "00")
+
+
 @R.query("h1_search_by_prefix", _search_sql("src1"))
 def _(lake):
     return _search(lake, "src1")

@@ -47,3 +47,15 @@ def shown(df: DataFrame, **casts: str) -> DataFrame:
             col = col.cast("timestamp_ntz")
         columns.append(col.alias(field.name))
     return df.select(*columns)
+
+
+def leafed(page: Callable[[dict | None], DataFrame], keys: list[str], number: int) -> DataFrame:
+    """The ``number``-th page of a caller who leafs on, each time behind the last row seen; ``page`` gives a page's rows in
+    order. Only one row of a page is looked at, as a caller would."""
+    rows = page(None)
+    for _ in range(number - 1):
+        last = rows.tail(1)
+        if not last:
+            return rows
+        rows = page({k: last[0][k] for k in keys})
+    return rows

@@ -26,6 +26,14 @@ def _(lake):
     return _round_p95(ops.call_overview(lake("call_log"), WEEK))
 
 
+@R.query("c1_call_overview_from_histograms", f"""
+SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE status_code BETWEEN 200 AND 299) AS success,
+  COUNT(*) FILTER (WHERE status_code = 429) AS limited, {P95}
+FROM call_log WHERE created_at >= {S_WEEK}""")
+def _(lake):
+    return _round_p95(ops.call_overview(ops.latency_histograms(lake("call_log")), WEEK))
+
+
 @R.query("c2_call_overview_of_one_api", f"""
 SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE status_code BETWEEN 200 AND 299) AS success,
   COUNT(*) FILTER (WHERE status_code = 429) AS limited, {P95},
@@ -52,6 +60,12 @@ def _(lake):
     return _round_p95(ops.call_stats_by_api(lake("call_log"), MONTH))
 
 
+@R.query("c4_health_grades_from_histograms", GRADES)
+def _(lake):
+    daily = ops.latency_histograms(ops.latency_histograms(lake("call_log")), "day")  # hours merged to days
+    return _round_p95(ops.health_grades(ops.call_stats_by_api(daily, MONTH)))
+
+
 @R.query("c4_health_grades", GRADES)
 def _(lake):
     return _round_p95(ops.health_grades(ops.call_stats_by_api(lake("call_log"), MONTH)))

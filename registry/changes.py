@@ -106,6 +106,22 @@ def _(lake):
     return sinks.read_current(lake.spark, path, ["user_id"], ["seq"], "seq", "part")
 
 
+@R.query("f3_current_rows_from_base_and_tail", f"{CURRENT} SELECT user_id, cents FROM l WHERE op_type <> 'DELETE'")
+def _(lake):
+    """The log is compacted between two halves of the stream; the read takes the base and what came after it."""
+    path, checkpoint = _scratch(lake, "based")
+    events = _events(lake).select("user_id", "cents", "seq", "op_type")
+    source = _scratch(lake, "based-source")[0]
+    half = events.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    for early in (True, False):
+        events.filter(F.col("seq") <= half if early else F.col("seq") > half).write.mode("append").parquet(source)
+        stream = lake.spark.readStream.schema(events.schema).parquet(source)
+        flows.apply_change_stream(stream, path, checkpoint, "seq").awaitTermination()
+        if early:
+            sinks.compact(lake.spark, path, ["user_id"], ["seq"])
+    return sinks.read_current(lake.spark, path, ["user_id"], ["seq"], "seq", "part")
+
+
 @R.query("f4_evolved_schema", """
 SELECT user_id, cents, CAST(NULL AS VARCHAR) AS op_type FROM cdc_base
 UNION ALL SELECT user_id, CAST(FLOOR(value * 100) AS BIGINT), event_type FROM events""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brightwell.operators import compliance as std, schema as ops
-from registry.base import Registry, shown
+from registry.base import Registry, leafed, shown
 
 R = Registry()
 
@@ -58,6 +58,11 @@ def _(lake):
     return ops.schema_diff(lake("meta_column_old"), lake("meta_column_new"))
 
 
+@R.query("e1_schema_diff_by_hashes", f"WITH {DIFF.strip()} SELECT * FROM changes")
+def _(lake):
+    return ops.schema_diff(lake("meta_column_old"), lake("meta_column_new"), buckets=256)
+
+
 TABLES = """
 o AS (SELECT *, COALESCE(schema_name, '') AS s FROM meta_table_old), n AS (SELECT *, COALESCE(schema_name, '') AS s FROM meta_table_new),
 listed AS (SELECT DISTINCT datasource_id, database_name, s FROM n),
@@ -82,6 +87,11 @@ def _(lake):
     return ops.table_diff(lake("meta_table_old"), lake("meta_table_new"))
 
 
+@R.query("e2_table_diff_by_hashes", f"WITH {TABLES.strip()} SELECT * FROM t")
+def _(lake):
+    return ops.table_diff(lake("meta_table_old"), lake("meta_table_new"), buckets=256)
+
+
 @R.query("e2_cascade_to_columns", f"""
 WITH {TABLES.strip()} SELECT o_orderkey AS column_id, c.c_name AS table_name FROM orders o2 JOIN customer c ON c.c_custkey = o2.o_custkey
 WHERE c.c_name IN (SELECT table_name FROM t WHERE change_type = 'DELETED_TABLE')""")
@@ -223,6 +233,14 @@ def _(lake):
     return std.compliance_page(lake("compliance_result"), 0, "TYPE", "2024-01-05", "2024-01-25", page=3)
 
 
+@R.query("e8_compliance_page_behind_a_row", """
+SELECT * FROM compliance_result WHERE NOT ignored AND violation_type = 'TYPE' AND checked_at >= TIMESTAMP '2024-01-05 00:00:00'
+  AND checked_at <= TIMESTAMP '2024-01-25 00:00:00' ORDER BY checked_at DESC, id DESC LIMIT 20 OFFSET 40""")
+def _(lake):
+    return leafed(lambda after: std.compliance_page(
+        lake("compliance_result"), 0, "TYPE", "2024-01-05", "2024-01-25", after=after), ["checked_at", "id"], 3)
+
+
 @R.query("e9_diff_counts", f"""
 WITH {DIFF.strip()}, added AS (SELECT DISTINCT table_name FROM changes WHERE change_type = 'ADDED_TABLE'),
 {TABLES.strip().replace('j AS', 'jt AS').replace('FROM j ', 'FROM jt ').replace('j.', 'jt.')},
@@ -251,16 +269,24 @@ def _(lake):
     return ops.latest_change(lake("collect_change"))
 
 
-@R.query("e11_keyed_diff", """
+KEYED = """
 WITH n AS (SELECT * FROM meta_column_new), o AS (SELECT * FROM meta_column_old)
 SELECT COALESCE(o.table_name, n.table_name) AS table_name, COALESCE(o.column_name, n.column_name) AS column_name, CASE WHEN o.column_name IS NULL THEN 'ADDED'
   WHEN n.column_name IS NULL THEN 'REMOVED' ELSE 'MODIFIED' END AS change
 FROM o FULL JOIN n ON n.table_name = o.table_name AND n.column_name = o.column_name WHERE o.column_name IS NULL OR n.column_name IS NULL
   OR o.data_type IS DISTINCT FROM n.data_type OR o.ordinal_position IS DISTINCT FROM n.ordinal_position
-  OR o.nullable IS DISTINCT FROM n.nullable OR o.column_comment IS DISTINCT FROM n.column_comment""")
+  OR o.nullable IS DISTINCT FROM n.nullable OR o.column_comment IS DISTINCT FROM n.column_comment"""
+COMPARED = ["data_type", "ordinal_position", "nullable", "column_comment"]
+
+
+@R.query("e11_keyed_diff", KEYED)
+def _(lake):
+    return ops.keyed_diff(lake("meta_column_old"), lake("meta_column_new"), ["table_name", "column_name"], COMPARED)
+
+
+@R.query("e11_keyed_diff_by_hashes", KEYED)
 def _(lake):
-    return ops.keyed_diff(lake("meta_column_old"), lake("meta_column_new"), ["table_name", "column_name"],
-                          ["data_type", "ordinal_position", "nullable", "column_comment"])
+    return ops.keyed_diff(lake("meta_column_old"), lake("meta_column_new"), ["table_name", "column_name"], COMPARED, buckets=256)
 
 
 @R.query("e11_edge_set_diff", """

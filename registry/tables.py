@@ -11,7 +11,7 @@ from brightwell.operators import table_query as ops
 from brightwell.operators.table_query import QuerySpec
 from brightwell.plans.lineage_cut import ensure_checkpoint_dir
 from brightwell.sources import preview, sync
-from registry.base import Registry, shown
+from registry.base import Registry, leafed, shown
 
 R = Registry()
 
@@ -57,6 +57,14 @@ def _(lake):
     return ops.table_query(lake("orders"), SPEC, {"o_orderstatus": "O"}, page=3, size=5000)
 
 
+@R.query("b5_page_behind_a_row", """
+SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'O'
+ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100""")
+def _(lake):
+    return leafed(lambda after: ops.table_query(lake("orders"), SPEC, {"o_orderstatus": "O"}, size=5000, after=after),
+                  ["o_totalprice", "o_orderkey"], 3)
+
+
 @R.query("b6_total_count", "SELECT COUNT(*) AS total FROM orders WHERE o_orderstatus = 'O' AND o_totalprice <= 100000")
 def _(lake):
     return ops.table_count(lake("orders"), SPEC, {"o_orderstatus": "O", "max_o_totalprice": "100000"})

@@ -120,3 +120,37 @@ def test_standards_are_stored_once_and_linked(spark):
     sets = {r.standards_set: [(s.standard_name, s.allowed_types) for s in r.applicable_standards]
             for r in std.applicable_standards(rules, types).collect()}
     assert sets == {"TABLE": [("t", None)], "COLUMN": [("d", None), ("c", None)], "#2": [("c", ["INT"])]}
+
+
+def test_diffs_by_hashes_join_only_what_differs(spark):
+    import random
+
+    from brightwell.plans.tree_diff import bucket_digests, differing_buckets
+
+    rng = random.Random(4)
+    fields = "table_name string, column_name string, data_type string, nullable boolean, column_comment string"
+    old = [(f"t{k // 10}", f"c{k}", rng.choice(["int", "bigint", None]), rng.random() < 0.5, rng.choice([None, "", "x"])) for k in range(600)]
+    new = [r if rng.random() < 0.98 else (*r[:2], "changed", *r[3:]) for r in old if rng.random() < 0.99] + [("t9", "fresh", "int", True, None), ("u", "c", "int", True, None)]
+    status = [(*r, rng.choice(["ONLINE"] * 9 + ["OFFLINE"])) for r in old]
+    before, after = spark.createDataFrame(status, fields + ", source_status string"), spark.createDataFrame(new, fields)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for buckets in (1, 8, 512):
+        assert rows(schema.schema_diff(before, after, buckets=buckets)) == rows(schema.schema_diff(before, after))
+        plain = before.drop("source_status")
+        assert rows(schema.keyed_diff(plain, after, ["table_name", "column_name"], ["data_type", "column_comment"], buckets)) == \
+            rows(schema.keyed_diff(plain, after, ["table_name", "column_name"], ["data_type", "column_comment"]))
+    key, columns = ["table_name", "column_name"], ["data_type", "nullable", "column_comment"]
+    digests = [bucket_digests(before, key, columns, 64, ["table_name"]), bucket_digests(
+        before.withColumn("data_type", F.when(F.col("column_name") == "c33", "other").otherwise(F.col("data_type"))), key, columns, 64, ["table_name"])]
+    assert differing_buckets(*digests).count() == 1 and differing_buckets(digests[0], digests[0]).count() == 0
+    swapped = spark.createDataFrame([("a", None, "x")], "k string, l string, m string"), spark.createDataFrame([("a", "x", None)], "k string, l string, m string")
+    assert differing_buckets(*[bucket_digests(s, ["k"], ["l", "m"], 4) for s in swapped]).count() == 1
+
+
+def test_table_diff_by_hashes(spark):
+    fields = "datasource_id int, database_name string, schema_name string, table_name string, table_comment string"
+    old = [(1, "d", None if k % 2 else "s", f"t{k}", "c", "ONLINE" if k % 5 else "OFFLINE") for k in range(80)]
+    new = [(1, "d", "" if k % 2 else "s", f"t{k}", "c" if k % 7 else "n") for k in range(10, 90)]
+    before, after = spark.createDataFrame(old, fields + ", source_status string"), spark.createDataFrame(new, fields)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(schema.table_diff(before, after, buckets=32)) == rows(schema.table_diff(before, after))

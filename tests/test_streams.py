@@ -256,3 +256,48 @@ def test_schema_policies(spark):
     assert cdc.reconcile_schema(fresh, target, "LENIENT").columns == ["id", "v"]
     with pytest.raises(ValueError, match="w"):
         cdc.reconcile_schema(fresh, target, "EXCEPTION")
+
+
+CHANGE = "id bigint, amount bigint, seq bigint, op_type string"
+
+
+def test_reads_touch_the_base_and_the_tail(spark, folder):
+    rng = random.Random(6)
+    batches = [[(rng.randrange(30), rng.randrange(1000), 100 * b + i, rng.choice(["INSERT", "UPDATE", "DELETE"])) for i in range(80)]
+               for b in range(6)]
+    batches[4] += [(500, 1, 3, "INSERT"), (501, 7, 150, "DELETE")]  # changes that come late, one of a new key
+    log, seen = f"{folder}/log", []
+    for number, batch in enumerate(batches):
+        spark.createDataFrame(batch, CHANGE).coalesce(2).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(CHANGE).parquet(f"{folder}/in")
+        flows.apply_change_stream(stream, log, f"{folder}/check", "seq").awaitTermination()
+        seen += batch
+        rows = spark.createDataFrame(seen, CHANGE)
+        expected = rows_of(cdc.apply_changes(rows.select("id", "amount").limit(0), rows, ["id"], "seq"))
+        current = lambda: rows_of(sinks.read_current(spark, log, ["id"], ["seq"], "seq", "part"))
+        assert current() == expected
+        base, tail = sinks.base_and_tail(spark, log)
+        if number in (1, 3):
+            assert sinks.compact(spark, log, ["id"], ["seq"]) == (number + 1) // 2
+            assert current() == expected and sinks.base_and_tail(spark, log)[1] is None
+            assert sinks.compact(spark, log, ["id"], ["seq"]) == (number + 1) // 2  # nothing new
+        elif number > 1:
+            assert len(tail.inputFiles()) < len(spark.read.parquet(log).inputFiles()) and tail.count() == {2: 80, 4: 82, 5: 162}[number]
+            assert base.count() <= 31
+    # A new checkpoint reads everything again into the tail; rows go by their sequence, so nothing changes.
+    flows.apply_change_stream(spark.readStream.schema(CHANGE).parquet(f"{folder}/in"), log, f"{folder}/again", "seq").awaitTermination()
+    assert current() == expected
+    sinks.compact(spark, log, ["id"], ["seq"])
+    assert current() == expected
+
+
+def test_a_compaction_that_stops_leaves_the_old_base(spark, folder):
+    rows = spark.createDataFrame([(1, 5, False, "a"), (2, 6, False, "a")], "id long, seq long, is_deleted boolean, day string")
+    sinks.append_batch(rows, f"{folder}/log", "day")
+    sinks.compact(spark, f"{folder}/log", ["id"], ["seq"])
+    sinks.append_batch(rows.withColumn("seq", F.lit(9).cast("long")), f"{folder}/log", "day")
+    spark.range(3).write.parquet(f"{folder}/log_base/version=2/half-written")  # no record of it
+    got = sinks.read_current(spark, f"{folder}/log", ["id"], ["seq"], "day").collect()
+    assert sorted((r.id, r.seq) for r in got) == [(1, 9), (2, 9)]
+    assert sinks.compact(spark, f"{folder}/log", ["id"], ["seq"]) == 2
+    assert sorted((r.id, r.seq) for r in sinks.read_current(spark, f"{folder}/log", ["id"], ["seq"], "day").collect()) == [(1, 9), (2, 9)]

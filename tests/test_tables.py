@@ -196,3 +196,87 @@ def test_admission_of_a_queue_that_holds_everything(spark):
         own = sorted((-p, t, k) for k, q, p, t in rows if q == queue)[:most]
         want += [(k, n) for n, (_, _, k) in enumerate(own, 1)]
     assert sorted(got) == sorted(want)
+
+
+def test_pages_behind_a_row_equal_pages_by_number(spark):
+    import itertools
+    import random
+
+    from brightwell.plans.seek import page_of
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b"])) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, n int, t string").repartition(4)
+    for first, second in itertools.product([True, False], repeat=2):
+        order = [("n", first), ("t", second), ("id", False)]
+        whole, after = [], None
+        for number in range(1, 10):
+            page = page_of(df, order, 7, after=after).collect()
+            assert page == page_of(df, order, 7, page=number).collect()
+            whole += page
+            if not page:
+                break
+            after = page[-1].asDict()
+        assert sorted(r.id for r in whole) == list(range(60))
+
+
+def test_a_page_behind_a_row_reaches_the_scan(spark, folder):
+    from brightwell.plans.seek import page_of
+
+    spark.range(1000).write.parquet(f"{folder}/t")
+    page = page_of(spark.read.parquet(f"{folder}/t"), [("id", False)], 5, after={"id": 900})
+    plan = page._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(id,900)" in plan and [r.id for r in page.collect()] == [901, 902, 903, 904, 905]
+
+
+def test_search_by_index_equals_the_scan(spark, folder):
+    import random
+
+    from brightwell.operators import catalog
+
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abAB_% é\U0001F600") for _ in range(rng.randint(0, n)))
+    tables = spark.createDataFrame([(k, text(6), 1, "d", text(20) if k % 3 else None, rng.randrange(5), rng.choice(["ONLINE", "OFFLINE"]))
+                                    for k in range(120)], "table_id long, table_name string, datasource_id int, database_name string, "
+                                   "table_comment string, owner_user_id long, source_status string")
+    columns = spark.createDataFrame([(rng.randrange(120), text(5), text(9), rng.choice(["ONLINE", "OFFLINE"])) for _ in range(200)],
+                                    "table_id long, column_name string, column_comment string, source_status string")
+    tags = spark.createDataFrame([(k, text(4)) for k in range(20)], "tag_id long, tag_name string")
+    table_tags = spark.createDataFrame([(rng.randrange(120), rng.randrange(20)) for _ in range(60)], "table_id long, tag_id long")
+    owners = spark.createDataFrame([(k, text(4)) for k in range(5)], "user_id long, user_name string")
+    catalog.search_index(f"{folder}/grams", tables, columns, tags, owners)
+    for word in ("a", "B", "ab", "é", "_%", "aba", "ABAB", "b a", "\U0001F600", "ab\U0001F600a", "zzz", "abababababab"):
+        frames = tables, columns, tags, table_tags, owners, word
+        scan = sorted(map(tuple, catalog.search(*frames).collect()))
+        assert sorted(map(tuple, catalog.search(*frames, index=f"{folder}/grams").collect())) == scan, word
+
+
+def test_a_long_text_is_indexed_in_one_scan(spark, folder):
+    from brightwell.operators import text_index
+
+    df = spark.createDataFrame([("t", 1, "é" + "word " * 100_000 + "needle")], "place string, id long, text string")
+    text_index.build(df, f"{folder}/g")
+    assert text_index.candidates(spark, f"{folder}/g", "Needle").count() == 1
+    assert text_index.candidates(spark, f"{folder}/g", "le").count() == 1
+    assert text_index.candidates(spark, f"{folder}/g", "needles").count() == 0
+
+
+def test_histograms_merge_to_the_same_statistics(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from brightwell.operators import call_log
+
+    rng = random.Random(9)
+    rows = [(k, rng.randrange(3), rng.choice([200, 201, 404, 429, 500]), rng.choice([None, *range(40)]),
+             datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(6000))) for k in range(800)]
+    log = spark.createDataFrame(rows, "id long, api_id int, status_code int, duration_ms int, created_at timestamp_ntz")
+    hours = call_log.latency_histograms(log)
+    days = call_log.latency_histograms(hours, "day")
+    for rolled, since in ((hours, "2024-01-02 05:00:00"), (days, "2024-01-02 00:00:00"), (days, "2025-01-01 00:00:00")):
+        for one in (None, 1):
+            assert call_log.call_overview(rolled, since, one, "2024-01-03 12:00:00").collect() == \
+                call_log.call_overview(log, since, one, "2024-01-03 12:00:00").collect()
+        by_api = lambda df: sorted(map(tuple, call_log.call_stats_by_api(df, since).collect()))
+        assert by_api(rolled) == by_api(log)
+    assert hours.count() < 800
