@@ -23,6 +23,7 @@ from brightwell.llm.batches import Numbered, map_batches, pieces, spread, texts_
 SHORTEST, LONGEST = 3, 6
 #: Bounds of the sample that the model is fitted on.
 SAMPLE_ROWS_PER_LABEL, SAMPLE_CHARS = 4_000, 6_000
+WORDS_AT_ONCE = 1 << 14
 SPLIT = re.compile(r"[\s.,;:!?\"()\[\]{}|<>/]+")
 
 
@@ -52,6 +53,16 @@ def hashed(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return found[order], np.bincount(owner, minlength=len(words))
 
 
+def grams_of(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """``hashed`` for many words, in parts and with small numbers, so that little memory is taken at a time."""
+    found, numbers = [], []
+    for k in range(0, len(words), WORDS_AT_ONCE):
+        grams, counts = hashed(words[k:k + WORDS_AT_ONCE], buckets)
+        found.append(grams.astype(np.int32))
+        numbers.append(counts)
+    return np.concatenate(found), np.concatenate(numbers)
+
+
 @dataclass(frozen=True)
 class SubwordModel:
     """``weights`` holds for each bucket its embedding times the difference of the two softmax rows."""
@@ -101,38 +112,45 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, dtype=np.float64)
-    split = [tokens(x) for x in texts]
-    kept = [k for k, words in enumerate(split) if words]
+    numbers: dict[str, int] = {}
+    split = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in tokens(x)), dtype=np.int32) for x in texts]
+    sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
     rate_of_label = (y.sum() + 0.5) / (len(y) + 1)
     constant = SubwordModel(np.zeros(buckets, dtype=np.float32), float(np.log(rate_of_label / (1 - rate_of_label))), window)
-    if not kept or y.min() == y.max():
+    if not sizes.any() or y.min() == y.max():
         return constant
-    split, y = [split[k] for k in kept], y[kept]
-    vocabulary = {w: k for k, w in enumerate(sorted({w for words in split for w in words}))}
-    grams, counts = hashed(list(vocabulary), buckets)
-    gram_starts = np.cumsum(counts) - counts
-    used, grams = np.unique(grams, return_inverse=True)
-    flat = np.fromiter((vocabulary[w] for words in split for w in words), dtype=np.int64)
-    sizes = np.fromiter(map(len, split), dtype=np.int64)
+    flat, y, sizes = np.concatenate(split), y[sizes > 0], sizes[sizes > 0]
+    del split
     starts = np.cumsum(sizes) - sizes
+    grams, counts = grams_of(list(numbers), buckets)
+    del numbers
+    gram_starts = np.cumsum(counts) - counts
+    used = np.flatnonzero(np.bincount(grams, minlength=buckets))
+    place = np.zeros(buckets, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    grams = place[grams]
     # N-grams of fewer documents say too little to be learnt; their vectors stay zero.
-    in_doc = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(vocabulary) + flat)
-    words_in, docs_in = in_doc % len(vocabulary), in_doc // len(vocabulary)
-    each = counts[words_in]
-    pairs = np.unique(np.repeat(docs_in, each) * len(used) + grams[spread(gram_starts[words_in], each)])
-    known = (np.bincount(pairs % len(used), minlength=len(used)) >= least_docs).astype(np.float64)[:, None]
+    documents = np.zeros(len(used), dtype=np.int32)
+    for s, n in zip(starts.tolist(), sizes.tolist()):
+        words = np.unique(flat[s:s + n])
+        documents += np.bincount(grams[spread(gram_starts[words], counts[words])], minlength=len(used)) > 0
+    known = (documents >= least_docs).astype(np.float64)[:, None]
     embedding = rng.normal(0, 0.05, (len(used), dim)) * known
     softmax = rng.normal(0, 0.5, (dim, 2))
     bias = np.zeros(2)
     one_hot = np.stack([1 - y, y], axis=1)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)  # both labels count alike
     positions = np.maximum(sizes - window, 0) + 1
+    firsts = range(0, len(counts), WORDS_AT_ONCE)
+    edges = [int(gram_starts[w]) for w in firsts] + [len(grams)]
+    parts = list(zip(firsts, edges, edges[1:]))
     batches = max(1, int(len(y) + (y == 0).sum()) // 64)
     epochs = max(6, -(-steps // batches))
 
     def hardest() -> np.ndarray:
         per_gram = embedding @ (softmax[:, 1] - softmax[:, 0])
-        sums = np.add.reduceat(per_gram[grams], gram_starts)
+        sums = np.concatenate([np.add.reduceat(per_gram[grams[a:b]], gram_starts[w:w + WORDS_AT_ONCE] - a)
+                               for w, a, b in parts])
         return np.array([window_means(sums[flat[s:s + n]], counts[flat[s:s + n]], window).argmax()
                          for s, n in zip(starts, sizes)])
 
@@ -169,16 +187,18 @@ def labelled_sample(df: DataFrame, labels: DataFrame, label_col: str, learn: Col
                     rows: int = SAMPLE_ROWS_PER_LABEL, chars: int = SAMPLE_CHARS) -> DataFrame:
     """At most ``rows`` documents of each label, the first in order of a hash of their ids; (doc_id, text, label).
 
-    The ids are chosen among the labels alone, so only the chosen texts move. Texts longer than ``chars`` are left out
-    of the sample, which bounds what the driver receives. Rows without an id or label never enter.
+    Documents without a text or with one longer than ``chars``, which bounds what the driver receives, are passed over
+    before the choice, so that others fill their place. The choice moves ids alone; only the chosen texts move. Rows
+    without an id or label never enter.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(
         F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & learn).distinct()
+    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(
+        F.char_length("text").between(1, chars))
+    known = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.filter("label = 0").orderBy(*order).limit(rows).unionByName(
         known.filter("label = 1").orderBy(*order).limit(rows))
-    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(
-        F.char_length("text").between(1, chars))
     return texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * rows pairs of numbers
 
 
@@ -191,7 +211,10 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str, learn: Column, id_col:
 
 
 def score(df: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for every row and its whole text; a null or empty text has the score of the bias."""
+    """(doc_id, score) for every row and its whole text; a null or empty text has the score of the bias.
+
+    Rows that repeat or share an id are scored one by one; an empty table gives no rows. Other columns are not read.
+    """
     # One float for each bucket, a fixed size; plain values, so that executors need no copy of this package.
     shipped = df.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.window))
 
