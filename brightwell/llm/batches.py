@@ -69,21 +69,23 @@ class Numbered:
     """Numbers distinct words and keeps one row of values for each, computed for many new words at once.
 
     ``compute`` maps a list of new words to arrays of equal length. The table starts afresh once it holds ``limit``
-    words, so its memory is bounded; a single call may exceed it by the words of that call.
+    words or ``chars`` characters, so its memory is bounded; a single call may exceed it by the words of that call.
     """
 
-    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, ...]], limit: int = 400_000):
-        self.compute, self.limit = compute, limit
+    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, ...]], limit: int = 400_000, chars: int = 8 << 20):
+        self.compute, self.limit, self.chars = compute, limit, chars
         self.index: dict[str, int] = {}
+        self.held = 0
         self.columns: list[np.ndarray] = []
 
     def numbers(self, words: list[str]) -> np.ndarray:
         new = set(words).difference(self.index)
-        if new and len(self.index) + len(new) > self.limit:
-            self.index, self.columns, new = {}, [], set(words)
+        if new and self.index and (len(self.index) + len(new) > self.limit or self.held + sum(map(len, new)) > self.chars):
+            self.index, self.held, self.columns, new = {}, 0, [], set(words)
         if new:
             new = list(new)
             start = len(self.index)
+            self.held += sum(map(len, new))
             self.index.update(zip(new, range(start, start + len(new))))
             self._append(start, self.compute(new))
         return np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
@@ -103,11 +105,12 @@ class Numbered:
 class Spelled:
     """The bytes that ``compute`` gives for each distinct word, asked for many new words at once.
 
-    Two generations of at most about ``limit`` words each are kept, so words in use stay and memory is bounded.
+    Two generations of at most about ``limit`` words each are kept, so words in use stay; words of more than ``longest``
+    characters are spelt each time, so memory is bounded in bytes too.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int = 150_000):
-        self.compute, self.limit = compute, limit
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int = 150_000, longest: int = 64):
+        self.compute, self.limit, self.longest = compute, limit, longest
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -124,7 +127,8 @@ class Spelled:
             recent.update((word, self.older[word]) for word in again)
             new.difference_update(again)
             new = list(new)
-            recent.update(zip(new, self.compute(new)))
+            own = dict(zip(new, self.compute(new)))
+            recent.update((word, spelled) for word, spelled in own.items() if len(word) <= self.longest)
             for k in gaps:
-                found[k] = map(recent.__getitem__, texts[k])
+                found[k] = [own[word] if word in own else recent[word] for word in texts[k]]
         return [b"".join(spelled) for spelled in found]

@@ -79,3 +79,22 @@ def test_vocabulary_with_inner_blanks_is_refused(monkeypatch):
     monkeypatch.setattr(own, "SentencePieceProcessor", Other)
     with pytest.raises(ValueError):
         PieceTable("x")
+
+
+def test_long_texts_without_blanks():
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)), "the" * 9_000, "ab" * 9_000 + "a" * 9_001,
+             "".join(rng.choices("ACGTacgt0123456789+/=", k=20_000)), "中文字符的测试" * 2_000, "then there the " * 5 + "thethen" * 4_000,
+             "".join(rng.choice(["ing", "tion", "aa", "a", "\n", "é", "\U0001F600", "0", "00"]) for _ in range(15_000)), "\n" * 8_000]
+    assert ids(texts) == [LIBRARY.encode(t) for t in texts]
+
+
+def test_a_million_characters_without_a_blank():
+    text = "".join(random.Random(12).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    assert ids([text])[0] == LIBRARY.encode(text)
+
+
+def test_long_words_are_not_kept():
+    encoder = PieceEncoder(PATH)
+    encoder.encode(["x" * 500 + " short"])
+    assert max(map(len, encoder.words.recent)) <= encoder.words.longest
