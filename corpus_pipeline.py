@@ -73,8 +73,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) by the SentencePiece operator."""
-    both = piece_bpe.decode(piece_bpe.encode(docs, PIECE_BPE), PIECE_BPE)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("text").alias("decoded"))
+    return piece_bpe.round_trip(docs, PIECE_BPE).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("text").alias("decoded"))
 
 
 STAGES = [("quality classifier", good_documents), ("exact dedup", first_of_equals), ("simhash near-dedup", first_of_similar),
