@@ -296,19 +296,22 @@ SELECT api_id, MIN(created_at) AS started_at, MAX(created_at) + INTERVAL 2 HOUR
   SELECT *, COUNT(*) FILTER (WHERE fresh) OVER (PARTITION BY api_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS session
   FROM (SELECT *, COALESCE(created_at > LAG(created_at) OVER (PARTITION BY api_id ORDER BY created_at, id) + INTERVAL 2 HOUR, TRUE)
     AS fresh FROM call_log) x) y GROUP BY api_id, session"""
-CALLS = (F.count_if(F.col("status_code") >= 400).alias("failed"), F.max("duration_ms").alias("slowest_ms"))
+
+
+def _of_session():
+    return F.count_if(F.col("status_code") >= 400).alias("failed"), F.max("duration_ms").alias("slowest_ms")
 
 
 @R.query("f14_sessions", SESSIONS)
 def _(lake):
-    return ops.sessions(lake("call_log"), ["api_id"], "2 hours", "created_at", *CALLS)
+    return ops.sessions(lake("call_log"), ["api_id"], "2 hours", "created_at", *_of_session())
 
 
 @R.query("f14_sessions_streamed", SESSIONS)
 def _(lake):
     """Sessions that span several micro-batches are merged in the state store."""
     return shown(_in_batches(lake, "sessions", lake("call_log"), "created_at",
-                             lambda s: flows.session_stream(s, ["api_id"], "2 hours", "created_at", *CALLS)))
+                             lambda s: flows.session_stream(s, ["api_id"], "2 hours", "created_at", *_of_session())))
 
 
 @R.query("a12_lake_sink_streamed", f"""WITH {EVENT.strip()} SELECT seq, op_type, "table", user_id, cents, sink_table FROM n
