@@ -27,6 +27,40 @@ def test_segments_give_the_ids_of_whole_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [ids(t) for t in texts]
 
 
+def test_columns_give_the_same_ids():
+    random.seed(6)
+    texts = TEXTS + ["x" * 3000 + " y" * 50, "a.\nb c.\nd" * 40] + ["".join(random.choice(" \n.'sabé1<|>") for _ in range(random.randint(0, 80)))
+                                                               for _ in range(1500)]
+    flat, sizes = SegmentEncoder(PATH).encode_column(texts)
+    ends = np.cumsum(sizes)
+    assert [flat[a:b].tolist() for a, b in zip(ends - sizes, ends)] == [ids(t) for t in texts]
+
+
+def test_other_tokenizers_are_asked_for_whole_texts(folder):
+    import json
+
+    from tokenizers import pre_tokenizers
+
+    digits = Tokenizer.from_file(PATH)
+    digits.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    digits.save(f"{folder}/digits.json")
+    lower = json.loads(LIBRARY.to_str()) | {"normalizer": {"type": "Lowercase"}}
+    open(f"{folder}/lower.json", "w").write(json.dumps(lower))
+    texts = ["In 2024 there were 12345 words", "A b\n  C", "", None or ""]
+    for path in (f"{folder}/digits.json", f"{folder}/lower.json", public_tokenizers.path("word_bpe_49k.json")):
+        library, encoder = Tokenizer.from_file(path), SegmentEncoder(path)
+        flat, sizes = encoder.encode_column(texts)
+        assert not encoder.cuts and np.split(flat, np.cumsum(sizes)[:-1])[0].tolist() == library.encode(texts[0], add_special_tokens=False).ids
+        assert flat.tolist() == [k for t in texts for k in library.encode(t, add_special_tokens=False).ids]
+    assert SegmentEncoder(PATH).cuts
+
+
+def test_long_segments_are_not_kept():
+    encoder = SegmentEncoder(PATH)
+    encoder.encode_column(["a " + "x1" * 400 + " b\nc d"])
+    assert all(len(w) <= 32 and "\n" not in w[1:] for w in encoder.segments)
+
+
 def test_store_reads_back_in_order(spark, folder):
     rows = [(k * 3 % 97, t, "x", k) for k, t in enumerate(TEXTS)] + [(500, None, None, None), (501, "last", "y", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, tokens string, shard int").repartition(3)
