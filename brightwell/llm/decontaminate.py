@@ -132,14 +132,28 @@ def contamination(df: DataFrame, items: DataFrame, length: int = WINDOW, id_col:
     """(doc_id, n_words, n_hit, n_items, items, contaminated) for every document.
 
     A word is hit if it lies in an occurrence of a window; ``items`` lists the items with occurring windows, sorted as
-    text. Null and empty texts have no words and are clean, as is everything when no item has words. Rows that share an
-    id are one document: as long as the longest, hit where any of them is; rows without an id are one document too.
+    text. Null and empty texts have no words and are clean, as is everything when no item has words. Each row is searched by
+    itself: where rows share an id or lack one, all rows are written with a number first. They are then reported as one
+    document for each id, as long as the longest and hit where any of them is; so are the rows without an id.
     """
     split = written(item_words(items, item_col, item_text_col), "items")
     terms = vocabulary(split)
-    index = build_index(df, terms, id_col, text_col)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    known = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    numbers = None
+    if known.ids < known.rows:
+        numbered = written(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        numbers = numbered.select(F.col("row").alias("own_row"), F.col("doc_id").alias("owner"))
+        rows = numbered.select(F.col("row").alias("doc_id"), "text")
+
+    def of_owners(found: DataFrame) -> DataFrame:
+        if numbers is None:
+            return found
+        return found.join(numbers, F.col("doc_id") == F.col("own_row")).withColumn("doc_id", F.col("owner")).drop("own_row", "owner")
+
+    index = build_index(rows, terms)
     runs = windows(split, length)
-    matches = written(phrase_matches(index, terms, runs), "matches")
+    matches = written(of_owners(phrase_matches(index, terms, runs)), "matches")
     hits = (matches.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("at"))
             .distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit")))
     owners = runs.select("words", F.col("item_id").cast("string").alias("item")).distinct()
@@ -147,7 +161,7 @@ def contamination(df: DataFrame, items: DataFrame, length: int = WINDOW, id_col:
              .agg(F.array_sort(F.collect_set("item")).alias("items")))
     found = hits.join(named, hits["doc_id"].eqNullSafe(named["doc_id"])).select(
         hits["doc_id"].alias("found_id"), "n_hit", "items")
-    ends = index.filter(F.col("term") == END).groupBy("doc_id").agg(F.max("position").alias("n_words"))
+    ends = of_owners(index.filter(F.col("term") == END)).groupBy("doc_id").agg(F.max("position").alias("n_words"))
     return ends.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),

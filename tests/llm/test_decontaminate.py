@@ -78,3 +78,11 @@ def test_main_path_is_native(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     plan = contamination(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string"), 2)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_rows_are_searched_one_by_one(spark):
+    docs = spark.createDataFrame([(1, "alpha x"), (1, "y beta"), (None, "alpha p q"), (None, "r beta s"), (2, "alpha beta"),
+                                  (3, "z"), (3, "so alpha beta")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "alpha beta")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in contamination(docs, items).collect()}
+    assert got == {1: (2, 0, False), None: (3, 0, False), 2: (2, 2, True), 3: (3, 2, True)}
