@@ -4,14 +4,14 @@
     turn         = "### " name ": " body "</turn>" newline
     body, name   = text without "</turn>" and "###"; a backslash and a letter stand for a control string
 
-A text goes in as it is if the parser gives it back; otherwise its backslashes and control strings are replaced by codes
-and it is parsed again. The codes hold no control string and no backslash is left on its own, so this ends after one
-replacement, which the result is checked for.
+A text goes in as it is if the parser gives the turn back; otherwise its backslashes and control strings are replaced by
+codes. The whole conversation is then parsed again and its roles and texts are compared with the source: where they differ
+all its turns are escaped, and if that still does not give the source back, the job fails rather than store it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 OPEN, AFTER_NAME, CLOSE, NEWLINE = "### ", ": ", "</turn>", "\n"
 TURN_END = CLOSE + NEWLINE
@@ -54,14 +54,14 @@ def format_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
                  text_col: str = "text") -> DataFrame:
     """(conv_id, turn, role, text, body): the body each text gets in the template, one row per turn.
 
-    The first choice is the text itself. It is kept if the rendered turn splits into one turn and an empty rest, parses
-    back to the text and holds no control string. Null texts and roles are empty.
+    The first choice is the text itself. It is kept if the turn, rendered with it, splits into one turn and an empty rest,
+    parses back to its role and text and holds no control string. Null texts and roles are empty.
     """
     rows = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
                      F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = F.split(rendered(F.lit("x"), F.col("text")), _literal(TURN_END))
-    back = parsed(parts[0])[1]
-    survives = (F.size(parts) == 2) & (parts[1] == "") & (back == F.col("text"))
+    parts = F.split(rendered(F.col("role"), F.col("text")), _literal(TURN_END))
+    role, text = parsed(parts[0])
+    survives = (F.size(parts) == 2) & (parts[1] == "") & (role == F.col("role")) & (text == F.col("text"))
     for control in (CLOSE, OPEN.strip()):
         survives = survives & ~F.contains("text", F.lit(control))
     return rows.withColumn("body", F.when(survives, F.col("text")).otherwise(escaped(F.col("text"))))
@@ -77,31 +77,49 @@ def format_conversations(df: DataFrame, learn_role: str = "assistant", conv_col:
 
     Turns stand in order of turn; ties follow role and text, null turns come first, and repeated rows are repeated.
     ``loss_spans`` lists (start, length) in code points, counted from zero, of the texts of ``learn_role``. Rows without
-    a conv_id are one conversation. An output row holds a whole conversation, which is all that is gathered per key.
+    a conv_id are one conversation. An output row holds a whole conversation, which is all that is gathered per key. A
+    conversation that does not come back from its rendering fails the job.
     """
-    rows = format_turns(df, conv_col, turn_col, role_col, text_col)
-    turns = rows.select("conv_id", F.struct(
-        "turn", "role", "text", rendered(F.col("role"), F.col("body")).alias("piece"),
-        F.char_length("body").alias("size")).alias("t"))
+    rows = format_turns(df, conv_col, turn_col, role_col, text_col).withColumn("all", escaped(F.col("text")))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+
+    def version(body: str) -> Column:
+        """A rendered turn and where its body starts in the conversation."""
+        piece = rendered(F.col("role"), F.col(body))
+        ahead = F.coalesce(F.sum(F.char_length(piece)).over(before), F.lit(0))
+        size = F.char_length(body)
+        return F.struct(piece.alias("piece"), F.struct(
+            (ahead + F.char_length(piece) - len(TURN_END) - size).cast("int").alias("start"), size.alias("length")).alias("span"))
+
+    turns = rows.select("conv_id", F.struct(F.row_number().over(order).alias("place"), "role", "text", version("body").alias("own"),
+                                            version("all").alias("all")).alias("t"))
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    return whole.select(
-        "conv_id", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
-        F.transform("turns", lambda t: F.char_length(t["piece"])).alias("sizes"),
-        F.transform("turns", lambda t: F.when(t["role"] == learn_role, t["size"])).alias("learnt")).select(
-        "conv_id", "formatted", _spans(F.col("sizes"), F.col("learnt")).alias("loss_spans"))
+    source = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    text_of = lambda name: F.array_join(F.transform("turns", lambda t: t[name]["piece"]), "")
+    spans_of = lambda name: F.transform(
+        F.filter("turns", lambda t: t["role"] == learn_role), lambda t: t[name]["span"])
+    tried = whole.select("conv_id", "turns", source.alias("source"), text_of("own").alias("own"))
+    own = recovered(F.col("own")) == F.col("source")
+    every = recovered(F.col("every")) == F.col("source")
+    tried = tried.withColumn("own", F.when(own, F.col("own"))).withColumn(
+        "every", F.when(F.col("own").isNull(), text_of("all")))
+    lost = F.raise_error(F.concat(F.lit("a conversation does not survive its template: "), F.coalesce(
+        F.col("conv_id").cast("string"), F.lit("null"))))
+    checked = F.when(F.col("own").isNotNull(), F.col("own")).when(every, F.col("every")).otherwise(lost.cast("string"))
+    return tried.select("conv_id", checked.alias("formatted"),
+                        F.when(F.col("own").isNotNull(), spans_of("own")).otherwise(spans_of("all")).alias("loss_spans"))
 
 
-def _spans(sizes: Column, learnt: Column) -> Column:
-    """Start and length of the learnt bodies from the lengths of all pieces; other turns give none."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out"))
+def recovered(formatted: Column) -> Column:
+    """(role, text) of all turns of a rendered conversation, as the parser reads them."""
+    pieces = F.split(formatted, _literal(TURN_END))
 
-    def step(state: Column, x: Column) -> Column:
-        end = state["at"] + x["sizes"]
-        own = F.struct((end - len(TURN_END) - x["learnt"]).alias("start"), x["learnt"].alias("length"))
-        return F.struct(end.alias("at"),
-                        F.when(x["learnt"].isNull(), state["out"]).otherwise(F.array_append(state["out"], own)).alias("out"))
+    def turn(piece: Column) -> Column:
+        role, text = parsed(piece)
+        return F.struct(role.alias("role"), text.alias("text"))
 
-    return F.aggregate(F.arrays_zip(sizes.alias("sizes"), learnt.alias("learnt")), start, step)["out"]
+    return F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn)
 
 
 def parse_conversations(formatted: DataFrame) -> DataFrame:
@@ -110,14 +128,10 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
     A turn's text counts as learnt if a span starts where it starts and has its length.
     """
     pieces = formatted.select("conv_id", F.split("formatted", _literal(TURN_END)).alias("p")).select(
-        "conv_id", F.slice("p", 1, F.size("p") - 1).alias("p"))
-    starts = F.aggregate(
-        "p", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda s, x: F.struct((s["at"] + F.char_length(x) + len(TURN_END)).alias("at"),
-                              F.array_append(s["out"], s["at"]).alias("out")))["out"]
-    rows = pieces.select("conv_id", F.posexplode(F.arrays_zip("p", starts.alias("starts"))).alias("place", "x"))
-    rows = rows.select("conv_id", "place", F.col("x.p").alias("piece"),
-                       (F.col("x.starts") + header_size(F.col("x.p"))).alias("start"))
+        "conv_id", F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("place", "piece"))
+    before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum(F.char_length("piece") + len(TURN_END)).over(before), F.lit(0)).cast("int")
+    rows = pieces.withColumn("start", ahead + header_size(F.col("piece")))
     spans = formatted.select(F.col("conv_id").alias("span_id"), F.explode("loss_spans").alias("s")).select(
         "span_id", F.col("s.start").alias("span_start"), F.col("s.length").alias("span_length"))
     rows = rows.join(spans, F.col("conv_id").eqNullSafe(F.col("span_id")) & (F.col("start") == F.col("span_start")), "left")
