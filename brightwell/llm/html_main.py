@@ -26,16 +26,16 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li legend main menu nav ol option optgroup p
 pre search section select summary table tbody td template textarea tfoot th thead title tr ul button iframe noscript
 object video audio canvas""".split())
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|noframes|noembed|xmp"
+RAW = "script|style|noscript|template|svg|iframe|textarea|select|title|noframes|noembed|xmp"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the key closes an open one of the values, up to the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol menu dir dl table tbody thead tfoot select div section article aside nav header footer form main body".split())
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<svg(?=[\s/>])[^>]*/>|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     rf"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S | re.I)
-HINTS = re.compile(r"(?:\b(?:class|id|role|aria-label|itemprop|data-component)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))", re.I)
+HINTS = re.compile(r"\b(class|id|role|aria-label|itemprop|data-component)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -56,6 +56,10 @@ toc contentinfo complementary search skip hidden""".split(), -12.0),
 OUTER = frozenset(("html", "body", "main", "article"))
 MODIFIERS = frozenset("has have with without no not hide show is enable enabled disable disabled supports".split())
 MODIFIED = -0.25
+#: Elements that hold text rather than parts of a page. In an article a negative word that is only a part of their name, or
+#: of any element's id, which is often made from a title, is mostly a word of the text and counts this much.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption code".split())
+IN_TEXT = -1.0
 PER_CHARACTER, MOST_BY_LENGTH, BASE, LINK_SHARE, HIDDEN_WEIGHT = 0.01, 1.5, 0.3, -3.0, -20.0
 #: Smoothness of neighbours in page order by the distance to their common container, and of those within a container.
 ADJACENT, SAME_CONTAINER = 1.0, 2.0
@@ -68,7 +72,7 @@ class Node:
     parent: int
     weight: float
     depth: int
-    strong: float = 0.0
+    inside: bool = False
 
 
 @dataclass
@@ -79,23 +83,29 @@ class Block:
     text: str = ""
 
 
-def hint_weight(attributes: str, outer: bool = False) -> float:
+def hint_weight(attributes: str, name: str = "div", inside: bool = False) -> float:
     """The weight of the words of class, id and role; the strongest negative and the strongest positive count once.
 
     A name of which a negative word is only a part, beside words that say that something is there or not, as has-sidebar
-    or no-sidebar, describes the layout and counts ``MODIFIED`` at most. Names of an ``outer`` element speak for it only.
+    or no-sidebar, describes the layout and counts ``MODIFIED`` at most; ``inside`` an article such parts count ``IN_TEXT``
+    at most on elements of text and in ids. Names of an outer element speak for it only.
     """
     low = high = 0.0
-    for found in HINTS.findall(attributes):
-        for name in found.strip("\"'").split():
-            words = [w.lower() for w in WORD.findall(name)]
+    for kind, found in HINTS.findall(attributes):
+        for label in found.strip("\"'").split():
+            words = [w.lower() for w in WORD.findall(label)]
             values = [HINT_WORDS[w] for w in words if w in HINT_WORDS]
-            least = MODIFIERS.isdisjoint(words) and -math.inf or MODIFIED
+            partial = len(values) < len(words) and min(values, default=0.0) < 0
+            least = -math.inf
+            if not MODIFIERS.isdisjoint(words):
+                least = MODIFIED
+            elif partial and inside and (name in TEXTUAL or kind.lower() == "id"):
+                least = IN_TEXT
             low = min([low, *(max(v, least) for v in values)])
             high = max([high, *values])
-    if outer:
+    if name in OUTER:
         return high
-    return high + low if low >= MODIFIED else low
+    return high + low if low >= IN_TEXT else low
 
 
 def blocks_of(source: str) -> tuple[list[Block], list[Node]]:
@@ -126,7 +136,7 @@ def blocks_of(source: str) -> tuple[list[Block], list[Node]]:
         raw, slash, name, attributes = token.group(1), token.group(2) or token.group(5), token.group(3) or token.group(6), \
             token.group(4) or token.group(7) or ""
         if raw:
-            if raw.lower() in ("title", "textarea", "select", "iframe", "noscript", "template", "object"):
+            if raw.lower() in ("title", "textarea", "select", "iframe", "noscript", "template"):
                 open_block = None
             continue
         if not name:
@@ -169,11 +179,11 @@ def blocks_of(source: str) -> tuple[list[Block], list[Node]]:
             at = nodes[at].parent
         weight = ELEMENTS.get(name, 0.0)
         if attributes:
-            weight += hint_weight(attributes, name in OUTER)
+            weight += hint_weight(attributes, name, nodes[at].inside)
             if HIDDEN.search(attributes):
                 weight += HIDDEN_WEIGHT
         parent = nodes[at]
-        nodes.append(Node(name, at, parent.weight + weight, parent.depth + 1))
+        nodes.append(Node(name, at, parent.weight + weight, parent.depth + 1, parent.inside or name in ("article", "main")))
         at = len(nodes) - 1
     if position < len(source):
         say(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", source[position:], flags=re.S))
@@ -291,7 +301,10 @@ def main_text(source: str | None) -> str:
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) for every row from its whole html; null or empty html has an empty text."""
+    """(page_id, url, text, n_chars) for every row from its whole html; null or empty html has an empty text.
+
+    Rows that repeat or share an id are read one by one; an empty table gives no rows. Other columns are not read.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "html"):
             texts = [main_text(x) for x in part.column("html").to_pylist()]

@@ -34,6 +34,25 @@ def test_custom_elements_are_not_raw():
     assert main_text("<p>One <svg\n><text>drawn</text></svg>line of text.</p>") == "One line of text."
 
 
+def test_what_html_allows_inside_an_article():
+    end = "The rest of the article goes on here for a while."
+    for piece in ('<svg class="i" />', "<svg/>", '<object data="a.swf" />', "<object data=x><p>Fallback.</p></object>", "<!-->", "<!--->",
+                  "<!-- a --!>", "<math/>"):
+        assert main_text(f"<article><p>Text before it.</p>{piece}<p>{end}</p></article>").endswith(end), piece
+    assert main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for all of them.</p></article>") == \
+        "So x=2 holds for all of them."
+
+
+def test_words_of_the_text_in_names_inside_an_article():
+    text = "A paragraph of the story that is long enough to stand on its own feet."
+    for piece in (f'<p class="notice-period">{text}</p>', f'<section id="legal-history"><p>{text}</p></section>',
+                  f'<h2 id="widget-design">{text}</h2>', f'<li class="cookie-recipe">{text}</li>'):
+        assert text in main_text(f"<article><h1>Title</h1>{piece}</article>"), piece
+    for piece in (f'<div class="related-posts"><p>{text}</p></div>', f"<section id=comments><p>{text}</p></section>",
+                  f'<p class="advert">{text}</p>', f'<div class="newsletter-box">{text}</div>'):
+        assert text not in main_text(f"<article><h1>Title</h1><p>The story.</p>{piece}</article>"), piece
+
+
 def test_names_of_the_layout_keep_the_text():
     text = "A paragraph of the story that is long enough to stand on its own feet."
     for outer in ("<body class='single-post has-sidebar'>", "<body class=\"nav-open comments-open\"><main class=search-page>",
