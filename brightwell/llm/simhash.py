@@ -1,6 +1,6 @@
 """SimHash near-duplicates through vantage-point trees.
 
-A tree over a bounded sample of fingerprints cuts the space into shards: at each node a fingerprint goes left if its
+A tree over a small sample of the fingerprints cuts the space into shards: at each node a fingerprint goes left if its
 Hamming distance to the vantage point is at most the node's bound. Each fingerprint is stored in one shard. As a query
 it also visits every shard that its ball of ``bits`` overlaps, which the triangle inequality decides at each node. Inside
 a shard the same splitting goes on in memory until few fingerprints are left, and these are compared exactly. Equal
@@ -25,8 +25,8 @@ from brightwell.llm.shared import written
 from brightwell.plans.lineage_cut import cut_lineage
 
 SEED = 42
-#: Fingerprints the shard tree is built from, and fingerprints a shard should hold.
-SAMPLE, SHARD = 200_000, 8_192
+#: Fingerprints a shard should hold, fingerprints for each shard that the shard tree is built from, and the most in all.
+SHARD, POINTS, SAMPLE = 8_192, 48, 200_000
 LEAF = 128
 SPACE_RUN = re.compile(rb"[\x20\x09-\x0D]+")
 SHINGLES_AT_ONCE = 1 << 16
@@ -158,15 +158,16 @@ def near_pairs(members: np.ndarray, queries: np.ndarray, bits: int) -> Iterator[
 def linked_codes(codes: DataFrame, bits: int = 2, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """(a, b) with a < b for all pairs of distinct codes at most ``bits`` apart; ``codes`` holds each code once.
 
-    The driver receives at most ``sample`` codes, chosen by hash, to place the vantage points; every code is searched.
+    The driver receives ``POINTS`` codes for each shard, ``sample`` at most, chosen by hash, to place the vantage points; a
+    single shard needs none. Every code is searched.
     """
     spark = codes.sparkSession
     total = codes.count()
-    chosen = codes
-    if total > sample:
-        chosen = codes.filter(F.pmod(F.xxhash64("code"), F.lit(1 << 30)) < int((1 << 30) * sample / total * 0.9))
-    points = np.array([r.code for r in chosen.orderBy(F.xxhash64("code")).limit(sample).collect()], dtype=np.int64)
-    fitted = shard_tree(points.view(np.uint64), -(-total // shard))  # at most ``sample`` nodes
+    shards = -(-total // shard)
+    wanted = min(sample, POINTS * shards) if shards > 1 else 0
+    chosen = codes.filter(F.pmod(F.xxhash64("code"), F.lit(1 << 30)) < int((1 << 30) * wanted / max(total, 1)))
+    points = np.array([r.code for r in chosen.orderBy(F.xxhash64("code")).limit(sample).collect()] if wanted else [], dtype=np.int64)
+    fitted = shard_tree(points.view(np.uint64), shards)  # at most ``sample`` nodes
     shipped = spark.sparkContext.broadcast((fitted.point, fitted.bound, fitted.left, fitted.right))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -122,3 +122,20 @@ def test_query(spark):
 def test_native_hash_is_the_same(spark):
     row = spark.createDataFrame([("été one two",)], "t string").select(F.xxhash64("t").alias("h")).first()
     assert row.h & (2 ** 64 - 1) == xxhash.xxh64_intdigest("été one two".encode(), 42)
+
+
+def test_the_driver_sees_a_fraction_of_the_codes(spark, monkeypatch):
+    import brightwell.llm.simhash as own
+
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 63, 6000, dtype=np.int64)
+    codes = np.unique(np.concatenate([base, base[:500] ^ 5]))
+    seen, plain = [], own.shard_tree
+    monkeypatch.setattr(own, "shard_tree", lambda sample, shards: seen.append(len(sample)) or plain(sample, shards))
+    df = spark.createDataFrame([(int(c),) for c in codes], "code long")
+    links = {(r.a, r.b) for r in own.linked_codes(df, 2, shard=512).collect()}
+    found = {frozenset(x) for x in links}
+    assert all(frozenset((int(c), int(c) ^ 5)) in found for c in base[:500])
+    assert 0 < seen[0] < len(codes) / 5
+    own.linked_codes(df.limit(100), 2)
+    assert seen[1] == 0  # one shard needs no vantage point
