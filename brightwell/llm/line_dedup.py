@@ -1,7 +1,7 @@
 """Line deduplication across documents with two Bloom filters.
 
 First pass: every task hashes its lines and sends each hash once, with a mark if two documents of the task share it,
-packed by segment of the hash space. A segment's task runs the hashes through a filter of hashes seen once; a hash that
+packed by segment of the hash space; there are as many segments as the counted lines need. A segment's task runs the hashes through a filter of hashes seen once; a hash that
 is already there, or is marked, enters the filter of hashes seen twice, which alone leaves the task. Second pass: lines
 that the second filter may hold are the suspects, and only they are shuffled: grouping their keys finds those in at
 least two documents and the smallest id, where the line stays. A false positive of the filters costs a shuffled row and
@@ -157,6 +157,14 @@ def suspects(df: DataFrame, text_col: str, segments: int, least_bits: int = 1 <<
     return Suspects({r.segment: Bloom(r.bits, bytes(r.data)) for r in merged.toLocalIterator()}, segments)
 
 
+def segments_for(df: DataFrame, text_col: str) -> int:
+    """Segments of the hash space of about ``SEGMENT_HASHES`` lines each, from the counted line feeds of all texts."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    feeds = F.octet_length(text) - F.octet_length(F.translate(text, "\n", ""))
+    lines = df.agg(F.coalesce(F.sum(feeds.cast("long") + 1), F.lit(0)).alias("n")).first().n
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-lines // SEGMENT_HASHES))
+
+
 def marked_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, mark, text) for every row."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -208,8 +216,7 @@ def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str
     document: each loses those of its lines that an earlier document holds. Rows without an id keep all lines and take
     no line from others.
     """
-    spark = df.sparkSession
-    segments = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    segments = segments or segments_for(df, text_col)
     known = df.filter(F.col(id_col).isNotNull())
     found = suspects(known, text_col, segments)
     lost = repeated_lines(known, found, id_col, text_col).select(

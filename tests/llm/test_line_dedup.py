@@ -73,3 +73,18 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = {r.doc_id: (r.n_lines, r.n_dropped) for r in op4_line_dedup(spark, "/root/testdata/sf0.001").collect()}
     assert got == {d: (n, k) for d, _, n, k in brute(rows)}
+
+
+def test_segments_grow_with_the_lines(spark, monkeypatch):
+    import brightwell.llm.line_dedup as own
+
+    monkeypatch.setattr(own, "SEGMENT_HASHES", 128)
+    rows = [(k, "\n".join([f"only in document {k} line {n}" for n in range(20)] + [f"shared by some of them {k % 5}"])) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    segments = own.segments_for(df, "text")
+    assert segments == -(-300 * 21 // 128)
+    found = own.suspects(df, "text", segments)
+    alone = own.hashes_of([f"only in document {k} line {n}".encode() for k in range(300) for n in range(20)])
+    assert found.has(alone).mean() < 0.1 and found.has(own.hashes_of([f"shared by some of them {k}".encode() for k in range(5)])).all()
+    assert result(df) == brute(rows)
+    assert own.segments_for(df.limit(0), "text") == int(spark.conf.get("spark.sql.shuffle.partitions"))
