@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from brightwell.functions.values import DECIMAL, count_when, decimal_value, ratio
@@ -113,12 +114,54 @@ def custom_sql(spark: SparkSession, sql: str, metric: str | None = None, **table
 
 def python_rule(df: DataFrame, check: Callable[[DataFrame], Mapping[str, object]], metric: str | None = None):
     """A user function over the Spark frame; a missing named metric makes the rule unavailable."""
-    result = dict(check(df))
+    return _named(check(df), metric)
+
+
+def _named(found: Mapping[str, object], metric: str | None) -> object:
+    result = dict(found)
     if metric is not None and metric.lower() not in {k.lower() for k in result}:
         raise ValueError(f"the check returned no metric {metric}")
     return _pick(result, metric)
 
 
+def python_rule_by_group(df: DataFrame, keys: Sequence[str], partial: Callable[[pd.DataFrame], Mapping[str, float]],
+                         final: Callable[[Mapping[str, float]], Mapping[str, object]], metric: str | None = None) -> DataFrame:
+    """A user check for every group: the keys, ``result_value``, ``success`` and ``error``.
+
+    ``partial`` sees a piece of a group as a pandas frame and gives numbers that add up; ``final`` makes the metrics from
+    their sums. So a group of any size is read where it lies, and a task holds a batch of rows or a row of sums. What
+    ``final`` raises is that group's own error. Null keys are a group; keys come back in their own types.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields if f.name in keys}
+    texts = df.withColumns({k: F.col(k).cast("string") for k in keys})  # pandas would turn numbers with nulls into fractions
+    named = ", ".join(f"`{k}` string" for k in keys)
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(*key, name, float(value)) for key, part in batch.groupby(list(keys), dropna=False, sort=False)
+                    for name, value in partial(part).items()]
+            frame = pd.DataFrame(rows, columns=[*keys, "part", "value"])
+            yield frame.astype(object).where(frame.notna(), None)
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values, errors = [], []
+            for sums in batch["sums"]:
+                try:
+                    values.append(float(_named(final(dict(sums)), metric)))
+                    errors.append(None)
+                except Exception as error:  # user code may raise anything
+                    values.append(None)
+                    errors.append(str(error).split("\n")[0])
+            yield batch[list(keys)].assign(result_value=pd.array(values, dtype="Float64"), success=[e is None for e in errors],
+                                           error=errors)
+
+    sums = texts.mapInPandas(summed, f"{named}, part string, value double").groupBy(*keys, "part").agg(F.sum("value").alias("value"))
+    whole = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("part", "value"))).alias("sums"))
+    found = whole.mapInPandas(judged, f"{named}, result_value double, success boolean, error string")
+    return found.withColumns({k: F.col(k).cast(kind) for k, kind in kinds.items()})
+
+
 def _fused(df: DataFrame, rules: Iterable[Rule]) -> tuple[list[tuple[Rule, Column]], list[tuple[Rule, str]]]:
     """Aggregates that share one pass over the table, and rules that cannot run with the reason."""
     good, bad = [], []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brightwell.functions.values import ntz
 from brightwell.operators import quality as ops, quality_report as report
 from brightwell.operators.quality import Rule
 from registry.base import Registry, shown
@@ -184,6 +185,16 @@ def _(lake):
     return shown(ops.run_rules(lake.spark, {"customer": lake("customer")}, [rule]).select("result_value"))
 
 
+@R.query("d9_python_rule_by_group", """
+SELECT c_nationkey, ROUND(AVG(c_acctbal), 4) AS result_value, TRUE AS success FROM customer GROUP BY 1""")
+def _(lake):
+    found = ops.python_rule_by_group(
+        lake("customer").select("c_nationkey", "c_acctbal"), ["c_nationkey"],
+        lambda rows: {"n": len(rows), "total": rows["c_acctbal"].astype(float).sum()},
+        lambda sums: {"mean": sums["total"] / sums["n"]}, "Mean")
+    return found.select("c_nationkey", F.round("result_value", 4).alias("result_value"), "success")
+
+
 @R.query("d10_latest_results", """
 SELECT DISTINCT ON (rule_id) rule_id, id, batch_id, table_id, weight, CAST(result_value AS DOUBLE) AS result_value,
   result_level, created_at FROM check_detail ORDER BY rule_id, id DESC""")
@@ -191,6 +202,15 @@ def _(lake):
     return shown(ops.latest_details(lake("check_detail")))
 
 
+@R.query("d13_score_history_appended", f"""
+WITH {LATEST}, {_scores_sql('r').replace('SELECT table_id, CAST(cent', ', d AS (SELECT table_id, CAST(cent', 1)})
+SELECT table_id, CAST(score AS DOUBLE) AS score, checked_at FROM score_history
+UNION ALL SELECT table_id, score, TIMESTAMP '{EVENT_CLOCK}' FROM d""")
+def _(lake):
+    scores = ops.table_scores(ops.rule_results(lake("quality_rule"), lake("check_detail")))
+    return shown(ops.append_score_history(lake("score_history").select("table_id", "score", "checked_at"), scores, ntz(EVENT_CLOCK)))
+
+
 @R.query("d13_score_history_backfill", f"""
 WITH {LATEST}, {_scores_sql('r')} WHERE table_id NOT IN (SELECT table_id FROM score_history)""")
 def _(lake):

@@ -94,3 +94,21 @@ def test_batch_status_without_rules(spark):
     batches = spark.createDataFrame([(1,), (2,), (3,)], "batch_id bigint")
     got = {r["batch_id"]: r["batch_status"] for r in q.batch_status(details, batches).collect()}
     assert got == {1: "PARTIAL_FAILED", 2: "FAILED", 3: "SUCCESS"}
+
+
+def test_python_rules_by_group(spark):
+    rows = [(k % 4 if k % 4 else None, float(k)) for k in range(400)] + [(9, None)]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(6)
+
+    def final(sums):
+        if not sums["n"]:
+            raise ValueError("no values\nin this group")
+        return {"Mean": sums["total"] / sums["n"]}
+
+    found = q.python_rule_by_group(df, ["k"], lambda part: {"n": part["v"].count(), "total": part["v"].sum()}, final, "mean")
+    got = {r.k: (r.result_value, r.success, r.error) for r in found.collect()}
+    assert got == {None: (198.0, True, None), 1: (199.0, True, None), 2: (200.0, True, None), 3: (201.0, True, None),
+                   9: (None, False, "no values")}
+    missing = q.python_rule_by_group(df, ["k"], lambda part: {"n": 1}, lambda sums: {"other": 1}, "mean").filter("k = 1").first()
+    assert not missing.success and "no metric" in missing.error
+    assert q.python_rule_by_group(df.limit(0), ["k"], lambda part: {"n": 1}, final).count() == 0
