@@ -5,10 +5,14 @@ has passed their slice; a timer then takes the slice, sorts it and hands it to t
 So rows may come in any order within the watermark, later ones are dropped and counted, and a task holds one slice of one
 key at a time. A carried state that says nothing is not kept, and any other goes when its key has been silent for the
 time the rule names, also by a timer.
+
+Every access to the state store is a call out of Python. Rules over many keys therefore share their state by ``buckets``
+of keys: a task then holds one slice of one bucket, and calls grow with buckets and slices, not with keys.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -22,19 +26,22 @@ from brightwell.operators import cdc, replay
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Defaults: how far rows may be out of order, the width of a slice, and after how long a silent key is forgotten.
 WATERMARK, SLICE_S, FORGET_S = "10 seconds", 10, 86_400
-EVENT_TIME = "event_time"
+EVENT_TIME, KEY, BUCKET = "event_time", "scan_key", "scan_bucket"
+#: Buckets of the rules over many keys. More make a task's slice smaller and cost calls; a checkpoint holds to its number.
+BUCKETS = 256
 
 
 class OrderedScan(StatefulProcessor):
     """Feeds each key's rows to ``step(state, column)`` in order of time; see the module.
 
-    State: ``pending`` holds the rows of a slice as they came, in numbered parts; ``parts`` counts these; ``carried`` is
-    the step's state with the end of the last slice it saw.
+    A group of the stream is one key, or with ``many`` a bucket of keys that ``KEY`` tells apart. State: ``pending`` holds
+    the rows of a slice as they came, in numbered parts; ``parts`` counts these; ``carried`` is the step's state with the
+    end of the last slice it saw, for a bucket the JSON object of both by key.
     """
 
-    def __init__(self, step: Callable, order: str, columns: Sequence[str], slice_ms: int, forget_ms: int):
+    def __init__(self, step: Callable, order: str, columns: Sequence[str], slice_ms: int, forget_ms: int, many: bool = False):
         self.step, self.order, self.columns = step, order, list(columns)
-        self.slice_ms, self.forget_ms = slice_ms, forget_ms
+        self.slice_ms, self.forget_ms, self.many = slice_ms, forget_ms, many
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -43,45 +50,70 @@ class OrderedScan(StatefulProcessor):
         self.carried = handle.getValueState("carried", "state string, seen_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        counts: dict[int, int] = {}
         for frame in rows:
             slices = frame["at_us"].to_numpy() // (1000 * self.slice_ms)
             for number in np.unique(slices).tolist():
-                n = self.parts.getValue((number,))[0] if self.parts.containsKey((number,)) else 0
-                self.pending.updateValue((number, n), (packed(frame[slices == number]),))
-                self.parts.updateValue((number,), (n + 1,))
-                if n == 0:
-                    self.handle.registerTimer((number + 1) * self.slice_ms)
+                if number not in counts:
+                    counts[number] = self.parts.getValue((number,))[0] if self.parts.containsKey((number,)) else 0
+                    if counts[number] == 0:
+                        self.handle.registerTimer((number + 1) * self.slice_ms)
+                self.pending.updateValue((number, counts[number]), (packed(frame[slices == number]),))
+                counts[number] += 1
+        for number, n in counts.items():
+            self.parts.updateValue((number,), (n,))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
         due = sorted(number for (number,) in self.parts.keys() if (number + 1) * self.slice_ms <= now)
+        held = self._held()
         for number in due:
-            yield self._scanned(number)
+            yield self._scanned(number, held)
         # The slice in which the time runs out has been scanned by then.
-        if self.carried.exists() and self.carried.get()[1] + self.forget_ms + self.slice_ms <= now:
+        kept = {k: (state, seen) for k, (state, seen) in held.items() if seen + self.forget_ms + self.slice_ms > now}
+        if kept and (due or len(kept) < len(held)):
+            last = max(seen for _, seen in kept.values())
+            self.carried.update((json.dumps(kept) if self.many else kept[""][0], last))
+        elif not kept:
             self.carried.clear()
 
-    def _scanned(self, number: int) -> pd.DataFrame:
+    def _held(self) -> dict[str, tuple[str, int]]:
+        """The carried states by key, each with the end of the last slice it saw."""
+        if not self.carried.exists():
+            return {}
+        state, seen = self.carried.get()
+        return json.loads(state) if self.many else {"": (state, seen)}
+
+    def _scanned(self, number: int, held: dict[str, tuple[str, int]]) -> pd.DataFrame:
         places = [(number, part) for part in range(self.parts.getValue((number,))[0])]
         frames = [unpacked(self.pending.getValue(place)[0]) for place in places]
         for place in places:
             self.pending.removeKey(place)
         self.parts.removeKey((number,))
-        rows = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]  # one slice of one key
-        rows = rows.sort_values(["at_us", self.order], kind="stable", ignore_index=True)
-        end = (number + 1) * self.slice_ms
-        before = ""
-        if self.carried.exists():
-            state, seen = self.carried.get()
-            before = state if seen + self.forget_ms > number * self.slice_ms else ""
-        after, out = self.step(before, lambda name: rows[name].to_numpy())
-        if after:
-            self.carried.update((after, end))
+        rows = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]  # one slice of one group
+        rows = rows.sort_values([*([KEY] if self.many else []), "at_us", self.order], kind="stable", ignore_index=True)
+        names = rows[KEY].to_numpy() if self.many else np.full(len(rows), "")
+        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]).tolist()
+        begin, end, known, pieces, left = number * self.slice_ms, (number + 1) * self.slice_ms, {}, {}, False
+
+        def column(name: str) -> np.ndarray:
+            if name not in known:
+                known[name] = rows[name].to_numpy()
+            return known[name]
+
+        for a, b in zip(starts, [*starts[1:], len(rows)]):
+            name = str(names[a])
+            state, seen = held.pop(name, ("", 0))
+            before = state if seen + self.forget_ms > begin else ""
+            after, out = self.step(before, lambda c: column(c)[a:b])
+            if after:
+                held[name], left = (after, end), True
+            for c, values in out.items():
+                pieces.setdefault(c, []).append(values)
+        if left:
             self.handle.registerTimer(end + self.forget_ms + self.slice_ms)
-        else:
-            self.carried.clear()
-        return rows.assign(**out)[self.columns]
+        return rows.assign(**{c: np.concatenate(values) for c, values in pieces.items()})[self.columns]
 
     def close(self) -> None:
         pass
@@ -100,12 +132,14 @@ def unpacked(data: bytes) -> pd.DataFrame:
 
 
 def scan_stream(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step: Callable, output: str,
-                forget_s: int = FORGET_S, watermark: str = WATERMARK, slice_s: int = SLICE_S) -> DataFrame:
+                forget_s: int = FORGET_S, watermark: str = WATERMARK, slice_s: int = SLICE_S,
+                buckets: int | None = None) -> DataFrame:
     """Applies ``step(state, column)`` to each key's rows in order of ``ts`` and ``order``, keeping its state.
 
     A row is answered once the watermark has passed its slice. A key without rows for ``forget_s`` starts anew; a window
     rule passes its window, after which its state says nothing. Rows without a moment are dropped. Whole-number keys
-    travel as text, since pandas would turn a key column with nulls into fractions.
+    travel as text, since pandas would turn a key column with nulls into fractions. Without ``buckets`` every key has a
+    state of its own, which suits few keys with many rows each.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
     fields = rows.schema.fields
@@ -115,31 +149,38 @@ def scan_stream(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step:
     keyed = timed.withWatermark(EVENT_TIME, watermark).withColumns({name: F.col(name).cast("string") for name in fragile})
     result = T.StructType([*[T.StructField(f.name, T.StringType()) if f.name in fragile else f for f in fields],
                            *T.StructType.fromDDL(output).fields])
-    scan = OrderedScan(step, order, result.names, 1000 * slice_s, 1000 * forget_s)
-    scanned = keyed.groupBy(*keys).transformWithStateInPandas(scan, result, "append", "eventTime")
+    if buckets:
+        # A JSON object leaves out nulls, so it tells every two keys apart.
+        keyed = keyed.withColumns({KEY: F.to_json(F.struct(*keys)), BUCKET: F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")})
+    scan = OrderedScan(step, order, result.names, 1000 * slice_s, 1000 * forget_s, bool(buckets))
+    groups = [BUCKET] if buckets else keys
+    scanned = keyed.groupBy(*groups).transformWithStateInPandas(scan, result, "append", "eventTime")
     return scanned.withColumns({name: F.col(name).cast(kind) for name, kind in fragile.items()})
 
 
 def rate_limit_stream(log: DataFrame, limits: DataFrame, window_s: int = replay.RATE_WINDOW_S,
-                      key: str = "key_id", **plan) -> DataFrame:
+                      key: str = "key_id", buckets: int | None = BUCKETS,
+                      **plan) -> DataFrame:
     # Of several limits for a key the strictest holds, so no call is doubled.
     bounds = limits.groupBy(key).agg(F.min(F.col("qps_limit").cast("int")).alias("qps_limit"))
     joined = log.join(bounds, key, "left").withColumn("qps_limit", F.coalesce("qps_limit", F.lit(0)))
     step, _ = replay.window_step(window_s * 1_000_000, "admitted", "qps_limit", calls=None)
-    return scan_stream(joined, [key], "created_at", "id", step, "admitted boolean", window_s, **plan)
+    return scan_stream(joined, [key], "created_at", "id", step, "admitted boolean", window_s, buckets=buckets, **plan)
 
 
 def dedupe_stream(alerts: DataFrame, keys: Sequence[str] = ("object_type", "object_id", "alert_type"),
-                  window_s: int = replay.ALERT_WINDOW_S, ts: str = "fired_at", **plan) -> DataFrame:
+                  window_s: int = replay.ALERT_WINDOW_S, ts: str = "fired_at", buckets: int | None = BUCKETS,
+                  **plan) -> DataFrame:
     """Each alert with ``sent``, as ``replay.dedupe_alerts``; a key is forgotten once its window is over."""
     step, _ = replay.window_step(window_s * 1_000_000, "sent", calls=None)
-    return scan_stream(alerts, keys, ts, "id", step, "sent boolean", window_s, **plan)
+    return scan_stream(alerts, keys, ts, "id", step, "sent boolean", window_s, buckets=buckets, **plan)
 
 
 def circuit_stream(log: DataFrame, key: str, size: int = replay.BREAKER_SIZE, wait_s: int = replay.BREAKER_WAIT_S,
-                   share: float = replay.BREAKER_FAILURE_SHARE, ts: str = "created_at", **plan) -> DataFrame:
+                   share: float = replay.BREAKER_FAILURE_SHARE, ts: str = "created_at", buckets: int | None = BUCKETS,
+                   **plan) -> DataFrame:
     step, _ = replay.breaker_step(size, share, wait_s * 1_000_000)
-    return scan_stream(log, [key], ts, "id", step, "breaker string, admitted boolean", **plan)
+    return scan_stream(log, [key], ts, "id", step, "breaker string, admitted boolean", buckets=buckets, **plan)
 
 
 def lag_alert_stream(samples: DataFrame, threshold: int = cdc.LAG_WARN_SECONDS, ts: str = "sampled_at",

@@ -1,5 +1,6 @@
 """Streams fed in several files, one per micro-batch, against the batch form; skewed keys in forced chunks."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -184,6 +185,37 @@ def test_rate_limit_and_dedupe_streams(spark, folder):
         replay.dedupe_alerts(alerts(log)))
 
 
+def test_state_is_kept_by_buckets_of_keys(spark, folder):
+    rng = random.Random(8)
+    keys = [None, *range(40)]
+    rows = [(i, rng.choice(keys), START + timedelta(seconds=i, microseconds=rng.randrange(1000))) for i in range(1200)]
+    log = spark.createDataFrame(rows, "id bigint, key_id bigint, created_at timestamp_ntz")
+    limits = spark.createDataFrame([(k, k % 3) for k in range(40)], "key_id bigint, qps_limit int")
+    stream = in_files(spark, log, "id", f"{folder}/in", 2)
+    got = drained(spark, stateful.rate_limit_stream(stream, limits, 300, buckets=4), f"{folder}/a")
+    # 41 keys wait in four buckets, each with one part of rows in a slice and file.
+    parts = stored(spark, f"{folder}/a", "pending")
+    assert {r.key.scan_bucket for r in parts.select("key").distinct().collect()} <= {0, 1, 2, 3} and parts.count() <= 4 * 4
+    assert stored(spark, f"{folder}/a", "carried").count() <= 4
+    close_stream(spark, log.schema, "created_at", f"{folder}/in")
+    got = drained(spark, stateful.rate_limit_stream(stream, limits, 300, buckets=4), f"{folder}/a")
+    assert rows_of(got) == rows_of(replay.rate_limit_replay(log, limits, 300))
+
+
+def test_a_silent_key_of_a_bucket_is_forgotten(spark, folder):
+    rows = [(1, START), (2, START), (2, START + timedelta(minutes=50)), (1, START + timedelta(minutes=200)), (3, START + timedelta(minutes=300))]
+    kept = []
+    for k, row in enumerate(rows):
+        log = spark.createDataFrame([(k, *row, True)], "id bigint, api_id bigint, created_at timestamp_ntz, failed boolean")
+        log.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
+        drained(spark, stateful.circuit_stream(stream, "api_id", buckets=1, forget_s=3600), folder)
+        states = [json.loads(r.value.state) for r in stored(spark, folder, "carried").collect()]
+        kept.append([sorted(json.loads(name)["api_id"] for name in held) for held in states])
+    # Key 1 was silent for over an hour when 2 was answered; 2 goes with its own timer in the next batch.
+    assert kept == [[], [], [["1", "2"]], [["2"]], [["1"]]]
+
+
 def test_change_stream_over_batches_and_replayed_batch(spark, folder):
     rng = random.Random(9)
     rows = [(rng.randrange(20), rng.randrange(1000), i, rng.choice(["INSERT", "UPDATE", "UPDATE", "DELETE"])) for i in range(400)]
