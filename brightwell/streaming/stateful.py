@@ -52,6 +52,7 @@ class OrderedScan(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         counts: dict[int, int] = {}
         for frame in rows:
+            frame = frame.drop(columns=EVENT_TIME)
             slices = frame["at_us"].to_numpy() // (1000 * self.slice_ms)
             for number in np.unique(slices).tolist():
                 if number not in counts:
@@ -138,7 +139,8 @@ def scan_stream(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step:
 
     A row is answered once the watermark has passed its slice. A key without rows for ``forget_s`` starts anew; a window
     rule passes its window, after which its state says nothing. Rows without a moment are dropped. Whole-number keys
-    travel as text, since pandas would turn a key column with nulls into fractions. Without ``buckets`` every key has a
+    travel as text, since pandas would turn a key column with nulls into fractions, and ``ts`` as microseconds, since a
+    frame builds an object for every moment. Without ``buckets`` every key has a
     state of its own, which suits few keys with many rows each.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
@@ -147,7 +149,15 @@ def scan_stream(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step:
     moment = F.col(ts).cast("timestamp")
     timed = rows.filter(F.col(ts).isNotNull()).withColumns({EVENT_TIME: moment, "at_us": F.unix_micros(moment)})
     keyed = timed.withWatermark(EVENT_TIME, watermark).withColumns({name: F.col(name).cast("string") for name in fragile})
-    result = T.StructType([*[T.StructField(f.name, T.StringType()) if f.name in fragile else f for f in fields],
+    kind, back = rows.schema[ts].dataType, None
+    if isinstance(kind, T.TimestampType):
+        keyed, back = keyed.withColumn(ts, F.col("at_us")), F.timestamp_micros(ts)
+    elif isinstance(kind, T.TimestampNTZType):
+        zero = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+        keyed = keyed.withColumn(ts, F.expr(f"timestampdiff(MICROSECOND, {zero}, `{ts}`)"))
+        back = F.expr(f"timestampadd(MICROSECOND, `{ts}`, {zero})")
+    sent = {**{name: T.StringType() for name in fragile}, **({ts: T.LongType()} if back is not None else {})}
+    result = T.StructType([*[T.StructField(f.name, sent.get(f.name, f.dataType)) for f in fields],
                            *T.StructType.fromDDL(output).fields])
     if buckets:
         # A JSON object leaves out nulls, so it tells every two keys apart.
@@ -155,7 +165,8 @@ def scan_stream(rows: DataFrame, keys: Sequence[str], ts: str, order: str, step:
     scan = OrderedScan(step, order, result.names, 1000 * slice_s, 1000 * forget_s, bool(buckets))
     groups = [BUCKET] if buckets else keys
     scanned = keyed.groupBy(*groups).transformWithStateInPandas(scan, result, "append", "eventTime")
-    return scanned.withColumns({name: F.col(name).cast(kind) for name, kind in fragile.items()})
+    shown = {ts: back} if back is not None else {}
+    return scanned.withColumns(shown | {name: F.col(name).cast(whole) for name, whole in fragile.items()})
 
 
 def rate_limit_stream(log: DataFrame, limits: DataFrame, window_s: int = replay.RATE_WINDOW_S,

@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,43 @@ def test_a_silent_key_of_a_bucket_is_forgotten(spark, folder):
     assert kept == [[], [], [["1", "2"]], [["2"]], [["1"]]]
 
 
+def test_moments_keep_their_type_and_microseconds(spark, folder):
+    rows = spark.createDataFrame([(1, datetime(2024, 3, 10, 2, 30, 0, 7), 90, 1, 0, 1), (1, datetime(1969, 12, 31, 23, 59, 59, 999_999), 90, 1, 0, 0)], SAMPLE)
+    for kind in ("timestamp_ntz", "timestamp"):
+        typed = rows.withColumn("sampled_at", F.col("sampled_at").cast(kind))
+        typed.coalesce(1).write.parquet(f"{folder}/{kind}")
+        close_stream(spark, typed.schema, "sampled_at", f"{folder}/{kind}")
+        stream = spark.readStream.schema(typed.schema).parquet(f"{folder}/{kind}")
+        got = drained(spark, stateful.lag_alert_stream(stream, forget_s=3_000_000_000), f"{folder}/out-{kind}")
+        assert got.schema["sampled_at"].dataType.simpleString() == kind
+        assert rows_of(got) == rows_of(typed.filter("total_changes = 0"))
+
+
+def test_parts_of_a_slice_are_numbered_once_per_batch():
+    """Counts are read and written once per slice, however many frames a group comes in."""
+    calls = []
+
+    class Parts(dict):
+        def containsKey(self, key):
+            calls.append("has")
+            return key in self
+
+        def getValue(self, key):
+            return self[key]
+
+        def updateValue(self, key, value):
+            calls.append("put")
+            self[key] = value
+
+    scan = stateful.OrderedScan(None, "id", ["id"], 1000, 1000)
+    scan.handle = type("Handle", (), {"registerTimer": lambda self, at: calls.append("timer")})()
+    scan.parts, scan.pending = Parts(), Parts()
+    frame = pd.DataFrame({"id": [1, 2], "at_us": [0, 2_000_000], "event_time": [START, START]})
+    scan.handleInputRows((1,), [frame] * 5, None)
+    assert sorted(scan.pending) == [(s, n) for s in (0, 2) for n in range(5)] and dict(scan.parts) == {(0,): (5,), (2,): (5,)}
+    assert (calls.count("has"), calls.count("put"), calls.count("timer")) == (2, 12, 2)
+
+
 def test_change_stream_over_batches_and_replayed_batch(spark, folder):
     rng = random.Random(9)
     rows = [(rng.randrange(20), rng.randrange(1000), i, rng.choice(["INSERT", "UPDATE", "UPDATE", "DELETE"])) for i in range(400)]
