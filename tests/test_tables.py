@@ -261,6 +261,34 @@ def test_a_long_text_is_indexed_in_one_scan(spark, folder):
     assert text_index.candidates(spark, f"{folder}/g", "needles").count() == 0
 
 
+def test_grams_are_numbers_in_order_of_their_characters(spark, folder):
+    from brightwell.operators import text_index
+
+    texts = [("t", 1, "abcab"), ("t", 1, "xabc"), ("t", 2, "AB"), ("c", 1, "ab\U0001F600"), ("c", 2, ""), ("c", 3, None)]
+    text_index.build(spark.createDataFrame(texts, "place string, id long, text string"), f"{folder}/g")
+    rows = spark.read.parquet(f"{folder}/g")
+    characters = lambda g: "".join(chr(g >> k & 0x1FFFFF) for k in (42, 21, 0)).rstrip("\0")
+    got = sorted((r.place, r.id, characters(r.gram)) for r in rows.collect())
+    assert got == sorted([("t", 1, g) for g in ("abc", "bca", "cab", "ab", "b", "xab", "bc", "c")]
+                         + [("t", 2, "ab"), ("t", 2, "b"), ("c", 1, "ab\U0001F600"), ("c", 1, "b\U0001F600"), ("c", 1, "\U0001F600")])
+    assert rows.schema["gram"].dataType.simpleString() == "bigint"
+    named = lambda word: sorted(map(tuple, text_index.candidates(spark, f"{folder}/g", word).collect()))
+    assert named("ab") == [("c", 1), ("t", 1), ("t", 2)] and named("B\U0001F600") == [("c", 1)]
+    assert named("abca") == [("t", 1)] and named("\U0001F600") == [("c", 1)] and named("abd") == []
+
+
+def test_long_texts_leave_a_task_in_bounded_batches():
+    import pyarrow as pa
+
+    from brightwell.operators import text_index
+
+    texts = ["".join(chr(97 + k) + chr(0x4E00 + j % 20_000) for j in range(60_000)) for k in range(4)]
+    batch = pa.RecordBatch.from_pydict({"place": ["t"] * 4, "id": [1, 2, 3, None], "text": texts})
+    out = list(text_index._exploded(iter([batch])))
+    assert len(out) > 1 and all(b.num_rows <= max(text_index.BATCH_ROWS, len(text_index.grams_of(texts[0]))) for b in out)
+    assert sum(b.num_rows for b in out) == sum(len(text_index.grams_of(t)) for t in texts)
+
+
 def test_histograms_merge_to_the_same_statistics(spark):
     import random
     from datetime import datetime, timedelta
