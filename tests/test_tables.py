@@ -282,8 +282,8 @@ def test_long_texts_leave_a_task_in_bounded_batches():
 
     from brightwell.operators import text_index
 
-    texts = ["".join(chr(97 + k) + chr(0x4E00 + j % 20_000) for j in range(60_000)) for k in range(4)]
-    batch = pa.RecordBatch.from_pydict({"place": ["t"] * 4, "id": [1, 2, 3, None], "text": texts})
+    texts = ["".join(chr(97 + k) + chr(0x4E00 + j % 20_000) for j in range(20_000)) for k in range(8)]
+    batch = pa.RecordBatch.from_pydict({"place": ["t"] * 8, "id": [*range(7), None], "text": texts})
     out = list(text_index._exploded(iter([batch])))
     assert len(out) > 1 and all(b.num_rows <= max(text_index.BATCH_ROWS, len(text_index.grams_of(texts[0]))) for b in out)
     assert sum(b.num_rows for b in out) == sum(len(text_index.grams_of(t)) for t in texts)
